@@ -6,16 +6,26 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, quality_rules, secrets
 from .common import read
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(read(spark, sf_dir, "documents")))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.digest(quality_rules.judge(read(spark, sf_dir, "documents")))
+
+
 def op10_bpe_tokens(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     rows = bpe.tokenize(read(spark, sf_dir, "documents"), vocabulary or public_tokenizers.path("byte_bpe_50k.json"))
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 QUERIES = {
+    "op5_secret_scan": op5_secret_scan,
+    "op9_quality_rules": op9_quality_rules,
     "op10_bpe_tokens": op10_bpe_tokens,
 }
 
