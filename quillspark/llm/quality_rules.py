@@ -4,8 +4,7 @@ Counts of each whole text come from array code; the rules are expressions over
 these counts and vote 1 (good), -1 (bad) or 0 (abstain). The number of
 documents with each pattern of votes (at most 3 ** rules rows, whatever the
 input) is all that reaches the driver. There expectation-maximisation over all
-patterns estimates how often each rule is right and the share of good
-documents; the posterior probability is then an expression over the votes.
+patterns estimates how often each rule is right; the posterior probability is then an expression over the votes.
 
 Results by case: a null or empty text has no words and fails the base rules;
 null or repeated ids are carried through, one row for each input row; the
@@ -117,52 +116,53 @@ def _vote(condition: Column, vote: int) -> Column:
 
 
 def votes() -> dict[str, Column]:
-    """The vote of each rule over `counts`; limits are shares of words, letters or lines. Each rule speaks for one side and abstains otherwise."""
+    """The vote of each rule over `counts`; limits are shares of words, letters or lines. All but `prose` speak for one side and abstain otherwise."""
     words, letters = F.greatest(_c("n_words"), F.lit(1)), F.greatest(_c("n_letters"), F.lit(1))
     length = _c("word_chars") / words
     symbols, shouts = _c("n_symbols") / words, _c("n_shouts") / words
     capitals, alpha = _c("n_capitals") / letters, _c("n_letters") / F.greatest(_c("word_chars"), F.lit(1))
     repeats, lines = _c("n_repeat_words") / words, _c("n_dup_lines") / F.greatest(_c("n_lines"), F.lit(1))
     return {
-        "prose": _vote((alpha >= 0.88) & (capitals < 0.25) & length.between(3, 9), 1),
+        "prose": F.when((alpha >= 0.88) & (capitals < 0.25) & length.between(3, 9) & (symbols < 0.05), 1).when((symbols > 0.2) | (shouts > 0.5) | (capitals > 0.5) | (length < 2.5) | (length > 12), -1).otherwise(0),
         "fresh": _vote((words >= LEAST_WORDS) & (repeats < 0.2) & (lines < 0.2), 1),
         "word_length": _vote((length < 2.5) | (length > 12), -1),
         "symbols": _vote(symbols > 0.2, -1),
         "shouting": _vote(shouts > 0.5, -1),
         "capitals": _vote(capitals > 0.5, -1),
-        "letters": _vote(alpha < 0.85, -1),
+        "letters": _vote(alpha < 0.7, -1),
         "repeats": _vote(repeats > 0.4, -1),
         "dup_lines": _vote((lines > 0.3) & (_c("n_lines") >= 3), -1),
     }
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> tuple[float, list[float]]:
-    """(share of good documents, accuracy of each rule) by EM from (votes, number of documents).
+def fit(patterns: list[tuple[tuple[int, ...], int]], balance: float = 0.5, rounds: int = 50) -> list[float]:
+    """Accuracy of each rule by EM from (votes, number of documents).
 
     A rule that votes is right with its accuracy, whichever class; abstaining
-    tells nothing. Accuracies stay in 0.6 to 0.99: a rule is never turned round.
+    tells nothing. balance: prior probability that a document is good; it is
+    given, as rules that speak for one side only can't tell it. Accuracies stay
+    in 0.6 to 0.95: a rule is never turned round, and two outvote any one.
     """
     m = len(patterns[0][0]) if patterns else len(votes())
     v = np.array([p for p, _ in patterns], float).reshape(len(patterns), m)
     n = np.array([c for _, c in patterns], float)
-    share, accuracy = 0.8, np.full(m, 0.8)
+    accuracy = np.full(m, 0.8)
     for _ in range(rounds if len(patterns) else 0):
-        logit = math.log(share / (1 - share)) + v @ np.log(accuracy / (1 - accuracy))
+        logit = math.log(balance / (1 - balance)) + v @ np.log(accuracy / (1 - accuracy))
         good = 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
-        share = float(np.clip((n @ good + 8) / (n.sum() + 10), 0.05, 0.99))
         right = n @ np.where(v > 0, good[:, None], np.where(v < 0, 1 - good[:, None], 0))
-        accuracy = np.clip((right + 8) / (n @ (v != 0) + 10), 0.6, 0.99)
-    return share, accuracy.tolist()
+        accuracy = np.clip((right + 8) / (n @ (v != 0) + 10), 0.6, 0.95)
+    return accuracy.tolist()
 
 
-def judge(docs: DataFrame, keep_text: bool = False, threshold: float = 0.5) -> DataFrame:
+def judge(docs: DataFrame, keep_text: bool = False, threshold: float = 0.5, balance: float = 0.5) -> DataFrame:
     """(row, counts, base_failed, posterior, kept) for each row of docs; row holds docs' columns, text only if asked for."""
     rules = votes()
     voted = with_counts(docs, keep_text).select("row", "counts", *[v.cast("int").alias(f"vote_{k}") for k, v in rules.items()])
     names = [f"vote_{k}" for k in rules]
     seen = with_counts(docs.select("text")).select(*[v.cast("int").alias(f"vote_{k}") for k, v in rules.items()]).groupBy(*names).count().collect()
-    share, accuracy = fit([(tuple(r[:-1]), r[-1]) for r in sorted(seen)])
-    logit = reduce(lambda a, b: a + b, [F.col(c) * math.log(a / (1 - a)) for c, a in zip(names, accuracy, strict=True)], F.lit(math.log(share / (1 - share))))
+    accuracy = fit([(tuple(r[:-1]), r[-1]) for r in sorted(seen)], balance)
+    logit = reduce(lambda a, b: a + b, [F.col(c) * math.log(a / (1 - a)) for c, a in zip(names, accuracy, strict=True)], F.lit(math.log(balance / (1 - balance))))
     posterior = 1 / (1 + F.exp(-logit))
     failed = (_c("n_words") < LEAST_WORDS) | (100 * _c("n_repeat_words") > REPEAT_PERCENT * _c("n_words"))
     return voted.select("row", "counts", failed.alias("base_failed"), posterior.alias("posterior"), (~failed & (posterior >= threshold)).alias("kept"), *names)
