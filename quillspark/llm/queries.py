@@ -6,10 +6,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality_rules, secrets
+from . import bpe, labelled, quality_classifier, quality_rules, secrets
 from .common import read
 
 
+def _scored(rows: DataFrame, fold: tuple[int, int]) -> DataFrame:
+    return rows.select("doc_id", labelled.held_out(fold).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op4_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = read(spark, sf_dir, "documents"), (3, 1)
+    space = quality_classifier.fit(docs, read(spark, sf_dir, "labels"), "quality", fold)
+    return _scored(quality_classifier.classify(docs, space), fold)
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(read(spark, sf_dir, "documents")))
 
@@ -24,6 +34,7 @@ def op10_bpe_tokens(spark: SparkSession, sf_dir: str, vocabulary: str | None = N
 
 
 QUERIES = {
+    "op4_quality_knn": op4_quality_knn,
     "op5_secret_scan": op5_secret_scan,
     "op9_quality_rules": op9_quality_rules,
     "op10_bpe_tokens": op10_bpe_tokens,
