@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, labelled, quality_classifier, quality_rules, secrets
+from . import bpe, labelled, quality_classifier, quality_rules, secrets, toxicity
 from .common import read
 
 
@@ -14,6 +14,12 @@ def _scored(rows: DataFrame, fold: tuple[int, int]) -> DataFrame:
     return rows.select("doc_id", labelled.held_out(fold).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = read(spark, sf_dir, "documents"), (5, 0)
+    machine = toxicity.fit(docs, read(spark, sf_dir, "labels"), "toxic", fold)
+    return _scored(toxicity.classify(docs, machine), fold)
+
+
 def op4_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, fold = read(spark, sf_dir, "documents"), (3, 1)
     space = quality_classifier.fit(docs, read(spark, sf_dir, "labels"), "quality", fold)
@@ -34,6 +40,7 @@ def op10_bpe_tokens(spark: SparkSession, sf_dir: str, vocabulary: str | None = N
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op4_quality_knn": op4_quality_knn,
     "op5_secret_scan": op5_secret_scan,
     "op9_quality_rules": op9_quality_rules,
