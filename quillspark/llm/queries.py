@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, labelled, quality_classifier, quality_rules, secrets, toxicity
+from . import bpe, decontaminate, labelled, quality_classifier, quality_rules, secrets, toxicity
 from .common import read
 
 
@@ -20,6 +20,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(toxicity.classify(docs, machine), fold)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op4_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, fold = read(spark, sf_dir, "documents"), (3, 1)
     space = quality_classifier.fit(docs, read(spark, sf_dir, "labels"), "quality", fold)
@@ -41,6 +45,7 @@ def op10_bpe_tokens(spark: SparkSession, sf_dir: str, vocabulary: str | None = N
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_decontamination": op2_decontamination,
     "op4_quality_knn": op4_quality_knn,
     "op5_secret_scan": op5_secret_scan,
     "op9_quality_rules": op9_quality_rules,
