@@ -3,9 +3,7 @@
 Spark tasks split texts into the pre-tokens ("words") of a byte-level BPE
 vocabulary and turn each block of documents into its distinct words and the
 word number at each position. The distinct words of all blocks meet by hash
-bucket; there each distinct word is encoded once, and its pieces come from a
-join of its ids with the id-to-piece table. Ids and pieces then go back to the
-blocks and are put in place by position. A word has one row for each block at
+bucket; XX A word has one row for each block at
 most, so a word as common as a space is no hot key.
 
 Results by case: a null or empty text has no ids and decodes to ''; a null or
@@ -93,12 +91,22 @@ def _squeeze(x: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(x)
 
 
+def _squeeze_numbers(x: np.ndarray) -> bytes:
+    """Little-endian bytes plane by plane: high bytes of small numbers cost next to nothing."""
+    return _squeeze(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _open_numbers(x: bytes) -> np.ndarray:
+    planes = np.frombuffer(_open(x), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
 def _open(x: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(x, max_output_size=1 << 31) if x else b""
 
 
 class _Block:
-    """The documents of one block: their words are numbered in the order of their first hash."""
+    """The documents of one block: their words are numbered by falling count."""
 
     def __init__(self, classes: np.ndarray, special: list[str]):
         self.classes, self.special = classes, special
@@ -145,21 +153,28 @@ class _Block:
         counts = np.diff(np.searchsorted(start, at))
         valid = np.array([x is not None for x in ids], np.uint8)
         head = np.array([x if x is not None else 0 for x in ids], np.int64)
-        self.docs.append((C.blob(head) + C.blob(valid), C.blob(counts.astype(np.uint32)), _squeeze(C.blob(slot[inverse].astype(np.uint32)))))
+        self.docs.append((C.blob(head) + C.blob(valid), C.blob(counts.astype(np.uint32)), slot[inverse].astype(np.uint32)))
         self.size += len(data)
 
     def rows(self, block: int, n: int) -> Iterator[pa.RecordBatch]:
+        uses = np.zeros(len(self.hashes), np.int64)
+        for _, _, slots in self.docs:
+            uses += np.bincount(slots, minlength=len(uses))
+        ranked = np.argsort(-uses, kind="stable")
+        number = np.empty(len(uses), np.uint32)
+        number[ranked] = np.arange(len(uses), dtype=np.uint32)
         order, bounds = C.split_by(self.hashes, n)
         out: dict[str, list] = {name: [] for name in _ARROW.names}
         for i, (a, b, c) in enumerate(self.docs):
-            for name, x in zip(_ARROW.names, ((block + i) % n, 0, block, a, b, c), strict=True):
+            for name, x in zip(_ARROW.names, ((block + i) % n, 0, block, a, b, _squeeze_numbers(number[c])), strict=True):
                 out[name].append(x)
         for bucket in range(n):
             part = order[bounds[bucket] : bounds[bucket + 1]]
             if len(part):
+                part = part[np.argsort(number[part])]
                 encoded = [w.encode() for w in self.words[part]]
                 lengths = np.array([len(w) for w in encoded], np.uint32)
-                for name, x in zip(_ARROW.names, (bucket, 1, block, C.blob(part.astype(np.uint32)), C.blob(lengths), _squeeze(b"".join(encoded))), strict=True):
+                for name, x in zip(_ARROW.names, (bucket, 1, block, _squeeze_numbers(number[part]), _squeeze(C.blob(lengths)), _squeeze(b"".join(encoded))), strict=True):
                     out[name].append(x)
         yield C.record(_ARROW, out)
 
@@ -179,40 +194,36 @@ def _split(classes, special: list[str], block_bytes: int, n: int):
     return run
 
 
-def _encode(model, pieces):
-    """In a bucket: each distinct word is encoded once; ids and pieces go to the blocks that have the word."""
+def _encode(model):
+    """In a bucket: each distinct word is encoded once; its ids go to the blocks that have the word."""
 
     def run(table: pa.Table) -> pa.Table:
         from tokenizers import Tokenizer
 
-        tokenizer, (piece_bytes, piece_at) = Tokenizer.from_str(model.value), pieces.value
-        rows = table.to_pylist()
-        held = [r for r in rows if r["kind"] == 1]
-        words = []
-        for r in held:
-            ends = np.cumsum(np.frombuffer(r["b"], np.uint32).astype(np.int64))
-            raw = _open(r["c"])
-            words.append([raw[a:b] for a, b in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True)])
-        number = {w: i for i, w in enumerate(dict.fromkeys(w for part in words for w in part))}
-        distinct = list(number)
+        tokenizer = Tokenizer.from_str(model.value)
+        number: dict[bytes, int] = {}
         ids: list[list[int]] = []
+        length, first, flat = np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        held, rows = [], table.to_pylist()
+        for r in rows:
+            if r["kind"] == 1:
+                ends = np.cumsum(np.frombuffer(_open(r["b"]), np.uint32).astype(np.int64))
+                raw = _open(r["c"])
+                held.append(np.array([number.setdefault(raw[a:b], len(number)) for a, b in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True)], np.int64))
+        distinct = list(number)
         for at in range(0, len(distinct), 4096):
             ids += [e.ids for e in tokenizer.encode_batch([w.decode() for w in distinct[at : at + 4096]], add_special_tokens=False)]
-        length = np.array([len(x) for x in ids], np.int64)
-        flat = np.array([x for part in ids for x in part], np.uint32)
-        first = np.concatenate([[0], np.cumsum(length)])
-        size = (piece_at[1:] - piece_at[:-1])[flat]
-        size_to = np.concatenate([[0], np.cumsum(size)])
+        if ids:
+            length = np.array([len(x) for x in ids], np.int64)
+            flat = np.array([x for part in ids for x in part], np.uint32)
+            first = np.concatenate([[0], np.cumsum(length)])
         out: dict[str, list] = {name: [] for name in _ARROW.names}
         for r in rows:
             a, b, c = r["a"], r["b"], r["c"]
             if r["kind"] == 1:
-                own = np.array([number[w] for w in words[len(out["kind"]) - out["kind"].count(0)]], np.int64)
-                mine = flat[C.ragged(first[own], length[own])]
-                spelt = piece_bytes[C.ragged(piece_at[mine], piece_at[mine + 1] - piece_at[mine])]
-                widths = np.stack([length[own], size_to[first[own + 1]] - size_to[first[own]]]).astype(np.uint16 if max(length.max(), size.sum()) < 65536 else np.uint32)
-                b = bytes([widths.itemsize]) + C.blob(widths)
-                c = _squeeze(C.blob(mine.astype(np.uint32)) + C.blob(spelt))
+                own = held.pop(0)
+                b = _squeeze_numbers(length[own])
+                c = _squeeze_numbers(flat[C.ragged(first[own], length[own])])
             for name, x in zip(_ARROW.names, (r["bucket"], r["kind"], r["block"], a, b, c), strict=True):
                 out[name].append(x)
         return pa.table({f.name: pa.array(out[f.name], f.type) for f in _ARROW}, schema=_ARROW)
@@ -220,49 +231,46 @@ def _encode(model, pieces):
     return run
 
 
-def _place(table: pa.Table) -> pa.Table:
-    """In a block: ids and pieces are put in place by position."""
-    import numpy as np
-
-    table = table.sort_by("kind")
-    rows = table.select(["kind", "a", "b", "c"]).to_pylist()
-    words = [r for r in rows if r["kind"] == 1]
-    slots = [np.frombuffer(r["a"], np.uint32) for r in words]
-    total = sum(map(len, slots))
-    length, size = np.zeros(total, np.int64), np.zeros(total, np.int64)
-    id_at, piece_at = np.zeros(total, np.int64), np.zeros(total, np.int64)
-    ids, spelt, i0, s0 = [], [], 0, 0
-    for r, slot in zip(words, slots, strict=True):
-        widths = np.frombuffer(r["b"][1:], np.uint16 if r["b"][0] == 2 else np.uint32).reshape(2, -1).astype(np.int64)
-        length[slot], size[slot] = widths
-        id_at[slot] = i0 + np.cumsum(widths[0]) - widths[0]
-        piece_at[slot] = s0 + np.cumsum(widths[1]) - widths[1]
-        raw = _open(r["c"])
-        n = int(widths[0].sum())
-        ids.append(np.frombuffer(raw[: 4 * n], np.uint32))
-        spelt.append(np.frombuffer(raw[4 * n :], np.uint8))
-        i0, s0 = i0 + n, s0 + int(widths[1].sum())
-    ids_all = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-    spelt_all = np.concatenate(spelt) if spelt else np.zeros(0, np.uint8)
-    out: dict[str, list] = {name: [] for name in _ARROW_RESULT.names}
-    for r in rows:
-        if r["kind"]:
-            continue
-        counts = np.frombuffer(r["b"], np.uint32).astype(np.int64)
-        doc = np.frombuffer(r["a"], np.int64, len(counts)).tolist()
-        valid = r["a"][8 * len(counts) :]
-        slot = np.frombuffer(_open(r["c"]), np.uint32)
-        token = ids_all[C.ragged(id_at[slot], length[slot])].astype("<u4")
-        text = spelt_all[C.ragged(piece_at[slot], size[slot])].tobytes()
-        word_to = np.concatenate([[0], np.cumsum(counts)])
-        id_to = np.concatenate([[0], np.cumsum(length[slot])])[word_to]
-        text_to = np.concatenate([[0], np.cumsum(size[slot])])[word_to]
-        for i in range(len(counts)):
-            out["doc_id"].append(doc[i] if valid[i] else None)
-            out["n_tokens"].append(int(id_to[i + 1] - id_to[i]))
-            out["ids"].append(token[id_to[i] : id_to[i + 1]].tobytes())
-            out["decoded"].append(text[text_to[i] : text_to[i + 1]].decode("utf-8", "replace"))
-    return pa.table({f.name: pa.array(out[f.name], f.type) for f in _ARROW_RESULT}, schema=_ARROW_RESULT)
+def _place(pieces):
+    """In a block: ids are put in place by position, and pieces by joining the ids with the id-to-piece table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece_bytes, piece_at = pieces.value
+        rows = [r for b in batches for r in b.select(["kind", "a", "b", "c"]).to_pylist()]
+        words = [r for r in rows if r["kind"] == 1]
+        slots = [_open_numbers(r["a"]) for r in words]
+        total = sum(map(len, slots))
+        length, id_at = np.zeros(total, np.int64), np.zeros(total, np.int64)
+        ids, to = [np.zeros(0, np.uint32)], 0
+        for r, slot in zip(words, slots, strict=True):
+            widths = _open_numbers(r["b"]).astype(np.int64)
+            length[slot] = widths
+            id_at[slot] = to + np.cumsum(widths) - widths
+            ids.append(_open_numbers(r["c"]))
+            to += len(ids[-1])
+        flat = np.concatenate(ids)
+        for r in rows:
+            if r["kind"]:
+                continue
+            out: dict[str, list] = {name: [] for name in _ARROW_RESULT.names}
+            counts = np.frombuffer(r["b"], np.uint32).astype(np.int64)
+            doc = np.frombuffer(r["a"], np.int64, len(counts)).tolist()
+            valid = r["a"][8 * len(counts) :]
+            slot = _open_numbers(r["c"])
+            token = flat[C.ragged(id_at[slot], length[slot])].astype("<u4")
+            size = piece_at[token + 1] - piece_at[token]
+            text = piece_bytes[C.ragged(piece_at[token], size)].tobytes()
+            id_to = np.concatenate([[0], np.cumsum(length[slot])])[np.concatenate([[0], np.cumsum(counts)])]
+            text_to = np.concatenate([[0], np.cumsum(size)])[id_to].tolist()
+            id_to = id_to.tolist()
+            for i in range(len(counts)):
+                out["doc_id"].append(doc[i] if valid[i] else None)
+                out["n_tokens"].append(id_to[i + 1] - id_to[i])
+                out["ids"].append(token[id_to[i] : id_to[i + 1]].tobytes())
+                out["decoded"].append(text[text_to[i] : text_to[i + 1]].decode("utf-8", "replace"))
+            yield C.record(_ARROW_RESULT, out)
+
+    return run
 
 
 def byte_of_character() -> dict[str, int]:
@@ -280,7 +288,7 @@ def piece_table(model: str) -> list[tuple[int, bytes]]:
     return sorted(pieces.items())
 
 
-def tokenize(docs: DataFrame, vocabulary: str, block_bytes: int = 24 << 20) -> DataFrame:
+def tokenize(docs: DataFrame, vocabulary: str, block_bytes: int = 32 << 20) -> DataFrame:
     """Ids (little-endian unsigned 32-bit, as bytes) and the text decoded from them, for each row of docs (doc_id, text).
 
     vocabulary: path of a byte-level BPE file of the tokenizers library, read on the driver.
@@ -305,8 +313,8 @@ def tokenize(docs: DataFrame, vocabulary: str, block_bytes: int = 24 << 20) -> D
     special = [x["content"] for x in json.loads(model)["added_tokens"]]
     n = C.buckets(spark, 2)
     split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_split(classes, special, block_bytes, n), SCHEMA)
-    encoded = split.groupBy("bucket").applyInArrow(_encode(shared, pieces), SCHEMA)
-    return encoded.groupBy("block").applyInArrow(_place, RESULT)
+    encoded = split.groupBy("bucket").applyInArrow(_encode(shared), SCHEMA)
+    return encoded.groupBy("block").applyInArrow(_place(pieces), RESULT)
 
 
 def decode(rows: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that array code takes at once; one longer document is taken alone.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -185,3 +185,68 @@ def record(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
 def crc32_text(column: str) -> "Column":
     """crc32 of an id written as decimal text, as the folds of the labelled tables use it."""
     return F.crc32(F.col(column).cast("string").cast("binary"))
+
+
+_MARK = np.zeros(256, bool)
+_MARK[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
+
+
+def trimmed_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """word_spans without ASCII punctuation at the words' ends; words of nothing else are left out."""
+    start, end, _ = word_spans(data, bounds)
+    if len(start):
+        plain = np.flatnonzero(~_MARK[data])
+        if not len(plain):
+            start, end = start[:0], end[:0]
+        else:
+            start = plain[np.minimum(np.searchsorted(plain, start), len(plain) - 1)]
+            end = plain[np.maximum(np.searchsorted(plain, end) - 1, 0)] + 1
+            # a word of marks only finds its start behind its end
+            keep = start < end
+            start, end = start[keep], end[keep]
+    return start, end, np.searchsorted(start, bounds)
+
+
+class Bloom:
+    """A Bloom filter over 64-bit hashes; its size follows the number of keys up to 2**28 bits, beyond which it lets more pass."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = 1 << int(min(28, max(13, np.ceil(np.log2(max(1, len(keys)) * 12)))))
+        self.mask = np.uint64(bits - 1)
+        self.bits = np.zeros(bits // 8, np.uint8)
+        for at in range(0, len(keys), 1 << 20):
+            self._set(keys[at : at + (1 << 20)])
+
+    def _set(self, keys: np.ndarray) -> None:
+        for place in self._places(keys):
+            np.bitwise_or.at(self.bits, (place >> np.uint64(3)).astype(np.int64), (1 << (place & np.uint64(7))).astype(np.uint8))
+
+    def _places(self, keys: np.ndarray):
+        other = mix(keys ^ _STEP) | np.uint64(1)
+        return [(keys + np.uint64(i) * other) & self.mask for i in range(3)]
+
+    def __contains__(self, keys) -> bool:
+        return bool(self.test(np.atleast_1d(keys)).all())
+
+    def test(self, keys: np.ndarray) -> np.ndarray:
+        out = np.ones(len(keys), bool)
+        for place in self._places(keys):
+            out &= (self.bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        return out
+
+
+def keyed(docs: DataFrame, **more) -> DataFrame:
+    """docs as (key, text, row): row holds the other columns, so their names can't clash; key is equal for equal (doc_id, text) only."""
+    rest = [docs[c].alias(f"_{i}") for i, c in enumerate(docs.columns) if c != "text"] or [F.lit(0).alias("_none")]
+    doc_id = F.col("doc_id").cast("long") if "doc_id" in docs.columns else F.lit(None).cast("long")
+    return docs.select(F.xxhash64(doc_id, F.col("text")).alias("key"), doc_id.alias("doc_id"), F.col("text"), F.struct(*rest).alias("row"))
+
+
+def unkeyed(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs, in their order, from rows with `row` of keyed() and `text`."""
+    rest = iter(range(len(docs.columns)))
+    columns = []
+    for c in docs.columns:
+        i = next(rest)
+        columns.append(F.col("text").alias(c) if c == "text" else F.col(f"row._{i}").alias(c))
+    return rows.select(*columns)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, labelled, quality_classifier, quality_rules, secrets, toxicity
+from . import bpe, decontaminate, labelled, line_templates, quality_classifier, quality_rules, secrets, toxicity
 from .common import read
 
 
@@ -24,6 +24,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_templates.drop_lines(read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_dropped", F.length("text").cast("long").alias("n_chars_kept"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op4_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, fold = read(spark, sf_dir, "documents"), (3, 1)
     space = quality_classifier.fit(docs, read(spark, sf_dir, "labels"), "quality", fold)
@@ -46,6 +51,7 @@ def op10_bpe_tokens(spark: SparkSession, sf_dir: str, vocabulary: str | None = N
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
+    "op3_line_templates": op3_line_templates,
     "op4_quality_knn": op4_quality_knn,
     "op5_secret_scan": op5_secret_scan,
     "op9_quality_rules": op9_quality_rules,
