@@ -8,6 +8,7 @@ Python worker's memory doesn't depend on the size of Spark's batches.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterator
 
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that array code takes at once; one longer document is taken alone.
-CHUNK = 2 << 20
+CHUNK = (2 << 20) - 4096
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -30,6 +31,7 @@ _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -45,6 +47,22 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Batches for Python of fewer rows than Spark's default, which for long texts would be tens of MB each; a setting of the user's stands."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
+def release() -> None:
+    """Gives freed memory back: workers are used again by later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # other C libraries do without
+        pass
+
+
 def buckets(spark: SparkSession, each: int = 4) -> int:
     """Hash buckets of a blob shuffle: a multiple of the partitions that the session is set to."""
     return each * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -120,6 +138,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             to = min(to, len(text))
             yield batch.slice(at, to - at), raw[bounds[at] : bounds[to]], bounds[at : to + 1] - bounds[at]
             at = to
+    release()
 
 
 def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, labelled, line_templates, quality_classifier, quality_rules, secrets, toxicity
+from . import bpe, decontaminate, labelled, line_templates, ngram_join, quality_classifier, quality_rules, secrets, toxicity
 from .common import read
 
 
@@ -39,6 +39,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(read(spark, sf_dir, "documents")))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(read(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(quality_rules.judge(read(spark, sf_dir, "documents")))
 
@@ -54,6 +58,7 @@ QUERIES = {
     "op3_line_templates": op3_line_templates,
     "op4_quality_knn": op4_quality_knn,
     "op5_secret_scan": op5_secret_scan,
+    "op8_ngram_join": op8_ngram_join,
     "op9_quality_rules": op9_quality_rules,
     "op10_bpe_tokens": op10_bpe_tokens,
 }
