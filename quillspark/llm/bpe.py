@@ -226,6 +226,8 @@ def _encode(model):
                 c = _squeeze_numbers(flat[C.ragged(first[own], length[own])])
             for name, x in zip(_ARROW.names, (r["bucket"], r["kind"], r["block"], a, b, c), strict=True):
                 out[name].append(x)
+        del rows, held, number, distinct, ids
+        C.release()
         return pa.table({f.name: pa.array(out[f.name], f.type) for f in _ARROW}, schema=_ARROW)
 
     return run
@@ -269,6 +271,7 @@ def _place(pieces):
                 out["ids"].append(token[id_to[i] : id_to[i + 1]].tobytes())
                 out["decoded"].append(text[text_to[i] : text_to[i + 1]].decode("utf-8", "replace"))
             yield C.record(_ARROW_RESULT, out)
+        C.release()
 
     return run
 

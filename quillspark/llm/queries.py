@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, labelled, line_templates, ngram_join, quality_classifier, quality_rules, recompression, secrets, toxicity
+from . import bpe, decontaminate, labelled, line_templates, ngram_join, quality_classifier, quality_rules, recompression, secrets, suffix_array, toxicity
 from .common import read
 
 
@@ -44,6 +44,11 @@ def op6_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_array.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(read(spark, sf_dir, "documents"))
 
@@ -64,6 +69,7 @@ QUERIES = {
     "op4_quality_knn": op4_quality_knn,
     "op5_secret_scan": op5_secret_scan,
     "op6_recompression": op6_recompression,
+    "op7_suffix_array": op7_suffix_array,
     "op8_ngram_join": op8_ngram_join,
     "op9_quality_rules": op9_quality_rules,
     "op10_bpe_tokens": op10_bpe_tokens,

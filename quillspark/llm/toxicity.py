@@ -190,25 +190,41 @@ def values(landmarks: Landmarks, data: np.ndarray, bounds: np.ndarray) -> tuple[
     return out, np.log1p(total)
 
 
+def _stems(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end, bytes) of the distinct words of a text and of their beginnings of 4 to 9 letters."""
+    _, start, end, data = chunk_words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    if not len(start):
+        return np.zeros(0, np.uint64), start, end, data
+    starts, ends = [start], [end]
+    for k in range(4, 10):
+        long = end - start > k
+        starts.append(start[long])
+        ends.append(start[long] + k)
+    start, end = np.concatenate(starts), np.concatenate(ends)
+    hashes, at = np.unique(C.span_hashes(C.prefix_hashes(C.FOLDED_VALUES[data]), start, end), return_index=True)
+    return hashes, start[at], end[at], data
+
+
 def choose(texts: list[tuple[bytes, int]], most: int, times: int = 4) -> list[bytes]:
     """Landmarks: words, and beginnings of 4 to 9 letters, each the best for toxic texts that fewer than `times` earlier ones find."""
-    found: list[set[bytes]] = []
-    for text, _ in texts:
-        words = set()
-        doc, start, end, data = chunk_words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-        raw = data.tobytes().lower()
-        for a, b in zip(start.tolist(), end.tolist(), strict=True):
-            words.add(raw[a:b])
-            words.update(raw[a : a + k] for k in range(4, min(10, b - a)))
-        found.append(words)
-    clean = Counter(w for words, (_, toxic) in zip(found, texts, strict=True) if not toxic for w in words)
-    left = [words for words, (_, toxic) in zip(found, texts, strict=True) if toxic]
-    counts, n_clean, n_toxic = Counter(w for words in left for w in words), len(texts) - len(left), max(1, len(left))
-    fit = {w: c for w, c in counts.items() if c >= 2 and c / n_toxic > 5 * (clean[w] + 0.5) / max(1, n_clean)}
-    homes: dict[bytes, list[int]] = {w: [] for w in fit}
-    for i, words in enumerate(left):
-        for w in words & fit.keys():
-            homes[w].append(i)
+    hashed = [_stems(text)[0] for text, _ in texts]
+    labels = np.array([label for _, label in texts])
+    n_toxic, n_clean = max(1, int(labels.sum())), max(1, int((labels == 0).sum()))
+    keys, counts = np.unique(np.concatenate([h for h, t in zip(hashed, labels, strict=True) if t]), return_counts=True)
+    others = np.sort(np.concatenate([np.zeros(0, np.uint64), *[h for h, t in zip(hashed, labels, strict=True) if not t]]))
+    among = np.searchsorted(others, keys, "right") - np.searchsorted(others, keys)
+    fit = (counts >= 2) & (counts / n_toxic > 5 * (among + 0.5) / n_clean)
+    keys, clean = keys[fit], dict(zip(keys[fit].tolist(), among[fit].tolist(), strict=True))
+    # only the stems that qualify are spelt out
+    names: dict[int, bytes] = {}
+    homes: dict[bytes, list[int]] = {}
+    for i, (text, toxic) in enumerate(texts):
+        if toxic:
+            h, start, end, data = _stems(text)
+            for j in np.flatnonzero(np.isin(h, keys)).tolist():
+                name = names.setdefault(int(h[j]), data[start[j] : end[j]].tobytes().lower())
+                homes.setdefault(name, []).append(i)
+    clean = {name: clean[h] for h, name in names.items()}
     out: list[bytes] = []
     gone: Counter[int] = Counter()
     while homes and len(out) < most:
