@@ -23,6 +23,17 @@ ARROW = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("names", pa.
 _REPLY = pa.schema([("doc_id", pa.int64()), ("places", pa.binary()), ("checks", pa.binary())])
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Lowest bytes first, then the next ones: small or ascending numbers compress well so."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def from_planes(blobs: list[bytes], kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    parts = [np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(kind).ravel() for b in blobs]
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
 def _by_document(doc_id: np.ndarray, place: np.ndarray, check: np.ndarray) -> dict[str, list]:
     order = np.lexsort((place, doc_id))
     doc_id, place, check = doc_id[order], place[order], check[order]
@@ -57,12 +68,13 @@ def post(name: np.ndarray, doc_id: np.ndarray, place: np.ndarray, check: np.ndar
     for f, x in (answered | {"bucket": [i % n for i in answered["doc_id"]], "names": [b""] * k, "docs": [b""] * k, "waits": [b""] * k}).items():
         out[f] += x
     at = np.flatnonzero(send)
+    at = at[np.lexsort((place[at], doc_id[at]))]  # so that all but the names compresses
     order, cut = C.split_by(name[at], n)
     at = at[order]
     for b in range(n):
         own = at[cut[b] : cut[b + 1]]
         if len(own):
-            for f, x in zip(ARROW.names, (b, None, C.blob(name[own]), C.blob(doc_id[own]), C.blob(place[own]), C.blob(check[own]), C.blob(~told[own])), strict=True):
+            for f, x in zip(ARROW.names, (b, None, C.blob(name[own]), C.blob(doc_id[own]), planes(place[own]), C.blob(check[own]), C.blob(~told[own])), strict=True):
                 out[f].append(x)
     return C.record(ARROW, out)
 
@@ -76,7 +88,7 @@ def _answer(several: str):
                 yield pa.RecordBatch.from_arrays(part.columns, schema=_REPLY)
         posts = rows.filter(pa.compute.is_null(rows.column("doc_id")))
         get = lambda c, kind: np.frombuffer(b"".join(posts.column(c).to_pylist()), kind)
-        name, doc_id, place, check, waits = get("names", np.uint64), get("docs", np.int64), get("places", np.uint32), get("checks", np.uint32), get("waits", bool)
+        name, doc_id, place, check, waits = get("names", np.uint64), get("docs", np.int64), from_planes(posts.column("places").to_pylist(), np.uint32), get("checks", np.uint32), get("waits", bool)
         if not len(name):
             return
         # equal names differ in checks only if their hashes collide; 'places' and 'documents' need no check

@@ -5,7 +5,7 @@ at anchors: the least hash of 24 bytes among the starts that fit in a string of
 200. Equal strings have their anchor at the same place, so each repeat shows
 between suffixes that start at anchors. Anchors whose 24 bytes stand nowhere
 else are dropped; the others go, with the bytes around them, to ranges of their
-leading bytes whose splitters Spark samples. Each range sorts its suffixes by
+leading bytes whose splitters are sampled. Each range sorts its suffixes by
 multikey quicksort and takes the common prefixes of neighbours. A string with o
 bytes before its anchor can only repeat if its suffix shares 200 - o bytes with
 a neighbour; these are compared by two hashes of the whole string. Suffixes
@@ -22,6 +22,7 @@ of equal id are documents of their own; an empty table gives no rows.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,9 +35,11 @@ from . import common as C
 from . import repeats as R
 
 LENGTH, GRAM = 200, 24
+#: Bytes of suffixes hashed and strings compared at once.
+BLOCK, STRINGS = 1 << 20, 1 << 20
 _U = np.uint64
-SUFFIX = "lead binary, around binary, before int, strings int, doc_id long, place long, waits boolean"
-_SUFFIX = pa.schema([("lead", pa.binary()), ("around", pa.binary()), ("before", pa.int32()), ("strings", pa.int32()), ("doc_id", pa.int64()), ("place", pa.int64()), ("waits", pa.bool_())])
+SUFFIX = "range int, lead binary, around binary, before int, strings int, doc_id long, place long, waits boolean"
+_SUFFIX = pa.schema([("range", pa.int32()), ("lead", pa.binary()), ("around", pa.binary()), ("before", pa.int32()), ("strings", pa.int32()), ("doc_id", pa.int64()), ("place", pa.int64()), ("waits", pa.bool_())])
 _FOUND = pa.schema([("doc_id", pa.int64()), ("places", pa.binary()), ("checks", pa.binary())])
 
 
@@ -94,38 +97,42 @@ def _runs(doc_id: np.ndarray, first: np.ndarray, last: np.ndarray) -> dict[str,
     return R._by_document(doc_id, first.astype(np.int64), (last - first + 1).astype(np.uint32))
 
 
-def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The surroundings of anchors that stand elsewhere too; those that repeat within the chunk are marked as told."""
-    for rows, data, bounds in C.chunks(batches):
-        a = Anchors(rows, data, bounds)
-        use = np.zeros(len(a.place), bool)
-        lo, hi = np.searchsorted(a.doc, np.arange(rows.num_rows)), np.searchsorted(a.doc, np.arange(rows.num_rows), "right")
-        for i, blobs in enumerate(rows.column("places").to_pylist()):
-            if blobs and hi[i] > lo[i]:
-                own = np.unique(R.places_of(blobs)).astype(np.int64) + bounds[i]
-                use[lo[i] : hi[i]] = np.isin(a.place[lo[i] : hi[i]], own)
-        at = np.flatnonzero(use)
-        end = a.first[at] + a.strings[at] + LENGTH - 1
-        content = C.span_hashes(a.prefix, a.first[at], end) ^ C.mix((a.place - a.first)[at].astype(_U) * _U(3) + a.strings[at].astype(_U) * _U(1 << 20))
-        order = np.argsort(content, kind="stable")
-        content, at, end = content[order], at[order], end[order]
-        head = np.ones(len(at), bool)
-        head[1:] = content[1:] != content[:-1]
-        group = np.cumsum(head) - 1
-        told = (np.bincount(group) > 1)[group] if len(at) else head
-        raw = data.tobytes()
-        out: dict[str, list] = {f: [] for f in _SUFFIX.names}
-        for i in np.flatnonzero(head).tolist():
-            k = int(at[i])
-            p, s = int(a.place[k]), int(a.first[k])
-            for f, x in zip(_SUFFIX.names, (raw[p : p + GRAM], raw[s : int(end[i])], p - s, int(a.strings[k]), int(a.ids[a.doc[k]]), s - int(a.base[k]), not told[i]), strict=True):
-                out[f].append(x)
-        # what the chunk knows by itself: no lead, all strings repeat
-        for i in np.flatnonzero(told).tolist():
-            k = int(at[i])
-            for f, x in zip(_SUFFIX.names, (b"", b"", 0, int(a.strings[k]), int(a.ids[a.doc[k]]), int(a.first[k] - a.base[k]), False), strict=True):
-                out[f].append(x)
-        yield C.record(_SUFFIX, out)
+def _suffixes(splits: list[bytes], ranges: int):
+    """The surroundings of anchors that stand elsewhere too, by range; those that repeat within the chunk are marked as told."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, bounds in C.chunks(batches):
+            a = Anchors(rows, data, bounds)
+            use = np.zeros(len(a.place), bool)
+            lo, hi = np.searchsorted(a.doc, np.arange(rows.num_rows)), np.searchsorted(a.doc, np.arange(rows.num_rows), "right")
+            for i, blobs in enumerate(rows.column("places").to_pylist()):
+                if blobs and hi[i] > lo[i]:
+                    own = np.unique(R.places_of(blobs)).astype(np.int64) + bounds[i]
+                    use[lo[i] : hi[i]] = np.isin(a.place[lo[i] : hi[i]], own)
+            at = np.flatnonzero(use)
+            end = a.first[at] + a.strings[at] + LENGTH - 1
+            content = C.span_hashes(a.prefix, a.first[at], end) ^ C.mix((a.place - a.first)[at].astype(_U) * _U(3) + a.strings[at].astype(_U) * _U(1 << 20))
+            order = np.argsort(content, kind="stable")
+            content, at, end = content[order], at[order], end[order]
+            head = np.ones(len(at), bool)
+            head[1:] = content[1:] != content[:-1]
+            group = np.cumsum(head) - 1
+            told = (np.bincount(group) > 1)[group] if len(at) else head
+            raw = data.tobytes()
+            out: dict[str, list] = {f: [] for f in _SUFFIX.names}
+            for i in np.flatnonzero(head).tolist():
+                k = int(at[i])
+                p, s = int(a.place[k]), int(a.first[k])
+                for f, x in zip(_SUFFIX.names, (bisect_right(splits, raw[p : p + GRAM]), raw[p : p + GRAM], raw[s : int(end[i])], p - s, int(a.strings[k]), int(a.ids[a.doc[k]]), s - int(a.base[k]), not told[i]), strict=True):
+                    out[f].append(x)
+            # what the chunk knows by itself: no lead, all strings repeat
+            for i in np.flatnonzero(told).tolist():
+                k = int(at[i])
+                for f, x in zip(_SUFFIX.names, (int(a.ids[a.doc[k]]) % ranges, b"", b"", 0, int(a.strings[k]), int(a.ids[a.doc[k]]), int(a.first[k] - a.base[k]), False), strict=True):
+                    out[f].append(x)
+            yield C.record(_SUFFIX, out)
+
+    return run
 
 
 def multikey_quicksort(keys: np.ndarray) -> np.ndarray:
@@ -150,59 +157,103 @@ def multikey_quicksort(keys: np.ndarray) -> np.ndarray:
     return order
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In a range: sorted suffixes, common prefixes of neighbours, then whole strings that may repeat."""
-    rows = pa.Table.from_batches(list(batches), _SUFFIX) if batches else None
-    direct = rows.filter(pa.compute.equal(pa.compute.binary_length(rows.column("lead")), 0))
-    first = direct.column("place").to_numpy()
-    if len(first):
-        yield C.record(_FOUND, _runs(direct.column("doc_id").to_numpy(), first, first + direct.column("strings").to_numpy() - 1))
-    rows = rows.filter(pa.compute.greater(pa.compute.binary_length(rows.column("lead")), 0))
-    if not rows.num_rows:
-        return
-    before, strings, doc_id, place = (rows.column(c).to_numpy().astype(np.int64) for c in ("before", "strings", "doc_id", "place"))
-    waits = rows.column("waits").to_numpy(zero_copy_only=False)
-    around = rows.column("around").to_pylist()
-    data = np.frombuffer(b"".join(around), np.uint8)
-    size = np.array([len(x) for x in around], np.int64)
-    head = np.cumsum(size) - size
-    n = len(size)
-    # suffixes from the anchor on, to 200 bytes: bytes past the end count as 0, lengths tell them apart
-    length = np.minimum(size - before, LENGTH)
+def _reach(data: np.ndarray, head: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The longest common prefix, to 200 bytes, of each suffix with a neighbour in sorted order; bytes past the end count as 0, which can only lengthen it."""
+    n = len(head)
     table = np.zeros((n, LENGTH), np.uint8)
-    row = np.repeat(np.arange(n), length)
-    table[row, C.ragged(np.zeros(n, np.int64), length)] = data[C.ragged(head + before, length)]
+    for at in range(0, n, 4096):
+        part = slice(at, at + 4096)
+        size = length[part]
+        table[np.repeat(np.arange(at, at + len(size)), size), C.ragged(np.zeros(len(size), np.int64), size)] = data[C.ragged(head[part], size)]
     order = multikey_quicksort(table.view(">u8"))
     common = np.zeros(n + 1, np.int64)
     for at in range(0, n - 1, 4096):
         one, two = order[at : at + 4096], order[at + 1 : at + 4097]
         one = one[: len(two)]
         same = table[one] == table[two]
-        same[:, -1] &= True
-        span = np.where(same.all(1), LENGTH, same.argmin(1))
-        common[at + 1 : at + 1 + len(two)] = np.minimum(span, np.minimum(length[one], length[two]))
+        common[at + 1 : at + 1 + len(two)] = np.where(same.all(1), LENGTH, same.argmin(1))
     reach = np.zeros(n, np.int64)
     reach[order] = np.maximum(common[:-1], common[1:])
+    return reach
+
+
+def _repeats(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Strings that repeat among the suffixes of a range.
+
+    Strings are equal only if as many bytes stand before their anchors, so they
+    are compared for a slice of these counts at a time, and hashed for about a
+    MB of suffixes at a time: a range of any size takes bounded room beside its bytes.
+    """
+    before, strings, doc_id, place = (rows.column(c).to_numpy().astype(np.int64) for c in ("before", "strings", "doc_id", "place"))
+    waits = rows.column("waits").to_numpy(zero_copy_only=False)
+    around = rows.column("around").cast(pa.large_binary()).combine_chunks()
+    _, offsets, raw = around.buffers()
+    bounds = np.frombuffer(offsets, np.int64)[around.offset : around.offset + len(around) + 1]
+    data = np.frombuffer(raw, np.uint8)
+    head, size, n = bounds[:-1], np.diff(bounds), len(around)
+    reach = _reach(data, head + before, np.minimum(size - before, LENGTH))
     # a string with o bytes before the anchor needs 200 - o bytes in common after it
-    low = np.maximum(before - strings + 1, LENGTH - reach)
-    count = np.maximum(0, before - low + 1)
-    owner = np.repeat(np.arange(n), count)
-    offset = before[owner] - C.ragged(np.zeros(n, np.int64), count)  # strings by rising start
-    start = head[owner] + before[owner] - offset
-    one = C.prefix_hashes(C.BYTE_VALUES[data])
-    name = C.span_hashes(one, start, start + LENGTH) ^ offset.astype(_U)
-    _, inverse, times = np.unique(name, return_inverse=True, return_counts=True)
-    heavy = np.zeros(len(times), np.int64)
-    np.add.at(heavy, inverse, np.where(waits[owner], 1, 2))
-    hit = np.flatnonzero((heavy[inverse] > 1) & waits[owner])
-    if len(hit):
-        who, begin = owner[hit], place[owner[hit]] + before[owner[hit]] - offset[hit]
-        new = np.ones(len(hit), bool)
-        new[1:] = (who[1:] != who[:-1]) | (begin[1:] != begin[:-1] + 1)
-        at = np.flatnonzero(new)
-        last = np.append(at[1:], len(hit)) - 1
-        yield C.record(_FOUND, _runs(doc_id[who[at]], begin[at], begin[last]))
+    low, high = np.maximum(before - strings + 1, LENGTH - reach), before
+    total = int(np.maximum(0, high - low + 1).sum())
+    step = max(1, LENGTH * STRINGS // max(total, 1))
+    blocks = np.unique(np.concatenate([[0], np.searchsorted(bounds, np.arange(bounds[0], bounds[-1], BLOCK)), [n]]))
+    for least in range(0, LENGTH, step):
+        name, owner, offset = [], [], []
+        for at, to in zip(blocks[:-1].tolist(), blocks[1:].tolist(), strict=True):
+            top = np.minimum(high[at:to], least + step - 1)
+            count = np.maximum(0, top - np.maximum(low[at:to], least) + 1)
+            who = np.repeat(np.arange(at, to), count)
+            if not len(who):
+                continue
+            ahead = top[who - at] - C.ragged(np.zeros(to - at, np.int64), count)  # strings by rising start
+            prefix = C.prefix_hashes(C.BYTE_VALUES[data[bounds[at] : bounds[to]]])
+            start = head[who] + before[who] - ahead - bounds[at]
+            name.append(C.span_hashes(prefix, start, start + LENGTH) ^ C.mix(ahead.astype(_U)))
+            owner.append(who.astype(np.int32))
+            offset.append(ahead.astype(np.int16))
+        if not name:
+            continue
+        name, owner, offset = np.concatenate(name), np.concatenate(owner), np.concatenate(offset)
+        order = np.argsort(name, kind="stable")
+        ordered = name[order]
+        group = np.cumsum(np.concatenate([[True], ordered[1:] != ordered[:-1]])) - 1
+        # a suffix that doesn't wait stands for several places
+        heavy = np.bincount(group, np.where(waits[owner[order]], 1, 2))
+        hit = np.zeros(len(name), bool)
+        hit[order] = heavy[group] > 1
+        hit = np.flatnonzero(hit & waits[owner])
+        if len(hit):
+            who = owner[hit]
+            begin = place[who] + before[who] - offset[hit]
+            new = np.ones(len(hit), bool)
+            new[1:] = (who[1:] != who[:-1]) | (begin[1:] != begin[:-1] + 1)
+            at = np.flatnonzero(new)
+            last = np.append(at[1:], len(hit)) - 1
+            yield C.record(_FOUND, _runs(doc_id[who[at]], begin[at], begin[last]))
+
+
+def _compare(rows: pa.Table) -> pa.Table:
+    """A range: what chunks knew by themselves goes through, suffixes are sorted and compared."""
+    out = []
+    leads = pa.compute.binary_length(rows.column("lead"))
+    direct = rows.filter(pa.compute.equal(leads, 0))
+    first = direct.column("place").to_numpy()
+    if len(first):
+        out.append(C.record(_FOUND, _runs(direct.column("doc_id").to_numpy(), first, first + direct.column("strings").to_numpy() - 1)))
+    rows = rows.filter(pa.compute.greater(leads, 0))
+    if rows.num_rows:
+        out += _repeats(rows)
     C.release()
+    return pa.Table.from_batches(out, _FOUND)
+
+
+def splitters(texts: DataFrame, ranges: int) -> list[bytes]:
+    """Bounds of the ranges: quantiles of 24 bytes from a hashed place of each of at most 64 texts a range."""
+    raw, size = F.col("text").cast("binary"), F.octet_length("text")
+    lead = F.substring(raw, (1 + F.pmod(F.xxhash64("doc_id"), size - GRAM)).cast("int"), F.lit(GRAM))
+    few = texts.filter(size >= LENGTH).select(lead.alias("lead"), F.xxhash64("doc_id").alias("by")).orderBy("by", "lead").limit(64 * ranges)
+    leads = sorted(bytes(r["lead"]) for r in few.collect())
+    return [leads[len(leads) * i // ranges] for i in range(1, ranges)] if leads else []
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,16 +286,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rows = rows.select(F.when(F.col("own").isNotNull(), F.xxhash64("own", "key")).alias("doc_id"), "own", "key", "text", "row")
     texts = rows.select("doc_id", "text")
     shared = R.answers(texts.mapInArrow(_post_anchors(n), R.SCHEMA), "places").drop("checks")
-    suffixes = rows.select("doc_id", "text").join(shared, "doc_id").mapInArrow(_suffixes, SUFFIX)
-    ranges = suffixes.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), F.when(F.length("lead") > 0, F.col("lead")).otherwise(F.unhex(F.hex(F.xxhash64("doc_id", "place")))))
-    found = ranges.mapInArrow(_guard, "doc_id long, places binary, checks binary")
+    ranges = C.buckets(spark, 16)
+    bounds = splitters(texts, ranges)
+    # both joins take the same columns of rows, so that one shuffle of the texts serves both
+    rows = rows.select("doc_id", "own", "row", "text")
+    suffixes = rows.join(shared, "doc_id", "left").mapInArrow(_suffixes(bounds, ranges), SUFFIX)
+    found = suffixes.groupBy("range").applyInArrow(_compare, "doc_id long, places binary, checks binary")
     found = found.groupBy("doc_id").agg(F.collect_list("places").alias("places"), F.collect_list("checks").alias("checks"))
     kind = rows.schema["row"].dataType.simpleString()
     joined = rows.join(found, "doc_id", "left").select(F.col("own").alias("doc_id"), "row", "text", "places", "checks")
     return joined.mapInArrow(_cut, f"doc_id long, row {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
-
-def _guard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = list(batches)
-    if held:
-        yield from _compare(held)
