@@ -207,13 +207,17 @@ def _stems(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 def choose(texts: list[tuple[bytes, int]], most: int, times: int = 4) -> list[bytes]:
     """Landmarks: words, and beginnings of 4 to 9 letters, each the best for toxic texts that fewer than `times` earlier ones find."""
-    hashed = [_stems(text)[0] for text, _ in texts]
     labels = np.array([label for _, label in texts])
     n_toxic, n_clean = max(1, int(labels.sum())), max(1, int((labels == 0).sum()))
-    keys, counts = np.unique(np.concatenate([h for h, t in zip(hashed, labels, strict=True) if t]), return_counts=True)
-    others = np.sort(np.concatenate([np.zeros(0, np.uint64), *[h for h, t in zip(hashed, labels, strict=True) if not t]]))
-    among = np.searchsorted(others, keys, "right") - np.searchsorted(others, keys)
-    fit = (counts >= 2) & (counts / n_toxic > 5 * (among + 0.5) / n_clean)
+    keys, counts = np.unique(np.concatenate([_stems(text)[0] for text, toxic in texts if toxic]), return_counts=True)
+    keys, counts = keys[counts >= 2], counts[counts >= 2]
+    among = np.zeros(len(keys), np.int64)
+    for text, toxic in texts:
+        if not toxic and len(keys):
+            own = _stems(text)[0]
+            at = np.minimum(np.searchsorted(keys, own), max(0, len(keys) - 1))
+            among[at[keys[at] == own]] += 1
+    fit = (counts / n_toxic > 5 * (among + 0.5) / n_clean)
     keys, clean = keys[fit], dict(zip(keys[fit].tolist(), among[fit].tolist(), strict=True))
     # only the stems that qualify are spelt out
     names: dict[int, bytes] = {}
@@ -253,8 +257,8 @@ class Machine:
         own = np.array([[kernel(a, b) ** SHARPEN for b in self.landmarks.words] for a in self.landmarks.words])
         value, vector = np.linalg.eigh(own + 1e-3 * np.eye(m))
         self.white = vector / np.sqrt(np.maximum(value, 1e-3)) @ vector.T
-        raw = b"".join(t for t, _ in texts)
-        x = self._inputs(values(self.landmarks, np.frombuffer(raw, np.uint8), np.cumsum([0, *[len(t) for t, _ in texts]])))
+        batch = pa.RecordBatch.from_arrays([pa.array([t for t, _ in texts], pa.binary())], ["text"])
+        x = np.vstack([self._inputs(values(self.landmarks, data, bounds)) for _, data, bounds in C.chunks(iter([batch]), limit=1 << 19)])
         sign, share = np.where(labels > 0, 1.0, -1.0), labels.mean()
         cost = np.where(labels > 0, 0.5 / share, 0.5 / (1 - share))
         for _ in range(100):  # squared hinge loss by Newton's method on the active rows
