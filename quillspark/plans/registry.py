@@ -1,6 +1,7 @@
-"""Queries over the given tables and the SQL that says the same."""
+"""Queries by name and their SQL, for the driver."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .queries import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
