@@ -7,13 +7,17 @@ and in every task. A name spans at most a fixed number of words per round, and
 whether a boundary between symbols lasts depends on few words around it. So
 inside a repeat, MARGIN words from its ends, the symbols are the same wherever
 it stands. The last naming takes three symbols in a row together; of these
-high-level symbols a third, chosen by their hash, are posted, and documents
+high-level symbols a quarter, chosen by their hash, are posted, and documents
 learn which of theirs other documents have too.
 
 A window of 50 words can only be a repeat if all its posted inner symbols are
 shared; a window without such a symbol stays a candidate. Candidates are
-verified: their 96-bit hashes are posted, and those that a smaller doc_id has
-are answered. So the result is that of comparing all windows.
+verified. First neighbours between two chosen symbols go together, as one hash
+of all their words: what a smaller doc_id has in the same way is a repeat and
+is not posted again. The smallest holder of a window never finds it so. The
+windows of the rest are then posted one by one, by 96-bit hashes, and those
+that a smaller doc_id has are answered. So the result is that of comparing all
+windows.
 
 Results by case: null and empty texts have no words; a null doc_id is neither
 smaller than others nor ever loses words; rows of equal id are not smaller than
@@ -34,19 +38,16 @@ from . import repeats as R
 
 WINDOW = 50
 #: Words that a symbol spans at most after each round.
-SPANS = (2, 4, 8)
-TUPLE, CHOSEN = 3, np.uint64(3)
+SPANS = (2, 4)
+TUPLE, CHOSEN = 3, np.uint64(4)
+#: Symbols between which windows go together, a share of the chosen ones, and windows of such a segment at most.
+CUTS, TOGETHER = np.uint64(16), 64
 _U = np.uint64
 
 
 def margin() -> int:
-    """Words from a repeat's end within which its symbols may differ: a run and a pair of each round."""
-    out, before = 0, 1
-    for most in SPANS:
-        out += most + before
-        before = most
-    return out
-
+    """Words from a repeat's end within which its symbols may differ: in each round a run at the edge, and one more symbol that pairs with it."""
+    return sum(2 * most - 1 for most in SPANS)
 
 
 def compress(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,10 +99,16 @@ class _Words:
         self.known = ids.is_valid().to_numpy(zero_copy_only=False)
         self.ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
 
-    def windows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """64-bit and 32-bit hashes of the windows that start at these words."""
+    def windows(self, at: np.ndarray, length: np.ndarray | int = 1) -> tuple[np.ndarray, np.ndarray]:
+        """64-bit and 32-bit hashes of the words of as many windows from these words on."""
         one, two = C.prefix_hashes(self.hashes), C.prefix_hashes(C.mix(self.hashes ^ _U(0x5DEECE66D)))
-        return C.span_hashes(one, at, at + WINDOW), (C.span_hashes(two, at, at + WINDOW) >> _U(32)).astype(np.uint32)
+        to = at + length - 1 + WINDOW
+        return C.span_hashes(one, at, to), (C.span_hashes(two, at, to) >> _U(32)).astype(np.uint32)
+
+    def segments(self, at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """64-bit hash, and 25 bits more with the length in the lowest 6."""
+        name, check = self.windows(at, length)
+        return name ^ C.mix(length.astype(_U)), (check >> np.uint32(7) << np.uint32(6)) | (length - 1).astype(np.uint32)
 
 
 def _post_symbols(n: int):
@@ -117,11 +124,15 @@ def _post_symbols(n: int):
     return run
 
 
-def _post_windows(n: int, edge: int):
+def _lengths(checks: np.ndarray) -> np.ndarray:
+    return (checks & np.uint32(TOGETHER - 1)).astype(np.int64) + 1
+
+
+def _post_segments(n: int, edge: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, bounds in C.chunks(batches):
             w = _Words(rows, data, bounds)
-            _, at, size = high_symbols(w.hashes, w.doc)
+            symbol, at, size = high_symbols(w.hashes, w.doc)
             total = len(w.hashes)
             shared = np.zeros(total + 1, bool)
             for i, blobs in enumerate(rows.column("places").to_pylist()):
@@ -138,8 +149,36 @@ def _post_windows(n: int, edge: int):
             start = np.flatnonzero(np.cumsum(out)[:total] == 0)
             last = w.first[w.doc[start] + 1] if len(start) else start
             start = start[(start + WINDOW <= last) & w.known[w.doc[start]]] if len(start) else start
+            cuts = np.append(at[symbol % CUTS == 0], total)
+            after = np.minimum(cuts[np.searchsorted(cuts, start)], w.first[w.doc[start] + 1]) if len(start) else start
+            head = np.ones(len(start), bool)
+            head[1:] = (start[1:] != start[:-1] + 1) | (after[1:] != after[:-1]) | ((after - start)[1:] // TOGETHER != (after - start)[:-1] // TOGETHER)
+            first = start[head]
+            length = np.diff(np.append(np.flatnonzero(head), len(start)))
+            name, check = w.segments(first, length)
+            doc = w.doc[first]
+            yield R.post(name, w.ids[doc], first - w.first[doc], check, n, "smaller")
+
+    return run
+
+
+def _post_windows(n: int):
+    """The windows of segments that no smaller document has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, bounds in C.chunks(batches):
+            w = _Words(rows, data, bounds)
+            starts = [np.zeros(0, np.int64)]
+            for i, (places, checks) in enumerate(zip(rows.column("segments").to_pylist(), rows.column("segment_checks").to_pylist(), strict=True)):
+                if places and w.known[i]:
+                    check = R.places_of(checks)
+                    miss = check & R.MISS > 0
+                    length = _lengths(check[miss])
+                    start = np.unique(w.first[i] + C.ragged(R.places_of(places)[miss].astype(np.int64), length))
+                    starts.append(start[start + WINDOW <= w.first[i + 1]])
+            start = np.concatenate(starts)
             name, check = w.windows(start)
-            doc = w.doc[start]
+            doc = w.doc[start] if len(start) else start
             yield R.post(name, w.ids[doc], start - w.first[doc], check, n, "smaller")
 
     return run
@@ -158,10 +197,21 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at.append(place[fits])
                 want.append(R.places_of(checks[i])[fits])
         at, want = np.concatenate(at), np.concatenate(want)
+        # rows of one id may have different texts, so the checks are compared
         if len(at):
-            at = at[w.windows(at)[1] == want]  # rows of one id may have different texts
+            at = at[w.windows(at)[1] == want]
             np.add.at(gone, at, 1)
             np.add.at(gone, at + WINDOW, -1)
+        for i, (blobs, marks) in enumerate(zip(rows.column("segments").to_pylist(), rows.column("segment_checks").to_pylist(), strict=True)):
+            if blobs:
+                want = R.places_of(marks)
+                place, want = w.first[i] + R.places_of(blobs)[want < R.MISS].astype(np.int64), want[want < R.MISS]
+                length = _lengths(want)
+                fits = place + length - 1 + WINDOW <= w.first[i + 1]
+                place, length, want = place[fits], length[fits], want[fits]
+                same = w.segments(place, length)[1] == want if len(place) else fits[:0]
+                np.add.at(gone, place[same], 1)
+                np.add.at(gone, (place + length - 1 + WINDOW)[same], -1)
         gone = np.cumsum(gone)[:-1] > 0
         raw, out, removed = data.tobytes(), [], []
         for i in range(rows.num_rows):
@@ -175,10 +225,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """keyed() rows of docs with n_words, n_removed and `kept`, the words that stay joined by spaces."""
-    rows = C.keyed(docs)
-    texts, n = rows.select("doc_id", "text"), C.buckets(docs.sparkSession)
-    shared = R.answers(texts.mapInArrow(_post_symbols(n), R.SCHEMA), "documents").drop("checks")
-    candidates = rows.join(shared, "doc_id", "left").select("doc_id", "text", "places")
-    found = R.answers(candidates.mapInArrow(_post_windows(n, margin()), R.SCHEMA), "smaller")
+    rows, n = C.keyed(docs), C.buckets(docs.sparkSession)
+    shared = R.answers(rows.select("doc_id", "text").mapInArrow(_post_symbols(n), R.SCHEMA), "documents").drop("checks")
+    # all joins take the same columns of rows, so that one shuffle of the texts serves them
+    candidates = rows.join(shared, "doc_id", "left").select("key", "doc_id", "row", "text", "places")
+    segments = R.answers(candidates.mapInArrow(_post_segments(n, margin()), R.SCHEMA), "either").withColumnsRenamed({"places": "segments", "checks": "segment_checks"})
+    rest = rows.join(segments, "doc_id", "left").select("key", "doc_id", "row", "text", "segments", "segment_checks")
+    found = R.answers(rest.mapInArrow(_post_windows(n), R.SCHEMA), "smaller")
     kind = rows.schema["row"].dataType.simpleString()
-    return rows.join(found, "doc_id", "left").select("key", "doc_id", "row", "text", "places", "checks").mapInArrow(_cut, f"key long, doc_id long, row {kind}, n_words long, n_removed long, kept string")
+    return rest.join(found, "doc_id", "left").select("key", "doc_id", "row", "text", "segments", "segment_checks", "places", "checks").mapInArrow(_cut, f"key long, doc_id long, row {kind}, n_words long, n_removed long, kept string")

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 SCHEMA = "bucket int, doc_id long, names binary, docs binary, places binary, checks binary, waits binary"
+#: Set in the check of a reply that tells that no smaller document has the place's text.
+MISS = np.uint32(1 << 31)
 ARROW = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("names", pa.binary()), ("docs", pa.binary()), ("places", pa.binary()), ("checks", pa.binary()), ("waits", pa.binary())])
 _REPLY = pa.schema([("doc_id", pa.int64()), ("places", pa.binary()), ("checks", pa.binary())])
 
@@ -44,7 +46,7 @@ def _by_document(doc_id: np.ndarray, place: np.ndarray, check: np.ndarray) -> di
 
 
 def post(name: np.ndarray, doc_id: np.ndarray, place: np.ndarray, check: np.ndarray, n: int, several: str) -> pa.RecordBatch:
-    """several: 'documents' or 'places' (a name is answered if it has two of them), or 'smaller' (if a smaller id has it)."""
+    """several: 'documents' or 'places' (a name is answered if it has two of them), or 'smaller' or 'either' (if a smaller id has it; 'either' tells of the others too)."""
     order = np.lexsort((place, doc_id, name))
     name, doc_id, place, check = name[order], doc_id[order], place[order].astype(np.uint32), check[order].astype(np.uint32)
     size = len(name)
@@ -92,11 +94,11 @@ def _answer(several: str):
         if not len(name):
             return
         # equal names differ in checks only if their hashes collide; 'places' and 'documents' need no check
-        order = np.lexsort((doc_id, check, name)) if several == "smaller" else np.lexsort((doc_id, name))
+        order = np.lexsort((doc_id, check, name)) if several in ("smaller", "either") else np.lexsort((doc_id, name))
         name, doc_id, place, check, waits = name[order], doc_id[order], place[order], check[order], waits[order]
         head = np.ones(len(name), bool)
         head[1:] = name[1:] != name[:-1]
-        if several == "smaller":
+        if several in ("smaller", "either"):
             head[1:] |= check[1:] != check[:-1]
         group, first = np.cumsum(head) - 1, np.flatnonzero(head)
         if several == "places":
@@ -106,7 +108,11 @@ def _answer(several: str):
             hit = (np.bincount(group, doc_id != doc_id[first][group], len(first)) + np.bincount(group, ~waits, len(first)) > 0)[group]
         else:
             hit = doc_id != doc_id[first][group]
-        hit &= waits
+        if several == "either":
+            check = np.where(hit, check, check | MISS)
+            hit = waits
+        else:
+            hit &= waits
         yield C.record(_REPLY, _by_document(doc_id[hit], place[hit], check[hit]))
         C.release()
 
