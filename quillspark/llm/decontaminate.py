@@ -104,20 +104,25 @@ class Index:
             for b in range(BLOCKS):
                 value = (self.prints[own] >> np.uint64(BITS * b)).astype(np.int64) & 0xFFFF
                 order = np.argsort(value, kind="stable")
-                blocks.append((own[order], np.searchsorted(value[order], np.arange((1 << BITS) + 1))))
+                close = np.zeros(1 << BITS, bool)  # values that some probe of theirs meets
+                for v in np.unique(value).tolist():
+                    close[v ^ _MASKS] = True
+                blocks.append((own[order], np.searchsorted(value[order], np.arange((1 << BITS) + 1)), close))
             self.tables[n] = blocks
 
     def near(self, prints: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         """(window, item): all pairs within RADIUS bits, for items of this length."""
         pairs = []
-        for at in range(0, len(prints), 512):
-            part = prints[at : at + 512]
-            for b, (items, bounds) in enumerate(self.tables[length]):
-                probe = ((part >> np.uint64(BITS * b)).astype(np.int64) & 0xFFFF)[:, None] ^ _MASKS
+        for b, (items, bounds, close) in enumerate(self.tables[length]):
+            value = (prints >> np.uint64(BITS * b)).astype(np.int64) & 0xFFFF
+            some = np.flatnonzero(close[value])
+            for at in range(0, len(some), 512):
+                part = some[at : at + 512]
+                probe = value[part][:, None] ^ _MASKS
                 count = bounds[probe + 1] - bounds[probe]
                 w, m = np.nonzero(count)
                 take = count[w, m]
-                pairs.append(np.stack([at + np.repeat(w, take), items[C.ragged(bounds[probe[w, m]], take)]]))
+                pairs.append(np.stack([np.repeat(part[w], take), items[C.ragged(bounds[probe[w, m]], take)]]))
         if not pairs:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         window, item = np.unique(np.concatenate(pairs, 1), axis=1)
