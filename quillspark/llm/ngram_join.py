@@ -2,8 +2,9 @@
 
 A document's set is its distinct word shingles, as 64-bit hashes; documents of
 equal sets are one node. Two sets that reach the similarity share a token among
-the first tokens of both, in any order of tokens that is the same for all; here
-frequent tokens come last. Nodes that share such a token form blocks, found as
+the first tokens of both, in any order of tokens that is the same for all. Here
+tokens that seem to be in one set alone come first, so that most sets meet no
+other, and frequent tokens come last. Nodes that share such a token form blocks, found as
 connected components of stars, never as pairs.
 
 Within a block similar nodes (by their smallest token) are put in groups of
@@ -37,10 +38,50 @@ from . import common as C
 from .components import connected, forest
 from .line_templates import _filter_of
 
-#: Nodes of a group at most, and nodes that share a token from which it counts as frequent.
+#: Nodes of a group at most, and sets that share a token from which it counts as frequent.
 GROUP, FREQUENT = 256, 32
-#: Frequent tokens that are put last at most; the order affects speed alone, never the links.
-RANKED = 1 << 18
+#: One in COUNTED tokens, by hash, is counted everywhere; others where a chunk has them in COMMON sets.
+COUNTED, COMMON = np.uint64(4), 4
+#: Frequent tokens that are put last at most, and bits of the filter of repeated ones; the order affects speed alone, never the links.
+RANKED, FILTER_BITS = 1 << 18, 1 << 28
+
+
+class Order:
+    """The order of tokens: rank 0 those that seem to be in one set alone, 1 unknown ones, 2 repeated ones, then frequent ones by number."""
+
+    def __init__(self, n: int, rows: list):
+        self.n = np.uint64(n)
+        self.mask = np.zeros(n, np.uint64)
+        self.offset = np.zeros(n, np.int64)
+        bits, at = [np.zeros(1, np.uint8)], 1
+        for row in rows:
+            self.mask[row.bucket], self.offset[row.bucket] = len(row.bits) * 8 - 1, at
+            bits.append(np.frombuffer(row.bits, np.uint8))
+            at += len(row.bits)
+        self.bits = np.concatenate(bits)
+        token, sets = (np.frombuffer(b"".join(r[c] for r in rows), np.uint64) for c in ("tokens", "sets"))
+        order = np.argsort(token)
+        self.tokens, self.sets = token[order], sets[order].astype(np.int64)
+
+    def rank(self, tokens: np.ndarray) -> np.ndarray:
+        out = np.ones(len(tokens), np.int64)
+        counted = np.flatnonzero(tokens % COUNTED == 0)
+        some = tokens[counted]
+        bucket = ((some >> np.uint64(32)) * self.n >> np.uint64(32)).astype(np.int64)
+        repeated = self.mask[bucket] > 0
+        for place in filter_places(some, self.mask[bucket]):
+            byte = self.bits[self.offset[bucket] + (place >> np.uint64(3)).astype(np.int64)]
+            repeated &= (byte >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        out[counted] = np.where(repeated, 2, 0)
+        if len(self.tokens):
+            at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
+            out = np.where(self.tokens[at] == tokens, 2 + self.sets[at], out)
+        return out
+
+
+def filter_places(tokens: np.ndarray, mask) -> list[np.ndarray]:
+    one, two = C.mix(tokens), C.mix(~tokens) | np.uint64(1)
+    return [(one + np.uint64(i) * two) & mask for i in range(4)]
 
 
 class Sets:
@@ -61,31 +102,35 @@ class Sets:
         full = np.flatnonzero(self.n > 0)
         self.once = full[np.sort(np.unique(self.node[full], return_index=True)[1])]
 
-    def prefixes(self, percent: int, ranks) -> tuple[np.ndarray, np.ndarray]:
-        """(token, document) of the first tokens of each distinct set: as many as two similar sets can't both miss."""
+    def prefixes(self, percent: int, order: Order) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(token, document, early) of the first tokens of each distinct set: as many as two similar sets can't both miss."""
         at = C.ragged(self.first[self.once], self.n[self.once])
-        return first_tokens(self.tokens[at], np.repeat(self.once, self.n[self.once]), percent, ranks)
+        return first_tokens(self.tokens[at], np.repeat(self.once, self.n[self.once]), percent, order)
 
 
-def first_tokens(tokens: np.ndarray, owner: np.ndarray, percent: int, ranks) -> tuple[np.ndarray, np.ndarray]:
-    rank = np.zeros(len(tokens), np.int64)
-    if ranks is not None and len(ranks[0]):
-        place = np.minimum(np.searchsorted(ranks[0], tokens), len(ranks[0]) - 1)
-        rank = np.where(ranks[0][place] == tokens, ranks[1][place], 0)
-    order = np.lexsort((tokens, rank, owner))
-    tokens, owner = tokens[order], owner[order]
+def first_tokens(tokens: np.ndarray, owner: np.ndarray, percent: int, order: Order) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token, owner, early) of the first tokens.
+
+    A set's token is early if it can be the first that it shares with a similar set which isn't smaller.
+    """
+    by = np.lexsort((tokens, order.rank(tokens), owner))
+    tokens, owner = tokens[by], owner[by]
     head = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
     n = np.diff(np.append(head, len(owner)))
     keep = n - (percent * n + 99) // 100 + 1
     at = C.ragged(head, keep)
-    return tokens[at], owner[at]
+    early = n - (2 * percent * n + 99 + percent) // (100 + percent) + 1
+    early = C.ragged(np.zeros(len(keep), np.int64), keep) < np.repeat(early, keep)
+    return tokens[at], owner[at], early
 
 
 def _members(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, bounds in C.chunks(batches):
             s = Sets(data, bounds, words)
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(s.node.view(np.int64), mask=s.n == 0), pa.array(s.n)], ["doc_id", "node", "n"])
+            lead = np.zeros(len(s.n), np.int64)
+            lead[s.n > 0] = s.tokens[s.first[:-1][s.n > 0]].view(np.int64)
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(s.node.view(np.int64), mask=s.n == 0), pa.array(s.n), pa.array(lead)], ["doc_id", "node", "n", "lead"])
 
     return run
 
@@ -93,26 +138,40 @@ def _members(words: int):
 _BLOBS = pa.schema([("bucket", pa.int32()), ("tokens", pa.binary()), ("nodes", pa.binary()), ("sizes", pa.binary())])
 
 
-def _prefix_blobs(words: int, percent: int, n: int, ranks, counted: bool):
-    """First tokens by hash bucket; counted: with the number of sets instead of the sets themselves."""
+def _blobs(n: int, token: np.ndarray, node: np.ndarray | None, size: np.ndarray) -> pa.RecordBatch:
+    order, cut = C.split_by(token, n)
+    out: dict[str, list] = {name: [] for name in _BLOBS.names}
+    for b in range(n):
+        own = order[cut[b] : cut[b + 1]]
+        if len(own):
+            for name, x in zip(_BLOBS.names, (b, C.blob(token[own]), b"" if node is None else C.blob(node[own]), C.blob(size[own].astype(np.uint32))), strict=True):
+                out[name].append(x)
+    return C.record(_BLOBS, out)
+
+
+def _counted_blobs(words: int, n: int):
+    """Counted tokens by hash bucket, with the number of sets of the chunk that have them and 8 bits of one set's name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, data, bounds in C.chunks(batches):
+            s = Sets(data, bounds, words)
+            at = C.ragged(s.first[s.once], s.n[s.once])
+            token, first, size = np.unique(s.tokens[at], return_index=True, return_counts=True)
+            node = s.node[s.doc[at[first]]] & np.uint64(255)
+            use = (token % COUNTED == 0) | (size >= COMMON)
+            yield _blobs(n, token[use], None, (size[use].astype(np.uint64) << np.uint64(8)) | node[use])
+
+    return run
+
+
+def _prefix_blobs(words: int, percent: int, n: int, order):
+    """First tokens by hash bucket, with their sets and their sizes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, bounds in C.chunks(batches):
             s = Sets(data, bounds, words)
-            token, doc = s.prefixes(percent, ranks.value if ranks else None)
-            if counted:
-                token, size = np.unique(token, return_counts=True)
-                node = np.zeros(0, np.uint64)
-            else:
-                node, size = s.node[doc], s.n[doc]
-            order, cut = C.split_by(token, n)
-            out: dict[str, list] = {name: [] for name in _BLOBS.names}
-            for b in range(n):
-                own = order[cut[b] : cut[b + 1]]
-                if len(own):
-                    for name, x in zip(_BLOBS.names, (b, C.blob(token[own]), b"" if counted else C.blob(node[own]), C.blob(size[own].astype(np.uint32))), strict=True):
-                        out[name].append(x)
-            yield C.record(_BLOBS, out)
+            token, doc, early = s.prefixes(percent, order.value)
+            yield _blobs(n, token, s.node[doc], 2 * s.n[doc] + early)
 
     return run
 
@@ -121,22 +180,51 @@ def _joined(table: pa.Table, column: str, kind) -> np.ndarray:
     return np.frombuffer(b"".join(x for part in table.column(column).chunks for x in part.to_pylist()), kind)
 
 
-def _frequent(table: pa.Table) -> pa.Table:
-    token, inverse = np.unique(_joined(table, "tokens", np.uint64), return_inverse=True)
-    count = np.bincount(inverse, _joined(table, "sizes", np.uint32))
-    keep = count > FREQUENT
-    C.release()
-    return pa.table({"token": token[keep].view(np.int64), "sets": count[keep].astype(np.int64)})
+def _survey(n: int):
+    """Of a bucket: a filter of the counted tokens that several sets have, and the most frequent tokens."""
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        token, value = _joined(table, "tokens", np.uint64), _joined(table, "sizes", np.uint32)
+        order = np.argsort(token, kind="stable")
+        token, size, node = token[order], (value[order] >> 8).astype(np.int64), value[order] & 255
+        head = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        token, count = token[head], np.add.reduceat(size, head)
+        # copies of one set in several chunks don't make its tokens repeated
+        several = (np.maximum.reduceat(size, head) > 1) | (np.maximum.reduceat(node, head) != np.minimum.reduceat(node, head))
+        keys = token[several & (token % COUNTED == 0)]
+        size = 1 << int(np.ceil(np.log2(max(64, 12 * len(keys)))))
+        while size > max(64, FILTER_BITS // n):
+            size //= 2
+        bits = np.zeros(size // 8, np.uint8)
+        for place in filter_places(keys, np.uint64(size - 1)):
+            np.bitwise_or.at(bits, (place >> np.uint64(3)).astype(np.int64), (1 << (place & np.uint64(7))).astype(np.uint8))
+        top = np.flatnonzero(count > FREQUENT)
+        top = top[np.lexsort((token[top], -count[top]))][: max(1, RANKED // n)]
+        C.release()
+        return pa.table({"bucket": pa.array([bucket], pa.int32()), "bits": pa.array([C.blob(bits)], pa.binary()), "tokens": pa.array([C.blob(token[top])], pa.binary()), "sets": pa.array([C.blob(count[top].astype(np.uint64))], pa.binary())})
+
+    return run
 
 
 def _stars(percent: int):
-    """Stars of the nodes that share a token and whose sizes allow the similarity, as a local forest."""
+    """Stars of the nodes that share a token and whose sizes allow the similarity, as a local forest.
+
+    In order of size, the smaller of two similar nodes has their first common
+    token early; so each node is chained to the next one as long as an early
+    node before both is large enough for it.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         token, node, size = _joined(table, "tokens", np.uint64), _joined(table, "nodes", np.uint64), _joined(table, "sizes", np.uint32).astype(np.int64)
+        early, size = size & 1 == 1, size >> 1
         order = np.lexsort((node, size, token))
-        token, node, size = token[order], node[order], size[order]
-        near = (token[1:] == token[:-1]) & (100 * size[:-1] >= percent * size[1:]) & (node[1:] != node[:-1])
+        token, node, size, early = token[order], node[order], size[order], early[order]
+        head = np.concatenate([[True], token[1:] != token[:-1]])[: len(token)]
+        place = np.arange(len(token))
+        last = np.maximum.accumulate(np.where(early, place, -1))[:-1]  # the largest early node so far
+        of_token = np.maximum.accumulate(np.where(head, place, 0))[:-1]
+        near = ~head[1:] & (last >= of_token) & (100 * size[last] >= percent * size[1:]) & (node[1:] != node[:-1])
         a, b = forest(node[:-1][near].view(np.int64), node[1:][near].view(np.int64))
         C.release()
         return pa.table({"u": a, "v": b})
@@ -145,10 +233,15 @@ def _stars(percent: int):
 
 
 def _sets_of(words: int, bloom):
+    """The sets that pass, each once for every task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
         for _, data, bounds in C.chunks(batches):
             s = Sets(data, bounds, words)
             own = s.once[bloom.value.test(s.node[s.once])]
+            own = own[np.array([int(x) not in sent for x in s.node[own]], bool)]
+            sent.update(s.node[own].tolist())
             yield pa.RecordBatch.from_arrays([pa.array(s.node[own].view(np.int64)), pa.array(s.n[own].astype(np.int64)), pa.array([C.blob(s.tokens[s.first[i] : s.first[i + 1]]) for i in own], pa.binary())], ["node", "n", "tokens"])
 
     return run
@@ -192,6 +285,9 @@ def _link_groups(percent: int):
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.sort_by([("gid", "ascending"), ("node", "ascending")])
+        gid, node = (rows.column(c).to_numpy() for c in ("gid", "node"))
+        # tasks may have sent the same set
+        rows = rows.take(pa.array(np.flatnonzero(np.concatenate([[True], (gid[1:] != gid[:-1]) | (node[1:] != node[:-1])])[: len(gid)])))
         gid, comp = (rows.column(c).to_numpy() for c in ("gid", "comp"))
         size, tokens = rows.column("n").to_numpy(), rows.column("tokens").to_pylist()
         cut = np.flatnonzero(np.concatenate([[True], gid[1:] != gid[:-1], [True]]))
@@ -240,12 +336,12 @@ def _open_groups(percent: int):
     return run
 
 
-def _first_rows(percent: int, ranks):
+def _first_rows(percent: int, order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = batch.column("n").to_numpy()
             tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.uint64)
-            token, own = first_tokens(tokens, np.repeat(np.arange(len(sizes)), sizes), percent, ranks.value)
+            token, own, _ = first_tokens(tokens, np.repeat(np.arange(len(sizes)), sizes), percent, order.value)
             take = pa.array(own)
             yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), *[batch.column(c).take(take) for c in ("node", "n", "comp", "gid")]], ["token", "node", "n", "comp", "gid"])
 
@@ -258,35 +354,45 @@ def _merge(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(names, "comp", "left").withColumn("comp", F.coalesce("_to", "comp")).drop("_to")
 
 
-def node_components(texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """(node, comp) of all nodes that are linked with others. texts: one column, text."""
+def node_components(texts: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
+    """(node, comp) of all nodes that may be linked with others. texts: one column, text; members: node, n and the smallest token of each text.
+
+    Tokens are shuffled once for the first comparison; later ones read only
+    the tokens of blocks that aren't one component yet.
+    """
     spark = texts.sparkSession
     n = C.buckets(spark)
     blobs = "bucket int, tokens binary, nodes binary, sizes binary"
-    counts = texts.mapInArrow(_prefix_blobs(words, percent, n, None, True), blobs).groupBy("bucket").applyInArrow(_frequent, "token long, sets long")
-    top = counts.orderBy(F.desc("sets"), "token").limit(RANKED).collect()
-    token, sets = np.array([r.token for r in top], np.int64).view(np.uint64), np.array([r.sets for r in top], np.int64)
-    order = np.argsort(token)
-    ranks = spark.sparkContext.broadcast((token[order], sets[order]))  # at most RANKED rows
-    stars = texts.mapInArrow(_prefix_blobs(words, percent, n, ranks, False), blobs).groupBy("bucket").applyInArrow(_stars(percent), "u long, v long")
+    counts = texts.mapInArrow(_counted_blobs(words, n), blobs).groupBy("bucket").applyInArrow(_survey(n), "bucket int, bits binary, tokens binary, sets binary")
+    order = spark.sparkContext.broadcast(Order(n, counts.collect()))  # n rows of bounded size
+    stars = texts.mapInArrow(_prefix_blobs(words, percent, n, order), blobs).groupBy("bucket").applyInArrow(_stars(percent), "u long, v long")
     blocks = C.checkpoint(connected(stars).withColumnRenamed("component", "block"))
-    sets_ = texts.mapInArrow(_sets_of(words, _filter_of(blocks, "node")), "node long, n long, tokens binary")
-    sets_ = sets_.join(blocks, "node").groupBy("node").agg(F.any_value("block").alias("block"), F.any_value("n").alias("n"), F.any_value("tokens").alias("tokens"))
     # groups: a small block whole, a large one by smallest token, in pieces of bounded size
-    lead = sets_.withColumn("lead", F.xxhash64(F.substring("tokens", 1, 8)))
-    lead = C.checkpoint(lead)
-    large = lead.groupBy("block").agg(F.count("*").alias("c")).filter(F.col("c") > GROUP)
-    pieces = lead.join(large, "block").groupBy("block", "lead").agg(F.count("*").alias("c"))
-    grouped = lead.select("node", "block", "lead").join(pieces, ["block", "lead"], "left")
+    placed = members.filter("node IS NOT NULL").groupBy("node").agg(F.any_value("lead").alias("lead")).join(blocks, "node")
+    large = placed.groupBy("block").agg(F.count("*").alias("c")).filter(F.col("c") > GROUP)
+    pieces = placed.join(large, "block").groupBy("block", "lead").agg(F.count("*").alias("c"))
+    grouped = placed.join(pieces, ["block", "lead"], "left")
     gid = F.when(F.col("c").isNull(), F.col("block")).otherwise(F.xxhash64("block", "lead", F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / GROUP))))
     nodes = C.checkpoint(grouped.select("node", "block", gid.alias("gid"), F.col("node").alias("comp")))
 
-    def linked(rows: DataFrame) -> DataFrame:
+    def sets_of(some: DataFrame) -> DataFrame:
+        return texts.mapInArrow(_sets_of(words, _filter_of(some, "node")), "node long, n long, tokens binary")
+
+    def linked(rows: DataFrame, tokens: DataFrame) -> DataFrame:
         """Edges between components by comparing the sets of each group; rows: gid, node, comp."""
-        full = rows.join(lead.select("node", "n", "tokens"), "node").withColumn("bucket", F.pmod(F.xxhash64("gid"), F.lit(n)))
+        full = tokens.join(rows, "node").withColumn("bucket", F.pmod(F.xxhash64("gid"), F.lit(n)))
         return full.groupBy("bucket").applyInArrow(_link_groups(percent), "u long, v long")
 
-    nodes = C.checkpoint(_merge(nodes, linked(nodes.select("gid", "node", "comp"))))
+    def unfinished() -> DataFrame:
+        """Blocks of several components."""
+        return nodes.groupBy("block").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("block")
+
+    nodes = C.checkpoint(_merge(nodes, linked(nodes.select("gid", "node", "comp"), sets_of(nodes))))
+    rest = C.checkpoint(nodes.join(unfinished(), "block", "left_semi"))
+    if not rest.count():
+        return nodes.select("node", "comp")
+    tokens = sets_of(rest).join(rest.select("node"), "node", "left_semi").groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("tokens").alias("tokens"))
+    tokens = C.checkpoint(tokens)
     before = None
     for level in range(64):
         reps = nodes.groupBy("block", "comp").agg(F.min("node").alias("node"))
@@ -297,16 +403,17 @@ def node_components(texts: DataFrame, words: int, percent: int) -> DataFrame:
             break
         before = left
         gids = open_.select("node", "comp", F.xxhash64("block", F.lit(level), F.pmod(F.xxhash64("node", F.lit(level)), F.ceil(F.col("c") / GROUP))).alias("gid"))
-        nodes = C.checkpoint(_merge(nodes, linked(gids)))
+        nodes = C.checkpoint(_merge(nodes, linked(gids, tokens)))
     if left:
-        rest = nodes.join(several.select("block"), "block", "left_semi").join(lead.select("node", "n", "tokens"), "node")
-        rest = C.checkpoint(rest)
-        firsts = C.checkpoint(rest.select("node", "n", "comp", "gid", "tokens").mapInArrow(_first_rows(percent, ranks), "token long, node long, n long, comp long, gid long"))
+        rest = C.checkpoint(nodes.join(unfinished(), "block", "left_semi").select("node", "comp", "gid"))
+        firsts = tokens.join(rest, "node").mapInArrow(_first_rows(percent, order), "token long, node long, n long, comp long, gid long")
+        firsts = C.checkpoint(firsts)
         groups = firsts.groupBy("token", "gid", F.col("comp").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
         size = (100 * F.col("high") >= percent * F.col("n")) & (percent * F.col("low") <= 100 * F.col("n"))
         asked = firsts.drop("gid").join(groups, "token").filter((F.col("comp") < F.col("other")) & size).select("node", "gid").distinct()
-        queries = asked.join(rest.select("node", "comp", "n", "tokens"), "node").select("gid", F.lit(1).alias("kind"), "comp", "n", "tokens")
-        held = rest.join(asked.select("gid").distinct(), "gid", "left_semi").select("gid", F.lit(0).alias("kind"), "comp", "n", "tokens")
+        asked = C.checkpoint(asked)
+        queries = tokens.join(asked.join(rest.select("node", "comp"), "node"), "node").select("gid", F.lit(1).alias("kind"), "comp", "n", "tokens")
+        held = tokens.join(rest.join(asked.select("gid").distinct(), "gid", "left_semi"), "node").select("gid", F.lit(0).alias("kind"), "comp", "n", "tokens")
         edges = held.unionByName(queries).withColumn("bucket", F.pmod(F.xxhash64("gid"), F.lit(n))).groupBy("bucket").applyInArrow(_open_groups(percent), "u long, v long")
         nodes = _merge(nodes, edges)
     return nodes.select("node", "comp")
@@ -315,8 +422,8 @@ def node_components(texts: DataFrame, words: int, percent: int) -> DataFrame:
 def join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links) of each row of docs (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    members = C.checkpoint(rows.mapInArrow(_members(words), "doc_id long, node long, n long"))
-    found = node_components(rows.select("text"), words, percent)
+    members = C.checkpoint(rows.mapInArrow(_members(words), "doc_id long, node long, n long, lead long"))
+    found = node_components(rows.select("text"), members, words, percent)
     placed = C.checkpoint(members.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
     least = placed.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("least"))
     out = placed.join(least, "comp", "left")
