@@ -44,7 +44,7 @@ def ws(spark):
     ]
     return of_tables(
         spark,
-        vehicles=table("vehicles", [{"id": 1, "year": 2009, "make": "Toyota", "model": "Corolla", "trim": "LE", "engine": "1.8L"}, {"id": 2, "year": 2012, "make": "Ford", "model": "Focus"}]),
+        vehicles=table("vehicles", [{"id": 1, "year": 2009, "make": "Volvo", "model": "V70", "trim": "LE", "engine": "1.8L"}, {"id": 2, "year": 2012, "make": "Ford", "model": "Focus"}]),
         app_settings=table("app_settings", [{"id": 1, "document_system_defaults": '["Engine", " engine ", 7, "Cooling"]', "document_type_defaults": "{broken"}]),
         documents=table("documents", [base | d for d in documents]),
         symptoms=table("symptoms", [base | s for s in symptoms]),

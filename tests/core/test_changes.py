@@ -23,8 +23,8 @@ def test_dashboard(ws):
     assert [r.id for r in dashboard.recent_symptoms(ws, active=True).collect()] == [1, 2]
     assert dashboard.recent_notes(ws).filter("id = 3").first().title == "Untitled note"
     assert [r.key for r in dashboard.recent_activity(ws, 4).collect()] == ["document-2", "symptom-1", "symptom-3", "note-6"]
-    assert dashboard.dashboard(ws)["vehicle"].first().make == "Toyota"
-    assert dashboard.vehicle_profile(ws).first().label == "2009 Toyota Corolla LE 1.8L"
+    assert dashboard.dashboard(ws)["vehicle"].first().make == "Volvo"
+    assert dashboard.vehicle_profile(ws).first().label == "2009 Volvo V70 LE 1.8L"
 
 
 def test_second_layer(ws):
@@ -105,8 +105,8 @@ def test_settings(ws):
     assert tuple(M.document_defaults(new, [], []).first()) == (["Engine", "Body"], ["Manual"])
     with pytest.raises(M.Invalid):
         M.update_document_defaults(ws, [], ["x"])
-    new = M.update_vehicle(ws, "2010", "Toyota", " Matrix ", "S")
-    assert (by_id(new.vehicles, 1).model, by_id(new.vehicles, 2).model) == ("Matrix", "Focus")
+    new = M.update_vehicle(ws, "2010", "Volvo", " V90 ", "S")
+    assert (by_id(new.vehicles, 1).model, by_id(new.vehicles, 2).model) == ("V90", "Focus")
     for year in (1899, 2101, "x", 2000.5):
         with pytest.raises(M.Invalid):
             M.update_vehicle(ws, year, "a", "b")
@@ -132,7 +132,7 @@ def test_round_trip_and_new_columns(ws, tmp_path):
     old = W.conform(ws.notes.drop("note_type", "related_entity_type"), "notes").first()
     assert (old.note_type, old.related_entity_type) == ("general", "none")
     seeds = W.insert_missing(ws.vehicles.select("id", "make"), ws.spark.createDataFrame([(1, "x"), (9, "y")], "id long, make string"), ["id"])
-    assert pairs(seeds) == [(1, "Toyota"), (2, "Ford"), (9, "y")]
+    assert pairs(seeds) == [(1, "Volvo"), (2, "Ford"), (9, "y")]
 
 
 def pdf(*pages, flate=False):

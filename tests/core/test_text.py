@@ -54,7 +54,7 @@ def test_lists(spark):
     assert one(spark, T.format_lines(array("a", "b"))) == "a\nb"
     assert one(spark, T.positive_ids(array("3", "x", "3", "-1", "2"))) == [3, 2]
     assert one(spark, T.toggle(array(1, 2), F.lit(2))) == [1] and one(spark, T.toggle(array(1), F.lit(2))) == [1, 2]
-    assert one(spark, T.join_parts(F.lit(2012), F.lit(" Toyota "), F.lit(""), F.lit(None).cast("string"), F.lit("S"))) == "2012 Toyota S"
+    assert one(spark, T.join_parts(F.lit(2012), F.lit(" Volvo "), F.lit(""), F.lit(None).cast("string"), F.lit("S"))) == "2012 Volvo S"
 
 
 def test_links_and_sentences(spark):
