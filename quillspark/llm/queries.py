@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, labelled, line_templates, ngram_join, quality_classifier, quality_rules, recompression, secrets, suffix_array, toxicity
 from .common import read
+from .oracles import ORACLE_SQL
 
 
 def _scored(rows: DataFrame, fold: tuple[int, int]) -> DataFrame:
@@ -75,4 +76,4 @@ QUERIES = {
     "op10_bpe_tokens": op10_bpe_tokens,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
