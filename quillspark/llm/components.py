@@ -9,22 +9,29 @@ from pyspark.sql import functions as F
 from .common import checkpoint
 
 
+def tasks(rows: int, each: int = 50_000) -> int:
+    """Tasks for so many small rows. Spark's number of shuffle partitions is meant for texts: with it, each exchange of a few edges would be as many blocks as its square."""
+    return max(8, -(-rows // each))
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, for every node in edges (u, v). Every step is a join; nothing is collected."""
     now = checkpoint(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = None
     while True:
         state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum((F.col("u") == F.col("v")).cast("long"))).first()
+        k = tasks(state[0])
+        now = now.coalesce(k)
         if state == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
         seen = state
         both = now.union(now.select("v", "u")).toDF("u", "v").filter("u <> v")
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.filter("v < u")
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(k).distinct()
+        down = large.filter("v < u").coalesce(k)
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(low.select("u", "m"))
-        now = checkpoint(small.distinct())
+        now = checkpoint(small.coalesce(k).distinct().coalesce(k))
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

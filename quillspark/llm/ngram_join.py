@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .components import connected, forest
+from .components import connected, forest, tasks
 from .line_templates import _filter_of
 
 #: Nodes of a group at most, and sets that share a token from which it counts as frequent.
@@ -367,13 +367,18 @@ def node_components(texts: DataFrame, members: DataFrame, words: int, percent: i
     order = spark.sparkContext.broadcast(Order(n, counts.collect()))  # n rows of bounded size
     stars = texts.mapInArrow(_prefix_blobs(words, percent, n, order), blobs).groupBy("bucket").applyInArrow(_stars(percent), "u long, v long")
     blocks = C.checkpoint(connected(stars).withColumnRenamed("component", "block"))
-    # groups: a small block whole, a large one by smallest token, in pieces of bounded size
-    placed = members.filter("node IS NOT NULL").groupBy("node").agg(F.any_value("lead").alias("lead")).join(blocks, "node")
-    large = placed.groupBy("block").agg(F.count("*").alias("c")).filter(F.col("c") > GROUP)
-    pieces = placed.join(large, "block").groupBy("block", "lead").agg(F.count("*").alias("c"))
+    # from here on, rows without tokens are few and small
+    k = tasks(blocks.count())
+    blocks = blocks.coalesce(k)
+    # groups: a small block whole; of a large one several smallest tokens together, and one that many sets have in pieces
+    placed = members.filter("node IS NOT NULL").groupBy("node").agg(F.any_value("lead").alias("lead")).join(blocks, "node").coalesce(k)
+    large = placed.groupBy("block").agg(F.count("*").alias("all")).filter(F.col("all") > GROUP)
+    pieces = placed.join(large, "block").groupBy("block", "lead").agg(F.count("*").alias("c"), F.any_value("all").alias("all"))
     grouped = placed.join(pieces, ["block", "lead"], "left")
-    gid = F.when(F.col("c").isNull(), F.col("block")).otherwise(F.xxhash64("block", "lead", F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / GROUP))))
-    nodes = C.checkpoint(grouped.select("node", "block", gid.alias("gid"), F.col("node").alias("comp")))
+    piece = F.xxhash64("block", "lead", F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / GROUP)))
+    together = F.xxhash64("block", F.pmod(F.xxhash64("lead"), F.ceil(F.col("all") / GROUP)))
+    gid = F.when(F.col("c").isNull(), F.col("block")).when(F.col("c") > GROUP, piece).otherwise(together)
+    nodes = C.checkpoint(grouped.select("node", "block", gid.alias("gid"), F.col("node").alias("comp")).coalesce(k))
 
     def sets_of(some: DataFrame) -> DataFrame:
         return texts.mapInArrow(_sets_of(words, _filter_of(some, "node")), "node long, n long, tokens binary")
@@ -387,8 +392,8 @@ def node_components(texts: DataFrame, members: DataFrame, words: int, percent: i
         """Blocks of several components."""
         return nodes.groupBy("block").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("block")
 
-    nodes = C.checkpoint(_merge(nodes, linked(nodes.select("gid", "node", "comp"), sets_of(nodes))))
-    rest = C.checkpoint(nodes.join(unfinished(), "block", "left_semi"))
+    nodes = C.checkpoint(_merge(nodes, linked(nodes.select("gid", "node", "comp"), sets_of(nodes))).coalesce(k))
+    rest = C.checkpoint(nodes.join(unfinished(), "block", "left_semi").coalesce(k))
     if not rest.count():
         return nodes.select("node", "comp")
     tokens = sets_of(rest).join(rest.select("node"), "node", "left_semi").groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("tokens").alias("tokens"))
@@ -397,15 +402,15 @@ def node_components(texts: DataFrame, members: DataFrame, words: int, percent: i
     for level in range(64):
         reps = nodes.groupBy("block", "comp").agg(F.min("node").alias("node"))
         several = reps.groupBy("block").agg(F.count("*").alias("c")).filter("c > 1")
-        open_ = C.checkpoint(reps.join(several, "block"))
+        open_ = C.checkpoint(reps.join(several, "block").coalesce(k))
         left = open_.count()
         if not left or (before is not None and left > 0.9 * before):
             break
         before = left
         gids = open_.select("node", "comp", F.xxhash64("block", F.lit(level), F.pmod(F.xxhash64("node", F.lit(level)), F.ceil(F.col("c") / GROUP))).alias("gid"))
-        nodes = C.checkpoint(_merge(nodes, linked(gids, tokens)))
+        nodes = C.checkpoint(_merge(nodes, linked(gids, tokens)).coalesce(k))
     if left:
-        rest = C.checkpoint(nodes.join(unfinished(), "block", "left_semi").select("node", "comp", "gid"))
+        rest = C.checkpoint(nodes.join(unfinished(), "block", "left_semi").select("node", "comp", "gid").coalesce(k))
         firsts = tokens.join(rest, "node").mapInArrow(_first_rows(percent, order), "token long, node long, n long, comp long, gid long")
         firsts = C.checkpoint(firsts)
         groups = firsts.groupBy("token", "gid", F.col("comp").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
