@@ -3,7 +3,7 @@
 Spark tasks split texts into the pre-tokens ("words") of a byte-level BPE
 vocabulary and turn each block of documents into its distinct words and the
 word number at each position. The distinct words of all blocks meet by hash
-bucket; XX A word has one row for each block at
+bucket, are encoded once, and their ids go back to the blocks. A word has one row for each block at
 most, so a word as common as a space is no hot key.
 
 Results by case: a null or empty text has no ids and decodes to ''; a null or
@@ -15,6 +15,7 @@ The literal of a special token in a text is that token, as the library has it.
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -183,7 +184,7 @@ def _split(classes, special: list[str], block_bytes: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 24
         block = _Block(classes.value, special)
-        for rows, data, bounds in C.chunks(batches):
+        for rows, data, bounds in C.chunks(batches, limit=C.CHUNK // 2):
             if block.size and block.size + len(data) > block_bytes:
                 yield from block.rows(number, n)
                 number, block = number + 1, _Block(classes.value, special)
@@ -194,13 +195,25 @@ def _split(classes, special: list[str], block_bytes: int, n: int):
     return run
 
 
+_loaded: dict[str, object] = {}
+
+
+def _tokenizer(model: str):
+    """The library's tokenizer, loaded once by each worker; it runs in the task's own thread."""
+    if model not in _loaded:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        _loaded.clear()
+        _loaded[model] = Tokenizer.from_str(model)
+    return _loaded[model]
+
+
 def _encode(model):
     """In a bucket: each distinct word is encoded once; its ids go to the blocks that have the word."""
 
     def run(table: pa.Table) -> pa.Table:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_str(model.value)
+        tokenizer = _tokenizer(model.value)
         number: dict[bytes, int] = {}
         ids: list[list[int]] = []
         length, first, flat = np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
