@@ -413,9 +413,10 @@ def node_components(texts: DataFrame, members: DataFrame, words: int, percent: i
         rest = C.checkpoint(nodes.join(unfinished(), "block", "left_semi").select("node", "comp", "gid").coalesce(k))
         firsts = tokens.join(rest, "node").mapInArrow(_first_rows(percent, order), "token long, node long, n long, comp long, gid long")
         firsts = C.checkpoint(firsts)
-        groups = firsts.groupBy("token", "gid", F.col("comp").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
+        # of two components the smaller one asks, so a group is asked if it has a larger one
+        groups = firsts.groupBy("token", "gid").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("comp").alias("last"))
         size = (100 * F.col("high") >= percent * F.col("n")) & (percent * F.col("low") <= 100 * F.col("n"))
-        asked = firsts.drop("gid").join(groups, "token").filter((F.col("comp") < F.col("other")) & size).select("node", "gid").distinct()
+        asked = firsts.drop("gid").join(groups, "token").filter((F.col("comp") < F.col("last")) & size).select("node", "gid").distinct()
         asked = C.checkpoint(asked)
         queries = tokens.join(asked.join(rest.select("node", "comp"), "node"), "node").select("gid", F.lit(1).alias("kind"), "comp", "n", "tokens")
         held = tokens.join(rest.join(asked.select("gid").distinct(), "gid", "left_semi"), "node").select("gid", F.lit(0).alias("kind"), "comp", "n", "tokens")
