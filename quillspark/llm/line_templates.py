@@ -1,7 +1,8 @@
 """Line dedup by log templates: a tree of fixed depth over token counts and leading tokens.
 
 A line's tokens that hold a digit become a wildcard. Lines with the same number
-of tokens and the same DEPTH leading tokens share a leaf. In leaves that lines
+of tokens and the same DEPTH leading tokens (all of a shorter line's) share a
+leaf. In leaves that lines
 of enough documents reach, a token stays in the template if it stands at its
 position in lines of enough documents; other positions generalise to wildcards.
 A template with at least half of its tokens kept recurs if enough documents
@@ -13,8 +14,7 @@ pass's result lets through; joins then decide exactly. Lines are counted within
 a chunk of documents before they move, so a line that a third of all documents
 has is a row for each chunk.
 
-Results by case: lines of fewer than LEAST tokens are kept; null and empty texts
-have no lines; rows with equal id and text lose the same lines; a null id counts
+Results by case: lines without tokens are kept; null and empty texts have no lines; rows with equal id and text lose the same lines; a null id counts
 as a document and is never the first; an empty table gives an empty table.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-DEPTH, LEAST = 3, 4
+DEPTH, LEAST = 3, 1
 WILD = np.uint64(0x5CA1AB1E)
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
@@ -57,7 +57,8 @@ class Lines:
         self.tokens = np.where(digits[end] > digits[start], WILD, tokens) if len(start) else tokens
         leaf = C.mix(self.count.astype(np.uint64))
         for i in range(DEPTH):
-            leaf = C.mix(leaf * np.uint64(31) + self.tokens[self.first + i]) if len(leaf) else leaf
+            longer = np.flatnonzero(self.count > i)
+            leaf[longer] = C.mix(leaf[longer] * np.uint64(31) + self.tokens[self.first[longer] + i])
         self.leaf = leaf
         prefix = C.prefix_hashes(self.tokens)
         self.line = C.span_hashes(prefix, self.first, self.first + self.count) if len(leaf) else leaf
