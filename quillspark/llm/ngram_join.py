@@ -130,7 +130,8 @@ def _members(words: int):
             s = Sets(data, bounds, words)
             lead = np.zeros(len(s.n), np.int64)
             lead[s.n > 0] = s.tokens[s.first[:-1][s.n > 0]].view(np.int64)
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(s.node.view(np.int64), mask=s.n == 0), pa.array(s.n), pa.array(lead)], ["doc_id", "node", "n", "lead"])
+            names = [c for c in rows.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in names], pa.array(s.node.view(np.int64), mask=s.n == 0), pa.array(s.n), pa.array(lead)], [*names, "node", "n", "lead"])
 
     return run
 
@@ -425,20 +426,50 @@ def node_components(texts: DataFrame, members: DataFrame, words: int, percent: i
     return nodes.select("node", "comp")
 
 
+def _placed(rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """The columns of rows (longs and text) without text, node, n, lead and comp, which is null for a text without words; checkpointed."""
+    kept = ", ".join(f"{c} long" for c in rows.columns if c != "text")
+    members = C.checkpoint(rows.mapInArrow(_members(words), f"{kept}, node long, n long, lead long"))
+    found = node_components(rows.select("text"), members, words, percent)
+    return C.checkpoint(members.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+
+
 def join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links) of each row of docs (doc_id, text)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    members = C.checkpoint(rows.mapInArrow(_members(words), "doc_id long, node long, n long, lead long"))
-    found = node_components(rows.select("text"), members, words, percent)
-    placed = C.checkpoint(members.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+    placed = _placed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), words, percent)
     least = placed.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("least"))
     out = placed.join(least, "comp", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
+def _passing(bloom):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
+            yield batch.filter(pa.array(bloom.value.test(keys)))
+
+    return run
+
+
 def clean(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each component, the one with the smallest id; of equal rows with this id one stays. Rows of null id stay if their component has no id."""
+    """docs with one row of each component: the smallest id, then the least hash of id and text, then the least hash of the other columns.
+
+    Null ids come after all others. Texts without words are linked with nothing, so of them
+    only repeats of an id and text go; those of null id all stay.
+    """
     rows = C.keyed(docs)
-    keep = join(docs.select("doc_id", "text"), words, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = rows.join(keep, rows["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
+    placed = _placed(rows.select("key", "doc_id", "text"), words, percent)
+    own = F.col("comp").isNull()
+    copies = placed.groupBy(own.alias("own"), F.coalesce("comp", "key").alias("comp"), "doc_id", "key").agg(F.count("*").alias("copies"))
+    first = copies.groupBy("own", "comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key", "copies")).alias("first")).select("own", "first.*")
+    single = (F.col("copies") == 1) | (F.col("own") & F.col("unknown"))
+    kept = rows.join(first.filter(single).select("key"), "key", "left_semi")
+    several = C.checkpoint(first.filter(~single).select("key"))
+    if not several.isEmpty():
+        # only rows that repeat an id and text are brought together
+        kind = rows.schema["row"].dataType.simpleString()
+        some = rows.mapInArrow(_passing(_filter_of(several, "key")), f"key long, doc_id long, text string, row {kind}")
+        some = some.join(several, "key", "left_semi").withColumn("_by", F.xxhash64(F.to_json("row")))
+        some = some.groupBy("key").agg(F.min_by(F.struct("doc_id", "text", "row"), "_by").alias("_one")).select("key", "_one.*")
+        kept = kept.select("key", "doc_id", "text", "row").unionByName(some)
     return C.unkeyed(kept, docs)

@@ -65,3 +65,25 @@ def test_given_tables(spark):
     want = brute([(r.doc_id, r.text) for r in docs.collect()])
     assert sorted((tuple(r) for r in N.join(docs).collect()), key=str) == want
     assert N.join(docs.limit(0)).count() == 0
+
+
+def test_clean_keeps_one_row_of_each_component(spark):
+    rng = random.Random(8)
+    one, two, three, four, five = (" ".join(rng.choices([f"w{i}" for i in range(500)], k=60)) for _ in range(5))
+    docs = [
+        *[(9, one, k) for k in (3, 2, 2)],  # repeated rows
+        (7, two, 0), (7, two + " more", 0), (8, two, 0),  # two texts under one id, near each other
+        (7, three, 0), (1, three, 0),  # the same id again, in a component with a smaller one
+        (None, four, 0), (None, four + " more", 0), (None, four, 1),  # no id in the component
+        (None, five, 0), (5, five, 0), (None, two, 0), (None, "", 0), (None, None, 0),
+        (3, "", 0), (3, "", 0), (4, "", 0),
+    ]
+    d = spark.createDataFrame(docs, "doc_id long, text string, key long").repartition(4)
+    got = [tuple(r) for r in N.clean(d).collect()]
+    certain = [(9, one), (1, three), (5, five), (None, ""), (None, None), (3, ""), (4, "")]
+    assert len(got) == 9, got
+    assert all(sum((i, t) == r for i, t, _ in got) == 1 for r in certain)
+    assert sum(i == 7 and t.startswith(two) for i, t, _ in got) == 1
+    assert sum(i is None and (t or "").startswith(four) for i, t, _ in got) == 1
+    assert N.clean(d).exceptAll(N.clean(d.repartition(2))).count() == 0
+    assert N.clean(d.limit(0)).count() == 0
