@@ -6,7 +6,8 @@ leaf. In leaves that lines
 of enough documents reach, a token stays in the template if it stands at its
 position in lines of enough documents; other positions generalise to wildcards.
 A template with at least half of its tokens kept recurs if enough documents
-have it. Its lines are dropped from all documents but the first (smallest id)
+have it. A line with too few tokens without a digit for that keeps all of its
+tokens, digits included, and is a leaf and a template of its own. Its lines are dropped from all documents but the first (smallest id)
 that has them, so a passage isn't lost from the corpus.
 
 Each pass over the texts sends only lines that a Bloom filter of the previous
@@ -38,7 +39,7 @@ _DIGIT[48:58] = True
 class Lines:
     """All lines of a chunk with enough tokens: document, leaf, hash of the masked line, byte span."""
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray):
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, kept_share: float = 0.5):
         start, end, _ = C.word_spans(data, bounds)
         feeds = np.flatnonzero(data == 10)
         head = np.union1d(bounds[:-1], feeds + 1)
@@ -54,14 +55,18 @@ class Lines:
         self.doc = np.searchsorted(bounds, self.head, "right") - 1
         tokens = C.word_hashes(data, start, end)
         digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
-        self.tokens = np.where(digits[end] > digits[start], WILD, tokens) if len(start) else tokens
+        wild = digits[end] > digits[start]
+        masked = np.concatenate([[0], np.cumsum(wild)])
+        alone = self.count - (masked[self.first + self.count] - masked[self.first]) < kept_share * self.count
+        wild[C.ragged(self.first[alone], self.count[alone])] = False
+        self.tokens = np.where(wild, WILD, tokens)
         leaf = C.mix(self.count.astype(np.uint64))
         for i in range(DEPTH):
             longer = np.flatnonzero(self.count > i)
             leaf[longer] = C.mix(leaf[longer] * np.uint64(31) + self.tokens[self.first[longer] + i])
-        self.leaf = leaf
         prefix = C.prefix_hashes(self.tokens)
         self.line = C.span_hashes(prefix, self.first, self.first + self.count) if len(leaf) else leaf
+        self.leaf = np.where(alone, C.mix(~self.line), leaf)
 
     def once(self, keys: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
         """Positions that keep each (key, document) once."""
@@ -74,11 +79,14 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _count_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, data, bounds in C.chunks(batches):
-        lines = Lines(data, bounds)
-        leaf, count = np.unique(lines.leaf[lines.once(lines.leaf)], return_counts=True)
-        yield pa.RecordBatch.from_arrays([_signed(leaf), pa.array(count.astype(np.int64))], ["leaf", "docs"])
+def _count_leaves(kept_share: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, data, bounds in C.chunks(batches):
+            lines = Lines(data, bounds, kept_share)
+            leaf, count = np.unique(lines.leaf[lines.once(lines.leaf)], return_counts=True)
+            yield pa.RecordBatch.from_arrays([_signed(leaf), pa.array(count.astype(np.int64))], ["leaf", "docs"])
+
+    return run
 
 
 def _filter_of(keys: DataFrame, column: str):
@@ -109,12 +117,12 @@ def _bloom_parts(bits: int):
     return run
 
 
-def _lines_in(bloom):
+def _lines_in(bloom, kept_share: float):
     """Distinct masked lines of a chunk in leaves that pass: tokens, documents, smallest id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, bounds in C.chunks(batches):
-            lines = Lines(data, bounds)
+            lines = Lines(data, bounds, kept_share)
             at = lines.once(lines.line, np.flatnonzero(bloom.value.test(lines.leaf)))
             ids = rows.column("doc_id").cast(pa.int64())
             known = ids.is_valid().to_numpy(zero_copy_only=False)
@@ -133,9 +141,9 @@ def _lines_in(bloom):
 def recurring_lines(docs: DataFrame, least_docs: int = 5, kept_share: float = 0.5) -> DataFrame:
     """(line, first): masked lines whose template recurs, and the smallest id of its documents. Both passes read all of docs (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    leaves = rows.select("text").mapInArrow(_count_leaves, "leaf long, docs long").groupBy("leaf").agg(F.sum("docs").alias("n")).filter(F.col("n") >= least_docs).select("leaf")
+    leaves = rows.select("text").mapInArrow(_count_leaves(kept_share), "leaf long, docs long").groupBy("leaf").agg(F.sum("docs").alias("n")).filter(F.col("n") >= least_docs).select("leaf")
     leaves = C.checkpoint(leaves)
-    lines = rows.mapInArrow(_lines_in(_filter_of(leaves, "leaf")), "leaf long, line long, tokens array<long>, docs long, first long")
+    lines = rows.mapInArrow(_lines_in(_filter_of(leaves, "leaf"), kept_share), "leaf long, line long, tokens array<long>, docs long, first long")
     lines = lines.groupBy("leaf", "line").agg(F.any_value("tokens").alias("tokens"), F.sum("docs").alias("docs"), F.min("first").alias("first"))
     lines = C.checkpoint(lines.join(leaves, "leaf", "left_semi"))
     places = lines.select("leaf", "line", "docs", F.posexplode("tokens").alias("pos", "token"))
@@ -147,12 +155,12 @@ def recurring_lines(docs: DataFrame, least_docs: int = 5, kept_share: float = 0.
     return named.join(templates, ["leaf", "template"]).groupBy("line").agg(F.min("home").alias("first"))
 
 
-def _spans_of(bloom):
+def _spans_of(bloom, kept_share: float):
     """Places of lines that pass: key of the row, id, hash of the line, its place among the lines that have enough tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, bounds in C.chunks(batches):
-            lines = Lines(data, bounds)
+            lines = Lines(data, bounds, kept_share)
             at = np.flatnonzero(bloom.value.test(lines.line))
             place = at - np.searchsorted(lines.doc, lines.doc[at])
             own = pa.array(lines.doc[at])
@@ -183,7 +191,7 @@ def drop_lines(docs: DataFrame, least_docs: int = 5, kept_share: float = 0.5) ->
     """keyed() rows of docs, text without the lines of recurring templates, and n_dropped."""
     rows = C.keyed(docs)
     lines = C.checkpoint(recurring_lines(rows, least_docs, kept_share))
-    places = rows.select("key", "doc_id", "text").mapInArrow(_spans_of(_filter_of(lines, "line")), "key long, doc_id long, line long, place int")
+    places = rows.select("key", "doc_id", "text").mapInArrow(_spans_of(_filter_of(lines, "line"), kept_share), "key long, doc_id long, line long, place int")
     gone = places.join(lines, "line").filter(~F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("key").agg(F.collect_set("place").alias("places"))
     kind = rows.schema["row"].dataType.simpleString()
     return rows.join(gone, "key", "left").select("key", "doc_id", "row", "text", "places").mapInArrow(_drop, f"key long, doc_id long, row {kind}, text string, n_dropped long")

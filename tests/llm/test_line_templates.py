@@ -74,3 +74,13 @@ def test_short_lines(spark):
     rows = L.drop_lines(d).collect()
     assert sorted((r.doc_id, r.text) for r in rows) == want
     assert sorted(r.n_dropped for r in rows) == [0] + [3] * 5
+
+
+def test_identical_lines_of_digits(spark):
+    version, date = "v1.2 build 345 2024-01-01", "2024-01-01"
+    docs = [(i, f"{'abcdef'[i]}{'abcdef'[i]}\n{version}\n{date}\nv1.2 build 345 2024-01-0{i + 2}\n{i} 7 8 9") for i in range(6)]
+    want = [docs[0]] + [(i, f"{'abcdef'[i]}{'abcdef'[i]}\nv1.2 build 345 2024-01-0{i + 2}\n{i} 7 8 9") for i in range(1, 6)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert sorted((r.doc_id, r.text) for r in L.drop_lines(d).collect()) == want
+    few = d.filter("doc_id < 4")
+    assert sum(r.n_dropped for r in L.drop_lines(few).collect()) == 0
