@@ -14,8 +14,9 @@ of its own weight, so fingerprints are computed for these windows alone.
 Items come to the driver in blocks of bounded size and each block is broadcast
 and held against all documents; no document moves.
 
-Results by case: items of fewer than five words are left out, as chance would
-match them; a null or empty text matches nothing; a document a little shorter
+Results by case: an item of fewer than five words is one shingle, its whole
+sequence, and a document has it only if it holds that whole; an item without
+words matches nothing, as does a null or empty text; a document a little shorter
 than an item is one window; null and repeated ids are carried through; an empty
 table of either kind gives no matches.
 """
@@ -43,8 +44,8 @@ _LEAKS = pa.list_(pa.struct([("item_id", pa.int64()), ("start_word", pa.int64())
 _MASKS = np.array(sorted(sum(1 << b for b in bits) for k in range(NEAR + 1) for bits in combinations(range(BITS), k)), np.int64)
 
 
-def weighted_shingles(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, weights, first): one shingle for each word, those that would cross a document's end have weight 0."""
+def weighted_shingles(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, weights, first, words): one shingle for each word, those that would cross a document's end have weight 0; and the words' own hashes."""
     start, end, first = C.trimmed_words(data, bounds)
     words = C.word_hashes(data, start, end, fold=True)
     hashes, weights = np.zeros(len(words), np.uint64), np.zeros(len(words))
@@ -55,7 +56,7 @@ def weighted_shingles(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray,
         inside = doc[: len(runs)] == doc[WORDS - 1 :]
         hashes[: len(runs)] = runs
         weights[: len(runs)] = np.where(inside, np.log2(1 + size[WORDS:] - size[: len(runs)]), 0)
-    return hashes, weights, first
+    return hashes, weights, first, words
 
 
 def _bit_sums(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -81,11 +82,14 @@ class Index:
     def __init__(self, items: list[tuple[int | None, str]], least: float):
         self.least = least
         self.ids, self.bags, self.weights, lengths, prints = [], [], [], [], []
+        short: dict[int, list[tuple[int, int | None]]] = {}
         for item_id, text in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1])):
             raw = np.frombuffer(text.encode(), np.uint8)
-            hashes, weights, first = weighted_shingles(raw, np.array([0, len(raw)]))
+            hashes, weights, first, words = weighted_shingles(raw, np.array([0, len(raw)]))
             n = int(first[-1])
             if n < WORDS:
+                if n:
+                    short.setdefault(n, []).append((int(C.run_hashes(words, n)[0]), item_id))
                 continue
             hashes, weights = hashes[: n - WORDS + 1], weights[: n - WORDS + 1]
             self.ids.append(item_id)
@@ -93,6 +97,15 @@ class Index:
             self.weights.append(dict(zip(hashes.tolist(), weights.tolist(), strict=True)))
             lengths.append(n)
             prints.append(_fingerprints(_bit_sums(hashes, weights)[-1:])[0])
+        # short items come after the others: hashes of each length, and for each hash its items
+        self.short = {}
+        for n, own in short.items():
+            keys = np.unique(np.array([h for h, _ in own], np.uint64))
+            items: list[list[int]] = [[] for _ in keys]
+            for h, item_id in own:
+                items[int(np.searchsorted(keys, np.uint64(h)))].append(len(self.ids))
+                self.ids.append(item_id)
+            self.short[n] = keys, items
         self.lengths, self.prints = np.array(lengths, np.int64), np.array(prints, np.uint64)
         self.shingles = np.array(sorted({s for bag in self.bags for s in bag}), np.uint64)
         self.screen = np.zeros(1 << 20, bool)
@@ -129,10 +142,23 @@ class Index:
         apart = np.bitwise_count(prints[window] ^ self.prints[item])
         return window[apart <= RADIUS], item[apart <= RADIUS]
 
+    def _short_leaks(self, words: np.ndarray, first: np.ndarray) -> dict[int, dict[int, tuple[float, int, int]]]:
+        found: dict[int, dict[int, tuple[float, int, int]]] = {}
+        doc = C.owners(first)
+        for n, (keys, items) in self.short.items():
+            runs = C.run_hashes(words, n)
+            key = np.minimum(np.searchsorted(keys, runs), len(keys) - 1)
+            at = np.flatnonzero((keys[key] == runs) & (doc[: len(runs)] == doc[n - 1 :])) if len(runs) else np.zeros(0, np.int64)
+            _, leftmost = np.unique(doc[at] * len(keys) + key[at], return_index=True)
+            for a in at[leftmost].tolist():
+                for item in items[key[a]]:
+                    found.setdefault(int(doc[a]), {})[item] = (1.0, a - int(first[doc[a]]), n)
+        return found
+
     def leaks(self, data: np.ndarray, bounds: np.ndarray) -> dict[int, dict[int, tuple[float, int, int]]]:
         """document: item: (similarity, first word, words) of its best window, the leftmost of equals."""
-        found: dict[int, dict[int, tuple[float, int, int]]] = {}
-        hashes, weights, first = weighted_shingles(data, bounds)
+        hashes, weights, first, words = weighted_shingles(data, bounds)
+        found = self._short_leaks(words, first)
         maybe = np.flatnonzero(self.screen[(hashes >> np.uint64(44)).astype(np.int64)] & (weights > 0))
         place = np.searchsorted(self.shingles, hashes[maybe])
         hits = maybe[self.shingles[np.minimum(place, len(self.shingles) - 1)] == hashes[maybe]] if len(self.shingles) else maybe[:0]

@@ -79,3 +79,15 @@ def test_given_tables(spark):
     got = {(r.doc_id, r.item_id) for r in D.matches(docs, items).collect()}
     want = brute([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in items.collect()])
     assert got == want.keys() and want
+
+
+def test_short_items(spark):
+    items = [(1, "forty two"), (2, "Yes!"), (3, "one two three four"), (4, "--"), (5, "forty two"), (6, "a b c d e")]
+    docs = [(1, "it is Forty, two; and forty two"), (2, "forty and two"), (3, "forty"), (4, "two yes"), (5, "zero one two three four five a b c d e"), (6, "one two three"), (7, None), (None, "yes")]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {tuple(r) for r in D.matches(d, b).collect()}
+    assert got == {(1, 1, 2, 2, 1.0), (1, 5, 2, 2, 1.0), (4, 2, 1, 1, 1.0), (5, 3, 1, 4, 1.0), (5, 6, 6, 5, 1.0), (None, 2, 0, 1, 1.0)}
+    assert sorted(r.doc_id for r in D.clean(d, b).collect()) == [2, 3, 6, 7]
+    only = D.matches(d, b.filter("item_id = 2")).collect()  # no longer item
+    assert {(r.doc_id, r.item_id) for r in only} == {(4, 2), (None, 2)}
