@@ -111,7 +111,8 @@ class _Block:
 
     def __init__(self, classes: np.ndarray, special: list[str]):
         self.classes, self.special = classes, special
-        self.hashes, self.words, self.docs = np.zeros(0, np.uint64), np.zeros(0, object), []
+        self.number: dict[bytes, int] = {}
+        self.docs: list[tuple[bytes, bytes, np.ndarray]] = []
         self.size = 0
 
     def add(self, ids: list, data: np.ndarray, bounds: np.ndarray) -> None:
@@ -135,22 +136,10 @@ class _Block:
                 starts[a + 1 : b] = False
         start = np.flatnonzero(starts)
         end = np.append(start[1:], len(points))
-        prefix = C.prefix_hashes(C.mix(points.astype(np.uint64) + np.uint64(1)))
-        hashes = C.span_hashes(prefix, start, end) if len(start) else np.zeros(0, np.uint64)
-        new, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        words = np.array([text[start[i] : end[i]] for i in first], object)
-        known = len(self.hashes)
-        order = np.argsort(self.hashes, kind="stable")
-        place = np.searchsorted(self.hashes, new, sorter=order)
-        hit = np.zeros(len(new), bool)
-        if known:
-            hit = self.hashes[order[np.minimum(place, known - 1)]] == new
-        slot = np.empty(len(new), np.int64)
-        if known:
-            slot[hit] = order[place[hit]]
-        slot[~hit] = known + np.arange((~hit).sum())
-        self.hashes = np.concatenate([self.hashes, new[~hit]])
-        self.words = np.concatenate([self.words, words[~hit]])
+        byte_at = np.append(np.flatnonzero(lead[1:] > lead[:-1]), len(data))
+        from_, to = byte_at[start], byte_at[end]
+        first, inverse = C.distinct_spans(data, from_, to)
+        slot = np.array([self.number.setdefault(raw[a:b], len(self.number)) for a, b in zip(from_[first].tolist(), to[first].tolist(), strict=True)], np.int64)
         counts = np.diff(np.searchsorted(start, at))
         valid = np.array([x is not None for x in ids], np.uint8)
         head = np.array([x if x is not None else 0 for x in ids], np.int64)
@@ -158,13 +147,17 @@ class _Block:
         self.size += len(data)
 
     def rows(self, block: int, n: int) -> Iterator[pa.RecordBatch]:
-        uses = np.zeros(len(self.hashes), np.int64)
+        words = list(self.number)
+        lengths = np.array([len(w) for w in words], np.int64)
+        ends = np.cumsum(lengths)
+        hashes = C.byte_hashes(np.frombuffer(b"".join(words), np.uint8), ends - lengths, ends)
+        uses = np.zeros(len(words), np.int64)
         for _, _, slots in self.docs:
             uses += np.bincount(slots, minlength=len(uses))
         ranked = np.argsort(-uses, kind="stable")
         number = np.empty(len(uses), np.uint32)
         number[ranked] = np.arange(len(uses), dtype=np.uint32)
-        order, bounds = C.split_by(self.hashes, n)
+        order, bounds = C.split_by(hashes, n)
         out: dict[str, list] = {name: [] for name in _ARROW.names}
         for i, (a, b, c) in enumerate(self.docs):
             for name, x in zip(_ARROW.names, ((block + i) % n, 0, block, a, b, _squeeze_numbers(number[c])), strict=True):
@@ -173,9 +166,7 @@ class _Block:
             part = order[bounds[bucket] : bounds[bucket + 1]]
             if len(part):
                 part = part[np.argsort(number[part])]
-                encoded = [w.encode() for w in self.words[part]]
-                lengths = np.array([len(w) for w in encoded], np.uint32)
-                for name, x in zip(_ARROW.names, (bucket, 1, block, _squeeze_numbers(number[part]), _squeeze(C.blob(lengths)), _squeeze(b"".join(encoded))), strict=True):
+                for name, x in zip(_ARROW.names, (bucket, 1, block, _squeeze_numbers(number[part]), _squeeze(C.blob(lengths[part].astype(np.uint32))), _squeeze(b"".join([words[i] for i in part.tolist()]))), strict=True):
                     out[name].append(x)
         yield C.record(_ARROW, out)
 

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,8 +27,7 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
-_BASE, _WORD = 0xD6E8FEB86659FD93, _U(0xA0761D6478BD642F)
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+_WORD = _U(0xA0761D6478BD642F)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -36,10 +36,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the folder that the cluster names; only a session without one (tests) gets a local folder."""
+    """Uses the shared folder that the cluster names in spark.checkpoint.dir; only a session of one process (tests) may do without and gets a folder of its own."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint"))
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -48,7 +51,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def short_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Batches for Python of fewer rows than Spark's default, which for long texts would be tens of MB each; a setting of the user's stands."""
+    """Sets batches for Python of fewer rows than Spark's default, which for long texts would be tens of MB each.
+
+    The registered queries and the pipeline call it for their session, operators don't. Any other value than the default stands.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name) == "10000":
         spark.conf.set(name, str(rows))
@@ -63,9 +69,9 @@ def release() -> None:
         pass
 
 
-def buckets(spark: SparkSession, each: int = 4) -> int:
-    """Hash buckets of a blob shuffle: a multiple of the partitions that the session is set to."""
-    return each * int(spark.conf.get("spark.sql.shuffle.partitions"))
+def buckets(spark: SparkSession, size: float = 0, each: int = 4) -> int:
+    """Hash buckets of a blob shuffle: a multiple of the partitions that the session is set to, more if a bucket of so many bytes would pass 32 MB."""
+    return max(each * int(spark.conf.get("spark.sql.shuffle.partitions")), int(size) >> 25)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -78,49 +84,88 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-#: A 64-bit value for each byte, and the same with A-Z valued as a-z.
-BYTE_VALUES = mix(np.arange(1, 257, dtype=_U) * _STEP)
-FOLDED_VALUES = BYTE_VALUES.copy()
-FOLDED_VALUES[65:91] = BYTE_VALUES[97:123]
+#: Bytes with A-Z as a-z.
+FOLDED = np.arange(256, dtype=np.uint8)
+FOLDED[65:91] += 32
+
+#: Spans of more bytes are hashed one by one.
+LANES = 16
+
 
-_powers: dict[str, np.ndarray] = {}
+def words_of(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; bytes behind the end count as 0."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and its inverse modulo 2**64 for i < n at least."""
-    if len(_powers.get("up", ())) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        for name, base in (("up", _BASE), ("down", _BASE_INVERSE)):
-            out = np.full(size, base, _U)
-            out[0] = 1
-            _powers[name] = np.multiply.accumulate(out)
-    return _powers["up"], _powers["down"]
+def _lane(lanes: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    return lanes[at] & (_U(0xFFFFFFFFFFFFFFFF) >> (_U(8) * np.maximum(8 - left, 0).astype(_U)))
 
 
-def prefix_hashes(values: np.ndarray) -> np.ndarray:
-    """C with C[j] - C[i] = sum of values[k] * BASE**k over i <= k < j."""
-    up, _ = powers(len(values) + 1)
-    out = np.zeros(len(values) + 1, _U)
-    np.cumsum(values * up[: len(values)], out=out[1:])
+def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of the byte spans [start, end). Eight bytes at a time go through mix(), so no sums or powers can cancel out."""
+    size = end - start
+    out = mix(size.astype(_U) + _U(seed) * _STEP)
+    if not len(out):
+        return out
+    lanes = words_of(data)
+    now = np.flatnonzero((size > 0) & (size <= 8 * LANES))
+    for k in range(LANES):
+        if not len(now):
+            break
+        left = size[now] - 8 * k
+        out[now] = mix((out[now] ^ _lane(lanes, start[now] + 8 * k, left)) + _STEP)
+        now = now[left > 8]
+    for i in np.flatnonzero(size > 8 * LANES).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]], seed)
     return out
 
 
-def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the spans [start, end): equal contents have equal hashes wherever they stand."""
-    _, down = powers(len(prefix))
-    return mix((prefix[end] - prefix[start]) * down[start])
+def same_spans(data: np.ndarray, one: np.ndarray, two: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the spans of these sizes from one[i] and two[i] on have the same bytes."""
+    out, lanes = np.ones(len(size), bool), words_of(data)
+    now = np.flatnonzero((size > 0) & (size <= 8 * LANES) & (one != two))
+    for k in range(LANES):
+        if not len(now):
+            break
+        left = size[now] - 8 * k
+        out[now] = _lane(lanes, one[now] + 8 * k, left) == _lane(lanes, two[now] + 8 * k, left)
+        now = now[out[now] & (left > 8)]
+    for i in np.flatnonzero((size > 8 * LANES) & (one != two)).tolist():
+        out[i] = np.array_equal(data[one[i] : one[i] + size[i]], data[two[i] : two[i] + size[i]])
+    return out
+
+
+def distinct_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, number): a span for each distinct content and the number of each span's content, by its bytes."""
+    hashes = byte_hashes(data, start, end)
+    _, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+    size = end - start
+    home = first[number]
+    if ((size != size[home]) | ~same_spans(data, start, start[home], size)).any():  # two contents of one hash
+        raw, known = data.tobytes(), {}
+        number = np.array([known.setdefault(raw[a:b], len(known)) for a, b in zip(start.tolist(), end.tolist(), strict=True)], np.int64)
+        _, first = np.unique(number, return_index=True)
+    return first, number
 
 
 def run_hashes(values: np.ndarray, n: int) -> np.ndarray:
-    """Hash of each n consecutive values, for each start; empty if there are fewer."""
+    """Hash of each n consecutive values, for each start, from hashes of halves; empty if there are fewer."""
     if len(values) < n:
         return np.zeros(0, _U)
-    size = len(values) - n + 1
-    out = values[n - 1 :].copy()
-    for j in range(n - 2, -1, -1):
-        out *= _WORD
-        out += values[j : j + size]
-    return mix(out)
+    part, size, out, done = values, 1, None, 0
+    while True:
+        if n & size:
+            out, done = (part, size) if out is None else (_both(out, part[done:]), done + size)
+        if done == n:
+            return mix(out + _U(n))
+        part, size = _both(part, part[size:]), 2 * size
+
+
+def _both(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    m = min(len(left), len(right))
+    return mix((left[:m] * _WORD) ^ (right[:m] + _STEP))
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -161,7 +206,7 @@ def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool = False) -> np.ndarray:
-    return span_hashes(prefix_hashes((FOLDED_VALUES if fold else BYTE_VALUES)[data]), start, end)
+    return byte_hashes(FOLDED[data] if fold else data, start, end)
 
 
 def owners(first: np.ndarray) -> np.ndarray:
@@ -227,38 +272,65 @@ def trimmed_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.
 
 
 class Bloom:
-    """A Bloom filter over 64-bit hashes; its size follows the number of keys up to 2**28 bits, beyond which it lets more pass."""
-
-    def __init__(self, keys: np.ndarray):
-        bits = 1 << int(min(28, max(13, np.ceil(np.log2(max(1, len(keys)) * 12)))))
-        self.mask = np.uint64(bits - 1)
-        self.bits = np.zeros(bits // 8, np.uint8)
-        for at in range(0, len(keys), 1 << 20):
-            self._set(keys[at : at + (1 << 20)])
-
-    def _set(self, keys: np.ndarray) -> None:
-        for place in self._places(keys):
-            np.bitwise_or.at(self.bits, (place >> np.uint64(3)).astype(np.int64), (1 << (place & np.uint64(7))).astype(np.uint8))
+    """A Bloom filter over 64-bit hashes in slices by their highest bits; every slice has a power of two of bits."""
 
-    def _places(self, keys: np.ndarray):
-        other = mix(keys ^ _STEP) | np.uint64(1)
-        return [(keys + np.uint64(i) * other) & self.mask for i in range(3)]
-
-    def __contains__(self, keys) -> bool:
-        return bool(self.test(np.atleast_1d(keys)).all())
+    def __init__(self, slices: int, rows: list):
+        self.shift = _U(64 - slices.bit_length() + 1) if slices > 1 else _U(0)
+        self.several = slices > 1
+        size = max([len(r.bits) for r in rows], default=8)
+        self.bits = np.zeros((slices, size), np.uint8)
+        for r in rows:
+            self.bits[r.slice] = np.frombuffer(r.bits, np.uint8)
+        self.mask = _U(8 * size - 1)
 
     def test(self, keys: np.ndarray) -> np.ndarray:
+        part = (keys >> self.shift).astype(np.int64) if self.several else np.zeros(len(keys), np.int64)
         out = np.ones(len(keys), bool)
-        for place in self._places(keys):
-            out &= (self.bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        for place in _places(keys, self.mask):
+            out &= (self.bits[part, (place >> _U(3)).astype(np.int64)] >> (place & _U(7)).astype(np.uint8) & 1).astype(bool)
         return out
 
 
-def keyed(docs: DataFrame, **more) -> DataFrame:
-    """docs as (key, text, row): row holds the other columns, so their names can't clash; key is equal for equal (doc_id, text) only."""
+def _places(keys: np.ndarray, mask: np.uint64) -> list[np.ndarray]:
+    one, two = mix(keys), mix(~keys) | _U(1)
+    return [(one + _U(i) * two) & mask for i in range(3)]
+
+
+#: Bits of one slice of a filter, and of a filter at most; beyond that it lets more keys pass.
+SLICE_BITS, FILTER_BITS = 20, 28
+
+
+def filter_of(keys: DataFrame, column: str):
+    """A broadcast Bloom filter of a column of hashes (longs); what reaches the driver is as large as the filter, 32 MB at most."""
+    count = keys.count()
+    bits = max(13, min(FILTER_BITS, int(np.ceil(np.log2(max(1, count) * 12)))))
+    spread = max(0, bits - SLICE_BITS)
+    part = F.shiftrightunsigned(F.col(column), 64 - spread).cast("int") if spread else F.lit(0)
+    size = 1 << min(bits, SLICE_BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(size, bool)
+        slice_ = None
+        for batch in batches:
+            slice_ = batch.column(0)[0].as_py()
+            for place in _places(batch.column(1).to_numpy().view(_U), _U(size - 1)):
+                out[place.astype(np.int64)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([slice_], pa.int32()), pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())], ["slice", "bits"])
+
+    rows = keys.select(part.alias("slice"), F.col(column).alias("key")).groupBy("slice").applyInArrow(run, "slice int, bits binary").collect() if count else []
+    return keys.sparkSession.sparkContext.broadcast(Bloom(1 << spread, rows))
+
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    """32 bytes that are equal for equal (doc_id, text) only."""
+    return F.unhex(F.sha2(F.concat(F.coalesce(doc_id.cast("string"), F.lit("n")), F.coalesce(F.concat(F.lit(":"), text), F.lit("n"))), 256))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs as (key, doc_id, text, row): row holds the other columns, so their names can't clash; key is row_key()."""
     rest = [docs[c].alias(f"_{i}") for i, c in enumerate(docs.columns) if c != "text"] or [F.lit(0).alias("_none")]
     doc_id = F.col("doc_id").cast("long") if "doc_id" in docs.columns else F.lit(None).cast("long")
-    return docs.select(F.xxhash64(doc_id, F.col("text")).alias("key"), doc_id.alias("doc_id"), F.col("text"), F.struct(*rest).alias("row"))
+    return docs.select(row_key(doc_id, F.col("text")).alias("key"), doc_id.alias("doc_id"), F.col("text"), F.struct(*rest).alias("row"))
 
 
 def unkeyed(rows: DataFrame, docs: DataFrame) -> DataFrame:

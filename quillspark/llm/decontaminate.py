@@ -219,7 +219,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, block_bytes:
     for b in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
         index = docs.sparkSession.sparkContext.broadcast(Index([(r.item_id, r.text) for r in part], least))
-        rows = rows.mapInArrow(_scanner(index), f"key long, doc_id long, text string, row {kind}, leaks {LEAKS}")
+        rows = rows.mapInArrow(_scanner(index), f"key binary, doc_id long, text string, row {kind}, leaks {LEAKS}")
     return rows
 
 

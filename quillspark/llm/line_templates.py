@@ -60,12 +60,12 @@ class Lines:
         alone = self.count - (masked[self.first + self.count] - masked[self.first]) < kept_share * self.count
         wild[C.ragged(self.first[alone], self.count[alone])] = False
         self.tokens = np.where(wild, WILD, tokens)
+        # leaf and line are hashes of their own: together they name a line in 128 bits
         leaf = C.mix(self.count.astype(np.uint64))
         for i in range(DEPTH):
             longer = np.flatnonzero(self.count > i)
             leaf[longer] = C.mix(leaf[longer] * np.uint64(31) + self.tokens[self.first[longer] + i])
-        prefix = C.prefix_hashes(self.tokens)
-        self.line = C.span_hashes(prefix, self.first, self.first + self.count) if len(leaf) else leaf
+        self.line = C.byte_hashes(self.tokens.view(np.uint8), 8 * self.first, 8 * (self.first + self.count))
         self.leaf = np.where(alone, C.mix(~self.line), leaf)
 
     def once(self, keys: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
@@ -89,34 +89,6 @@ def _count_leaves(kept_share: float):
     return run
 
 
-def _filter_of(keys: DataFrame, column: str):
-    """A broadcast Bloom filter of a column of hashes; its size is bounded whatever the number of keys."""
-    count = keys.count()
-    bloom = C.Bloom(np.zeros(count and 0, np.uint64))
-    if count:
-        bits = max(13, min(28, int(np.ceil(np.log2(count * 12)))))
-        parts = keys.select(column).mapInArrow(_bloom_parts(bits), "bits binary").collect()
-        bloom.mask = np.uint64((1 << bits) - 1)
-        bloom.bits = np.zeros(1 << bits - 3, np.uint8)
-        for part in parts:
-            bloom.bits |= np.frombuffer(part.bits, np.uint8)
-    return keys.sparkSession.sparkContext.broadcast(bloom)
-
-
-def _bloom_parts(bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = C.Bloom(np.zeros(0, np.uint64))
-        out.mask, out.bits = np.uint64((1 << bits) - 1), np.zeros(1 << bits - 3, np.uint8)
-        some = False
-        for batch in batches:
-            out._set(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
-            some = True
-        if some:
-            yield pa.RecordBatch.from_arrays([pa.array([out.bits.tobytes()], pa.binary())], ["bits"])
-
-    return run
-
-
 def _lines_in(bloom, kept_share: float):
     """Distinct masked lines of a chunk in leaves that pass: tokens, documents, smallest id."""
 
@@ -139,24 +111,24 @@ def _lines_in(bloom, kept_share: float):
 
 
 def recurring_lines(docs: DataFrame, least_docs: int = 5, kept_share: float = 0.5) -> DataFrame:
-    """(line, first): masked lines whose template recurs, and the smallest id of its documents. Both passes read all of docs (doc_id, text)."""
+    """(leaf, line, first): masked lines whose template recurs, and the smallest id of its documents. Both passes read all of docs (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     leaves = rows.select("text").mapInArrow(_count_leaves(kept_share), "leaf long, docs long").groupBy("leaf").agg(F.sum("docs").alias("n")).filter(F.col("n") >= least_docs).select("leaf")
     leaves = C.checkpoint(leaves)
-    lines = rows.mapInArrow(_lines_in(_filter_of(leaves, "leaf"), kept_share), "leaf long, line long, tokens array<long>, docs long, first long")
+    lines = rows.mapInArrow(_lines_in(C.filter_of(leaves, "leaf"), kept_share), "leaf long, line long, tokens array<long>, docs long, first long")
     lines = lines.groupBy("leaf", "line").agg(F.any_value("tokens").alias("tokens"), F.sum("docs").alias("docs"), F.min("first").alias("first"))
     lines = C.checkpoint(lines.join(leaves, "leaf", "left_semi"))
     places = lines.select("leaf", "line", "docs", F.posexplode("tokens").alias("pos", "token"))
     common = places.groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("n")).filter(F.col("n") >= least_docs)
     fixed = places.filter(F.col("token") != F.lit(int(WILD))).join(common.select("leaf", "pos", "token"), ["leaf", "pos", "token"], "left_semi")
-    fixed = fixed.groupBy("leaf", "line").agg(F.count("*").alias("kept"), F.bit_xor(F.xxhash64("pos", "token")).alias("template"))
-    named = lines.join(fixed, ["leaf", "line"]).filter(F.col("kept") >= kept_share * F.size("tokens")).select("leaf", "line", "template", "docs", "first")
+    fixed = fixed.groupBy("leaf", "line").agg(F.count("*").alias("kept"), F.bit_xor(F.xxhash64("pos", "token")).alias("template"), F.bit_xor(F.xxhash64("token", "pos")).alias("other"))
+    named = lines.join(fixed, ["leaf", "line"]).filter(F.col("kept") >= kept_share * F.size("tokens")).select("leaf", "line", F.struct("template", "other").alias("template"), "docs", "first")
     templates = named.groupBy("leaf", "template").agg(F.sum("docs").alias("n"), F.min("first").alias("home")).filter(F.col("n") >= least_docs)
-    return named.join(templates, ["leaf", "template"]).groupBy("line").agg(F.min("home").alias("first"))
+    return named.join(templates, ["leaf", "template"]).select("leaf", "line", F.col("home").alias("first"))
 
 
 def _spans_of(bloom, kept_share: float):
-    """Places of lines that pass: key of the row, id, hash of the line, its place among the lines that have enough tokens."""
+    """Places of lines that pass: key of the row, id, name of the line, its place among the lines that have enough tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, bounds in C.chunks(batches):
@@ -164,7 +136,7 @@ def _spans_of(bloom, kept_share: float):
             at = np.flatnonzero(bloom.value.test(lines.line))
             place = at - np.searchsorted(lines.doc, lines.doc[at])
             own = pa.array(lines.doc[at])
-            yield pa.RecordBatch.from_arrays([rows.column("key").take(own), rows.column("doc_id").take(own), _signed(lines.line[at]), pa.array(place.astype(np.int32))], ["key", "doc_id", "line", "place"])
+            yield pa.RecordBatch.from_arrays([rows.column("key").take(own), rows.column("doc_id").take(own), _signed(lines.leaf[at]), _signed(lines.line[at]), pa.array(place.astype(np.int32))], ["key", "doc_id", "leaf", "line", "place"])
 
     return run
 
@@ -191,10 +163,10 @@ def drop_lines(docs: DataFrame, least_docs: int = 5, kept_share: float = 0.5) ->
     """keyed() rows of docs, text without the lines of recurring templates, and n_dropped."""
     rows = C.keyed(docs)
     lines = C.checkpoint(recurring_lines(rows, least_docs, kept_share))
-    places = rows.select("key", "doc_id", "text").mapInArrow(_spans_of(_filter_of(lines, "line"), kept_share), "key long, doc_id long, line long, place int")
-    gone = places.join(lines, "line").filter(~F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("key").agg(F.collect_set("place").alias("places"))
+    places = rows.select("key", "doc_id", "text").mapInArrow(_spans_of(C.filter_of(lines, "line"), kept_share), "key binary, doc_id long, leaf long, line long, place int")
+    gone = places.join(lines, ["leaf", "line"]).filter(~F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("key").agg(F.collect_set("place").alias("places"))
     kind = rows.schema["row"].dataType.simpleString()
-    return rows.join(gone, "key", "left").select("key", "doc_id", "row", "text", "places").mapInArrow(_drop, f"key long, doc_id long, row {kind}, text string, n_dropped long")
+    return rows.join(gone, "key", "left").select("key", "doc_id", "row", "text", "places").mapInArrow(_drop, f"key binary, doc_id long, row {kind}, text string, n_dropped long")
 
 
 def clean(docs: DataFrame, least_docs: int = 5) -> DataFrame:

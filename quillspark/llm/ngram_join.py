@@ -1,20 +1,22 @@
 """N-gram Jaccard self-join with a token-group matrix.
 
 A document's set is its distinct word shingles, as 64-bit hashes; documents of
-equal sets are one node. Two sets that reach the similarity share a token among
-the first tokens of both, in any order of tokens that is the same for all. Here
-tokens that seem to be in one set alone come first, so that most sets meet no
-other, and frequent tokens come last. Nodes that share such a token form blocks, found as
-connected components of stars, never as pairs.
-
-Within a block similar nodes (by their smallest token) are put in groups of
-bounded size. A group's row of the matrix is the union of its tokens. Inside a
-group sets are compared exactly, and what is already connected isn't compared
-again. Representatives of what was found are then joined likewise, level by
-level. What still isn't connected goes the exact way: a query meets each group
-with which it shares a first token; the overlap of the query with the group's
-union bounds its overlap with any member, and only groups that reach the
-bound are opened.
+equal sets are one node, named by 128 bits of the set. The first documents of
+all nodes take part in what follows, so copies cost nothing more.
+
+Similar nodes are put in groups of bounded size: nodes that share the least
+token of one of three hash orders. Inside a group sets are compared exactly.
+That finds nearly all links; connected nodes are one component from then on.
+
+The rest is found the exact way. Two sets that reach the similarity share a
+token among the first tokens of both, in any order of tokens that is the same
+for all. Here tokens that seem to be in one set alone come first, so that most
+sets meet no other, and frequent tokens come last. Only tokens that nodes of
+different components have there are looked at. A row of the matrix is the union
+of the tokens of a group of such nodes; a query meets each group with which it
+shares a first token, its overlap with the union bounds its overlap with any
+member, and only groups that reach the bound are opened. Of a token's nodes
+those of its largest component don't ask.
 
 Links are the pairs with percent * |union| <= 100 * |intersection|. Only which
 nodes are connected is kept, so a group of copies is never expanded to pairs.
@@ -22,7 +24,8 @@ nodes are connected is kept, so a group of copies is never expanded to pairs.
 Results by case: texts without words have an empty set and are linked with
 nothing; fewer words than a shingle are one shingle; null ids take part and get
 the smallest id of their component, null if it has none; repeated ids have a
-row for each input row; an empty table gives no rows.
+row for each input row; an empty table gives no rows; a text of any length is
+one set.
 """
 
 from __future__ import annotations
@@ -31,19 +34,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .components import connected, forest, tasks
-from .line_templates import _filter_of
-
-#: Nodes of a group at most, and sets that share a token from which it counts as frequent.
-GROUP, FREQUENT = 256, 32
+from .components import connected, tasks
+
+#: Sets of a group and their tokens, about, at most; queries of a group that one task answers.
+GROUP, GROUP_TOKENS, ASKING = 256, 1 << 21, 1024
+#: Hash orders whose least tokens make groups.
+ORDERS = 3
+#: Sets that share a token from which it counts as frequent.
+FREQUENT = 32
 #: One in COUNTED tokens, by hash, is counted everywhere; others where a chunk has them in COMMON sets.
 COUNTED, COMMON = np.uint64(4), 4
 #: Frequent tokens that are put last at most, and bits of the filter of repeated ones; the order affects speed alone, never the links.
 RANKED, FILTER_BITS = 1 << 18, 1 << 28
+_U = np.uint64
 
 
 class Order:
@@ -73,11 +81,16 @@ class Order:
             byte = self.bits[self.offset[bucket] + (place >> np.uint64(3)).astype(np.int64)]
             repeated &= (byte >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
         out[counted] = np.where(repeated, 2, 0)
-        if len(self.tokens):
-            at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
-            out = np.where(self.tokens[at] == tokens, 2 + self.sets[at], out)
+        known = np.flatnonzero(self.frequent(tokens))
+        out[known] = 2 + self.sets[np.searchsorted(self.tokens, tokens[known])]
         return out
 
+    def frequent(self, tokens: np.ndarray) -> np.ndarray:
+        """Whether the tokens are among the numbered ones."""
+        if not len(self.tokens):
+            return np.zeros(len(tokens), bool)
+        return self.tokens[np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)] == tokens
+
 
 def filter_places(tokens: np.ndarray, mask) -> list[np.ndarray]:
     one, two = C.mix(tokens), C.mix(~tokens) | np.uint64(1)
@@ -97,16 +110,40 @@ class Sets:
         self.tokens, self.doc = hashes[new], doc[new]
         self.first = np.searchsorted(self.doc, np.arange(len(bounds)))
         self.n = np.diff(self.first)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(C.mix(self.tokens + np.uint64(1)))])
-        self.node = C.mix((total[self.first[1:]] - total[self.first[:-1]]) ^ self.n.astype(np.uint64) << np.uint64(40))
-        full = np.flatnonzero(self.n > 0)
-        self.once = full[np.sort(np.unique(self.node[full], return_index=True)[1])]
+        self.full = np.flatnonzero(self.n > 0)
+        total = np.concatenate([np.zeros(1, _U), np.cumsum(C.mix(self.tokens + _U(1)))])
+        other = np.concatenate([np.zeros(1, _U), np.cumsum(C.mix(self.tokens ^ _U(0x6A09E667F3BCC909)))])
+        of = lambda x: x[self.first[1:]] - x[self.first[:-1]]
+        #: 128 bits of each set
+        self.node = np.stack([C.mix(of(total)), C.mix(of(other) ^ self.n.astype(_U) << _U(40))], 1)
+        _, once = np.unique(self.node[self.full, 0], return_index=True)
+        self.once = self.full[np.sort(once)]
+
+    def leads(self) -> np.ndarray:
+        """The least token of each hash order, a column each; 0 for an empty set."""
+        out = np.zeros((len(self.n), ORDERS), _U)
+        for k in range(ORDERS if len(self.full) else 0):
+            out[self.full, k] = np.minimum.reduceat(C.mix(self.tokens * _U(2 * k + 1) + _U(k)), self.first[:-1][self.full])
+        return out
 
     def prefixes(self, percent: int, order: Order) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(token, document, early) of the first tokens of each distinct set: as many as two similar sets can't both miss."""
         at = C.ragged(self.first[self.once], self.n[self.once])
         return first_tokens(self.tokens[at], np.repeat(self.once, self.n[self.once]), percent, order)
 
+    def blobs(self, at: np.ndarray) -> pa.Array:
+        return pa.array([C.blob(self.tokens[self.first[i] : self.first[i + 1]]) for i in at], pa.binary())
+
+
+def names(node: np.ndarray, mask: np.ndarray | None = None) -> pa.Array:
+    """Nodes as binary values of 16 bytes; null where mask is set."""
+    out = pa.Array.from_buffers(pa.binary(16), len(node), [None, pa.py_buffer(node.astype(">u8").tobytes())]).cast(pa.binary())
+    return out if mask is None else pa.compute.if_else(pa.array(~mask), out, pa.scalar(None, pa.binary()))
+
+
+def numbers(names: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(names.to_pylist()), ">u8").reshape(-1, 2).astype(_U)
+
 
 def first_tokens(tokens: np.ndarray, owner: np.ndarray, percent: int, order: Order) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(token, owner, early) of the first tokens.
@@ -125,22 +162,25 @@ def first_tokens(tokens: np.ndarray, owner: np.ndarray, percent: int, order: Ord
 
 
 def _members(words: int):
+    """The columns besides text, the node (null for an empty set), its size and its least tokens."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, bounds in C.chunks(batches):
             s = Sets(data, bounds, words)
-            lead = np.zeros(len(s.n), np.int64)
-            lead[s.n > 0] = s.tokens[s.first[:-1][s.n > 0]].view(np.int64)
-            names = [c for c in rows.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in names], pa.array(s.node.view(np.int64), mask=s.n == 0), pa.array(s.n), pa.array(lead)], [*names, "node", "n", "lead"])
+            kept = [c for c in rows.schema.names if c != "text"]
+            leads = s.leads().view(np.int64)
+            yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in kept], names(s.node, s.n == 0), pa.array(s.n), *[pa.array(leads[:, k]) for k in range(ORDERS)]], [*kept, "node", "n", *LEADS])
 
     return run
 
 
+LEADS = [f"lead{k}" for k in range(ORDERS)]
 _BLOBS = pa.schema([("bucket", pa.int32()), ("tokens", pa.binary()), ("nodes", pa.binary()), ("sizes", pa.binary())])
+BLOBS = "bucket int, tokens binary, nodes binary, sizes binary"
 
 
-def _blobs(n: int, token: np.ndarray, node: np.ndarray | None, size: np.ndarray) -> pa.RecordBatch:
-    order, cut = C.split_by(token, n)
+def _blobs(n: int, deal: np.ndarray, token: np.ndarray, node: np.ndarray | None, size: np.ndarray) -> pa.RecordBatch:
+    order, cut = C.split_by(deal, n)
     out: dict[str, list] = {name: [] for name in _BLOBS.names}
     for b in range(n):
         own = order[cut[b] : cut[b + 1]]
@@ -158,21 +198,22 @@ def _counted_blobs(words: int, n: int):
             s = Sets(data, bounds, words)
             at = C.ragged(s.first[s.once], s.n[s.once])
             token, first, size = np.unique(s.tokens[at], return_index=True, return_counts=True)
-            node = s.node[s.doc[at[first]]] & np.uint64(255)
+            node = s.node[s.doc[at[first]], 0] & _U(255)
             use = (token % COUNTED == 0) | (size >= COMMON)
-            yield _blobs(n, token[use], None, (size[use].astype(np.uint64) << np.uint64(8)) | node[use])
+            yield _blobs(n, token[use], token[use], None, (size[use].astype(_U) << _U(8)) | node[use])
 
     return run
 
 
 def _prefix_blobs(words: int, percent: int, n: int, order):
-    """First tokens by hash bucket, with their sets and their sizes."""
+    """First tokens by hash bucket, frequent ones dealt over all buckets, with their sets and their sizes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, bounds in C.chunks(batches):
             s = Sets(data, bounds, words)
             token, doc, early = s.prefixes(percent, order.value)
-            yield _blobs(n, token, s.node[doc], 2 * s.n[doc] + early)
+            deal = np.where(order.value.frequent(token), C.mix(token ^ s.node[doc, 0]), token)
+            yield _blobs(n, deal, token, s.node[doc], 2 * s.n[doc] + early)
 
     return run
 
@@ -208,42 +249,82 @@ def _survey(n: int):
     return run
 
 
-def _stars(percent: int):
-    """Stars of the nodes that share a token and whose sizes allow the similarity, as a local forest.
+def _shared(percent: int, order):
+    """(token, node, n) of the nodes that share a first token with another one whose size allows the similarity.
 
     In order of size, the smaller of two similar nodes has their first common
-    token early; so each node is chained to the next one as long as an early
-    node before both is large enough for it.
+    token early; so a node counts if an early one before it, or it before the
+    next one, is large enough. Frequent tokens aren't together here and all count.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        token, node, size = _joined(table, "tokens", np.uint64), _joined(table, "nodes", np.uint64), _joined(table, "sizes", np.uint32).astype(np.int64)
+        token, node, size = _joined(table, "tokens", _U), _joined(table, "nodes", _U).reshape(-1, 2), _joined(table, "sizes", np.uint32).astype(np.int64)
+        by = np.lexsort((node[:, 1], node[:, 0], size >> 1, token))
+        token, node, size = token[by], node[by], size[by]
+        again = np.zeros(len(token), bool)
+        again[1:] = (token[1:] == token[:-1]) & (node[1:] == node[:-1]).all(1)
+        token, node, size = token[~again], node[~again], size[~again]
         early, size = size & 1 == 1, size >> 1
-        order = np.lexsort((node, size, token))
-        token, node, size, early = token[order], node[order], size[order], early[order]
         head = np.concatenate([[True], token[1:] != token[:-1]])[: len(token)]
         place = np.arange(len(token))
         last = np.maximum.accumulate(np.where(early, place, -1))[:-1]  # the largest early node so far
         of_token = np.maximum.accumulate(np.where(head, place, 0))[:-1]
-        near = ~head[1:] & (last >= of_token) & (100 * size[last] >= percent * size[1:]) & (node[1:] != node[:-1])
-        a, b = forest(node[:-1][near].view(np.int64), node[1:][near].view(np.int64))
+        near = ~head[1:] & (last >= of_token) & (100 * size[last] >= percent * size[1:])
+        use = order.value.frequent(token)
+        use[1:] |= near
+        use[:-1] |= near
         C.release()
-        return pa.table({"u": a, "v": b})
+        return pa.table({"token": pa.array(token[use].view(np.int64)), "node": names(node[use]), "n": pa.array(size[use])})
 
     return run
 
 
-def _sets_of(words: int, bloom):
-    """The sets that pass, each once for every task."""
+def _lead_keys(lead: np.ndarray, k: int | np.ndarray, level: int | np.ndarray) -> np.ndarray:
+    return C.mix(lead ^ C.mix(np.asarray(k).astype(_U) * _U(257) + np.asarray(level).astype(_U)))
+
+
+def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys of a filter: level 0 for each shared lead, and each level that its nodes' number has."""
+    for batch in batches:
+        k, lead, level = (batch.column(c).to_numpy() for c in ("k", "lead", "level"))
+        at = np.repeat(np.arange(len(k)), level + 1)
+        keys = _lead_keys(lead.view(_U)[at], k[at], C.ragged(np.zeros(len(k), np.int64), level + 1))
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], ["key"])
+
+
+def _grouped_sets(words: int, rows, leads):
+    """The sets of wanted rows, once for each of their shared leads; of many nodes that share it, by 2 ** level pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[int] = set()
-        for _, data, bounds in C.chunks(batches):
+        for batch, data, bounds in C.chunks(batches):
             s = Sets(data, bounds, words)
-            own = s.once[bloom.value.test(s.node[s.once])]
-            own = own[np.array([int(x) not in sent for x in s.node[own]], bool)]
-            sent.update(s.node[own].tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(s.node[own].view(np.int64)), pa.array(s.n[own].astype(np.int64)), pa.array([C.blob(s.tokens[s.first[i] : s.first[i + 1]]) for i in own], pa.binary())], ["node", "n", "tokens"])
+            wanted = rows.value.test(batch.column("row").to_numpy().view(_U)) & (s.n > 0)
+            lead = s.leads()
+            own, gid = [], []
+            for k in range(ORDERS):
+                at = np.flatnonzero(wanted)
+                at = at[leads.value.test(_lead_keys(lead[at, k], k, 0))]
+                level, now = np.zeros(len(at), np.int64), np.arange(len(at))
+                while len(now):
+                    now = now[leads.value.test(_lead_keys(lead[at[now], k], k, level[now] + 1))]
+                    level[now] += 1
+                piece = s.node[at, 0] & ((_U(1) << level.astype(_U)) - _U(1))
+                own.append(at)
+                gid.append(C.mix(_lead_keys(lead[at, k], k, 0) + piece))
+            own, gid = np.concatenate(own), np.concatenate(gid).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(gid), names(s.node[own]), pa.array(s.n[own].astype(np.int64)), s.blobs(own)], ["gid", "node", "n", "tokens"])
+
+    return run
+
+
+def _sets_of(words: int, rows):
+    """The sets of wanted rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, bounds in C.chunks(batches):
+            s = Sets(data, bounds, words)
+            own = np.flatnonzero(rows.value.test(batch.column("row").to_numpy().view(_U)) & (s.n > 0))
+            yield pa.RecordBatch.from_arrays([names(s.node[own]), s.blobs(own)], ["node", "tokens"])
 
     return run
 
@@ -252,23 +333,18 @@ def _overlaps(flag: np.ndarray, flat: np.ndarray, head: np.ndarray) -> np.ndarra
     return np.add.reduceat(flag[flat], head).astype(np.int64)
 
 
-def link_group(sizes: np.ndarray, tokens: list[np.ndarray], percent: int, known: np.ndarray | None = None) -> np.ndarray:
-    """The component of each set of a group by exact comparison; sets of equal `known` are connected already."""
+def link_group(sizes: np.ndarray, tokens: list[np.ndarray], percent: int) -> np.ndarray:
+    """The component of each set of a group by exact comparison."""
     n = len(sizes)
     union, flat = np.unique(np.concatenate(tokens), return_inverse=True)
     first = np.concatenate([[0], np.cumsum(sizes)])
     label = np.full(n, -1)
-    left = np.argsort(-sizes, kind="stable")
-    for start in left.tolist():
+    for start in np.argsort(-sizes, kind="stable").tolist():
         if label[start] >= 0:
             continue
         label[start], queue = start, [start]
         while queue:
             i = queue.pop()
-            if known is not None:
-                more = np.flatnonzero((known == known[i]) & (label < 0))
-                label[more] = start
-                queue += more.tolist()
             rest = np.flatnonzero((label < 0) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])))
             if not len(rest):
                 continue
@@ -282,24 +358,26 @@ def link_group(sizes: np.ndarray, tokens: list[np.ndarray], percent: int, known:
 
 
 def _link_groups(percent: int):
-    """Rows (gid, node, n, tokens, comp) of many groups: edges between components (smallest comp, comp) that links join."""
+    """Rows (gid, node, n, tokens) of many groups: a star of nodes for each component of a group."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = table.sort_by([("gid", "ascending"), ("node", "ascending")])
-        gid, node = (rows.column(c).to_numpy() for c in ("gid", "node"))
-        # tasks may have sent the same set
-        rows = rows.take(pa.array(np.flatnonzero(np.concatenate([[True], (gid[1:] != gid[:-1]) | (node[1:] != node[:-1])])[: len(gid)])))
-        gid, comp = (rows.column(c).to_numpy() for c in ("gid", "comp"))
-        size, tokens = rows.column("n").to_numpy(), rows.column("tokens").to_pylist()
+        gid, node = table.column("gid").to_numpy(), numbers(table.column("node"))
+        order = np.lexsort((node[:, 1], node[:, 0], gid))
+        gid, node = gid[order], node[order]
+        new = np.ones(len(gid), bool)
+        new[1:] = (gid[1:] != gid[:-1]) | (node[1:] != node[:-1]).any(1)  # rows that repeat were sent twice
+        gid, node, rows = gid[new], node[new], table.take(pa.array(order[new]))
+        size, tokens = rows.column("n").to_numpy(), rows.column("tokens")
         cut = np.flatnonzero(np.concatenate([[True], gid[1:] != gid[:-1], [True]]))
-        out = []
+        u, v = [np.zeros((0, 2), _U)], [np.zeros((0, 2), _U)]
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             if b - a > 1:
-                label = link_group(size[a:b], [np.frombuffer(t, np.uint64) for t in tokens[a:b]], percent, comp[a:b])
-                out.append(np.stack([comp[a:b][label], comp[a:b]]))
-        u, v = np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64)
+                label = a + link_group(size[a:b], [np.frombuffer(t, _U) for t in tokens[a:b].to_pylist()], percent)
+                other = np.flatnonzero(label != np.arange(a, b))
+                u.append(node[label[other]])
+                v.append(node[a + other])
         C.release()
-        return pa.table({"u": u[u != v], "v": v[u != v]})
+        return pa.table({"u": names(np.concatenate(u)), "v": names(np.concatenate(v))})
 
     return run
 
@@ -308,19 +386,19 @@ def _open_groups(percent: int):
     """Rows of groups (kind 0) and of their queries (kind 1): the query's overlap with the union first, then each member."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = table.sort_by([("gid", "ascending"), ("kind", "ascending")])
-        gid, kind, comp, size = (rows.column(c).to_numpy() for c in ("gid", "kind", "comp", "n"))
-        tokens = rows.column("tokens").to_pylist()
-        cut = np.flatnonzero(np.concatenate([[True], gid[1:] != gid[:-1], [True]]))
-        edges = []
+        rows = table.sort_by([("gid", "ascending"), ("slot", "ascending"), ("kind", "ascending")])
+        gid, slot, kind, size = (rows.column(c).to_numpy() for c in ("gid", "slot", "kind", "n"))
+        comp, tokens = rows.column("comp").to_pylist(), rows.column("tokens")
+        cut = np.flatnonzero(np.concatenate([[True], (gid[1:] != gid[:-1]) | (slot[1:] != slot[:-1]), [True]]))
+        edges = set()
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             q = a + int((kind[a:b] == 0).sum())
             if q in (a, b):
                 continue
-            union, flat = np.unique(np.concatenate([np.frombuffer(t, np.uint64) for t in tokens[a:q]]), return_inverse=True)
+            union, flat = np.unique(np.concatenate([np.frombuffer(t, _U) for t in tokens[a:q].to_pylist()]), return_inverse=True)
             head = np.cumsum(size[a:q]) - size[a:q]
             for i in range(q, b):
-                own = np.frombuffer(tokens[i], np.uint64)
+                own = np.frombuffer(tokens[i].as_py(), _U)
                 place = np.minimum(np.searchsorted(union, own), len(union) - 1)
                 inside = place[union[place] == own]
                 if 100 * len(inside) < percent * size[i]:
@@ -328,115 +406,98 @@ def _open_groups(percent: int):
                 flag = np.zeros(len(union), bool)
                 flag[inside] = True
                 both = _overlaps(flag, flat, head)
-                for j in np.flatnonzero((100 * both >= percent * (size[i] + size[a:q] - both)) & (comp[a:q] != comp[i])).tolist():
-                    edges.append((comp[i], comp[a + j]))
-        u, v = np.array(edges, np.int64).reshape(-1, 2).T
+                for j in np.flatnonzero(100 * both >= percent * (size[i] + size[a:q] - both)).tolist():
+                    if comp[a + j] != comp[i]:
+                        edges.add((comp[i], comp[a + j]))
         C.release()
-        return pa.table({"u": u, "v": v})
-
-    return run
-
-
-def _first_rows(percent: int, order):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = batch.column("n").to_numpy()
-            tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.uint64)
-            token, own, _ = first_tokens(tokens, np.repeat(np.arange(len(sizes)), sizes), percent, order.value)
-            take = pa.array(own)
-            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), *[batch.column(c).take(take) for c in ("node", "n", "comp", "gid")]], ["token", "node", "n", "comp", "gid"])
+        return pa.table({"u": pa.array([u for u, _ in edges], pa.binary()), "v": pa.array([v for _, v in edges], pa.binary())})
 
     return run
 
 
-def _merge(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """nodes with comp renamed by the components of edges."""
-    names = connected(edges).withColumnsRenamed({"node": "comp", "component": "_to"})
-    return nodes.join(names, "comp", "left").withColumn("comp", F.coalesce("_to", "comp")).drop("_to")
+def _renamed(rows: DataFrame, edges: DataFrame, column: str = "comp") -> DataFrame:
+    """rows with the column's nodes renamed by the components of edges."""
+    found = connected(edges).withColumnsRenamed({"node": column, "component": "_to"})
+    return rows.join(found, column, "left").withColumn(column, F.coalesce("_to", column)).drop("_to")
 
 
 def node_components(texts: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
-    """(node, comp) of all nodes that may be linked with others. texts: one column, text; members: node, n and the smallest token of each text.
+    """(node, comp) of all nodes. texts: row, text; members: row, node, n and the leads of each text.
 
-    Tokens are shuffled once for the first comparison; later ones read only
-    the tokens of blocks that aren't one component yet.
+    row is a hash of the row; it tells which of a node's texts is read for its
+    tokens. If two rows share it, their tokens are sent twice, nothing else.
     """
-    spark = texts.sparkSession
-    n = C.buckets(spark)
-    blobs = "bucket int, tokens binary, nodes binary, sizes binary"
-    counts = texts.mapInArrow(_counted_blobs(words, n), blobs).groupBy("bucket").applyInArrow(_survey(n), "bucket int, bits binary, tokens binary, sets binary")
-    order = spark.sparkContext.broadcast(Order(n, counts.collect()))  # n rows of bounded size
-    stars = texts.mapInArrow(_prefix_blobs(words, percent, n, order), blobs).groupBy("bucket").applyInArrow(_stars(percent), "u long, v long")
-    blocks = C.checkpoint(connected(stars).withColumnRenamed("component", "block"))
-    # from here on, rows without tokens are few and small
-    k = tasks(blocks.count())
-    blocks = blocks.coalesce(k)
-    # groups: a small block whole; of a large one several smallest tokens together, and one that many sets have in pieces
-    placed = members.filter("node IS NOT NULL").groupBy("node").agg(F.any_value("lead").alias("lead")).join(blocks, "node").coalesce(k)
-    large = placed.groupBy("block").agg(F.count("*").alias("all")).filter(F.col("all") > GROUP)
-    pieces = placed.join(large, "block").groupBy("block", "lead").agg(F.count("*").alias("c"), F.any_value("all").alias("all"))
-    grouped = placed.join(pieces, ["block", "lead"], "left")
-    piece = F.xxhash64("block", "lead", F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / GROUP)))
-    together = F.xxhash64("block", F.pmod(F.xxhash64("lead"), F.ceil(F.col("all") / GROUP)))
-    gid = F.when(F.col("c").isNull(), F.col("block")).when(F.col("c") > GROUP, piece).otherwise(together)
-    nodes = C.checkpoint(grouped.select("node", "block", gid.alias("gid"), F.col("node").alias("comp")).coalesce(k))
-
-    def sets_of(some: DataFrame) -> DataFrame:
-        return texts.mapInArrow(_sets_of(words, _filter_of(some, "node")), "node long, n long, tokens binary")
-
-    def linked(rows: DataFrame, tokens: DataFrame) -> DataFrame:
-        """Edges between components by comparing the sets of each group; rows: gid, node, comp."""
-        full = tokens.join(rows, "node").withColumn("bucket", F.pmod(F.xxhash64("gid"), F.lit(n)))
-        return full.groupBy("bucket").applyInArrow(_link_groups(percent), "u long, v long")
-
-    def unfinished() -> DataFrame:
-        """Blocks of several components."""
-        return nodes.groupBy("block").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("block")
-
-    nodes = C.checkpoint(_merge(nodes, linked(nodes.select("gid", "node", "comp"), sets_of(nodes))).coalesce(k))
-    rest = C.checkpoint(nodes.join(unfinished(), "block", "left_semi").coalesce(k))
-    if not rest.count():
-        return nodes.select("node", "comp")
-    tokens = sets_of(rest).join(rest.select("node"), "node", "left_semi").groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("tokens").alias("tokens"))
-    tokens = C.checkpoint(tokens)
-    before = None
-    for level in range(64):
-        reps = nodes.groupBy("block", "comp").agg(F.min("node").alias("node"))
-        several = reps.groupBy("block").agg(F.count("*").alias("c")).filter("c > 1")
-        open_ = C.checkpoint(reps.join(several, "block").coalesce(k))
-        left = open_.count()
-        if not left or (before is not None and left > 0.9 * before):
-            break
-        before = left
-        gids = open_.select("node", "comp", F.xxhash64("block", F.lit(level), F.pmod(F.xxhash64("node", F.lit(level)), F.ceil(F.col("c") / GROUP))).alias("gid"))
-        nodes = C.checkpoint(_merge(nodes, linked(gids, tokens)).coalesce(k))
+    spark, driver = texts.sparkSession, []
+    nodes = members.filter("node IS NOT NULL").groupBy("node").agg(F.min("row").alias("row"), F.any_value("n").alias("n"), *[F.any_value(c).alias(c) for c in LEADS])
+    nodes = C.checkpoint(nodes)
+    total = nodes.agg(F.sum("n")).first()[0] or 0
+    counted, prefixes = C.buckets(spark, 3 * total), C.buckets(spark, 28 * total * (100 - percent) // 100)
+
+    # groups of nodes with one least token
+    pairs = nodes.select("row", "n", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("lead")) for k, c in enumerate(LEADS)])).alias("x")).select("row", "n", "x.*")
+    leads = pairs.groupBy("k", "lead").agg(F.count("*").alias("c"), F.sum("n").alias("tokens")).filter("c > 1")
+    leads = C.checkpoint(leads.select("k", "lead", F.ceil(F.log2(F.greatest(F.col("c") / GROUP, F.col("tokens") / GROUP_TOKENS, F.lit(1.0)))).cast("int").alias("level"), "tokens"))
+    sent = leads.agg(F.sum("tokens")).first()[0] or 0
+    edges = spark.createDataFrame([], "u binary, v binary")
+    if sent:
+        wanted = C.filter_of(pairs.join(leads, ["k", "lead"], "left_semi").select("row").distinct(), "row")
+        by_lead = C.filter_of(leads.select("k", "lead", "level").mapInArrow(_levels, "key long"), "key")
+        driver += [wanted, by_lead]
+        n = C.buckets(spark, 8 * sent)
+        grouped = texts.mapInArrow(_grouped_sets(words, wanted, by_lead), "gid long, node binary, n long, tokens binary").withColumn("bucket", F.pmod("gid", F.lit(n)))
+        edges = grouped.groupBy("bucket").applyInArrow(_link_groups(percent), "u binary, v binary")
+    nodes = C.checkpoint(_renamed(nodes.select("node", "row", "n", "lead0", F.col("node").alias("comp")), edges))
+
+    # first tokens that nodes of several components have
+    counts = texts.select("text").mapInArrow(_counted_blobs(words, counted), BLOBS).groupBy("bucket").applyInArrow(_survey(counted), "bucket int, bits binary, tokens binary, sets binary")
+    order = spark.sparkContext.broadcast(Order(counted, counts.collect()))  # rows of bounded size together
+    driver.append(order)
+    firsts = texts.select("text").mapInArrow(_prefix_blobs(words, percent, prefixes, order), BLOBS).groupBy("bucket").applyInArrow(_shared(percent, order), "token long, node binary, n long")
+    firsts = C.checkpoint(firsts.distinct().join(nodes.select("node", "comp"), "node"))
+    several = firsts.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("token")
+    open_ = C.checkpoint(firsts.join(several, "token", "left_semi"))
+    left = open_.count()
     if left:
-        rest = C.checkpoint(nodes.join(unfinished(), "block", "left_semi").select("node", "comp", "gid").coalesce(k))
-        firsts = tokens.join(rest, "node").mapInArrow(_first_rows(percent, order), "token long, node long, n long, comp long, gid long")
-        firsts = C.checkpoint(firsts)
-        # of two components the smaller one asks, so a group is asked if it has a larger one
-        groups = firsts.groupBy("token", "gid").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("comp").alias("last"))
+        k = tasks(left)
+        open_ = open_.coalesce(k)
+        inside = C.checkpoint(nodes.join(open_.select("node").distinct(), "node", "left_semi").coalesce(k))
+        sizes = inside.groupBy("lead0").agg(F.ceil(F.greatest(F.count("*") / GROUP, F.sum("n") / GROUP_TOKENS)).alias("pieces"))
+        place = inside.join(sizes, "lead0").select("node", F.xxhash64("lead0", F.pmod(F.xxhash64("node"), "pieces")).alias("gid"))
+        open_ = C.checkpoint(open_.join(place, "node").coalesce(k))
+        # a token's largest component is asked by the others
+        largest = open_.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("top"))
+        groups = open_.groupBy("token", "gid").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("a"), F.max("comp").alias("b"))
+        asking = open_.drop("gid").join(largest, "token").filter("comp <> top").drop("top")
         size = (100 * F.col("high") >= percent * F.col("n")) & (percent * F.col("low") <= 100 * F.col("n"))
-        asked = firsts.drop("gid").join(groups, "token").filter((F.col("comp") < F.col("last")) & size).select("node", "gid").distinct()
+        asked = asking.join(groups, "token").filter(size & ((F.col("a") != F.col("comp")) | (F.col("b") != F.col("comp")))).select("node", "comp", "n", "gid").distinct()
         asked = C.checkpoint(asked)
-        queries = tokens.join(asked.join(rest.select("node", "comp"), "node"), "node").select("gid", F.lit(1).alias("kind"), "comp", "n", "tokens")
-        held = tokens.join(rest.join(asked.select("gid").distinct(), "gid", "left_semi"), "node").select("gid", F.lit(0).alias("kind"), "comp", "n", "tokens")
-        edges = held.unionByName(queries).withColumn("bucket", F.pmod(F.xxhash64("gid"), F.lit(n))).groupBy("bucket").applyInArrow(_open_groups(percent), "u long, v long")
-        nodes = _merge(nodes, edges)
+        slots = asked.groupBy("gid").agg(F.ceil(F.count("*") / ASKING).alias("slots"))
+        queries = asked.join(slots, "gid").select("node", "comp", "n", "gid", F.pmod(F.xxhash64("node"), "slots").alias("slot"), F.lit(1).alias("kind"))
+        held = place.join(nodes, "node").join(slots, "gid").select("node", "comp", "n", "gid", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), F.lit(0).alias("kind"))
+        taking = queries.select("node").unionByName(held.select("node")).distinct()
+        needed = C.filter_of(inside.join(taking, "node", "left_semi").select("row"), "row")
+        driver.append(needed)
+        tokens = texts.mapInArrow(_sets_of(words, needed), "node binary, tokens binary").groupBy("node").agg(F.any_value("tokens").alias("tokens"))
+        n = C.buckets(spark)
+        rows = tokens.join(queries.unionByName(held), "node").withColumn("bucket", F.pmod(F.xxhash64("gid", "slot"), F.lit(n)))
+        nodes = C.checkpoint(_renamed(nodes, rows.groupBy("bucket").applyInArrow(_open_groups(percent), "u binary, v binary")))
+    for shared in driver:  # all that used them is checkpointed
+        shared.destroy()
     return nodes.select("node", "comp")
 
 
 def _placed(rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """The columns of rows (longs and text) without text, node, n, lead and comp, which is null for a text without words; checkpointed."""
-    kept = ", ".join(f"{c} long" for c in rows.columns if c != "text")
-    members = C.checkpoint(rows.mapInArrow(_members(words), f"{kept}, node long, n long, lead long"))
-    found = node_components(rows.select("text"), members, words, percent)
-    return C.checkpoint(members.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+    """The columns of rows (row and others) without text, with n, node and comp, which are null for a text without words."""
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
+    members = C.checkpoint(rows.mapInArrow(_members(words), f"{kept}, node binary, n long, " + ", ".join(f"{c} long" for c in LEADS)))
+    found = node_components(rows.select("row", "text"), members, words, percent)
+    return members.drop(*LEADS).join(found, "node", "left")
 
 
 def join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links) of each row of docs (doc_id, text)."""
-    placed = _placed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), words, percent)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    placed = C.checkpoint(_placed(docs.withColumn("row", F.xxhash64("doc_id", "text")), words, percent))
     least = placed.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("least"))
     out = placed.join(least, "comp", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
@@ -445,7 +506,7 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
 def _passing(bloom):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
+            keys = batch.column("hash").to_numpy(zero_copy_only=False).view(_U)
             yield batch.filter(pa.array(bloom.value.test(keys)))
 
     return run
@@ -458,18 +519,18 @@ def clean(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     only repeats of an id and text go; those of null id all stay.
     """
     rows = C.keyed(docs)
-    placed = _placed(rows.select("key", "doc_id", "text"), words, percent)
+    placed = _placed(rows.select("key", "doc_id", "text", F.xxhash64("doc_id", "text").alias("row")), words, percent)
     own = F.col("comp").isNull()
     copies = placed.groupBy(own.alias("own"), F.coalesce("comp", "key").alias("comp"), "doc_id", "key").agg(F.count("*").alias("copies"))
     first = copies.groupBy("own", "comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key", "copies")).alias("first")).select("own", "first.*")
-    single = (F.col("copies") == 1) | (F.col("own") & F.col("unknown"))
-    kept = rows.join(first.filter(single).select("key"), "key", "left_semi")
-    several = C.checkpoint(first.filter(~single).select("key"))
+    first = C.checkpoint(first.select("key", ((F.col("copies") == 1) | (F.col("own") & F.col("unknown"))).alias("single")))
+    kept = rows.join(first.filter("single").select("key"), "key", "left_semi")
+    several = first.filter("NOT single").select("key", F.xxhash64("key").alias("hash"))
     if not several.isEmpty():
         # only rows that repeat an id and text are brought together
         kind = rows.schema["row"].dataType.simpleString()
-        some = rows.mapInArrow(_passing(_filter_of(several, "key")), f"key long, doc_id long, text string, row {kind}")
-        some = some.join(several, "key", "left_semi").withColumn("_by", F.xxhash64(F.to_json("row")))
+        some = rows.withColumn("hash", F.xxhash64("key")).mapInArrow(_passing(C.filter_of(several, "hash")), f"key binary, doc_id long, text string, row {kind}, hash long")
+        some = some.join(several.select("key"), "key", "left_semi").withColumn("_by", F.xxhash64(F.to_json("row")))
         some = some.groupBy("key").agg(F.min_by(F.struct("doc_id", "text", "row"), "_by").alias("_one")).select("key", "_one.*")
         kept = kept.select("key", "doc_id", "text", "row").unionByName(some)
     return C.unkeyed(kept, docs)

@@ -71,8 +71,8 @@ def count_chunk(data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
     worded = np.searchsorted(start, head) < np.searchsorted(start, tail)
     head, tail = head[worded], tail[worded]
     line_doc = np.searchsorted(bounds, head, "right") - 1
-    lines = C.span_hashes(C.prefix_hashes(C.BYTE_VALUES[data]), head, tail) ^ seed[line_doc] if len(head) else np.zeros(0, np.uint64)
-    _, kept = np.unique(lines, return_index=True)
+    _, content = C.distinct_spans(data, head, tail)
+    _, kept = np.unique(line_doc * (len(head) + 1) + content, return_index=True)
     out["n_lines"] = np.bincount(line_doc, minlength=len(bounds) - 1)
     out["n_dup_lines"] = out["n_lines"] - np.bincount(line_doc[kept], minlength=len(bounds) - 1)
     # words in windows that occur twice or more in the same text

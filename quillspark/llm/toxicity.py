@@ -169,7 +169,7 @@ def values(landmarks: Landmarks, data: np.ndarray, bounds: np.ndarray) -> tuple[
     if not len(doc):
         return out, total
     signs = _SIGN[data]
-    hashes = C.span_hashes(C.prefix_hashes(C.BYTE_VALUES[signs]), start, end)
+    hashes = C.byte_hashes(signs, start, end)
     _, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
     found = np.zeros((len(at), len(landmarks.words)), np.float32)
     length = (end - start)[at]
@@ -201,7 +201,7 @@ def _stems(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
         starts.append(start[long])
         ends.append(start[long] + k)
     start, end = np.concatenate(starts), np.concatenate(ends)
-    hashes, at = np.unique(C.span_hashes(C.prefix_hashes(C.FOLDED_VALUES[data]), start, end), return_index=True)
+    hashes, at = np.unique(C.byte_hashes(C.FOLDED[data], start, end), return_index=True)
     return hashes, start[at], end[at], data
 
 

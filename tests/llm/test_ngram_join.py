@@ -20,7 +20,7 @@ def brute(docs, words=4, percent=85):
     for i, s in enumerate(sets):
         for t in s:
             where.setdefault(t, []).append(i)
-    pairs = {(a, b) for ids in where.values() if len(ids) < 400 for k, a in enumerate(ids) for b in ids[k + 1 :]}
+    pairs = {(a, b) for ids in where.values() for k, a in enumerate(ids) for b in ids[k + 1 :]}
     for i, j in pairs:
         both = len(sets[i] & sets[j])
         if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
