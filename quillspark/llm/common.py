@@ -157,13 +157,13 @@ def run_hashes(values: np.ndarray, n: int) -> np.ndarray:
     part, size, out, done = values, 1, None, 0
     while True:
         if n & size:
-            out, done = (part, size) if out is None else (_both(out, part[done:]), done + size)
+            out, done = (part, size) if out is None else (both(out, part[done:]), done + size)
         if done == n:
             return mix(out + _U(n))
-        part, size = _both(part, part[size:]), 2 * size
+        part, size = both(part, part[size:]), 2 * size
 
 
-def _both(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+def both(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     m = min(len(left), len(right))
     return mix((left[:m] * _WORD) ^ (right[:m] + _STEP))
 

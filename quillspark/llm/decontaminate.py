@@ -37,6 +37,8 @@ from . import common as C
 
 WORDS, BLOCKS, BITS, NEAR = 5, 4, 16, 3
 RADIUS = BLOCKS * (NEAR + 1) - 1
+#: Places of windows whose bit sums are held at once.
+STRETCH = 4096
 LEAKS = "array<struct<item_id:long,start_word:long,n_words:long,similarity:double>>"
 _LEAKS = pa.list_(pa.struct([("item_id", pa.int64()), ("start_word", pa.int64()), ("n_words", pa.int64()), ("similarity", pa.float64())]))
 
@@ -69,6 +71,19 @@ def _fingerprints(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64)
 
 
+def _prints_of(hashes: np.ndarray, weights: np.ndarray, at: np.ndarray, shingles: int) -> np.ndarray:
+    """Fingerprints of windows of so many shingles from the ascending places at; sums are kept for a stretch of a few thousand shingles."""
+    out = np.zeros(len(at), np.uint64)
+    done = 0
+    while done < len(at):
+        to = int(np.searchsorted(at, at[done] + STRETCH, "right"))
+        lo = int(at[done])
+        sums = _bit_sums(hashes[lo : int(at[to - 1]) + shingles], weights[lo : int(at[to - 1]) + shingles])
+        out[done:to] = _fingerprints(sums[at[done:to] - lo + shingles] - sums[at[done:to] - lo])
+        done = to
+    return out
+
+
 def similarity(a: Counter, b: Counter, weight: dict[int, float]) -> float:
     """Weighted Jaccard similarity of two multisets."""
     low = sum(min(n, b[s]) * weight[s] for s, n in a.items() if s in b)
@@ -117,25 +132,28 @@ class Index:
             for b in range(BLOCKS):
                 value = (self.prints[own] >> np.uint64(BITS * b)).astype(np.int64) & 0xFFFF
                 order = np.argsort(value, kind="stable")
-                close = np.zeros(1 << BITS, bool)  # values that some probe of theirs meets
-                for v in np.unique(value).tolist():
-                    close[v ^ _MASKS] = True
-                blocks.append((own[order], np.searchsorted(value[order], np.arange((1 << BITS) + 1)), close))
+                # sorted block values with their items: as large as the items of this length are many
+                blocks.append((value[order].astype(np.uint16), own[order].astype(np.int32)))
             self.tables[n] = blocks
 
     def near(self, prints: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         """(window, item): all pairs within RADIUS bits, for items of this length."""
         pairs = []
-        for b, (items, bounds, close) in enumerate(self.tables[length]):
-            value = (prints >> np.uint64(BITS * b)).astype(np.int64) & 0xFFFF
-            some = np.flatnonzero(close[value])
-            for at in range(0, len(some), 512):
-                part = some[at : at + 512]
-                probe = value[part][:, None] ^ _MASKS
-                count = bounds[probe + 1] - bounds[probe]
-                w, m = np.nonzero(count)
-                take = count[w, m]
-                pairs.append(np.stack([np.repeat(part[w], take), items[C.ragged(bounds[probe[w, m]], take)]]))
+        for b, (values, items) in enumerate(self.tables[length]):
+            value, group = np.unique((prints >> np.uint64(BITS * b)).astype(np.int64) & 0xFFFF, return_inverse=True)
+            close = np.zeros(1 << BITS, bool)  # values that some probe of a window's value meets
+            for at in range(0, len(value), 256):
+                close[(value[at : at + 256, None] ^ _MASKS).ravel()] = True
+            if not close[values].any():
+                continue
+            order, first = np.argsort(group, kind="stable"), np.searchsorted(np.sort(group), np.arange(len(value) + 1))
+            for k, v in enumerate(value.tolist()):
+                probe = np.sort(v ^ _MASKS)
+                low, high = np.searchsorted(values, probe), np.searchsorted(values, probe, "right")
+                met = items[C.ragged(low, high - low)]
+                if len(met):
+                    windows = order[first[k] : first[k + 1]]
+                    pairs.append(np.stack([np.repeat(windows, len(met)), np.tile(met, len(windows))]))
         if not pairs:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         window, item = np.unique(np.concatenate(pairs, 1), axis=1)
@@ -179,7 +197,6 @@ class Index:
             np.add.at(near, np.maximum(own - longest + WORDS, 0), 1)
             np.add.at(near, own + 1, -1)
             starts = np.flatnonzero(np.cumsum(near)[:words] > 0)
-            sums = None
             for n in self.tables:
                 at = starts[starts + n <= words]
                 size = n
@@ -192,10 +209,7 @@ class Index:
                 at = at[(shared >= self.least * total - 1e-9) & (shared > 0)]
                 if not len(at):
                     continue
-                if sums is None:
-                    sums = _bit_sums(h, w)
-                prints = _fingerprints(sums[at + shingles] - sums[at])
-                for window, item in zip(*self.near(prints, n), strict=True):
+                for window, item in zip(*self.near(_prints_of(h, w, at, shingles), n), strict=True):
                     a = int(at[window])
                     part = h[a : a + shingles].tolist()
                     weight = dict(zip(part, w[a : a + shingles].tolist(), strict=True)) | self.weights[item]

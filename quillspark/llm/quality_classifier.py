@@ -1,13 +1,16 @@
 """Quality by nearest neighbours among labelled latent-semantic vectors.
 
-A text's terms are trigrams of byte classes (case, digits, marks, white space)
-and levels of its own repetition, so they need no language. Latent-semantic
-analysis of a bounded sample of labelled rows (term weights and a truncated
-singular value decomposition) gives each text a short vector. The sample's
+A text's terms are its words (folded, hashed into WORDS columns), trigrams of
+byte classes (case, digits, marks, white space) and levels of its own
+repetition. Latent-semantic analysis of a bounded sample of labelled rows (term
+weights and a truncated singular value decomposition by power iterations over
+blocks of rows) gives each text a short vector. The sample's
 vectors are broadcast; for every document the cosine with all of them is
 computed exactly, block by block, and the nearest vote with their similarity.
+Of equally near points the one that comes first in the sample, sorted by terms,
+weights and label, counts.
 
-Results by case: null and empty texts have the vector of a text without terms
+Results by case: extra columns are ignored, whatever their names; null and empty texts have the vector of a text without terms
 and get the sample's mean label; one row for each input row, also for null and
 repeated ids; labels without a text, nulls and contradictions among them are
 left out; without any labelled row every score is 0.5.
@@ -29,15 +32,17 @@ from .quality_rules import count_chunk
 #: Bytes of one class share a sign; classes are numbered from 1.
 CLASSES = [bytes(range(97, 123)), bytes(range(65, 91)), bytes(range(48, 58)), b" \t\r\x0b\x0c", b"\n", b".", b",", b"!", b"?", b"#", b"*", b"$", b"%", b"&", b"|", b"<>", b"'\"", b"()[]{}", b":;", b"-_", b"/\\", b"@", b"=+~^`", bytes(range(0x80, 0xC0)), bytes(range(0xC0, 0x100))]
 N = len(CLASSES) + 1
-LEVELS = 11
-TERMS = N**3 + 2 * LEVELS
+LEVELS, WORDS = 11, 1 << 12
+#: Share of a word's weight in the matrix beside a class trigram's.
+WORD_WEIGHT = 0.25
+TERMS = N**3 + 2 * LEVELS + WORDS
 _CLASS = np.zeros(256, np.int64)
 for _i, _group in enumerate(CLASSES):
     _CLASS[list(_group)] = _i + 1
 
 
 def terms(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, term, weight) of a chunk, by document and term: log counts of class trigrams and levels of repetition."""
+    """(document, term, weight) of a chunk, by document and term: log counts of class trigrams and words, and levels of repetition."""
     sign, doc = _CLASS[data], np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     key = doc * TERMS
     if len(sign) > 2:
@@ -52,6 +57,10 @@ def terms(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         level = counts[part][rows] * (LEVELS - 1) // np.maximum(counts[whole][rows], 1)
         found = np.concatenate([found, rows * TERMS + N**3 + i * LEVELS + level])
         weight = np.concatenate([weight, np.full(len(rows), 6.0)])
+    start, end, first = C.trimmed_words(data, bounds)
+    words = C.word_hashes(data, start, end, fold=True) % np.uint64(WORDS)
+    used, count = np.unique(C.owners(first) * TERMS + (N**3 + 2 * LEVELS) + words.astype(np.int64), return_counts=True)
+    found, weight = np.concatenate([found, used]), np.concatenate([weight, WORD_WEIGHT * np.log1p(count)])
     order = np.argsort(found, kind="stable")
     return found[order] // TERMS, found[order] % TERMS, weight[order]
 
@@ -66,16 +75,26 @@ class Space:
         used = np.unique([t for ids, _, _ in rows for t in ids]).astype(np.int64)
         self.column = np.full(TERMS, -1, np.int64)
         self.column[used] = np.arange(len(used))
-        matrix = np.zeros((len(rows), len(used)))
-        for i, (ids, weights, _) in enumerate(rows):
-            matrix[i, self.column[ids]] = weights
-        seen = (matrix > 0).sum(0)
+        columns = [self.column[np.asarray(ids, np.int64)] for ids, _, _ in rows]
+        seen = np.bincount(np.concatenate([np.zeros(0, np.int64), *columns]), minlength=len(used))
         self.idf = np.log((1 + len(rows)) / (1 + seen)) + 0.5
-        matrix *= self.idf
-        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
-        values, vectors = np.linalg.eigh(matrix.T @ matrix) if matrix.size else (np.zeros(0), np.zeros((0, 0)))
-        self.axes = np.ascontiguousarray(vectors[:, np.argsort(-values)[:rank]], np.float32)
-        self.points = self._unit(matrix @ self.axes) if matrix.size else np.zeros((len(rows), 0), np.float32)
+        entries = [np.asarray(weights) * self.idf[c] for c, (_, weights, _) in zip(columns, rows, strict=True)]
+        entries = [x / max(np.linalg.norm(x), 1e-12) for x in entries]
+        # the leading right singular vectors, from products with blocks of rows; the whole matrix is never held
+        basis = np.random.default_rng(0).standard_normal((len(used), min(2 * rank, len(used))))
+        for _ in range(8 if len(used) and rows else 0):
+            basis = np.linalg.qr(sum((m.T @ (m @ basis) for m in self._blocks(columns, entries)), np.zeros_like(basis)))[0]
+        values, turn = np.linalg.eigh(sum(((y := m @ basis).T @ y for m in self._blocks(columns, entries)), np.zeros((basis.shape[1],) * 2)))
+        self.axes = np.ascontiguousarray((basis @ turn[:, np.argsort(-values)])[:, :rank], np.float32)
+        self.points = self._unit(np.concatenate([np.zeros((0, self.axes.shape[1])), *[m @ self.axes for m in self._blocks(columns, entries)]]))
+
+    def _blocks(self, columns: list[np.ndarray], entries: list[np.ndarray], size: int = 250) -> Iterator[np.ndarray]:
+        """The rows of the term matrix, a few at a time."""
+        for at in range(0, len(columns), size):
+            block = np.zeros((len(columns[at : at + size]), len(self.idf)))
+            for i, (c, x) in enumerate(zip(columns[at : at + size], entries[at : at + size], strict=True)):
+                block[i, c] = x
+            yield block
 
     @staticmethod
     def _unit(x: np.ndarray) -> np.ndarray:
@@ -97,7 +116,10 @@ class Space:
         k = min(self.near, len(self.points))
         for at in range(0, len(vectors) if k and self.axes.size else 0, block):
             cosine = vectors[at : at + block] @ self.points.T
-            top = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+            # the order of points decides between equal similarities
+            least = np.partition(cosine, -k, axis=1)[:, -k : -k + 1] if k < cosine.shape[1] else cosine.min(1, keepdims=True)
+            rank = (cosine > least).astype(np.int8) + (cosine >= least)
+            top = np.argsort(-rank, axis=1, kind="stable")[:, :k]
             weight = np.maximum(np.take_along_axis(cosine, top, 1), 0).astype(float) ** 4
             total = weight.sum(1)
             vote = (weight * self.labels[top]).sum(1)

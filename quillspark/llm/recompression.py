@@ -2,16 +2,22 @@
 
 In each round runs of one symbol and then pairs of neighbours get a new name;
 a pair is named where a hash puts its first symbol left and its second right.
-Names are hashes of what they stand for, so they are the same for all documents
-and in every task. A name spans at most a fixed number of words per round, and
+A name is a hash of what it stands for, so it is the same in all documents.
+A symbol spans at most a fixed number of words per round, and
 whether a boundary between symbols lasts depends on few words around it. So
 inside a repeat, MARGIN words from its ends, the symbols are the same wherever
-it stands. The last naming takes three symbols in a row together; of these
-high-level symbols a quarter, chosen by their hash, are posted, and documents
-learn which of theirs other documents have too.
-
-A window of 50 words can only be a repeat if all its posted inner symbols are
-shared; a window without such a symbol stays a candidate. Candidates are
+it stands.
+
+The first rounds reach symbols of four words, which say little about repeats,
+and stay inside the task. From there on each round goes through Spark: its
+names are posted, and documents learn which of theirs other documents have too.
+Only neighbours that both survived are paired in the next round, and their
+pairs are posted in turn, until names span the inner part of a repeat. The
+first of these rounds names triples of symbols, and takes a quarter of them,
+chosen by their hash, as the symbols of the later ones.
+
+A window of 50 words can only be a repeat if all names of all rounds inside it
+are shared; a window without such a name stays a candidate. Candidates are
 verified. First neighbours between two chosen symbols go together, as one hash
 of all their words: what a smaller doc_id has in the same way is a repeat and
 is not posted again. The smallest holder of a window never finds it so. The
@@ -21,7 +27,7 @@ windows.
 
 Results by case: null and empty texts have no words; a null doc_id is neither
 smaller than others nor ever loses words; rows of equal id are not smaller than
-each other; an empty table gives no rows.
+each other; a text of any length is one sequence; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -40,6 +46,8 @@ WINDOW = 50
 #: Words that a symbol spans at most after each round.
 SPANS = (2, 4)
 TUPLE, CHOSEN = 3, np.uint64(4)
+#: Rounds that go through Spark: names of 1, 2 and 3 chosen symbols in a row, the most that fit into a window's inner part.
+ROUNDS = 3
 #: Symbols between which windows go together, a share of the chosen ones, and windows of such a segment at most.
 CUTS, TOGETHER = np.uint64(16), 64
 _U = np.uint64
@@ -90,6 +98,19 @@ def high_symbols(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.nda
     return name[use], start[use], (start[TUPLE - 1 :][use] + size[TUPLE - 1 :][use] - start[use]) if n else start[use]
 
 
+def paired(name: np.ndarray, start: np.ndarray, size: np.ndarray, doc: np.ndarray, shared: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(name, first word, words) after one more round for each of shared: whether the names of the last round are shared.
+
+    Neighbours that both are shared get a name for both and for the words between them.
+    """
+    for use in shared:
+        k = np.flatnonzero(use[:-1] & use[1:] & (doc[start[:-1]] == doc[start[1:]])) if len(name) > 1 else np.zeros(0, np.int64)
+        span = start[k + 1] + size[k + 1] - start[k]
+        k, span = k[span <= WINDOW], span[span <= WINDOW]
+        name, start, size = C.mix(C.mix(name[k] + (start[k + 1] - start[k]).astype(_U)) ^ C.mix(name[k + 1])), start[k], span
+    return name, start, size
+
+
 class _Words:
     def __init__(self, rows: pa.RecordBatch, data: np.ndarray, bounds: np.ndarray):
         self.start, self.end, self.first = C.word_spans(data, bounds)
@@ -98,24 +119,54 @@ class _Words:
         ids = rows.column(rows.schema.get_field_index("doc_id"))
         self.known = ids.is_valid().to_numpy(zero_copy_only=False)
         self.ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
+        self._windows = None
 
-    def windows(self, at: np.ndarray, length: np.ndarray | int = 1) -> tuple[np.ndarray, np.ndarray]:
-        """64-bit and 32-bit hashes of the words of as many windows from these words on."""
-        one, two = C.prefix_hashes(self.hashes), C.prefix_hashes(C.mix(self.hashes ^ _U(0x5DEECE66D)))
-        to = at + length - 1 + WINDOW
-        return C.span_hashes(one, at, to), (C.span_hashes(two, at, to) >> _U(32)).astype(np.uint32)
+    def windows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """64-bit and 32-bit hashes of the words of the windows from these words on."""
+        if not len(at):
+            return np.zeros(0, _U), np.zeros(0, np.uint32)
+        if self._windows is None:
+            self._windows = C.run_hashes(self.hashes, WINDOW), (C.run_hashes(C.mix(self.hashes ^ _U(0x5DEECE66D)), WINDOW) >> _U(32)).astype(np.uint32)
+        return self._windows[0][at], self._windows[1][at]
 
     def segments(self, at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """64-bit hash, and 25 bits more with the length in the lowest 6."""
-        name, check = self.windows(at, length)
-        return name ^ C.mix(length.astype(_U)), (check >> np.uint32(7) << np.uint32(6)) | (length - 1).astype(np.uint32)
-
+        """64-bit hash of all words of as many windows, and 25 bits more with the length in the lowest 6.
+
+        The first, the middle and the last window have every word of up to TOGETHER windows.
+        """
+        parts = [self.windows(at + k) for k in (0 * length, (length - 1) // 2, length - 1)]
+        name, check = C.mix(length.astype(_U)), C.mix(length.astype(_U) + _U(1))
+        for one, two in parts:
+            name, check = C.mix(name ^ one), C.mix(check ^ two.astype(_U))
+        return name, ((check >> _U(39)).astype(np.uint32) << np.uint32(6)) | (length - 1).astype(np.uint32)
+
+    def shared(self, blobs: list, name: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Which names, that start at these words, are among the answered places of their documents."""
+        found = np.zeros(len(self.hashes) + 1, bool)
+        for i, own in enumerate(blobs):
+            if own:
+                place = self.first[i] + R.places_of(own).astype(np.int64)
+                found[place[place < self.first[i + 1]]] = True
+        return found[at]
+
+    def rounds(self, rows: pa.RecordBatch, done: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]]:
+        """(name, first word, words, whether shared) of the rounds that have answers, and the next one without."""
+        name, at, size = high_symbols(self.hashes, self.doc)
+        out = []
+        for k in range(done):
+            use = self.shared(rows.column(f"round{k}").to_pylist(), name, at)
+            out.append((name, at, size, use))
+            name, at, size = paired(name, at, size, self.doc, [use])
+        return [*out, (name, at, size, None)]
+
+
+def _post_symbols(n: int, done: int):
+    """The names of the round after those that are done."""
 
-def _post_symbols(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, bounds in C.chunks(batches):
             w = _Words(rows, data, bounds)
-            name, at, _ = high_symbols(w.hashes, w.doc)
+            name, at, _, _ = w.rounds(rows, done)[-1]
             long = np.diff(w.first)[w.doc[at]] >= WINDOW if len(at) else np.zeros(0, bool)
             use = np.flatnonzero(long & w.known[w.doc[at]]) if len(at) else np.zeros(0, np.int64)
             doc = w.doc[at[use]]
@@ -132,16 +183,10 @@ def _post_segments(n: int, edge: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, bounds in C.chunks(batches):
             w = _Words(rows, data, bounds)
-            symbol, at, size = high_symbols(w.hashes, w.doc)
-            total = len(w.hashes)
-            shared = np.zeros(total + 1, bool)
-            for i, blobs in enumerate(rows.column("places").to_pylist()):
-                if blobs:
-                    place = w.first[i] + R.places_of(blobs).astype(np.int64)
-                    shared[place[place < w.first[i + 1]]] = True
-            # a window is out if an inner symbol isn't shared
-            lone = ~shared[at]
-            from_, to = at[lone] + size[lone] + edge - WINDOW, at[lone] - edge
+            levels, total = w.rounds(rows, ROUNDS)[:ROUNDS], len(w.hashes)
+            symbol, at = levels[0][:2]
+            # a window is out if a name inside it isn't shared
+            from_, to = (np.concatenate(x) for x in zip(*[(first[~use] + size[~use] + edge - WINDOW, first[~use] - edge) for _, first, size, use in levels], strict=True))
             out = np.zeros(total + 2, np.int64)
             use = from_ <= to
             np.add.at(out, np.clip(from_[use], 0, total), 1)
@@ -226,11 +271,16 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """keyed() rows of docs with n_words, n_removed and `kept`, the words that stay joined by spaces."""
     rows, n = C.keyed(docs), C.buckets(docs.sparkSession)
-    shared = R.answers(rows.select("doc_id", "text").mapInArrow(_post_symbols(n), R.SCHEMA), "documents").drop("checks")
     # all joins take the same columns of rows, so that one shuffle of the texts serves them
-    candidates = rows.join(shared, "doc_id", "left").select("key", "doc_id", "row", "text", "places")
-    segments = R.answers(candidates.mapInArrow(_post_segments(n, margin()), R.SCHEMA), "either").withColumnsRenamed({"places": "segments", "checks": "segment_checks"})
-    rest = rows.join(segments, "doc_id", "left").select("key", "doc_id", "row", "text", "segments", "segment_checks")
+    texts = rows.select("doc_id", "text")
+    named, columns = texts, ["key", "doc_id", "row", "text"]
+    found = None
+    for k in range(ROUNDS):
+        answers = R.answers(named.mapInArrow(_post_symbols(n, k), R.SCHEMA), "documents").select("doc_id", F.col("places").alias(f"round{k}"))
+        found = answers if found is None else C.checkpoint(found.join(answers, "doc_id", "left"))
+        named = rows.join(found, "doc_id", "left").select(*columns, *[f"round{i}" for i in range(k + 1)])
+    segments = R.answers(named.mapInArrow(_post_segments(n, margin()), R.SCHEMA), "either").withColumnsRenamed({"places": "segments", "checks": "segment_checks"})
+    rest = rows.join(segments, "doc_id", "left").select(*columns, "segments", "segment_checks")
     found = R.answers(rest.mapInArrow(_post_windows(n), R.SCHEMA), "smaller")
     kind = rows.schema["row"].dataType.simpleString()
-    return rest.join(found, "doc_id", "left").select("key", "doc_id", "row", "text", "segments", "segment_checks", "places", "checks").mapInArrow(_cut, f"key long, doc_id long, row {kind}, n_words long, n_removed long, kept string")
+    return rest.join(found, "doc_id", "left").select(*columns, "segments", "segment_checks", "places", "checks").mapInArrow(_cut, f"key binary, doc_id long, row {kind}, n_words long, n_removed long, kept string")

@@ -8,11 +8,11 @@ from quillspark.llm import suffix_array as S
 
 def brute(docs):
     raw = [(i, (t or "").encode()) for i, t in docs]
-    seen = Counter(b[a : a + S.LENGTH] for i, b in raw if i is not None for a in range(len(b) - S.LENGTH + 1))
+    seen = Counter(b[a : a + S.LENGTH] for _, b in raw for a in range(len(b) - S.LENGTH + 1))
     out = []
     for i, b in raw:
         gone = np.zeros(len(b) + 1, int)
-        for a in range(len(b) - S.LENGTH + 1) if i is not None else ():
+        for a in range(len(b) - S.LENGTH + 1):
             if seen[b[a : a + S.LENGTH]] > 1:
                 gone[a] += 1
                 gone[a + S.LENGTH] -= 1
@@ -37,7 +37,7 @@ def test_against_brute_force(spark):
             p = rng.choice(passages)
             t += p[rng.randrange(30) :] + text(rng.randrange(20))
         docs.append((100 - i, t))
-    docs += [(50, docs[12][1]), docs[13]]
+    docs += [(50, docs[12][1]), docs[13], (None, docs[14][1]), (None, "null ids " * 40), (None, "null ids " * 40)]
     d = spark.createDataFrame([(*r, 1) for r in docs], "doc_id long, text string, lead int").repartition(5)
     assert rows(S.remove_repeats(d)) == brute(docs)
     assert S.remove_repeats(d.limit(0)).count() == 0
