@@ -6,6 +6,7 @@ titles ordered without case, `F.lower` (all of Unicode) for everything else.
 
 from __future__ import annotations
 
+import re
 import string
 from functools import reduce
 
@@ -21,6 +22,10 @@ PREVIEW, RADIUS = 180, 80
 RESERVED_NAMES = ["CON", "PRN", "AUX", "NUL", *(f"{p}{n}" for p in ("COM", "LPT") for n in range(1, 10))]
 
 
+#: What can't stand in a file name, with its replacement, one after another.
+UNSAFE = [(r'[<>:"/\\|?*\x00-\x1f]', "-"), (f"{WS}+", "-"), ("-+", "-"), (r"[. ]+\z", ""), ("^[-. ]+", "")]
+
+
 def blank_to(c: Column, default: str | Column) -> Column:
     """The default where c is null or empty; spaces count as content."""
     return F.coalesce(F.nullif(c, F.lit("")), default if isinstance(default, Column) else F.lit(default))
@@ -44,9 +49,18 @@ def collapse(c: Column) -> Column:
     return F.coalesce(F.trim(F.regexp_replace(c, f"{WS}+", " ")), F.lit(""))
 
 
-def like_pattern(query: str) -> str:
-    """Contains-pattern in which % and _ of the query stay wildcards and a backslash is itself."""
-    return "%" + query.replace("\\", "\\\\") + "%"
+def wildcard_pattern(query: str) -> str:
+    """A pattern that finds the query without case of ASCII letters; % and _ of the query are wildcards.
+
+    It is matched against the text as it is, so no folded copy of a long text is made.
+    """
+    return "(?is)" + "".join({"%": ".*", "_": "."}.get(c) or re.escape(c) for c in query)
+
+
+def request(values: dict[str, object]) -> dict[str, str]:
+    """What a form sends: values that are strings, trimmed, without the empty ones."""
+    found = {name: query_text(value) for name, value in values.items()}
+    return {name: value for name, value in found.items() if value}
 
 
 def query_text(query: object) -> str:
@@ -64,19 +78,23 @@ def preview(clean: Column) -> Column:
 
 def snippet(c: Column, query: str = "") -> Column:
     """80 characters on each side of the first hit, or the start of the text without one."""
-    clean = collapse(c)
+    return cut(collapse(c), query)
+
+
+def cut(clean: Column, query: str = "") -> Column:
+    """snippet() of text that is collapsed already; best a column, as it is looked at several times."""
     if not query:
         return preview(clean)
     lowered = query.lower()
     at = F.locate(lowered, F.lower(clean)) - 1
     start = F.greatest(F.lit(0), at - RADIUS)
     end = F.least(F.length(clean), at + len(lowered) + RADIUS)
-    cut = F.concat(
+    around = F.concat(
         F.when(start > 0, "...").otherwise(""),
         F.trim(F.substring(clean, start + 1, end - start)),
         F.when(end < F.length(clean), "...").otherwise(""),
     )
-    return F.when(at < 0, preview(clean)).otherwise(cut)
+    return F.when(at < 0, preview(clean)).otherwise(around)
 
 
 def first_of(pairs: list[tuple[Column, Column]], otherwise: Column) -> Column:
@@ -120,18 +138,17 @@ def safe_filename(path: Column) -> Column:
     name, ext = base_name(named), F.lower(extension(named))
     cuts = (ext != "") & F.endswith(name, ext) & (F.length(name) > F.length(ext))
     base = F.when(cuts, F.substring(name, F.lit(1), F.length(name) - F.length(ext))).otherwise(name)
-    for pattern, value in ((r'[<>:"/\\|?*\x00-\x1f]', "-"), (f"{WS}+", "-"), ("-+", "-"), (r"[. ]+\z", ""), ("^[-. ]+", "")):
+    for pattern, value in UNSAFE:
         base = F.regexp_replace(base, pattern, value)
     base = blank_to(base, "document")
     base = F.when(F.upper(base).isin(RESERVED_NAMES), F.concat(base, F.lit("-file"))).otherwise(base)
     return F.concat(base, ext)
 
 
-def stored_filename(path: Column) -> Column:
-    """A unique safe name: base, milliseconds and a random suffix; it differs from run to run."""
+def stored_filename(path: Column, unique: Column) -> Column:
+    """A safe name of its own: the caller's unique part goes between base and extension."""
     safe = safe_filename(path)
-    unique = F.concat(F.unix_millis(F.current_timestamp()).cast("string"), F.lit("-"), F.substring(F.expr("uuid()"), 1, 6))
-    return F.concat(stem(safe), F.lit("-"), unique, extension(safe))
+    return F.concat(stem(safe), unique, extension(safe))
 
 
 def mime_type(path: Column) -> Column:
@@ -139,13 +156,16 @@ def mime_type(path: Column) -> Column:
 
 
 def distinct_values(values: Column) -> Column:
-    """Trimmed non-empty values; of those equal without case, the first stands, in its place."""
+    """Trimmed non-empty values; of those equal without case, the first stands, in its place.
+
+    Sorted by folded value and place, the first of each run of equal ones is kept; so long lists cost no more than their sort.
+    """
     trimmed = F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), normalize), lambda v: v != "")
-    return F.aggregate(
-        trimmed,
-        F.array().cast("array<string>"),
-        lambda seen, v: F.when(F.exists(seen, lambda s: F.lower(s) == F.lower(v)), seen).otherwise(F.array_append(seen, v)),
-    )
+    sorted_ = F.array_sort(F.transform(trimmed, lambda v, i: F.struct(F.lower(v).alias("folded"), i.alias("at"), v.alias("value"))))
+    # each beside the one before it
+    pairs = F.arrays_zip(sorted_.alias("x"), F.concat(F.array(F.lit(None).cast("string")), F.transform(sorted_, lambda e: e["folded"])).alias("before"))
+    first = F.filter(pairs, lambda p: p["x"].isNotNull() & ~p["x"]["folded"].eqNullSafe(p["before"]))
+    return F.transform(F.array_sort(F.transform(first, lambda p: F.struct(p["x"]["at"].alias("at"), p["x"]["value"].alias("value")))), lambda e: e["value"])
 
 
 def parse_list(json: Column, fallback: list[str]) -> Column:
@@ -217,6 +237,18 @@ def toggle(values: Column, value: Column) -> Column:
     return F.when(F.array_contains(values, value), F.array_remove(values, value)).otherwise(F.array_append(values, value))
 
 
+#: How a status or difficulty is shown; other values take the first.
+BADGES = {
+    "status": {"": "bg-slate-100 text-slate-700", "resolved": "bg-emerald-100 text-emerald-800", "monitoring": "bg-amber-100 text-amber-800"},
+    "difficulty": {"": "bg-emerald-100 text-emerald-800", "advanced": "bg-red-100 text-red-800", "intermediate": "bg-amber-100 text-amber-800"},
+}
+
+
+def badge(kind: str, c: Column) -> Column:
+    """The style of a status or a difficulty."""
+    return first_of([(c == value, F.lit(style)) for value, style in BADGES[kind].items() if value], F.lit(BADGES[kind][""]))
+
+
 def entity_link(kind: Column, id_: Column) -> Column:
     """Deep link of an entity; the dashboard for unknown kinds and missing ids."""
     url = F.concat(F.lit("/"), kind, F.lit("s?"), kind, F.lit("Id="), id_.cast("string"), F.lit("#"), kind, F.lit("-library"))

@@ -73,3 +73,8 @@ def selection(df: DataFrame, requested: int | None, current: int | None, *order:
     """The row to show: the requested one, else the current one, else the first; no row of an empty table."""
     rank = F.when(F.col("id") == F.lit(requested), 0).when(F.col("id") == F.lit(current), 1).otherwise(2)
     return df.orderBy(rank, *(order or (F.col("updated_at").desc_nulls_last(), F.desc("id")))).limit(1)
+
+
+def page(ordered_rows: DataFrame, size: int = 100) -> DataFrame:
+    """The first rows of an order with their place in it, from 1. Each task keeps `size` rows, so nothing is sorted as a whole."""
+    return ordered_rows.limit(size).withColumn("place", F.monotonically_increasing_id() + 1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,13 @@ from ..sources.workspace import Workspace
 #: The kinds that a note can link to.
 LINK_TYPES = ["document", "symptom", "procedure"]
 
+#: What is shown where a kind has nothing to link to.
+EMPTY = {
+    "document": "No documents available yet. Upload a PDF in Documents first.",
+    "symptom": "No symptoms available yet. Add a symptom first.",
+    "procedure": "No procedures available yet. Add a procedure first.",
+}
+
 
 def documents(ws: Workspace) -> DataFrame:
     """Documents of all vehicles with the vehicle's label; a null trim reads 'null'."""
@@ -143,7 +152,18 @@ def heading(kind):
 
 
 def missing_link_message(kind):
-    return F.when(kind.isin(LINK_TYPES), F.concat(F.lit("Choose a linked "), kind)).otherwise("")
+    return F.when(kind.isin(LINK_TYPES), F.concat(F.lit("Please choose a linked "), kind, F.lit("."))).otherwise("")
+
+
+def picker(ws: Workspace) -> DataFrame:
+    """(kind, label, placeholder, empty, id, title): what each kind of link offers to choose from; one row without an id where there is nothing.
+
+    A document of any vehicle can be chosen, symptoms and procedures of the anchor's.
+    """
+    rows = {"document": ws.documents, "symptom": ws.scoped("symptoms"), "procedure": ws.scoped("procedures")}
+    kinds = ws.spark.createDataFrame([(k, EMPTY[k]) for k in LINK_TYPES], "kind string, empty string")
+    entities = reduce(DataFrame.unionByName, [df.select(F.lit(k).alias("kind"), "id", "title") for k, df in rows.items()])
+    return F.broadcast(kinds).join(entities, "kind", "left").select("kind", heading(F.col("kind")).alias("label"), F.concat(F.lit("Choose a "), "kind").alias("placeholder"), F.when(F.col("id").isNull(), F.col("empty")).alias("empty"), "id", "title")
 
 
 def existing(ids: DataFrame, table: DataFrame, column: str = "id") -> DataFrame:

@@ -64,9 +64,10 @@ def identifier(value: object) -> int | None:
         return None
     try:
         number = float(value)  # type: ignore[arg-type]
-    except (TypeError, ValueError):
+    except (TypeError, ValueError, OverflowError):
         number = 0.0
-    if number <= 0 or number != int(number):
+    # infinities and NaN are no whole numbers
+    if not number.is_integer() or number <= 0:
         raise Invalid("An id must be a positive number.")
     return int(number)
 
@@ -84,6 +85,23 @@ def identifiers(values: object) -> list[int]:
     return list(found)
 
 
+#: The fields that a form of each kind sends.
+FORMS = {
+    "note": ["title", "content", "note_type", "related_entity_type", "related_entity_id"],
+    "symptom": ["title", "description", "system", "suspected_causes", "confidence", "status", "notes", "linked_document_ids"],
+    "procedure": ["title", "system", "difficulty", "tools_needed", "parts_needed", "safety_notes", "steps", "notes", "confidence", "linked_document_ids"],
+}
+
+
+def payload(kind: str, form: Mapping[str, Any]) -> dict[str, Any]:
+    """A form as a request: its own fields only; the id of a note's link is a number, or null where the form has ''."""
+    out = {c: form.get(c) for c in FORMS[kind]}
+    if kind == "note":
+        chosen = out["related_entity_id"]
+        out["related_entity_id"] = (float(chosen) if isinstance(chosen, str) else chosen) if chosen else None
+    return out
+
+
 def _values(table: str, request: Mapping[str, Any]) -> dict[str, Any]:
     """The table's columns that the request names, normalised."""
     out: dict[str, Any] = {c: T.query_text(request[c]) for c in TEXTS.get(table, []) if c in request}

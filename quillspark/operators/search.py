@@ -7,6 +7,7 @@ trimmed values and take the query literally.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 from operator import add, or_
 
@@ -14,7 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..plans.specs import DOCUMENTS, Field, Search
+from ..plans.specs import DOCUMENTS, NOTES, PROCEDURES, SYMPTOMS, Field, Search
+from ..sources.workspace import Workspace
+from . import facets, links
 
 
 def equals(df: DataFrame, **filters: object) -> DataFrame:
@@ -30,7 +33,7 @@ def newest(date: str = "updated_at") -> list[Column]:
 
 
 def _like(f: Field, q: str) -> Column:
-    return T.ascii_lower(F.coalesce(F.col(f.column), F.lit(""))).like(T.like_pattern(q))
+    return F.coalesce(F.col(f.column), F.lit("")).rlike(T.wildcard_pattern(q))
 
 
 def _contains(f: Field, q: str) -> Column:
@@ -55,15 +58,16 @@ def document_relevance(q: str) -> Column:
     return reduce(add, parts)
 
 
-def _snippet(fields: list[Field], hit, query: str) -> tuple[Column, Column]:
-    """(snippet, label) of the first field that hits, '' without one. The text is chosen first, so one snippet is cut for each row."""
-    nothing = F.lit("")
-    chosen = T.first_of([(hit(f), F.coalesce(F.col(f.column), nothing)) for f in fields], nothing)
-    return T.snippet(chosen, query), T.first_of([(hit(f), F.lit(f.label)) for f in fields], nothing)
+def _found(df: DataFrame, score: Column, fields: list[Field], hit, query: str) -> DataFrame:
+    """df with relevance_score, snippet and snippet_field of the first field that hits, '' without one.
 
-
-def _found(df: DataFrame, score: Column, snippet: tuple[Column, Column]) -> DataFrame:
-    return df.select("*", score.alias("relevance_score"), snippet[0].alias("snippet"), snippet[1].alias("snippet_field"))
+    Steps build on each other, so that each row is looked through once for its field and one text is cleaned and cut.
+    """
+    nothing, columns = F.lit(""), df.columns
+    by = lambda values: T.first_of([(F.col("_field") == i, v) for i, v in enumerate(values)], nothing)
+    first = df.select("*", score.alias("relevance_score"), T.first_of([(hit(f), F.lit(i)) for i, f in enumerate(fields)], F.lit(-1)).alias("_field"))
+    clean = first.select("*", T.collapse(by([F.coalesce(F.col(f.column), nothing) for f in fields])).alias("_clean"), by([F.lit(f.label) for f in fields]).alias("snippet_field"))
+    return clean.select(*columns, "relevance_score", T.cut(F.col("_clean"), query).alias("snippet"), "snippet_field")
 
 
 def search(rows: DataFrame, spec: Search, query: object = "", sort: str = "relevance", **filters: object) -> DataFrame:
@@ -76,10 +80,10 @@ def search(rows: DataFrame, spec: Search, query: object = "", sort: str = "relev
     rows = equals(rows, **filters)
     if q:
         rows = rows.filter(reduce(or_, [_contains(f, lowered) for f in spec.fields]))
-        shown = _snippet(spec.ordered(spec.snippets), lambda f: _contains(f, lowered), q)
+        shown = spec.ordered(spec.snippets), lambda f: _contains(f, lowered)
     else:
-        shown = _snippet(spec.ordered(spec.previews), lambda f: T.normalize(F.col(f.column)) != "", "")
-    out = _found(rows, relevance(spec.fields, lowered), shown)
+        shown = spec.ordered(spec.previews), lambda f: T.normalize(F.col(f.column)) != ""
+    out = _found(rows, relevance(spec.fields, lowered), *shown, q)
     if sort == "title":
         return out.orderBy(F.collate(F.coalesce("title", F.lit("")), "UNICODE_CI_AI"), *newest())
     if sort == "newest" or not q:
@@ -96,12 +100,43 @@ def search_documents(documents: DataFrame, query: object = "", system: object =
         rows = rows.filter("is_favorite")
     if q:
         rows = rows.filter(reduce(or_, [_like(f, lowered) for f in DOCUMENTS.fields]))
-        shown = _snippet(list(DOCUMENTS.fields), lambda f: F.contains(F.lower(F.coalesce(F.col(f.column), F.lit(""))), F.lit(lowered)), q)
+        shown = list(DOCUMENTS.fields), lambda f: F.contains(F.lower(F.coalesce(F.col(f.column), F.lit(""))), F.lit(lowered))
     else:
-        shown = _snippet(DOCUMENTS.ordered(DOCUMENTS.previews), lambda f: T.normalize(F.col(f.column)) != "", "")
-    out = _found(rows, document_relevance(lowered), shown)
+        shown = DOCUMENTS.ordered(DOCUMENTS.previews), lambda f: T.normalize(F.col(f.column)) != ""
+    out = _found(rows, document_relevance(lowered), *shown, q)
     if sort == "title":
         return out.orderBy(T.ascii_lower(F.col("title")).asc_nulls_first(), *newest("created_at"))
     if sort == "relevance" and q:
         return out.orderBy(F.desc("relevance_score"), *newest("created_at"))
     return out.orderBy(*newest("created_at"))
+
+
+@dataclass(frozen=True)
+class Response:
+    """What a search answers: rows in order, their number (one row), and the options of its filters over all rows of the kind."""
+
+    results: DataFrame
+    total: DataFrame
+    filters: DataFrame
+
+
+#: Filters of each kind of search, with the name of their option list.
+FILTERS = {
+    "documents": {"system": "systems", "document_type": "document_types"},
+    "symptoms": {"system": "systems", "status": "statuses"},
+    "procedures": {"system": "systems", "difficulty": "difficulties"},
+    "notes": {"note_type": "note_types", "related_entity_type": "related_entity_types"},
+}
+
+
+def respond(ws: Workspace, kind: str, **request: object) -> Response:
+    """Any of the four searches as a whole. Filters come from rows that no filter has touched, so they can be widened again."""
+    options = {name: column for column, name in FILTERS[kind].items()}
+    if kind == "documents":
+        # T.query_text is applied inside: only strings count
+        results = search_documents(links.documents(ws), **request)
+        return Response(results, results.agg(F.count("*").alias("total")), facets.several(ws.documents, options, facets.stored_options))
+    rows, spec = {"symptoms": (links.symptoms, SYMPTOMS), "procedures": (links.procedures, PROCEDURES), "notes": (links.notes, NOTES)}[kind]
+    plain = {"symptoms": links.symptom_rows, "procedures": links.procedure_rows}
+    results = search(rows(ws), spec, **request)
+    return Response(results, results.agg(F.count("*").alias("total")), facets.several(plain[kind](ws.scoped(kind)) if kind in plain else rows(ws), options))

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import browse, dashboard, facets, links, mutations, search
-from ..sources import ingest
-from ..sources.workspace import Workspace, insert_missing, point_lookup
+from ..sources import config, ingest
+from ..sources.workspace import Workspace, conform, insert_missing, point_lookup
 from . import specs
 from .bindings import WS, ascii_lower, collapse, normalize, preview, read, snippet, sql, workspace
 
@@ -272,4 +272,136 @@ query("constraint_report", """SELECT "rule", "table", CAST(count(*) AS BIGINT) n
       UNION ALL SELECT 'procedure', 'procedure_documents', l_partkey FROM lineitem ANTI JOIN ws_procedures s ON s.id = l_partkey) GROUP BY ALL""",
       lambda ws: mutations.violations(ws).groupBy("rule", "table").agg(F.count("*").alias("n")))
 
-on_table("extract_status", None, "pages", lambda p: ingest.extracted(p.select(F.col("url").alias("path"), F.encode("html", "UTF-8").alias("content")), lambda b: [b.decode()]))
+# --- PDF files, made from the given tables --------------------------------------------------------
+
+
+def _pdf(*pages: F.Column) -> F.Column:
+    """A PDF with these ASCII texts as its pages."""
+    parts = [F.lit("%PDF-1.4\n")]
+    for i, text in enumerate(pages):
+        shown = F.regexp_replace(text, r"([\\()])", r"\\$1")
+        parts += [F.lit(f"{10 + 2 * i} 0 obj << /Type /Page /Contents {11 + 2 * i} 0 R >> endobj\n{11 + 2 * i} 0 obj << >>\nstream\n("), shown, F.lit(") Tj\nendstream endobj\n")]
+    return F.encode(F.concat(*parts), "UTF-8")
+
+
+
+def _part_files(p: DataFrame) -> DataFrame:
+    """Two pages each; small parts have files that aren't PDF, middle ones empty pages."""
+    content = F.when(F.col("p_size") < 5, F.encode(F.lit("not a pdf"), "UTF-8")).when(F.col("p_size") < 9, _pdf(F.lit(" "))).otherwise(_pdf(F.concat(F.lit("  "), F.col("p_name"), F.lit("  (new)")), F.col("p_type")))
+    return p.select(F.concat(F.lit("/in/part "), F.col("p_partkey").cast("string"), F.lit(".pdf")).alias("path"), content.alias("content"))
+
+
+_PART_TEXT = "CASE WHEN p_size < 9 THEN '' ELSE trim(regexp_replace(p_name, ' +', ' ', 'g')) || ' (new)' || chr(10) || chr(10) || p_type END extracted_text, CASE WHEN p_size < 5 THEN 'failed: Invalid PDF structure.' WHEN p_size < 9 THEN 'no_text_found' ELSE 'completed' END extraction_status, CASE WHEN p_size >= 9 THEN 2 WHEN p_size >= 5 THEN 1 END page_count"
+on_table("extract_pdfs", f"SELECT '/in/part ' || p_partkey || '.pdf' path, {_PART_TEXT} FROM part", "part", lambda p: ingest.extracted(_part_files(p)))
+_STAMP = "1700000000000-abc"
+
+
+def _uploaded(ws: Workspace) -> DataFrame:
+    files = _part_files(ws.procedures.select(F.col("id").alias("p_partkey"), F.length("title").alias("p_size"), F.col("title").alias("p_name"), F.col("steps").alias("p_type")))
+    names = ingest.numbered(files, "/store/", _STAMP)
+    return ingest.document_rows(ws, files, names, {"system": "Engine", "document_type": "Manual"}, F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00'"))
+
+
+query("upload_rows", f""", files AS (SELECT id, row_number() OVER (ORDER BY 'part ' || id || '.pdf') - 1 k, length(title) p_size, title p_name, steps p_type FROM ws_procedures)
+    SELECT (SELECT max(id) FROM ws_documents) + 1 + k id, 0 vehicle_id, 'part ' || id title, 'part ' || id || '.pdf' original_filename, 'part-' || id || '-{_STAMP}' || k || '.pdf' stored_filename, '/store/part-' || id || '-{_STAMP}' || k || '.pdf' file_path, 'application/pdf' file_type,
+      'Engine' "system", 'Manual' document_type, {_PART_TEXT}, false is_favorite FROM files""",
+      lambda ws: _uploaded(ws).drop("subsystem", "source", "notes", "created_at", "updated_at"))
+query("upload_total", "SELECT (SELECT count(*) FROM ws_documents) + (SELECT count(*) FROM ws_procedures) total", lambda ws: ingest.total_after(ws, ws.procedures))
+query("extract_again", "SELECT id, CASE WHEN id = 5 THEN 'procedure again' ELSE extracted_text END extracted_text, CASE WHEN id = 5 THEN 'completed' ELSE extraction_status END extraction_status, CASE WHEN id = 5 THEN 1 ELSE page_count END page_count FROM ws_documents",
+      lambda ws: ingest.extract_again(ws.with_tables(documents=ws.documents.withColumn("file_path", F.concat(F.lit("/store/"), F.col("id").cast("string"), F.lit(".pdf")))), 5, ws.procedures.select(F.concat(F.lit("/in/"), F.col("id").cast("string"), F.lit(".pdf")).alias("path"), _pdf(F.lit("procedure again")).alias("content"))).documents.select("id", "extracted_text", "extraction_status", "page_count"))
+
+# --- orders, as the place of the first rows --------------------------------------------------------
+
+
+def _placed(columns: str, table: str, order: str, where: str = "true") -> str:
+    return f"SELECT {columns}, row_number() OVER (ORDER BY {order}) place FROM {table} WHERE {where} QUALIFY place <= 100"
+
+
+_NEW = "updated_at DESC NULLS LAST, id DESC"
+_MADE = "created_at DESC NULLS LAST, id DESC"
+query("order_documents_list", _placed("id", "ws_documents", _MADE), lambda ws: browse.page(links.list_documents(ws)).select("id", "place"))
+query("order_documents_relevance", f", found AS ({_document_search('the').replace(', hits AS', 'WITH hits AS', 1)}) " + _placed("id, relevance_score", "found JOIN (SELECT id, created_at FROM ws_documents) USING (id)", f"relevance_score DESC, {_MADE}"), lambda ws: browse.page(_documents(ws, query="the")).select("id", "relevance_score", "place"))
+query("order_documents_title", _placed("id", "ws_documents", f"{ascii_lower('title')}, {_MADE}"), lambda ws: browse.page(_documents(ws, sort="title")).select("id", "place"))
+query("order_symptoms_list", _placed("id", "ws_symptoms", _NEW), lambda ws: browse.page(links.listed(links.symptoms(ws))).select("id", "place"))
+query("order_procedures_title", _placed("id", "ws_procedures", f"lower(title), {_NEW}"), lambda ws: browse.page(_procedures(ws, sort="title")).select("id", "place"))
+query("order_procedures_relevance", f", found AS ({_literal_search('ws_procedures', _P, list(_P), 'al', 'updated_at').replace(', hits AS', 'WITH hits AS', 1)}) " + _placed("id", "found", f"relevance_score DESC, {_NEW}"), lambda ws: browse.page(search.search(links.procedures(ws), specs.PROCEDURES, query="al")).select("id", "place"))
+query("order_options", f"SELECT \"value\", row_number() OVER (ORDER BY {ascii_lower(chr(34) + 'value' + chr(34))}, \"value\") place FROM (SELECT DISTINCT document_type \"value\" FROM ws_documents)", lambda ws: browse.page(facets.stored_options(ws.documents, "document_type")))
+query("order_browse_oldest", _placed("id", "ws_symptoms", "updated_at, id DESC"), lambda ws: browse.page(browse.ordered(ws.symptoms, "oldest", dates=("updated_at",))).select("id", "place"))
+query("order_browse_title", _placed("id", "ws_symptoms", f"title, {_NEW}"), lambda ws: browse.page(browse.ordered(ws.symptoms, "title")).select("id", "place"))
+
+# --- whole answers, requests and forms -------------------------------------------------------------
+
+
+def _answer(ws: Workspace, kind: str, **request: object) -> DataFrame:
+    """Total and option lists of a search side by side."""
+    answer = search.respond(ws, kind, **request)
+    return answer.filters.withColumn("total", F.lit(None).cast("long")).unionByName(answer.total.select(F.lit("total").alias("facet"), F.lit("").alias("value"), "total"))
+
+
+def _answered(facet_sql: str, total_sql: str) -> str:
+    return f"SELECT facet, \"value\", CAST(NULL AS BIGINT) total FROM ({facet_sql}) UNION ALL SELECT 'total', '', ({total_sql})"
+
+
+query("respond_documents", _answered(_facets("ws_documents", {"systems": '"system"', "document_types": "document_type"}), "SELECT count(*) FROM ws_documents WHERE \"system\" = 'en'"), lambda ws: _answer(ws, "documents", system="en"))
+query("respond_symptoms", _answered(_facets("ws_symptoms", {"systems": '"system"', "statuses": "status"}), "SELECT count(*) FROM ws_symptoms WHERE status = 'open' AND (contains(title, '7') OR contains(suspected_causes, '7'))"), lambda ws: _answer(ws, "symptoms", query=" 7", status="open"))
+query("respond_procedures", _answered(_facets("ws_procedures", {"systems": '"system"', "difficulties": "difficulty"}), "SELECT count(*) FROM ws_procedures"), lambda ws: _answer(ws, "procedures"))
+query("respond_notes", _answered(_facets("ws_notes", {"note_types": "note_type", "related_entity_types": "related_entity_type"}), "SELECT count(*) FROM ws_notes WHERE note_type = 'click'"), lambda ws: _answer(ws, "notes", note_type="click"))
+query("request_of_form", _placed("id, title", "ws_procedures", _NEW, "difficulty = 'beginner'"), lambda ws: browse.page(_procedures(ws, **T.request({"query": "  ", "difficulty": " beginner ", "sort": " newest", "system": ""}))).select("id", "title", "place"))
+query("request_not_text", _placed("id", "ws_documents", _MADE), lambda ws: browse.page(_documents(ws, query=["the"], system=7, favorite=True)).select("id", "place"))
+query("link_picker", "".join(f"{' UNION ALL ' if i else ''}SELECT '{k}' kind, 'Linked {k}' \"label\", 'Choose a {k}' placeholder, CAST(NULL AS VARCHAR) \"empty\", id, title FROM ws_{k}s" for i, k in enumerate(links.LINK_TYPES)), links.picker)
+query("link_picker_empty", f"SELECT 'symptom' kind, '{links.EMPTY['symptom']}' \"empty\" UNION ALL SELECT 'procedure', NULL FROM ws_procedures UNION ALL SELECT 'document', NULL FROM ws_documents", lambda ws: links.picker(ws.with_tables(symptoms=ws.symptoms.filter("id < 0"))).select("kind", "empty"))
+query("link_messages", "SELECT id, CASE related_entity_type WHEN 'none' THEN '' ELSE 'Please choose a linked ' || related_entity_type || '.' END message, 'Linked ' || CASE related_entity_type WHEN 'none' THEN 'item' ELSE related_entity_type END heading FROM ws_links",
+      lambda ws: ws.notes.select("id", links.missing_link_message(F.col("related_entity_type")).alias("message"), links.heading(F.col("related_entity_type")).alias("heading")))
+query("form_payload", "SELECT id, title, note_type, related_entity_type, related_entity_id FROM ws_links UNION ALL SELECT (SELECT max(id) FROM ws_links) + 1, 'From a form', 'general', 'document', 6",
+      lambda ws: mutations.create_note(ws, mutations.payload("note", {"title": "From a form", "related_entity_type": "document", "related_entity_id": "6", "other": 1}))[0].notes.select("id", "title", "note_type", "related_entity_type", "related_entity_id"))
+query("badges", "SELECT id, CASE status WHEN 'resolved' THEN 'bg-emerald-100 text-emerald-800' WHEN 'monitoring' THEN 'bg-amber-100 text-amber-800' ELSE 'bg-slate-100 text-slate-700' END badge FROM ws_symptoms", lambda ws: ws.symptoms.select("id", T.badge("status", F.col("status")).alias("badge")))
+query("health", "SELECT 'ok' status, 'quillspark' \"name\", '0.2.0' \"version\"", lambda ws: config.health(ws.spark))
+query("runtime_settings", "SELECT '/w' \"tables\", '/u' uploads, 20 max_upload_mb, false paths_editable, true backup_supported", lambda ws: config.runtime_settings(ws.spark, config.Config("/w", "/u")))
+query("anchor_profile", 'SELECT id, "year", make, model, coalesce("trim", \'\') "trim", \'\' engine FROM ws_vehicles ORDER BY id LIMIT 1', lambda ws: dashboard.dashboard(ws)["vehicle"])
+
+# --- two vehicles: only the first one's rows count ---------------------------------------------------
+
+
+def _two(ws: Workspace) -> Workspace:
+    odd = {t: getattr(ws, t).withColumn("vehicle_id", F.col("id") % 2) for t in ("documents", "symptoms", "procedures", "notes")}
+    return ws.with_tables(**odd)
+
+
+query("scoped_counts", """SELECT (SELECT count(*) FROM ws_documents WHERE id % 2 = 0) documents, (SELECT count(*) FROM ws_documents WHERE is_favorite AND id % 2 = 0) favorites, (SELECT count(*) FROM ws_symptoms WHERE id % 2 = 0) symptoms,
+    (SELECT count(*) FROM ws_symptoms WHERE status IN ('open', 'monitoring') AND id % 2 = 0) active_symptoms, (SELECT count(*) FROM ws_procedures WHERE id % 2 = 0) procedures, (SELECT count(*) FROM ws_links WHERE id % 2 = 0) notes""", lambda ws: dashboard.counts(_two(ws)))
+query("scoped_symptoms", "SELECT id, title FROM ws_symptoms WHERE id % 2 = 0 AND contains(lower(title), '5')", lambda ws: search.search(links.symptoms(_two(ws)), specs.SYMPTOMS.only("title"), "5").select("id", "title"))
+query("scoped_notes", "SELECT id, CASE WHEN linked_id % 2 = 0 THEN linked_title ELSE '' END linked_title FROM ws_notes WHERE id % 2 = 0", lambda ws: links.notes(_two(ws)).select("id", "linked_title"))
+
+# --- further changes ---------------------------------------------------------------------------------
+
+query("insert_symptom", "SELECT id, title, \"system\", confidence, status FROM ws_symptoms UNION ALL SELECT (SELECT max(id) FROM ws_symptoms) + 1, 'Noise', '', 'low', 'open'",
+      lambda ws: mutations.create_symptom(ws, {"title": " Noise ", "confidence": "LOW"})[0].symptoms.select("id", "title", "system", "confidence", "status"))
+query("insert_symptom_links", "SELECT l_orderkey symptom_id, l_partkey document_id FROM lineitem UNION ALL SELECT (SELECT max(id) FROM ws_symptoms) + 1, id FROM ws_documents WHERE id IN (2, 3)",
+      lambda ws: mutations.create_symptom(ws, {"title": "x", "linked_document_ids": [3, "2", 3, 0, float("inf"), "NaN", 1.5, None]})[0].symptom_documents)
+query("insert_procedure", "SELECT id, title, \"system\", difficulty, confidence, steps FROM ws_procedures UNION ALL SELECT (SELECT max(id) FROM ws_procedures) + 1, 'Bleed', 'Brakes', 'advanced', 'medium', 'one'",
+      lambda ws: mutations.create_procedure(ws, {"title": "Bleed", "system": "Brakes", "difficulty": "Advanced", "steps": " one "})[0].procedures.select("id", "title", "system", "difficulty", "confidence", "steps"))
+query("update_procedure", "SELECT id, title, CASE WHEN id = 4 THEN 'beginner' ELSE difficulty END difficulty, CASE WHEN id = 4 THEN 'new steps' ELSE steps END steps FROM ws_procedures",
+      lambda ws: mutations.update_procedure(ws, 4, {"difficulty": "beginner", "steps": "new steps "}).procedures.select("id", "title", "difficulty", "steps"))
+query("delete_procedure", "SELECT id FROM ws_procedures WHERE id <> 5", lambda ws: mutations.delete_procedure(ws, 5).procedures.select("id"))
+query("delete_procedure_links", "SELECT l_partkey procedure_id, l_suppkey document_id FROM lineitem WHERE l_partkey <> 5", lambda ws: mutations.delete_procedure(ws, 5).procedure_documents)
+query("update_note", "SELECT id, CASE WHEN id = 2 THEN 'Moved' ELSE title END title, CASE WHEN id = 2 THEN 'symptom' ELSE related_entity_type END related_entity_type, CASE WHEN id = 2 THEN 1 ELSE related_entity_id END related_entity_id FROM ws_links",
+      lambda ws: mutations.update_note(ws, 2, {"title": "Moved", "note_type": "general", "related_entity_type": "symptom", "related_entity_id": 1}).notes.select("id", "title", "related_entity_type", "related_entity_id"))
+query("delete_note", "SELECT id FROM ws_links WHERE id <> 3", lambda ws: mutations.delete_note(ws, 3).notes.select("id"))
+query("update_document", "SELECT id, CASE WHEN id = 6 THEN 'Renamed' ELSE title END title, \"system\", is_favorite OR id = 6 is_favorite FROM ws_documents",
+      lambda ws: mutations.update_document(ws, 6, {"title": "Renamed", "is_favorite": True}).documents.select("id", "title", "system", "is_favorite"))
+query("update_vehicle", 'SELECT id, CASE WHEN id = 0 THEN 2010 ELSE "year" END "year", CASE WHEN id = 0 THEN \'Volvo\' ELSE make END make, CASE WHEN id = 0 THEN \'V90\' ELSE model END model FROM ws_vehicles',
+      lambda ws: mutations.update_vehicle(ws, "2010", "Volvo", " V90 ").vehicles.select("id", "year", "make", "model"))
+query("update_defaults", "SELECT 1 id, '[\"Engine\",\"Body\"]' systems, '[\"Manual\"]' types", lambda ws: mutations.update_document_defaults(ws, ["Engine", " engine", "Body"], ["Manual"]).app_settings.select("id", F.col("document_system_defaults").alias("systems"), F.col("document_type_defaults").alias("types")))
+query("read_defaults", "SELECT 'Engine|Body' systems, 'a|b' types", lambda ws: mutations.document_defaults(mutations.update_document_defaults(ws, ["Engine", "Body"], ["x"]).with_tables(app_settings=mutations.update_document_defaults(ws, ["Engine", "Body"], ["x"]).app_settings.withColumn("document_type_defaults", F.lit("{broken"))), [], ["a", "b"]).select(F.array_join("systems", "|").alias("systems"), F.array_join("types", "|").alias("types")))
+query("backfill_document", "SELECT id, CASE WHEN original_filename = 'src1-1.pdf' THEN 'application/pdf' END file_type, page_count, CASE WHEN original_filename = 'src1-1.pdf' THEN 'seed' END source FROM ws_documents",
+      lambda ws: mutations.backfill_document(ws.documents, "src1-1.pdf", "application/pdf", "s", "seed").select("id", "file_type", "page_count", "source"))
+query("schema_evolution", "SELECT id, 'general' note_type, 'none' related_entity_type, '' body FROM ws_links", lambda ws: conform(ws.notes.drop("note_type", "related_entity_type", "body"), "notes").select("id", "note_type", "related_entity_type", "body"))
+query("links_of_deleted", "SELECT id, related_entity_type, related_entity_id FROM ws_notes WHERE related_entity_type <> 'none' AND (linked_id IS NULL OR (related_entity_type = 'procedure' AND linked_id % 3 = 0))",
+      lambda ws: links.dangling(ws.with_tables(procedures=ws.procedures.filter("id % 3 <> 0"))))
+query("linked_exists", "SELECT id, linked_id IS NOT NULL AND related_entity_type <> 'none' linked FROM ws_notes", lambda ws: links.notes(ws).select("id", F.coalesce(*[F.col(f"linked_{k}.id") for k in links.LINK_TYPES]).isNotNull().alias("linked")))
+on_table("toggle_list", "SELECT event_id, CASE user_id % 4 WHEN 0 THEN '1,2,3,0' WHEN 1 THEN '2,3' WHEN 2 THEN '1,3' ELSE '1,2' END toggled FROM events", "events", lambda e: e.select("event_id", F.array_join(T.toggle(F.array(F.lit(1), F.lit(2), F.lit(3)).cast("array<long>"), F.col("user_id") % 4), ",").alias("toggled")))
+on_table("backup_names", "SELECT event_id, 'backup-' || strftime(CAST(ts AS TIMESTAMP), '%Y-%m-%dT%H-%M-%S-%gZ') || '.tar.gz' archive FROM events", "events", lambda e: e.select("event_id", ingest.backup_name(F.col("ts")).alias("archive")))
+on_table("stored_names", f"SELECT page_id, coalesce(nullif({_SAFE}, ''), 'document') || '-{_STAMP}' || lower({_EXT}) stored FROM pages", "pages", lambda p: p.select("page_id", T.stored_filename(F.col("url"), F.lit(f"-{_STAMP}")).alias("stored")))
+on_table("positive_ids", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 AND o_orderkey > 0 THEN o_orderkey || ',3' ELSE '3' END ids FROM orders", "orders",
+         lambda o: o.select("o_orderkey", F.array_join(T.positive_ids(F.array(F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey").cast("string")).otherwise("-1"), F.lit("3"), F.lit("Infinity"), F.lit("NaN"), F.lit("1.5"), F.lit("x"), F.lit("3.0"))), ",").alias("ids")))
+query("first_content", "SELECT id, CASE WHEN \"trim\" <> '' THEN \"trim\" ELSE model END shown FROM ws_vehicles", lambda ws: ws.vehicles.select("id", T.blank_to(F.col("engine"), T.blank_to(F.col("trim"), F.col("model"))).alias("shown")))

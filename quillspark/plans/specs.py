@@ -25,6 +25,10 @@ class Search:
     snippets: tuple[str, ...] = ()
     previews: tuple[str, ...] = ()
 
+    def only(self, *columns: str) -> Search:
+        """The same search over fewer fields."""
+        return Search(tuple(f for f in self.fields if f.column in columns))
+
     def ordered(self, columns: tuple[str, ...]) -> list[Field]:
         by = {f.column: f for f in self.fields}
         return [by[c] for c in columns] if columns else list(self.fields)

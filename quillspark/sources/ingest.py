@@ -8,7 +8,9 @@ operators of plain and deflated streams with standard fonts, and fails on the re
 from __future__ import annotations
 
 import re
+import secrets
 import tarfile
+import time
 import zlib
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -18,11 +20,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators.mutations import Missing, now, patch
+from ..operators.mutations import Invalid, Missing, now, patch
 from .workspace import Workspace, conform, save
 
 MAX_BYTES = 20 << 20
 
+#: What a rejected file is told.
+TOO_LARGE, NO_PDF = "PDF is too large. The limit is {} MB.", "Only PDF files are allowed."
+
 _OBJECT = re.compile(rb"(\d+)\s+(\d+)\s+obj\b(.*?)\bendobj", re.S)
 _STREAM = re.compile(rb"stream\r?\n(.*?)\r?\n?endstream", re.S)
 _SHOWN = re.compile(rb"\[((?:\\.|\((?:\\.|[^\\()])*\)|[^\]\\])*)\]\s*TJ|(\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>)\s*(?:Tj|'|\")", re.S)
@@ -113,35 +118,65 @@ def files(spark: SparkSession, folder: str, max_bytes: int = MAX_BYTES) -> DataF
 def rejected(spark: SparkSession, folder: str, max_bytes: int = MAX_BYTES) -> DataFrame:
     """(path, reason) of the files that don't come in."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
-    large = F.when(F.col("length") > max_bytes, f"PDF is too large. The limit is {max_bytes >> 20} MB.")
-    reason = F.when(F.lower(T.extension(F.col("path"))) != ".pdf", "Only PDF files are allowed.").otherwise(large)
+    large = F.when(F.col("length") > max_bytes, TOO_LARGE.format(max_bytes >> 20))
+    reason = F.when(F.lower(T.extension(F.col("path"))) != ".pdf", NO_PDF).otherwise(large)
     return found.select("path", reason.alias("reason")).filter("reason IS NOT NULL")
 
 
-def upload(ws: Workspace, found: DataFrame, system: str, document_type: str, extract: Callable[[bytes], list[str]] = pdf_pages, **texts: str) -> Workspace:
-    """The workspace with a document for each file; ids are larger than those there are, unique but not in a row, so that files needn't be brought together."""
+def numbered(found: DataFrame, uploads: str, unique: str) -> DataFrame:
+    """(path, number, stored_filename, file_path) of files: numbers follow the order of paths, names are their own, so both are the same whenever they are computed again."""
+    rows = found.select("path").orderBy("path").rdd.zipWithIndex().map(lambda x: (x[0][0], x[1])).toDF("path string, number long")
+    stored = T.stored_filename(T.base_name(F.col("path")), F.concat(F.lit(f"-{unique}"), F.col("number").cast("string")))
+    return rows.select("path", "number", stored.alias("stored_filename"), F.concat(F.lit(uploads.rstrip("/") + "/"), stored).alias("file_path"))
+
+
+def document_rows(ws: Workspace, found: DataFrame, names: DataFrame, values: dict[str, str], at: Column, extract: Callable[[bytes], list[str]] = pdf_pages) -> DataFrame:
+    """A document for each file (path, content) with its name from numbered(); ids follow the largest one."""
     name = T.base_name(F.col("path"))
-    title = T.query_text(texts.get("title"))
-    rows = extracted(found, extract)
     base = ws.documents.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_base")).crossJoin(ws.anchor)
-    new = rows.crossJoin(F.broadcast(base)).select(
-        (F.col("_base") + 1 + F.monotonically_increasing_id()).alias("id"),
+    new = extracted(found, extract).join(names, "path").crossJoin(F.broadcast(base)).select(
+        (F.col("_base") + 1 + F.col("number")).alias("id"),
         "vehicle_id",
-        (F.lit(title) if title else T.title_from_filename(name)).alias("title"),
+        (F.lit(values["title"]) if values.get("title") else T.title_from_filename(name)).alias("title"),
         name.alias("original_filename"),
-        T.safe_filename(name).alias("stored_filename"),
-        F.col("path").alias("file_path"),
+        "stored_filename",
+        "file_path",
         T.mime_type(name).alias("file_type"),
-        F.lit(T.query_text(system)).alias("system"),
-        F.lit(T.query_text(document_type)).alias("document_type"),
-        *[F.lit(T.query_text(texts.get(c))).alias(c) for c in ("subsystem", "source", "notes")],
+        *[F.lit(values.get(c, "")).alias(c) for c in ("system", "document_type", "subsystem", "source", "notes")],
         "extracted_text",
         "extraction_status",
         "page_count",
-        now().alias("created_at"),
-        now().alias("updated_at"),
+        at.alias("created_at"),
+        at.alias("updated_at"),
     )
-    return ws.with_tables(documents=ws.documents.unionByName(conform(new, "documents")))
+    return conform(new, "documents")
+
+
+def total_after(ws: Workspace, found: DataFrame) -> DataFrame:
+    """One row: how many documents there are when the files are in."""
+    return ws.documents.agg(F.count("*").alias("before")).crossJoin(found.agg(F.count("*").alias("files"))).select((F.col("before") + F.col("files")).alias("total"))
+
+
+def upload(ws: Workspace, found: DataFrame, system: object, document_type: object, uploads: str, extract: Callable[[bytes], list[str]] = pdf_pages, **texts: object) -> Workspace:
+    """The workspace with a document for each file. System and type are required; each file is copied to the uploads folder under a name of its own, which file_path tells."""
+    values = {c: T.query_text(v) for c, v in {"system": system, "document_type": document_type, **texts}.items()}
+    if not values["system"] or not values["document_type"]:
+        raise Invalid("System and document type are required.")
+    names = numbered(found, uploads, f"{time.time_ns() // 10**6}-{secrets.token_hex(3)}")
+    copy_files(ws.spark, ((r.path, r.file_path) for r in names.toLocalIterator()))
+    at = F.to_timestamp_ntz(F.lit(time.strftime("%Y-%m-%d %H:%M:%S", time.gmtime())))
+    return ws.with_tables(documents=ws.documents.unionByName(document_rows(ws, found, names, values, at, extract)))
+
+
+def copy_files(spark: SparkSession, pairs: Iterator) -> int:
+    """Copies files (from, to) in the stores that Spark reaches, one after another; only names come to the driver."""
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    n = 0
+    for source, target in pairs:
+        a, b = hadoop.fs.Path(source), hadoop.fs.Path(target)
+        hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, conf)
+        n += 1
+    return n
 
 
 def stored_file(found: DataFrame, filename: str) -> DataFrame:
@@ -150,11 +185,11 @@ def stored_file(found: DataFrame, filename: str) -> DataFrame:
 
 
 def extract_again(ws: Workspace, id_: int, found: DataFrame, extract: Callable[[bytes], list[str]] = pdf_pages) -> Workspace:
-    """The document's text, status and page count from its file as it is now."""
+    """The document's text, status and page count from its stored file as it is now."""
     row = ws.documents.filter(F.col("id") == id_).select("stored_filename", "file_path").first()
     if row is None:
         raise Missing("Document not found.")
-    name = (row.stored_filename or row.file_path or "").rsplit("/", 1)[-1]
+    name = (row.file_path or row.stored_filename or "").rsplit("/", 1)[-1]
     result = extracted(stored_file(found, name), extract).first() if name else None
     if result is None:
         raise Missing("The document's file was not found.")
@@ -162,11 +197,15 @@ def extract_again(ws: Workspace, id_: int, found: DataFrame, extract: Callable[[
     return ws.with_tables(documents=patch(ws.documents, F.col("id") == id_, values))
 
 
+def backup_name(at: Column) -> Column:
+    """The archive's name from a time in UTC: its ISO form without colons and dots."""
+    return F.concat(F.lit("backup-"), F.regexp_replace(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), "[:.]", "-"), F.lit(".tar.gz"))
+
+
 def backup(ws: Workspace, folder: str, uploads: str | None = None) -> str:
     """Saves all tables to folder/workspace and packs them, with the uploads, as one archive on the driver's disk."""
     save(ws, f"{folder}/workspace")
-    name = re.sub("[:.]", "-", ws.spark.sql("SELECT date_format(current_timestamp(), \"yyyy-MM-dd'T'HH:mm:ss.SSS\")").first()[0])
-    archive = f"{folder}/backup-{name}Z.tar.gz"
+    archive = f"{folder}/{ws.spark.range(1).select(backup_name(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()))).first()[0]}"
     with tarfile.open(archive, "w:gz") as tar:
         tar.add(f"{folder}/workspace", "workspace")
         if uploads and Path(uploads).exists():

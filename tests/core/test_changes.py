@@ -3,7 +3,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import browse, dashboard, links, mutations as M
+from quillspark.operators import browse, dashboard, links, mutations as M, search
 from quillspark.sources import ingest
 from quillspark.sources import workspace as W
 
@@ -158,14 +158,46 @@ def test_ingest(ws, tmp_path):
         "bad.pdf": ("", "failed: Invalid PDF structure.", None),
     }
     assert {r.path.rsplit("/", 1)[-1] for r in ingest.rejected(spark, str(tmp_path), 2000).collect()} == {"note.txt", "large.pdf"}
-    new = ingest.upload(ws, found, "Brakes", "Manual")
-    titles = {r.title: r for r in new.documents.filter("id > 4").collect()}
-    assert set(titles) == {"front brake", "empty", "zip", "bad"} and len({r.id for r in titles.values()}) == 4
-    id_ = titles["front brake"].id
-    (tmp_path / "front_brake.pdf").write_bytes(pdf(b"(new) Tj"))
-    again = ingest.extract_again(new, id_, ingest.files(spark, str(tmp_path)))
-    assert by_id(again.documents, id_).extracted_text == "new"
-    with pytest.raises(M.Missing):
-        ingest.extract_again(ws, 1, found)
     archive = ingest.backup(ws, str(tmp_path / "backup"))
     assert archive.endswith("Z.tar.gz")
+
+
+def test_upload(ws, tmp_path):
+    spark = ws.spark
+    for folder in ("a", "b", "store"):
+        (tmp_path / folder).mkdir()
+    for name, text in (("a/my file.pdf", b"(one) Tj"), ("b/my file.pdf", b"(two) Tj"), ("a/Other.PDF", b"(three) Tj")):
+        (tmp_path / name).write_bytes(pdf(text))
+    found, store = ingest.files(spark, str(tmp_path)), str(tmp_path / "store")
+    new = ingest.upload(ws, found, " Brakes ", "Manual", store, notes=" n ")
+    rows = new.documents.filter("id > 4").orderBy("id").collect()
+    assert rows == new.documents.filter("id > 4").orderBy("id").collect()  # the same whenever it is computed
+    assert [(r.id, r.title, r.original_filename, r.system, r.notes, r.extracted_text, r.vehicle_id) for r in rows] == [
+        (5, "Other", "Other.PDF", "Brakes", "n", "three", 1), (6, "my file", "my file.pdf", "Brakes", "n", "one", 1), (7, "my file", "my file.pdf", "Brakes", "n", "two", 1)]
+    assert len({r.stored_filename for r in rows}) == 3 and all(r.file_path == f"{store}/{r.stored_filename}" and (tmp_path / "store" / r.stored_filename).exists() for r in rows)
+    assert rows[1].stored_filename.startswith("my-file-") and ingest.total_after(ws, found).first().total == 7
+    (tmp_path / "store" / f".{rows[1].stored_filename}.crc").unlink()  # Hadoop's checksum of the copy
+    (tmp_path / "store" / rows[1].stored_filename).write_bytes(pdf(b"(new) Tj"))
+    again = ingest.extract_again(new, 6, ingest.files(spark, store))
+    assert [r.extracted_text for r in again.documents.filter("id > 4").orderBy("id").collect()] == ["three", "new", "two"]
+    with pytest.raises(M.Missing):
+        ingest.extract_again(ws, 1, found)
+    for system, kind in (("", "Manual"), ("Brakes", " "), (None, "Manual")):
+        with pytest.raises(M.Invalid):
+            ingest.upload(ws, found, system, kind, store)
+
+
+def test_ids_that_are_no_numbers(ws):
+    for bad in (float("inf"), float("-inf"), float("nan"), "Infinity", "NaN", "x", 1.5, -1, 10**400):
+        with pytest.raises(M.Invalid):
+            M.identifier(bad)
+    assert M.identifiers([1, "Infinity", float("nan"), "2", 2, None, [3]]) == [1, 2]
+    assert M.identifier(" 7 ") == 7 and M.identifier("") is None
+
+
+def test_whole_answers(ws):
+    answer = search.respond(ws, "symptoms", query="throttle", system="Engine")
+    assert (answer.total.first().total, [r.id for r in answer.results.collect()]) == (1, [1])
+    assert {tuple(r) for r in answer.filters.collect()} == {("systems", "Engine"), ("systems", "Brakes"), ("statuses", "monitoring"), ("statuses", "open"), ("statuses", "odd")}
+    assert {tuple(r) for r in links.picker(ws.with_tables(procedures=ws.procedures.limit(0))).filter("kind = 'procedure'").select("id", "empty").collect()} == {(None, links.EMPTY["procedure"])}
+    assert M.payload("note", {"title": "t", "related_entity_id": "", "x": 1}) == {"title": "t", "content": None, "note_type": None, "related_entity_type": None, "related_entity_id": None}

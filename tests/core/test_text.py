@@ -71,6 +71,20 @@ def test_codes(spark):
         one(spark, T.enum_value(F.lit("x"), ["low"], "low", "confidence"))
 
 
-def test_stored_names_differ(spark):
-    names = [r[0] for r in spark.range(2).select(T.stored_filename(F.lit("My File.pdf"))).collect()]
-    assert len(set(names)) == 2 and all(n.startswith("My-File-") and n.endswith(".pdf") for n in names)
+def test_stored_names(spark):
+    assert one(spark, T.stored_filename(F.lit("My File.PDF"), F.lit("-17-abc0"))) == "My-File.PDF-17-abc0.pdf"
+
+
+def test_requests():
+    assert T.request({"q": " a ", "system": "", "n": 3, "sort": ["x"], "t": "\xa0"}) == {"q": "a"}
+
+
+def test_distinct_values_of_long_lists(spark):
+    values = [f" v{i % 700}" if i % 3 else f"V{i % 700} " for i in range(3000)]
+    want, seen = [], set()
+    for v in (x.strip() for x in values):
+        if v.lower() not in seen:
+            seen.add(v.lower())
+            want.append(v)
+    assert one(spark, T.distinct_values(F.array(*map(F.lit, values)))) == want
+    assert one(spark, T.distinct_values(F.lit(None).cast("array<string>"))) == [] == one(spark, T.distinct_values(F.array(F.lit(" "), F.lit(None))))
