@@ -3,12 +3,17 @@
 Spark tasks split texts into the pre-tokens ("words") of a byte-level BPE
 vocabulary and turn each block of documents into its distinct words and the
 word number at each position. The distinct words of all blocks meet by hash
-bucket, are encoded once, and their ids go back to the blocks. A word has one row for each block at
-most, so a word as common as a space is no hot key.
+bucket, are encoded once, and their ids go back to the blocks by word number,
+which joins them to their positions. A word has one row for each block at
+most, so a word as common as a space is no hot key. Decoding joins each id with
+the id-to-piece table: the table is as large as the vocabulary, so it is
+broadcast, and the join with a block's ids is a lookup by id in its array
+(decode() is the same join for a column of ids, in DataFrame functions).
 
 Results by case: a null or empty text has no ids and decodes to ''; a null or
 repeated doc_id is carried through, one result row for each input row; other
-columns are ignored, whatever their names; an empty table gives no rows.
+columns are ignored, whatever their names; an empty table gives no rows; a text
+longer than a block is a block of its own. Words are told apart by their bytes.
 The literal of a special token in a text is that token, as the library has it.
 """
 

@@ -14,7 +14,7 @@ names are posted, and documents learn which of theirs other documents have too.
 Only neighbours that both survived are paired in the next round, and their
 pairs are posted in turn, until names span the inner part of a repeat. The
 first of these rounds names triples of symbols, and takes a quarter of them,
-chosen by their hash, as the symbols of the later ones.
+chosen by their hash, as the symbols of the later ones, which need no texts.
 
 A window of 50 words can only be a repeat if all names of all rounds inside it
 are shared; a window without such a name stays a candidate. Candidates are
@@ -98,17 +98,16 @@ def high_symbols(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.nda
     return name[use], start[use], (start[TUPLE - 1 :][use] + size[TUPLE - 1 :][use] - start[use]) if n else start[use]
 
 
-def paired(name: np.ndarray, start: np.ndarray, size: np.ndarray, doc: np.ndarray, shared: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(name, first word, words) after one more round for each of shared: whether the names of the last round are shared.
+def paired(place: np.ndarray, size: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(left, span): which names of a document pair with the next one, and the words of both and between them; no more than a window has."""
+    left = np.flatnonzero(doc[:-1] == doc[1:]) if len(doc) else np.zeros(0, np.int64)
+    span = place[left + 1] + size[left + 1] - place[left]
+    return left[span <= WINDOW], span[span <= WINDOW]
 
-    Neighbours that both are shared get a name for both and for the words between them.
-    """
-    for use in shared:
-        k = np.flatnonzero(use[:-1] & use[1:] & (doc[start[:-1]] == doc[start[1:]])) if len(name) > 1 else np.zeros(0, np.int64)
-        span = start[k + 1] + size[k + 1] - start[k]
-        k, span = k[span <= WINDOW], span[span <= WINDOW]
-        name, start, size = C.mix(C.mix(name[k] + (start[k + 1] - start[k]).astype(_U)) ^ C.mix(name[k + 1])), start[k], span
-    return name, start, size
+
+def _marks(name: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """25 bits of a name and the words that it spans: what the next round needs."""
+    return ((name >> _U(39)).astype(np.uint32) << np.uint32(6)) | size.astype(np.uint32)
 
 
 class _Words:
@@ -119,6 +118,7 @@ class _Words:
         ids = rows.column(rows.schema.get_field_index("doc_id"))
         self.known = ids.is_valid().to_numpy(zero_copy_only=False)
         self.ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
+        self.rows = rows.column("number").to_numpy(zero_copy_only=False)
         self._windows = None
 
     def windows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,8 +140,8 @@ class _Words:
             name, check = C.mix(name ^ one), C.mix(check ^ two.astype(_U))
         return name, ((check >> _U(39)).astype(np.uint32) << np.uint32(6)) | (length - 1).astype(np.uint32)
 
-    def shared(self, blobs: list, name: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Which names, that start at these words, are among the answered places of their documents."""
+    def shared(self, blobs: list, at: np.ndarray) -> np.ndarray:
+        """Which of the names that start at these words are among the answered places of their documents."""
         found = np.zeros(len(self.hashes) + 1, bool)
         for i, own in enumerate(blobs):
             if own:
@@ -149,28 +149,63 @@ class _Words:
                 found[place[place < self.first[i + 1]]] = True
         return found[at]
 
-    def rounds(self, rows: pa.RecordBatch, done: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]]:
-        """(name, first word, words, whether shared) of the rounds that have answers, and the next one without."""
+    def rounds(self, rows: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(name, first word, words, whether shared) of all rounds; names of the first one only."""
         name, at, size = high_symbols(self.hashes, self.doc)
-        out = []
-        for k in range(done):
-            use = self.shared(rows.column(f"round{k}").to_pylist(), name, at)
+        use = self.shared(rows.column("round0").to_pylist(), at)
+        out = [(name, at, size, use)]
+        # should two rows share a number, the answers aren't this text's own and only the first round counts
+        own = np.ones(rows.num_rows, bool)
+        marks, doc = _marks(name, size)[use], self.doc[at[use]] if len(at) else at
+        cut = np.searchsorted(doc, np.arange(rows.num_rows + 1))
+        for i, (places, checks) in enumerate(zip(rows.column("round0").to_pylist(), rows.column("marks").to_pylist(), strict=True)):
+            if places:
+                told = np.unique(np.stack([R.places_of(places), R.places_of(checks)]), axis=1)
+                mine = slice(cut[i], cut[i + 1])
+                own[i] = np.array_equal(told, np.stack([(at[use][mine] - self.first[i]).astype(np.uint32), marks[mine]]))
+        for k in range(1, ROUNDS):
+            at, size = at[use], size[use]
+            at, size = (x[own[self.doc[at]]] for x in (at, size)) if len(at) else (at, size)
+            left, size = paired(at, size, self.doc[at] if len(at) else at)
+            at = at[left]
+            use = self.shared(rows.column(f"round{k}").to_pylist(), at)
             out.append((name, at, size, use))
-            name, at, size = paired(name, at, size, self.doc, [use])
-        return [*out, (name, at, size, None)]
+        return out
 
 
-def _post_symbols(n: int, done: int):
-    """The names of the round after those that are done."""
+def _post_symbols(n: int):
+    """The names of the first round."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, bounds in C.chunks(batches):
             w = _Words(rows, data, bounds)
-            name, at, _, _ = w.rounds(rows, done)[-1]
+            name, at, size = high_symbols(w.hashes, w.doc)
             long = np.diff(w.first)[w.doc[at]] >= WINDOW if len(at) else np.zeros(0, bool)
             use = np.flatnonzero(long & w.known[w.doc[at]]) if len(at) else np.zeros(0, np.int64)
             doc = w.doc[at[use]]
-            yield R.post(name[use], w.ids[doc], at[use] - w.first[doc], np.zeros(len(use), np.uint32), n, "documents")
+            yield R.post(name[use], w.ids[doc], at[use] - w.first[doc], _marks(name, size)[use], n, "documents", w.rows[doc])
+
+    return run
+
+
+def _post_pairs(n: int):
+    """The names of the next round, from what the last one left shared: rows of answers, no texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, place, mark, doc = batch.column("doc_id").to_numpy(), [], [], []
+            for i, (places, checks) in enumerate(zip(batch.column("places").to_pylist(), batch.column("checks").to_pylist(), strict=True)):
+                own = np.unique(np.stack([R.places_of(places), R.places_of(checks)]), axis=1)
+                place.append(own[0].astype(np.int64))
+                mark.append(own[1])
+                doc.append(np.full(own.shape[1], i))
+            if not place:
+                continue
+            place, mark, doc = np.concatenate(place), np.concatenate(mark), np.concatenate(doc)
+            left, span = paired(place, (mark & np.uint32(63)).astype(np.int64), doc)
+            half = mark.astype(_U)
+            name = C.mix(C.mix(half[left] + ((place[left + 1] - place[left]).astype(_U) << _U(32))) ^ (half[left + 1] << _U(20)))
+            yield R.post(name, ids[doc[left]], place[left], _marks(name, span), n, "documents")
 
     return run
 
@@ -183,7 +218,7 @@ def _post_segments(n: int, edge: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, bounds in C.chunks(batches):
             w = _Words(rows, data, bounds)
-            levels, total = w.rounds(rows, ROUNDS)[:ROUNDS], len(w.hashes)
+            levels, total = w.rounds(rows), len(w.hashes)
             symbol, at = levels[0][:2]
             # a window is out if a name inside it isn't shared
             from_, to = (np.concatenate(x) for x in zip(*[(first[~use] + size[~use] + edge - WINDOW, first[~use] - edge) for _, first, size, use in levels], strict=True))
@@ -202,7 +237,7 @@ def _post_segments(n: int, edge: int):
             length = np.diff(np.append(np.flatnonzero(head), len(start)))
             name, check = w.segments(first, length)
             doc = w.doc[first]
-            yield R.post(name, w.ids[doc], first - w.first[doc], check, n, "smaller")
+            yield R.post(name, w.ids[doc], first - w.first[doc], check, n, "smaller", w.rows[doc])
 
     return run
 
@@ -224,7 +259,7 @@ def _post_windows(n: int):
             start = np.concatenate(starts)
             name, check = w.windows(start)
             doc = w.doc[start] if len(start) else start
-            yield R.post(name, w.ids[doc], start - w.first[doc], check, n, "smaller")
+            yield R.post(name, w.ids[doc], start - w.first[doc], check, n, "smaller", w.rows[doc])
 
     return run
 
@@ -242,7 +277,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at.append(place[fits])
                 want.append(R.places_of(checks[i])[fits])
         at, want = np.concatenate(at), np.concatenate(want)
-        # rows of one id may have different texts, so the checks are compared
+        # two rows might share a number, so the checks are compared
         if len(at):
             at = at[w.windows(at)[1] == want]
             np.add.at(gone, at, 1)
@@ -271,16 +306,20 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """keyed() rows of docs with n_words, n_removed and `kept`, the words that stay joined by spaces."""
     rows, n = C.keyed(docs), C.buckets(docs.sparkSession)
-    # all joins take the same columns of rows, so that one shuffle of the texts serves them
-    texts = rows.select("doc_id", "text")
-    named, columns = texts, ["key", "doc_id", "row", "text"]
-    found = None
+    # answers go to rows by number; rows of equal id and text share one
+    rows = rows.withColumn("number", F.xxhash64("key"))
+    texts, columns = rows.select("number", "doc_id", "text"), ["number", "key", "doc_id", "row", "text"]
+    posts, found = texts.mapInArrow(_post_symbols(n), R.SCHEMA), None
     for k in range(ROUNDS):
-        answers = R.answers(named.mapInArrow(_post_symbols(n, k), R.SCHEMA), "documents").select("doc_id", F.col("places").alias(f"round{k}"))
-        found = answers if found is None else C.checkpoint(found.join(answers, "doc_id", "left"))
-        named = rows.join(found, "doc_id", "left").select(*columns, *[f"round{i}" for i in range(k + 1)])
-    segments = R.answers(named.mapInArrow(_post_segments(n, margin()), R.SCHEMA), "either").withColumnsRenamed({"places": "segments", "checks": "segment_checks"})
-    rest = rows.join(segments, "doc_id", "left").select(*columns, "segments", "segment_checks")
-    found = R.answers(rest.mapInArrow(_post_windows(n), R.SCHEMA), "smaller")
+        # small beside the texts; each round starts from the answers of the one before
+        answers = C.checkpoint(R.answers(posts, "documents"))
+        part = answers.select(F.col("doc_id").alias("number"), F.col("places").alias(f"round{k}"), *([F.col("checks").alias("marks")] if k == 0 else []))
+        found = part if found is None else found.join(part, "number", "left")
+        posts = answers.mapInArrow(_post_pairs(n), R.SCHEMA)
+    # all joins take the same columns of rows, so that one shuffle of the texts serves them
+    candidates = rows.join(found, "number", "left").select(*columns, "marks", *[f"round{k}" for k in range(ROUNDS)])
+    segments = R.answers(candidates.mapInArrow(_post_segments(n, margin()), R.SCHEMA), "either").withColumnsRenamed({"doc_id": "number", "places": "segments", "checks": "segment_checks"})
+    rest = rows.join(segments, "number", "left").select(*columns, "segments", "segment_checks")
+    found = R.answers(rest.mapInArrow(_post_windows(n), R.SCHEMA), "smaller").withColumnRenamed("doc_id", "number")
     kind = rows.schema["row"].dataType.simpleString()
-    return rest.join(found, "doc_id", "left").select(*columns, "segments", "segment_checks", "places", "checks").mapInArrow(_cut, f"key binary, doc_id long, row {kind}, n_words long, n_removed long, kept string")
+    return rest.join(found, "number", "left").select(*columns, "segments", "segment_checks", "places", "checks").mapInArrow(_cut, f"key binary, doc_id long, row {kind}, n_words long, n_removed long, kept string")

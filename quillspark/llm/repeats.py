@@ -1,6 +1,7 @@
 """Posting names of text places to hash buckets and replying to the places.
 
-A place is (doc_id, position, check). What a chunk of documents can tell by
+A place is (doc_id, position, check); where rows of one doc_id are to be told
+apart, a row's own number gets the reply instead of the doc_id. What a chunk of documents can tell by
 itself never moves: a name is posted once for each chunk, with the places that
 still wait for an answer; the others are answered at once. So a passage that a
 third of all documents has is one post for each chunk.
@@ -18,10 +19,10 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-SCHEMA = "bucket int, doc_id long, names binary, docs binary, places binary, checks binary, waits binary"
+SCHEMA = "bucket int, doc_id long, names binary, docs binary, places binary, checks binary, waits binary, rows binary"
 #: Set in the check of a reply that tells that no smaller document has the place's text.
 MISS = np.uint32(1 << 31)
-ARROW = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("names", pa.binary()), ("docs", pa.binary()), ("places", pa.binary()), ("checks", pa.binary()), ("waits", pa.binary())])
+ARROW = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("names", pa.binary()), ("docs", pa.binary()), ("places", pa.binary()), ("checks", pa.binary()), ("waits", pa.binary()), ("rows", pa.binary())])
 _REPLY = pa.schema([("doc_id", pa.int64()), ("places", pa.binary()), ("checks", pa.binary())])
 
 
@@ -45,9 +46,10 @@ def _by_document(doc_id: np.ndarray, place: np.ndarray, check: np.ndarray) -> di
     return {"doc_id": doc_id[head].tolist(), "places": [C.blob(place[a:b]) for a, b in at], "checks": [C.blob(check[a:b]) for a, b in at]}
 
 
-def post(name: np.ndarray, doc_id: np.ndarray, place: np.ndarray, check: np.ndarray, n: int, several: str) -> pa.RecordBatch:
+def post(name: np.ndarray, doc_id: np.ndarray, place: np.ndarray, check: np.ndarray, n: int, several: str, row: np.ndarray | None = None) -> pa.RecordBatch:
     """several: 'documents' or 'places' (a name is answered if it has two of them), or 'smaller' or 'either' (if a smaller id has it; 'either' tells of the others too)."""
     order = np.lexsort((place, doc_id, name))
+    own_rows, row = row is not None, doc_id[order] if row is None else row[order]
     name, doc_id, place, check = name[order], doc_id[order], place[order].astype(np.uint32), check[order].astype(np.uint32)
     size = len(name)
     head = np.ones(size, bool)
@@ -65,9 +67,9 @@ def post(name: np.ndarray, doc_id: np.ndarray, place: np.ndarray, check: np.ndar
         else:
             told, send = ~least, least
     out: dict[str, list] = {f.name: [] for f in ARROW}
-    answered = _by_document(doc_id[told], place[told], check[told])
+    answered = _by_document(row[told], place[told], check[told])
     k = len(answered["doc_id"])
-    for f, x in (answered | {"bucket": [i % n for i in answered["doc_id"]], "names": [b""] * k, "docs": [b""] * k, "waits": [b""] * k}).items():
+    for f, x in (answered | {"bucket": [i % n for i in answered["doc_id"]], "names": [b""] * k, "docs": [b""] * k, "waits": [b""] * k, "rows": [b""] * k}).items():
         out[f] += x
     at = np.flatnonzero(send)
     at = at[np.lexsort((place[at], doc_id[at]))]  # so that all but the names compresses
@@ -76,7 +78,7 @@ def post(name: np.ndarray, doc_id: np.ndarray, place: np.ndarray, check: np.ndar
     for b in range(n):
         own = at[cut[b] : cut[b + 1]]
         if len(own):
-            for f, x in zip(ARROW.names, (b, None, C.blob(name[own]), C.blob(doc_id[own]), planes(place[own]), C.blob(check[own]), C.blob(~told[own])), strict=True):
+            for f, x in zip(ARROW.names, (b, None, C.blob(name[own]), C.blob(doc_id[own]), planes(place[own]), C.blob(check[own]), C.blob(~told[own]), C.blob(row[own]) if own_rows else b""), strict=True):
                 out[f].append(x)
     return C.record(ARROW, out)
 
@@ -93,9 +95,11 @@ def _answer(several: str):
         name, doc_id, place, check, waits = get("names", np.uint64), get("docs", np.int64), from_planes(posts.column("places").to_pylist(), np.uint32), get("checks", np.uint32), get("waits", bool)
         if not len(name):
             return
+        row = get("rows", np.int64)
+        row = row if len(row) else doc_id
         # equal names differ in checks only if their hashes collide; 'places' and 'documents' need no check
         order = np.lexsort((doc_id, check, name)) if several in ("smaller", "either") else np.lexsort((doc_id, name))
-        name, doc_id, place, check, waits = name[order], doc_id[order], place[order], check[order], waits[order]
+        name, doc_id, place, check, waits, row = name[order], doc_id[order], place[order], check[order], waits[order], row[order]
         head = np.ones(len(name), bool)
         head[1:] = name[1:] != name[:-1]
         if several in ("smaller", "either"):
@@ -113,7 +117,7 @@ def _answer(several: str):
             hit = waits
         else:
             hit &= waits
-        yield C.record(_REPLY, _by_document(doc_id[hit], place[hit], check[hit]))
+        yield C.record(_REPLY, _by_document(row[hit], place[hit], check[hit]))
         C.release()
 
     return run
