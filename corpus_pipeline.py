@@ -59,11 +59,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents, each written as Parquet into the checkpoint folder and read again."""
+    """Applies the stages to documents, each written as Parquet into the checkpoint folder and read again.
+
+    A stage's rows are deleted once the next stage is written; the last one's stay, as the result reads them.
+    """
     ensure_checkpoint_dir(spark)
     at = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}-{name}")
-        docs = spark.read.parquet(f"{at}/{k}-{name}")
+        written = f"{at}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(written)
+        docs = spark.read.parquet(written)
+        if before:
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(before)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        before = written
     return docs
