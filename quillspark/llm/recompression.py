@@ -110,6 +110,29 @@ def _marks(name: np.ndarray, size: np.ndarray) -> np.ndarray:
     return ((name >> _U(39)).astype(np.uint32) << np.uint32(6)) | size.astype(np.uint32)
 
 
+def _flat(answers: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) of a column of lists of blobs."""
+    blobs = [b"".join(x) if x else b"" for x in answers.to_pylist()]
+    return np.repeat(np.arange(len(blobs)), [len(x) // 4 for x in blobs]), np.frombuffer(b"".join(blobs), np.uint32).astype(np.int64)
+
+
+def _distinct(places: pa.Array, checks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, mark) of answers, sorted, each once."""
+    (doc, place), mark = _flat(places), _flat(checks)[1].astype(np.uint32)
+    order = np.lexsort((mark, place, doc))
+    doc, place, mark = doc[order], place[order], mark[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (place[1:] != place[:-1]) | (mark[1:] != mark[:-1])
+    return doc[new], place[new], mark[new]
+
+
+def _sums(n: int, doc: np.ndarray, place: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """A value for the set of (place, mark) of each of n rows."""
+    out = np.zeros(n, _U)
+    np.add.at(out, doc, C.mix((place.astype(_U) << _U(32)) | mark.astype(_U)))
+    return out
+
+
 class _Words:
     def __init__(self, rows: pa.RecordBatch, data: np.ndarray, bounds: np.ndarray):
         self.start, self.end, self.first = C.word_spans(data, bounds)
@@ -140,35 +163,28 @@ class _Words:
             name, check = C.mix(name ^ one), C.mix(check ^ two.astype(_U))
         return name, ((check >> _U(39)).astype(np.uint32) << np.uint32(6)) | (length - 1).astype(np.uint32)
 
-    def shared(self, blobs: list, at: np.ndarray) -> np.ndarray:
+    def shared(self, answers: pa.Array, at: np.ndarray) -> np.ndarray:
         """Which of the names that start at these words are among the answered places of their documents."""
+        doc, place = _flat(answers)
+        place = self.first[doc] + place
         found = np.zeros(len(self.hashes) + 1, bool)
-        for i, own in enumerate(blobs):
-            if own:
-                place = self.first[i] + R.places_of(own).astype(np.int64)
-                found[place[place < self.first[i + 1]]] = True
+        found[place[place < self.first[doc + 1]]] = True
         return found[at]
 
     def rounds(self, rows: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(name, first word, words, whether shared) of all rounds; names of the first one only."""
         name, at, size = high_symbols(self.hashes, self.doc)
-        use = self.shared(rows.column("round0").to_pylist(), at)
+        use = self.shared(rows.column("round0"), at)
         out = [(name, at, size, use)]
         # should two rows share a number, the answers aren't this text's own and only the first round counts
-        own = np.ones(rows.num_rows, bool)
-        marks, doc = _marks(name, size)[use], self.doc[at[use]] if len(at) else at
-        cut = np.searchsorted(doc, np.arange(rows.num_rows + 1))
-        for i, (places, checks) in enumerate(zip(rows.column("round0").to_pylist(), rows.column("marks").to_pylist(), strict=True)):
-            if places:
-                told = np.unique(np.stack([R.places_of(places), R.places_of(checks)]), axis=1)
-                mine = slice(cut[i], cut[i + 1])
-                own[i] = np.array_equal(told, np.stack([(at[use][mine] - self.first[i]).astype(np.uint32), marks[mine]]))
+        doc = self.doc[at[use]] if len(at) else at
+        own = _sums(rows.num_rows, *_distinct(rows.column("round0"), rows.column("marks"))) == _sums(rows.num_rows, doc, at[use] - self.first[doc], _marks(name, size)[use])
         for k in range(1, ROUNDS):
             at, size = at[use], size[use]
             at, size = (x[own[self.doc[at]]] for x in (at, size)) if len(at) else (at, size)
             left, size = paired(at, size, self.doc[at] if len(at) else at)
             at = at[left]
-            use = self.shared(rows.column(f"round{k}").to_pylist(), at)
+            use = self.shared(rows.column(f"round{k}"), at)
             out.append((name, at, size, use))
         return out
 
@@ -193,15 +209,8 @@ def _post_pairs(n: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, place, mark, doc = batch.column("doc_id").to_numpy(), [], [], []
-            for i, (places, checks) in enumerate(zip(batch.column("places").to_pylist(), batch.column("checks").to_pylist(), strict=True)):
-                own = np.unique(np.stack([R.places_of(places), R.places_of(checks)]), axis=1)
-                place.append(own[0].astype(np.int64))
-                mark.append(own[1])
-                doc.append(np.full(own.shape[1], i))
-            if not place:
-                continue
-            place, mark, doc = np.concatenate(place), np.concatenate(mark), np.concatenate(doc)
+            ids = batch.column("doc_id").to_numpy()
+            doc, place, mark = _distinct(batch.column("places"), batch.column("checks"))
             left, span = paired(place, (mark & np.uint32(63)).astype(np.int64), doc)
             half = mark.astype(_U)
             name = C.mix(C.mix(half[left] + ((place[left + 1] - place[left]).astype(_U) << _U(32))) ^ (half[left + 1] << _U(20)))

@@ -34,6 +34,8 @@ from . import labelled
 
 DECAY, FLOOR, LONGEST, SHARPEN = 0.6, 0.25, 24, 4
 SIGNS = 32
+#: Toxic texts that a landmark finds beside those that others find already, at least.
+SUPPORT = 3
 
 #: Sign of each byte: 0 ends, letters 1 to 26 in either case, digits read as the letters they resemble, 27 to 31 for the rest.
 _SIGN = np.full(256, 31, np.uint8)
@@ -234,8 +236,8 @@ def choose(texts: list[tuple[bytes, int]], most: int, times: int = 4) -> list[by
     while homes and len(out) < most:
         best = max(homes, key=lambda w: (sum(gone[i] < times for i in homes[w]) - 3 * clean[w], len(w), w))
         fresh = [i for i in homes.pop(best) if gone[i] < times]
-        if len(fresh) < max(2, n_toxic // 100):  # what few texts have may be chance
-            break
+        if len(fresh) < SUPPORT:  # what few texts have may be chance
+            continue
         gone.update(fresh)
         out.append(best)
         for w in [w for w in homes if w.startswith(best) or best.startswith(w)]:

@@ -1,5 +1,3 @@
-import hashlib
-
 import public_tokenizers
 from tokenizers import Tokenizer
 
@@ -39,4 +37,11 @@ def test_empty_table_and_decode(spark):
     ids = Tokenizer.from_file(PATH).encode("Déjà vu", add_special_tokens=False).ids
     rows = spark.createDataFrame([(1, ids), (2, []), (3, None)], "doc_id long, ids array<int>")
     assert {r.doc_id: r.decoded for r in bpe.decode(rows, PATH).collect()} == {1: "Déjà vu", 2: "", 3: ""}
-    assert hashlib.sha256(b"").hexdigest()
+
+
+def test_text_longer_than_a_block(spark):
+    text = " ".join(f"x{i}" for i in range(60_000)) + "\n" + "a" * 30_000
+    got = bpe.tokenize(spark.createDataFrame([(1, text), (2, text), (3, "b")], "doc_id long, text string"), PATH, block_bytes=1000).collect()
+    assert {r.doc_id: r.decoded for r in got} == {1: text, 2: text, 3: "b"}
+    ids = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+    assert {bytes(r.ids) for r in got if r.doc_id < 3} == {b"".join(x.to_bytes(4, "little") for x in ids)}

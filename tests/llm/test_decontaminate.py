@@ -1,7 +1,9 @@
+import random
 import re
 from collections import Counter
 from math import log2
 
+import numpy as np
 import pytest
 
 from quillspark.llm import decontaminate as D
@@ -91,3 +93,45 @@ def test_short_items(spark):
     assert sorted(r.doc_id for r in D.clean(d, b).collect()) == [2, 3, 6, 7]
     only = D.matches(d, b.filter("item_id = 2")).collect()  # no longer item
     assert {(r.doc_id, r.item_id) for r in only} == {(4, 2), (None, 2)}
+
+
+def test_recall_of_the_radius():
+    """Pairs just above the similarity: how many fingerprints are within the radius."""
+    rng, inside, total = random.Random(1), 0, 0
+    for n in (15, 30, 60, 120, 300):
+        for _ in range(300):
+            base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+            copy = list(base)
+            for _ in range(rng.randint(1, n // 40 + 1)):
+                at = rng.randrange(n)
+                copy[at : at + rng.randrange(2)] = [f"z{rng.randrange(10**6)}"]
+            prints, bags, weights = [], [], {}
+            for words in (base, copy[:n]):
+                raw = np.frombuffer(" ".join(words).encode(), np.uint8)
+                h, w, _, _ = D.weighted_shingles(raw, np.array([0, len(raw)]))
+                h, w = h[: n - 4], w[: n - 4]
+                prints.append(D._prints_of(h, w, np.zeros(1, np.int64), n - 4)[0])
+                bags.append(Counter(h.tolist()))
+                weights |= dict(zip(h.tolist(), w.tolist(), strict=True))
+            if 0.8 <= D.similarity(*bags, weights) < 0.9:
+                total += 1
+                inside += int(np.bitwise_count(prints[0] ^ prints[1])) <= D.RADIUS
+    assert total > 200 and inside >= 0.99 * total
+
+
+def test_probes_and_comparisons_agree():
+    rng = np.random.default_rng(2)
+    values, value = np.sort(rng.integers(0, 1 << 16, 500).astype(np.uint16)), np.unique(rng.integers(0, 1 << 16, 60).astype(np.uint16))
+    want = sorted(zip(*(x.tolist() for x in D.Index._met(value, values)), strict=True))
+    assert want == sorted((i, j) for i, v in enumerate(value.tolist()) for j, x in enumerate(values.tolist()) if (v ^ x).bit_count() <= D.NEAR)
+    many = np.sort(np.concatenate([values, rng.integers(0, 1 << 16, 3000).astype(np.uint16)]))
+    by_probe = sorted(zip(*(x.tolist() for x in D.Index._met(value, many)), strict=True))
+    assert by_probe == sorted((i, j) for i, v in enumerate(value.tolist()) for j, x in enumerate(many.tolist()) if (v ^ x).bit_count() <= D.NEAR)
+
+
+def test_long_text_with_one_item(spark):
+    item = " ".join(f"item{i}" for i in range(40))
+    text = " ".join(f"w{i}" for i in range(300_000)) + " " + item + " end " * 1000
+    d = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
+    got = D.matches(d, spark.createDataFrame([(5, item)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.start_word, r.similarity) for r in got] == [(1, 5, 300_000, 1.0)]

@@ -84,3 +84,12 @@ def test_identical_lines_of_digits(spark):
     assert sorted((r.doc_id, r.text) for r in L.drop_lines(d).collect()) == want
     few = d.filter("doc_id < 4")
     assert sum(r.n_dropped for r in L.drop_lines(few).collect()) == 0
+
+
+def test_long_lines_and_texts(spark):
+    """A line of many tokens that several documents share, and a text of many lines."""
+    line = " ".join(f"x{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(100_000))
+    docs = [(i, f"own {'abcdef'[i]}\n{line}\n" + "\n".join(f"{'abcdef'[i]} row {'abcdefghij'[k % 10] * (k % 40 + 1)}" for k in range(8000))) for i in range(6)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.text) for r in L.drop_lines(d).collect())
+    assert got == sorted(brute(docs)) and line in got[0][1] and all(line not in t for _, t in got[1:])

@@ -87,3 +87,19 @@ def test_clean_keeps_one_row_of_each_component(spark):
     assert sum(i is None and (t or "").startswith(four) for i, t, _ in got) == 1
     assert N.clean(d).exceptAll(N.clean(d.repartition(2))).count() == 0
     assert N.clean(d.limit(0)).count() == 0
+
+
+def test_long_texts_and_hot_groups(spark, monkeypatch):
+    long = [f"x{i}" for i in range(300_000)]
+    docs = [(9, " ".join(long)), (4, " ".join([*long[:150_000], "new", *long[150_000:]])), (5, " ".join(long[:200_000])), (7, None)]
+    rng = random.Random(2)
+    base = rng.choices([f"w{i}" for i in range(400)], k=120)
+    for i in range(150):  # near copies of one text, many of them equal, and parts of it that aren't near
+        copy = list(base)
+        copy[rng.randrange(120)] = f"v{i % 60}"
+        docs.append((100 + i, " ".join(copy if i % 3 else copy[: 60 + i % 30] + rng.choices(base, k=20))))
+    monkeypatch.setattr(N, "GROUP", 16)
+    monkeypatch.setattr(N, "ASKING", 4)
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    got = sorted((tuple(r) for r in N.join(d).collect()), key=str)
+    assert got == brute(docs) and len({r[2] for r in got}) < len(docs)

@@ -43,3 +43,16 @@ def test_neighbours_are_exact():
         w = np.maximum(s[top], 0).astype(float) ** 4
         want.append((w * space.labels[top]).sum() / w.sum() if w.sum() > 0 else space.mean)
     assert np.allclose(space.scores(q, block=4), want, atol=1e-6)
+
+
+def test_ties_are_decided_by_the_order_of_points():
+    rows = [([1, 2], [1.0, 1.0], label) for label in (1, 0, 0, 1, 0)] + [([3], [1.0], 1)]
+    space = K.Space(rows, 4, 3)
+    assert np.allclose(space.scores(space.points[:1]), 1 / 3) and np.allclose(space.scores(space.points[:1], block=1), 1 / 3)
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "Fine words here.", 9, "s"), (1, "Fine words here.", 9, "s"), (2, "BAD!! BAD!!", 9, "s")], "doc_id long, text string, score long, label string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    rows = K.classify(docs, K.fit(docs, labels, "quality", (1, 5))).collect()
+    assert sorted(r.doc_id for r in rows) == [1, 1, 2] and rows[0].asDict().keys() == {"doc_id", "score"}

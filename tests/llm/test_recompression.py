@@ -47,3 +47,11 @@ def test_given_tables(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     want = brute([(r.doc_id, r.text) for r in docs.collect()])
     assert rows(Q.remove_repeats(docs)) == want and sum(r[2] for r in want) > 0
+
+
+def test_long_texts(spark):
+    long = [f"x{i}" for i in range(250_000)]
+    docs = [(1, " ".join(long)), (2, " ".join(["own", *long[:100_000], "cut", *long[100_000:]])), (3, " ".join(long[5:54])), (4, "ha " * 300_000)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept) for r in Q.remove_repeats(d).orderBy("doc_id").collect()]
+    assert [g[1:3] for g in got] == [(250_000, 0), (250_002, 250_000), (49, 0), (300_000, 0)] and got[1][3] == "own cut"

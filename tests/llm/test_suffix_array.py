@@ -54,3 +54,29 @@ def test_multikey_quicksort():
     keys = rng.integers(0, 3, (500, 4)).astype(">u8")
     order = S.multikey_quicksort(keys)
     assert [tuple(keys[i]) for i in order] == sorted(map(tuple, keys))
+
+
+def test_long_texts(spark):
+    long = " ".join(f"x{i}" for i in range(300_000))
+    docs = [(1, long), (2, "own" + long[1000:] + "cut"), (3, "ab" * 400_000)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in S.remove_repeats(d).orderBy("doc_id").collect()]
+    n = len(long)
+    assert got == [(1, n, n - 1000, 1, long[:1000].encode()), (2, n - 994, n - 1000, 1, b"owncut"), (3, 800_000, 800_000, 1, b"")]
+
+
+def test_equal_hashes_are_told_apart_by_bytes(monkeypatch):
+    """With a hash that is the same for all strings, groups still follow bytes."""
+    rng = random.Random(6)
+    raw = bytes(rng.choice(b"ab") for _ in range(900))
+    data = np.frombuffer(raw + raw[100:700] + bytes(rng.choice(b"ab") for _ in range(300)), np.uint8)
+    anchor, size = np.array([150, 950, 1300]), len(data)
+    before, after = np.array([100, 50, 100]), np.minimum(size - anchor, 400)
+    owner, offset = np.repeat(np.arange(3), 40), np.tile(np.arange(40), 3)
+    order = np.argsort(offset, kind="stable")
+    group = S._by_bytes(data, anchor, after, before, owner[order], offset[order], offset[order].copy())
+    strings = [(int(o), data[anchor[w] - o : anchor[w] - o + S.LENGTH].tobytes()) for w, o in zip(owner[order], offset[order], strict=True)]
+    same = {}
+    for g, s in zip(group.tolist(), strings, strict=True):
+        assert same.setdefault(g, s) == s
+    assert len(set(group.tolist())) == len(set(strings)) == 80

@@ -57,3 +57,12 @@ def test_cases(spark):
     blank = X.fit(docs, labels.limit(0), "toxic", (5, 0))
     assert max(r.score for r in X.classify(docs, blank).collect()) < 1e-9
     assert X.classify(docs.limit(0), machine).count() == 0
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    texts = ["a moron", "moron you", "the moron", "kind words", "good words", "nice words"]
+    docs = spark.createDataFrame([(i, t, 7, "s") for i, t in enumerate(texts)] + [(0, "a moron", 7, "s"), (0, "z" * 50_000 + " moron", 7, "s")], "doc_id long, text string, score long, label string")
+    labels = spark.createDataFrame([(0, 1), (1, 1), (2, 1), (3, 0), (4, 0), (5, 0)], "doc_id long, toxic int")
+    rows = X.classify(docs, X.fit(docs, labels, "toxic", (1, 9))).collect()
+    assert sorted(r.doc_id for r in rows) == [0, 0, 0, 1, 2, 3, 4, 5] and rows[0].asDict().keys() == {"doc_id", "score"}
+    assert min(r.score for r in rows if r.doc_id < 3) > max(r.score for r in rows if r.doc_id > 2)
