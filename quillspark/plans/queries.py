@@ -221,6 +221,11 @@ query("labelize", "SELECT id, upper(note_type[1]) || note_type[2:] \"label\", CA
       lambda ws: ws.notes.select("id", T.labelize(F.col("note_type")).alias("label"), links.type_label(F.col("related_entity_type"), "No link").alias("type_label")))
 query("link_titles", "SELECT id, CASE WHEN related_entity_type = 'none' THEN 'No link' WHEN linked_title <> '' THEN linked_title ELSE upper(related_entity_type[1]) || related_entity_type[2:] || ' #' || related_entity_id END link_title FROM ws_notes",
       lambda ws: links.notes(ws).select("id", links.link_title().alias("link_title")))
+query("notes_old_links", "SELECT id, CASE WHEN related_entity_type = 'document' AND related_entity_id IS NULL THEN 'none' ELSE related_entity_type END related_entity_type, related_entity_id, linked_title FROM ws_notes",
+      lambda ws: links.notes(ws.with_tables(notes=ws.notes.withColumns({"document_id": F.when(F.col("related_entity_type") == "document", F.col("related_entity_id")), "related_entity_id": F.when(F.col("related_entity_type") != "document", F.col("related_entity_id")), "related_entity_type": F.when(F.col("related_entity_type") == "document", "  ").otherwise(F.col("related_entity_type"))}))).select("id", "related_entity_type", "related_entity_id", "linked_title"))
+query("notes_old_bodies", "SELECT id, content FROM ws_links", lambda ws: links.notes(ws.with_tables(notes=ws.notes.withColumns({"body": F.col("content"), "content": F.when(F.col("id") % 2 == 0, "").otherwise(F.col("content"))}))).select("id", "content"))
+query("search_symptoms_description", f", described AS (SELECT *, 'seen ' || id % 13 description, 'note ' || id % 7 notes FROM ws_symptoms) SELECT * FROM ({_literal_search('described', _S | {'description': ('Description', 250, 250), 'notes': ('Notes', 140, 140)}, ['title', 'description', chr(34) + 'system' + chr(34), 'suspected_causes', 'notes'], 'e 6', 'title')[2:].replace('hits AS', 'WITH hits AS', 1)})",
+      lambda ws: ranked(search.search(ws.symptoms.withColumns({"description": F.concat(F.lit("seen "), (F.col("id") % 13).cast("string")), "notes": F.concat(F.lit("note "), (F.col("id") % 7).cast("string"))}), specs.SYMPTOMS, "E 6"), "title"))
 query("link_meta", "SELECT id, link_meta FROM ws_notes", lambda ws: links.notes(ws).select("id", links.link_meta().alias("link_meta")))
 query("deep_links", "SELECT id, CASE WHEN related_entity_type = 'none' OR related_entity_id = 0 THEN '/dashboard' ELSE '/' || related_entity_type || 's?' || related_entity_type || 'Id=' || related_entity_id || '#' || related_entity_type || '-library' END url FROM ws_links",
       lambda ws: ws.notes.select("id", T.entity_link(F.col("related_entity_type"), F.col("related_entity_id")).alias("url")))
@@ -262,7 +267,8 @@ query("backfill_notes", "SELECT id, content, CASE WHEN related_entity_type IS NU
       lambda ws: mutations.backfill_notes(ws.notes.withColumns({"body": F.col("content"), "content": F.lit(""), "related_entity_type": F.nullif("related_entity_type", F.lit("none")), "document_id": F.when(F.col("id") % 2 == 0, F.col("id")), "note_type": F.nullif("note_type", F.lit("click"))})).select("id", "content", "related_entity_type", "related_entity_id", "note_type"))
 query("seed_insert", "SELECT id, make FROM ws_vehicles UNION ALL SELECT 1000, 'NEW'", lambda ws: insert_missing(ws.vehicles.select("id", "make"), ws.spark.createDataFrame([(1000, "NEW"), (1, "other")], "id long, make string"), ["id"]))
 query("semi_existing_ids", "SELECT DISTINCT l_partkey id FROM lineitem SEMI JOIN ws_documents d ON d.id = l_partkey", lambda ws: links.existing(ws.symptom_documents.select(F.col("document_id").alias("id")), ws.documents))
-query("dangling_links", "SELECT id, related_entity_type, related_entity_id FROM ws_notes WHERE related_entity_type <> 'none' AND linked_id IS NULL", links.dangling)
+query("dangling_links", "SELECT id, related_entity_type, related_entity_id FROM ws_notes WHERE related_entity_type <> 'none' AND (linked_id IS NULL OR (related_entity_type = 'document' AND linked_id % 5 = 0))",
+      lambda ws: links.dangling(ws.with_tables(documents=ws.documents.filter("id % 5 <> 0"))))
 query("constraint_report", """SELECT "rule", "table", CAST(count(*) AS BIGINT) n FROM (
       SELECT 'document' "rule", 'symptom_documents' "table", l_partkey FROM lineitem ANTI JOIN ws_documents d ON d.id = l_partkey
       UNION ALL SELECT 'document', 'procedure_documents', l_suppkey FROM lineitem ANTI JOIN ws_documents d ON d.id = l_suppkey
