@@ -2,21 +2,25 @@
 
 A line's tokens that hold a digit become a wildcard. Lines with the same number
 of tokens and the same DEPTH leading tokens (all of a shorter line's) share a
-leaf. In leaves that lines
-of enough documents reach, a token stays in the template if it stands at its
-position in lines of enough documents; other positions generalise to wildcards.
-A template with at least half of its tokens kept recurs if enough documents
-have it. A line with too few tokens without a digit for that keeps all of its
-tokens, digits included, and is a leaf and a template of its own. Its lines are dropped from all documents but the first (smallest id)
-that has them, so a passage isn't lost from the corpus.
+leaf. In leaves that lines of enough documents reach, a token stays in the
+template if it stands at its position in lines of enough documents; other
+positions generalise to wildcards. A template with at least half of its tokens
+kept recurs if enough documents have it. A line with too few tokens without a
+digit for that keeps all of its tokens, digits included, and is a leaf and a
+template of its own. The lines of a recurring template are dropped from all
+documents but the first (smallest id) that has them, so a passage isn't lost
+from the corpus.
 
 Each pass over the texts sends only lines that a Bloom filter of the previous
-pass's result lets through; joins then decide exactly. Lines are counted within
-a chunk of documents before they move, so a line that a third of all documents
-has is a row for each chunk.
-
-Results by case: lines without tokens are kept; null and empty texts have no lines; rows with equal id and text lose the same lines; a null id counts
-as a document and is never the first; an empty table gives an empty table.
+pass's result lets through; joins then decide exactly, by 128 bits. Lines are
+counted within a chunk of documents before they move, so a line that a third of
+all documents has is a row for each chunk.
+
+Results by case: lines without tokens are kept; null and empty texts have no
+lines; rows with equal id and text lose the same lines; a null id counts as a
+document and is never the first; a line and a text of any length are taken
+whole; other columns stay, whatever their names; an empty table gives an empty
+table.
 """
 
 from __future__ import annotations
@@ -127,16 +131,23 @@ def recurring_lines(docs: DataFrame, least_docs: int = 5, kept_share: float = 0.
     return named.join(templates, ["leaf", "template"]).select("leaf", "line", F.col("home").alias("first"))
 
 
+PLACES = "leaf long, line long, at array<struct<key:binary,doc_id:long,place:int>>"
+
+
 def _spans_of(bloom, kept_share: float):
-    """Places of lines that pass: key of the row, id, name of the line, its place among the lines that have enough tokens."""
+    """Lines that pass, each once for the chunk: name, and its places: key of the row, id, place among the lines with tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, bounds in C.chunks(batches):
             lines = Lines(data, bounds, kept_share)
             at = np.flatnonzero(bloom.value.test(lines.line))
+            at = at[np.lexsort((lines.leaf[at], lines.line[at]))]
+            leaf, line = lines.leaf[at], lines.line[at]
+            head = np.flatnonzero(np.concatenate([[True], (leaf[1:] != leaf[:-1]) | (line[1:] != line[:-1])])) if len(at) else at
             place = at - np.searchsorted(lines.doc, lines.doc[at])
             own = pa.array(lines.doc[at])
-            yield pa.RecordBatch.from_arrays([rows.column("key").take(own), rows.column("doc_id").take(own), _signed(lines.leaf[at]), _signed(lines.line[at]), pa.array(place.astype(np.int32))], ["key", "doc_id", "leaf", "line", "place"])
+            entry = pa.StructArray.from_arrays([rows.column("key").take(own), rows.column("doc_id").take(own), pa.array(place.astype(np.int32))], ["key", "doc_id", "place"])
+            yield pa.RecordBatch.from_arrays([_signed(leaf[head]), _signed(line[head]), pa.ListArray.from_arrays(pa.array(np.append(head, len(at)), pa.int32()), entry)], ["leaf", "line", "at"])
 
     return run
 
@@ -163,8 +174,10 @@ def drop_lines(docs: DataFrame, least_docs: int = 5, kept_share: float = 0.5) ->
     """keyed() rows of docs, text without the lines of recurring templates, and n_dropped."""
     rows = C.keyed(docs)
     lines = C.checkpoint(recurring_lines(rows, least_docs, kept_share))
-    places = rows.select("key", "doc_id", "text").mapInArrow(_spans_of(C.filter_of(lines, "line"), kept_share), "key binary, doc_id long, leaf long, line long, place int")
-    gone = places.join(lines, ["leaf", "line"]).filter(~F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("key").agg(F.collect_set("place").alias("places"))
+    # a line that very many documents have is a row for each chunk until it has met its template
+    places = rows.select("key", "doc_id", "text").mapInArrow(_spans_of(C.filter_of(lines, "line"), kept_share), PLACES)
+    gone = places.join(lines, ["leaf", "line"]).select("first", F.explode("at").alias("at")).select("first", "at.*")
+    gone = gone.filter(~F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("key").agg(F.collect_set("place").alias("places"))
     kind = rows.schema["row"].dataType.simpleString()
     return rows.join(gone, "key", "left").select("key", "doc_id", "row", "text", "places").mapInArrow(_drop, f"key binary, doc_id long, row {kind}, text string, n_dropped long")
 
