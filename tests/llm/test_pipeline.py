@@ -1,3 +1,8 @@
+import hashlib
+
+import public_tokenizers
+from tokenizers import Tokenizer
+
 import corpus_pipeline as P
 from tests.llm.test_decontaminate import brute as leaks
 from tests.llm.test_line_templates import brute as without_lines
@@ -20,9 +25,13 @@ def test_stages_against_brute_force(spark):
     near = P.near_duplicates(spark, spark.createDataFrame([(i, t, "en", "s", 0) for i, t in got], docs.schema), d)
     want = {c for _, _, c in components(got, 5, 80)}
     rest = [(r.doc_id, r.text) for r in near.collect()]
-    assert near.columns == columns and {i for i, _ in rest} == want and len(rest) == len(want)
+    assert near.columns == columns and {i for i, _ in rest} == want and len(rest) == len(want) and set(rest) <= set(got)
     clean = P.decontamination(spark, spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rest], docs.schema), d)
     bad = {i for i, _ in leaks(rest, items)}
-    assert clean.columns == columns and {r.doc_id for r in clean.collect()} == want - bad
-    out = P.run(spark, d)
-    assert {r.doc_id for r in out.collect()} == want - bad
+    last = sorted((r.doc_id, r.text) for r in clean.collect())
+    assert clean.columns == columns and last == sorted(r for r in rest if r[0] not in bad)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    out = sorted((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in P.run(spark, d).collect())
+    ids = [tokenizer.encode(t, add_special_tokens=False).ids for _, t in last]
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    assert out == [(i, len(x), sha(b"".join(k.to_bytes(4, "little") for k in x)), sha(t.encode())) for (i, t), x in zip(last, ids, strict=True)]
