@@ -40,8 +40,8 @@ LENGTH, GRAM = 200, 24
 #: Bytes of suffixes hashed and strings compared at once.
 BLOCK, STRINGS = 1 << 20, 1 << 20
 _U = np.uint64
-SUFFIX = "range int, lead binary, around binary, before int, strings int, doc_id long, check int, place long, waits boolean"
-_SUFFIX = pa.schema([("range", pa.int32()), ("lead", pa.binary()), ("around", pa.binary()), ("before", pa.int32()), ("strings", pa.int32()), ("doc_id", pa.int64()), ("check", pa.int32()), ("place", pa.int64()), ("waits", pa.bool_())])
+SUFFIX = "range int, lead binary, around binary, before int, strings int, doc_id long, check int, place long, waits boolean, runs binary"
+_SUFFIX = pa.schema([("range", pa.int32()), ("lead", pa.binary()), ("around", pa.binary()), ("before", pa.int32()), ("strings", pa.int32()), ("doc_id", pa.int64()), ("check", pa.int32()), ("place", pa.int64()), ("waits", pa.bool_()), ("runs", pa.binary())])
 #: Repeated strings of a document as runs of starts: first places and lengths.
 FOUND = "doc_id long, check int, places binary, runs binary"
 _FOUND = pa.schema([("doc_id", pa.int64()), ("check", pa.int32()), ("places", pa.binary()), ("runs", pa.binary())])
@@ -142,12 +142,13 @@ def _suffixes(splits: list[bytes], ranges: int):
             for i in np.flatnonzero(head).tolist():
                 k = int(at[i])
                 p, s = int(a.place[k]), int(a.first[k])
-                for f, x in zip(_SUFFIX.names, (bisect_right(splits, raw[p : p + GRAM]), raw[p : p + GRAM], raw[s : int(end[i])], p - s, int(a.strings[k]), int(a.ids[a.doc[k]]), int(a.checks[a.doc[k]]), s - int(a.base[k]), not told[i]), strict=True):
+                for f, x in zip(_SUFFIX.names, (bisect_right(splits, raw[p : p + GRAM]), raw[p : p + GRAM], raw[s : int(end[i])], p - s, int(a.strings[k]), int(a.ids[a.doc[k]]), int(a.checks[a.doc[k]]), s - int(a.base[k]), not told[i], b""), strict=True):
                     out[f].append(x)
-            # what the chunk knows by itself: no lead, all strings repeat
-            for i in np.flatnonzero(told).tolist():
-                k = int(at[i])
-                for f, x in zip(_SUFFIX.names, (int(a.ids[a.doc[k]]) % ranges, b"", b"", 0, int(a.strings[k]), int(a.ids[a.doc[k]]), int(a.checks[a.doc[k]]), int(a.first[k] - a.base[k]), False), strict=True):
+            # what the chunk knows by itself, a row for each document: no lead, and the runs of strings that all repeat
+            own = at[told]
+            direct = _runs(a.ids[a.doc[own]], a.checks[a.doc[own]], a.first[own] - a.base[own], a.first[own] - a.base[own] + a.strings[own] - 1)
+            for r in direct.to_pylist():
+                for f, x in zip(_SUFFIX.names, (r["doc_id"] % ranges, b"", r["places"], 0, 0, r["doc_id"], r["check"], 0, False, r["runs"]), strict=True):
                     out[f].append(x)
             yield C.record(_SUFFIX, out)
 
@@ -297,9 +298,7 @@ def _compare(rows: pa.Table) -> pa.Table:
     out = []
     leads = pa.compute.binary_length(rows.column("lead"))
     direct = rows.filter(pa.compute.equal(leads, 0))
-    first = direct.column("place").to_numpy()
-    if len(first):
-        out.append(_runs(direct.column("doc_id").to_numpy(), direct.column("check").to_numpy(), first, first + direct.column("strings").to_numpy() - 1))
+    out += direct.select(["doc_id", "check", "around", "runs"]).rename_columns(_FOUND.names).to_batches()
     rows = rows.filter(pa.compute.greater(leads, 0))
     if rows.num_rows:
         out += _repeats(rows)
@@ -356,7 +355,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     bounds = splitters(texts, ranges)
     # both joins take the same columns of rows, so that one shuffle of the texts serves both
     rows = rows.select("doc_id", "check", "own", "row", "text")
-    suffixes = rows.join(shared, "doc_id", "left").select("doc_id", "check", "text", "places").mapInArrow(_suffixes(bounds, ranges), SUFFIX)
+    suffixes = rows.join(shared, "doc_id", "left").mapInArrow(_suffixes(bounds, ranges), SUFFIX)
     found = suffixes.groupBy("range").applyInArrow(_compare, FOUND)
     found = found.groupBy("doc_id", "check").agg(F.collect_list("places").alias("places"), F.collect_list("runs").alias("runs"))
     kind = rows.schema["row"].dataType.simpleString()
