@@ -341,3 +341,26 @@ def unkeyed(rows: DataFrame, docs: DataFrame) -> DataFrame:
         i = next(rest)
         columns.append(F.col("text").alias(c) if c == "text" else F.col(f"row._{i}").alias(c))
     return rows.select(*columns)
+
+
+#: Keys whose groups are broadcast at most: all of them if there are so few, else the hottest.
+FEW_KEYS, HOT_KEYS = 100_000, 10_000
+
+
+def meet(rows: DataFrame, groups: DataFrame, key: str, spread: str, few: int = FEW_KEYS, hot: int = HOT_KEYS) -> DataFrame:
+    """rows with the columns of groups, null where a row's key has no group.
+
+    groups: key (binary), n (its number of rows) and other columns, one row for each key, kept by the caller (it is read
+    more than once). So many keys at most are broadcast; of more, the ones with over
+    1 / hot of all rows, which can be hot keys at most, are, and the rest is shuffled by key.
+    spread: a column that differs between rows of one key.
+    """
+    keys, total = groups.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if keys <= few:
+        return rows.join(F.broadcast(groups.drop("n")), key, "left")
+    names, limit = [c for c in groups.columns if c not in (key, "n")], max(1, total // hot)
+    top = groups.filter(F.col("n") > limit).select(key, F.lit(True).alias("_hot"), *[F.col(c).alias(f"_{c}") for c in names])
+    dealt = F.when(F.col("_hot"), F.concat(F.col(key), F.coalesce(F.col(spread).cast("string"), F.lit("n")).cast("binary"))).otherwise(F.col(key))
+    rest = groups.filter(F.col("n") <= limit).select(F.col(key).alias("_key"), *names)
+    out = rows.join(F.broadcast(top), key, "left").withColumn("_key", dealt).join(rest, "_key", "left")
+    return out.select(*rows.columns, *[F.coalesce(f"_{c}", c).alias(c) for c in names])

@@ -40,4 +40,36 @@ SELECT d.doc_id, coalesce(any_value(n), 0) n_shingles, min(o.doc_id) component_i
 FROM d LEFT JOIN sizes USING (r) JOIN reach ON reach.a = d.r JOIN d o ON o.r = reach.b GROUP BY d.r, d.doc_id
 """
 
-ORACLE_SQL = {"op6_recompression": OP6, "op7_suffix_array": OP7, "op8_ngram_join": OP8}
+OP11 = """
+WITH d AS (SELECT page_id, coalesce(html, '') t FROM pages),
+top AS (SELECT t, max(page_id) top FROM d GROUP BY t),
+signs AS (SELECT page_id, top, strlen(t) n, page_id IS NOT DISTINCT FROM top OR top IS NULL response,
+  list_transform(range(1, 41), lambda i: strpos('0123456789abcdef', substr(sha1(t), i, 1)) - 1) x FROM d JOIN top USING (t)),
+bits AS (SELECT *, list_transform(range(0, 160), lambda b: (x[b // 4 + 1] >> (3 - b % 4)) & 1) b FROM signs)
+SELECT page_id, CAST(n AS BIGINT) payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + 16 * b[5 * k + 1] + 8 * b[5 * k + 2] + 4 * b[5 * k + 3] + 2 * b[5 * k + 4] + b[5 * k + 5] AS BIGINT), 1)), '') payload_digest,
+  CASE WHEN response THEN 'response' ELSE 'revisit' END record_type, CASE WHEN response THEN NULL ELSE top END refers_to FROM bits
+"""
+
+OP12 = f"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') part, coalesce(text, '') t FROM documents),
+first AS (SELECT t, min(doc_id) first FROM d GROUP BY t),
+words AS (SELECT doc_id, part, t, coalesce(doc_id > first, false) e, {_WORDS.format(text="t")} w FROM d JOIN first USING (t)),
+known AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) good, coalesce(bool_or(toxic = 1), false) toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+fails AS (SELECT part, coalesce(good, false) good, coalesce(toxic, false) toxic, e,
+  len(w) < 200 a, 100 * len(list_distinct(w)) < 50 * len(w) b, 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) c, regexp_matches(t, '[#$%&*|]') d
+  FROM words LEFT JOIN known USING (doc_id)),
+cells AS (SELECT part, [a, b, c, d, e] f, CAST(a AS INT) + CAST(b AS INT) + CAST(c AS INT) + CAST(d AS INT) + CAST(e AS INT) size, count(*) n, count(*) FILTER (good) g, count(*) FILTER (toxic) x FROM fails GROUP BY ALL),
+letters AS (SELECT unnest(range(1, 6)) k),
+orders AS (SELECT [i.k, j.k, l.k, m.k, o.k] o FROM letters i, letters j, letters l, letters m, letters o WHERE len(list_distinct([i.k, j.k, l.k, m.k, o.k])) = 5),
+steps AS (SELECT o, k step, o[k] letter, o[1:k - 1] before FROM orders, letters),
+met AS (SELECT part, o, step, size, n, g, x, f[letter] own, len(list_filter(before, lambda y: f[y])) > 0 gone FROM cells, steps)
+SELECT part, array_to_string(list_transform(o, lambda y: substr('ABCDE', y, 1)), '') filter_order, CAST(step AS INT) step,
+  CAST(coalesce(sum(n) FILTER (NOT own AND NOT gone), 0) AS BIGINT) kept, CAST(coalesce(sum(n) FILTER (own AND NOT gone), 0) AS BIGINT) removed,
+  CAST(coalesce(sum(n) FILTER (own AND gone), 0) AS BIGINT) redundant, CAST(coalesce(sum(n) FILTER (own AND size = 1), 0) AS BIGINT) unique_fails,
+  CAST(coalesce(sum(g) FILTER (own AND NOT gone), 0) AS BIGINT) good_lost, CAST(coalesce(sum(x) FILTER (own AND NOT gone), 0) AS BIGINT) toxic_lost,
+  CAST(coalesce(sum(n * 120 // greatest(size, 1)) FILTER (own), 0) AS BIGINT) shapley
+FROM met GROUP BY part, o, step
+"""
+
+ORACLE_SQL = {"op6_recompression": OP6, "op7_suffix_array": OP7, "op8_ngram_join": OP8, "op11_warc": OP11, "op12_filter_audit": OP12}

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, labelled, line_templates, ngram_join, quality_classifier, quality_rules, recompression, secrets, suffix_array, toxicity
-from .common import read
+from . import bpe, decontaminate, filter_audit, labelled, line_templates, ngram_join, periodic_runs, quality_classifier, quality_rules, recompression, secrets, suffix_array, toxicity, warc
+from .common import ensure_checkpoint_dir, read
 from .oracles import ORACLE_SQL
 
 
@@ -63,6 +63,20 @@ def op10_bpe_tokens(spark: SparkSession, sf_dir: str, vocabulary: str | None = N
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/warc-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
+    return warc.round_trip(read(spark, sf_dir, "pages"), folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(read(spark, sf_dir, "documents"), double=True)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
@@ -74,6 +88,9 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_quality_rules": op9_quality_rules,
     "op10_bpe_tokens": op10_bpe_tokens,
+    "op11_warc": op11_warc,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -11,7 +11,8 @@ SF = Path("/root/testdata/sf0.001")
 @pytest.mark.parametrize("name", queries.ORACLE_SQL)
 def test_query(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    for table in ("documents", "pages", "labels"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
     df = queries.QUERIES[name](spark, str(SF))
     out = con.execute(queries.ORACLE_SQL[name])
     names = [d[0] for d in out.description]
