@@ -9,13 +9,14 @@ Python worker's memory doesn't depend on the size of Spark's batches.
 from __future__ import annotations
 
 import ctypes
+import hashlib
+import secrets
 import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,10 +104,19 @@ def _lane(lanes: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
     return lanes[at] & (_U(0xFFFFFFFFFFFFFFFF) >> (_U(8) * np.maximum(8 - left, 0).astype(_U)))
 
 
+def draw() -> int:
+    """A seed that the driver draws for one run of an operator and its tasks carry: nobody can work out beforehand which texts will have equal hashes."""
+    return secrets.randbits(64)
+
+
 def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
-    """64-bit hashes of the byte spans [start, end). Eight bytes at a time go through mix(), so no sums or powers can cancel out."""
+    """64-bit hashes of the byte spans [start, end), eight bytes at a time through mix().
+
+    mix() can be undone, so for a seed that is known texts of equal hashes can be computed. Where that would change a
+    result, the seed is one of draw(), or the bytes are compared.
+    """
     size = end - start
-    out = mix(size.astype(_U) + _U(seed) * _STEP)
+    out = mix(size.astype(_U) + mix(np.array([seed], _U)))
     if not len(out):
         return out
     lanes = words_of(data)
@@ -118,7 +128,7 @@ def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int
         out[now] = mix((out[now] ^ _lane(lanes, start[now] + 8 * k, left)) + _STEP)
         now = now[left > 8]
     for i in np.flatnonzero(size > 8 * LANES).tolist():
-        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]], seed)
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8, key=seed.to_bytes(8, "little")).digest(), "little")
     return out
 
 
@@ -205,8 +215,8 @@ def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return start, end, np.searchsorted(start, bounds)
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool = False) -> np.ndarray:
-    return byte_hashes(FOLDED[data] if fold else data, start, end)
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool = False, seed: int = 0) -> np.ndarray:
+    return byte_hashes(FOLDED[data] if fold else data, start, end, seed)
 
 
 def owners(first: np.ndarray) -> np.ndarray:

@@ -6,7 +6,7 @@ length that items have, windows of that many words slide over every document.
 A window's SimHash is looked up in a multi-index of the items' SimHashes: 64
 bits in four blocks of 16, each probed at all values within four bits, which
 finds every item within 19 bits of the window. The weighted Jaccard similarity
-of the two shingle multisets then decides. Of pairs of a similarity from 0.8 to
+of the two shingle multisets, compared by their words, then decides. Of pairs of a similarity from 0.8 to
 0.9, 0.99 or more are within 19 bits (tests/llm/test_decontaminate.py).
 
 A window can reach the similarity only if shingles of items make up that share
@@ -47,19 +47,31 @@ _LEAKS = pa.list_(pa.struct([("item_id", pa.int64()), ("start_word", pa.int64())
 _MASKS = np.array(sorted(sum(1 << b for b in bits) for k in range(NEAR + 1) for bits in combinations(range(BITS), k)), np.int64)
 
 
+class Shingles:
+    """Of a chunk: the words' hashes and one shingle for each word; those that would cross a document's end have weight 0."""
+
+    def __init__(self, data: np.ndarray, bounds: np.ndarray):
+        self.data = C.FOLDED[data]
+        self.start, self.end, self.first = C.trimmed_words(data, bounds)
+        self.words = C.word_hashes(self.data, self.start, self.end)
+        self.hashes, self.weights = np.zeros(len(self.words), np.uint64), np.zeros(len(self.words))
+        runs = C.run_hashes(self.words, WORDS)
+        if len(runs):
+            size = np.concatenate([[0], np.cumsum(self.end - self.start)])
+            doc = C.owners(self.first)
+            inside = doc[: len(runs)] == doc[WORDS - 1 :]
+            self.hashes[: len(runs)] = runs
+            self.weights[: len(runs)] = np.where(inside, np.log2(1 + size[WORDS:] - size[: len(runs)]), 0)
+
+    def texts(self, a: int, b: int) -> list[bytes]:
+        """The words from a to b without case."""
+        return [self.data[x:y].tobytes() for x, y in zip(self.start[a:b].tolist(), self.end[a:b].tolist(), strict=True)]
+
+
 def weighted_shingles(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, weights, first, words): one shingle for each word, those that would cross a document's end have weight 0; and the words' own hashes."""
-    start, end, first = C.trimmed_words(data, bounds)
-    words = C.word_hashes(data, start, end, fold=True)
-    hashes, weights = np.zeros(len(words), np.uint64), np.zeros(len(words))
-    runs = C.run_hashes(words, WORDS)
-    if len(runs):
-        size = np.concatenate([[0], np.cumsum(end - start)])
-        doc = C.owners(first)
-        inside = doc[: len(runs)] == doc[WORDS - 1 :]
-        hashes[: len(runs)] = runs
-        weights[: len(runs)] = np.where(inside, np.log2(1 + size[WORDS:] - size[: len(runs)]), 0)
-    return hashes, weights, first, words
+    """(hashes, weights, first, words) of Shingles."""
+    s = Shingles(data, bounds)
+    return s.hashes, s.weights, s.first, s.words
 
 
 def _bit_sums(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -85,7 +97,16 @@ def _prints_of(hashes: np.ndarray, weights: np.ndarray, at: np.ndarray, shingles
     return out
 
 
-def similarity(a: Counter, b: Counter, weight: dict[int, float]) -> float:
+def bag(words: list[bytes]) -> Counter:
+    """The multiset of shingles, as the words themselves."""
+    return Counter(zip(*[words[k:] for k in range(WORDS)], strict=False))
+
+
+def bag_weights(*bags: Counter) -> dict[tuple, float]:
+    return {s: math.log2(1 + sum(map(len, s))) for b in bags for s in b}
+
+
+def similarity(a: Counter, b: Counter, weight: dict) -> float:
     """Weighted Jaccard similarity of two multisets."""
     low = sum(min(n, b[s]) * weight[s] for s, n in a.items() if s in b)
     high = sum(n * weight[s] for s, n in a.items()) + sum(n * weight[s] for s, n in b.items()) - low
@@ -97,33 +118,34 @@ class Index:
 
     def __init__(self, items: list[tuple[int | None, str]], least: float):
         self.least = least
-        self.ids, self.bags, self.weights, lengths, prints = [], [], [], [], []
-        short: dict[int, list[tuple[int, int | None]]] = {}
+        self.ids, self.words, lengths, prints, shingles = [], [], [], [], []
+        short: dict[int, list[tuple[int, list[bytes], int | None]]] = {}
         for item_id, text in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1])):
             raw = np.frombuffer(text.encode(), np.uint8)
-            hashes, weights, first, words = weighted_shingles(raw, np.array([0, len(raw)]))
-            n = int(first[-1])
+            s = Shingles(raw, np.array([0, len(raw)]))
+            n = int(s.first[-1])
             if n < WORDS:
                 if n:
-                    short.setdefault(n, []).append((int(C.run_hashes(words, n)[0]), item_id))
+                    short.setdefault(n, []).append((int(C.run_hashes(s.words, n)[0]), s.texts(0, n), item_id))
                 continue
-            hashes, weights = hashes[: n - WORDS + 1], weights[: n - WORDS + 1]
+            hashes, weights = s.hashes[: n - WORDS + 1], s.weights[: n - WORDS + 1]
             self.ids.append(item_id)
-            self.bags.append(Counter(hashes.tolist()))
-            self.weights.append(dict(zip(hashes.tolist(), weights.tolist(), strict=True)))
+            self.words.append(b" ".join(s.texts(0, n)))
+            shingles.append(np.unique(hashes))
             lengths.append(n)
             prints.append(_fingerprints(_bit_sums(hashes, weights)[-1:])[0])
         # short items come after the others: hashes of each length, and for each hash its items
         self.short = {}
         for n, own in short.items():
-            keys = np.unique(np.array([h for h, _ in own], np.uint64))
+            keys = np.unique(np.array([h for h, _, _ in own], np.uint64))
             items: list[list[int]] = [[] for _ in keys]
-            for h, item_id in own:
+            for h, words, item_id in own:
                 items[int(np.searchsorted(keys, np.uint64(h)))].append(len(self.ids))
                 self.ids.append(item_id)
+                self.words.append(b" ".join(words))
             self.short[n] = keys, items
         self.lengths, self.prints = np.array(lengths, np.int64), np.array(prints, np.uint64)
-        self.shingles = np.array(sorted({s for bag in self.bags for s in bag}), np.uint64)
+        self.shingles = np.unique(np.concatenate(shingles)) if shingles else np.zeros(0, np.uint64)
         self.screen = np.zeros(1 << 20, bool)
         self.screen[(self.shingles >> np.uint64(44)).astype(np.int64)] = True
         self.tables = {}
@@ -170,23 +192,28 @@ class Index:
         apart = np.bitwise_count(prints[window] ^ self.prints[item])
         return window[apart <= RADIUS], item[apart <= RADIUS]
 
-    def _short_leaks(self, words: np.ndarray, first: np.ndarray) -> dict[int, dict[int, tuple[float, int, int]]]:
+    def _short_leaks(self, s: Shingles) -> dict[int, dict[int, tuple[float, int, int]]]:
+        """Items that stand whole, the leftmost place of each: hashes find places, the words decide."""
         found: dict[int, dict[int, tuple[float, int, int]]] = {}
-        doc = C.owners(first)
+        doc = C.owners(s.first)
         for n, (keys, items) in self.short.items():
-            runs = C.run_hashes(words, n)
+            runs = C.run_hashes(s.words, n)
             key = np.minimum(np.searchsorted(keys, runs), len(keys) - 1)
             at = np.flatnonzero((keys[key] == runs) & (doc[: len(runs)] == doc[n - 1 :])) if len(runs) else np.zeros(0, np.int64)
-            _, leftmost = np.unique(doc[at] * len(keys) + key[at], return_index=True)
-            for a in at[leftmost].tolist():
-                for item in items[key[a]]:
-                    found.setdefault(int(doc[a]), {})[item] = (1.0, a - int(first[doc[a]]), n)
-        return found
+            for a in at.tolist():
+                own = found.setdefault(int(doc[a]), {})
+                new = [item for item in items[key[a]] if item not in own]
+                words = b" ".join(s.texts(a, a + n)) if new else b""
+                for item in new:
+                    if self.words[item] == words:
+                        own[item] = (1.0, a - int(s.first[doc[a]]), n)
+        return {d: own for d, own in found.items() if own}
 
     def leaks(self, data: np.ndarray, bounds: np.ndarray) -> dict[int, dict[int, tuple[float, int, int]]]:
         """document: item: (similarity, first word, words) of its best window, the leftmost of equals."""
-        hashes, weights, first, words = weighted_shingles(data, bounds)
-        found = self._short_leaks(words, first)
+        s = Shingles(data, bounds)
+        hashes, weights, first = s.hashes, s.weights, s.first
+        found = self._short_leaks(s)
         maybe = np.flatnonzero(self.screen[(hashes >> np.uint64(44)).astype(np.int64)] & (weights > 0))
         place = np.searchsorted(self.shingles, hashes[maybe])
         hits = maybe[self.shingles[np.minimum(place, len(self.shingles) - 1)] == hashes[maybe]] if len(self.shingles) else maybe[:0]
@@ -219,14 +246,16 @@ class Index:
                 at = at[(shared >= self.least * total - 1e-9) & (shared > 0)]
                 if not len(at):
                     continue
-                for window, item in zip(*self.near(_prints_of(h, w, at, shingles), n), strict=True):
+                bags: dict[int, Counter] = {}
+                for window, item in zip(*(x.tolist() for x in self.near(_prints_of(h, w, at, shingles), n)), strict=True):
                     a = int(at[window])
-                    part = h[a : a + shingles].tolist()
-                    weight = dict(zip(part, w[a : a + shingles].tolist(), strict=True)) | self.weights[item]
-                    value = similarity(Counter(part), self.bags[item], weight)
-                    best = found.setdefault(d, {}).get(int(item), (0.0, 0, 0))
+                    if item not in bags:
+                        bags[item] = bag(self.words[item].split(b" "))
+                    own = bag(s.texts(lo + a, lo + a + size))
+                    value = similarity(own, bags[item], bag_weights(own, bags[item]))
+                    best = found.get(d, {}).get(item, (0.0, 0, 0))
                     if value >= self.least and value > best[0]:
-                        found[d][int(item)] = (value, a, size)
+                        found.setdefault(d, {})[item] = (value, a, size)
         return found
 
 

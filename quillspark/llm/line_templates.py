@@ -12,7 +12,8 @@ documents but the first (smallest id) that has them, so a passage isn't lost
 from the corpus.
 
 Each pass over the texts sends only lines that a Bloom filter of the previous
-pass's result lets through; joins then decide exactly, by 128 bits. Lines are
+pass's result lets through; joins then decide exactly, by two hashes of tokens
+that are hashed with a seed of the run. Lines are
 counted within a chunk of documents before they move, so a line that a third of
 all documents has is a row for each chunk.
 
@@ -43,7 +44,7 @@ _DIGIT[48:58] = True
 class Lines:
     """All lines of a chunk with enough tokens: document, leaf, hash of the masked line, byte span."""
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray, kept_share: float = 0.5):
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, kept_share: float = 0.5, seed: int = 0):
         start, end, _ = C.word_spans(data, bounds)
         feeds = np.flatnonzero(data == 10)
         head = np.union1d(bounds[:-1], feeds + 1)
@@ -57,7 +58,7 @@ class Lines:
         self.head, self.tail, self.first = head[use], tail[use], first[use]
         self.count = (last - first)[use]
         self.doc = np.searchsorted(bounds, self.head, "right") - 1
-        tokens = C.word_hashes(data, start, end)
+        tokens = C.word_hashes(data, start, end, seed=seed)
         digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
         wild = digits[end] > digits[start]
         masked = np.concatenate([[0], np.cumsum(wild)])
@@ -83,22 +84,22 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _count_leaves(kept_share: float):
+def _count_leaves(kept_share: float, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, bounds in C.chunks(batches):
-            lines = Lines(data, bounds, kept_share)
+            lines = Lines(data, bounds, kept_share, seed)
             leaf, count = np.unique(lines.leaf[lines.once(lines.leaf)], return_counts=True)
             yield pa.RecordBatch.from_arrays([_signed(leaf), pa.array(count.astype(np.int64))], ["leaf", "docs"])
 
     return run
 
 
-def _lines_in(bloom, kept_share: float):
+def _lines_in(bloom, kept_share: float, seed: int):
     """Distinct masked lines of a chunk in leaves that pass: tokens, documents, smallest id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, bounds in C.chunks(batches):
-            lines = Lines(data, bounds, kept_share)
+            lines = Lines(data, bounds, kept_share, seed)
             at = lines.once(lines.line, np.flatnonzero(bloom.value.test(lines.leaf)))
             ids = rows.column("doc_id").cast(pa.int64())
             known = ids.is_valid().to_numpy(zero_copy_only=False)
@@ -114,12 +115,12 @@ def _lines_in(bloom, kept_share: float):
     return run
 
 
-def recurring_lines(docs: DataFrame, least_docs: int = 5, kept_share: float = 0.5) -> DataFrame:
-    """(leaf, line, first): masked lines whose template recurs, and the smallest id of its documents. Both passes read all of docs (doc_id, text)."""
+def recurring_lines(docs: DataFrame, least_docs: int = 5, kept_share: float = 0.5, seed: int = 0) -> DataFrame:
+    """(leaf, line, first): masked lines whose template recurs, and the smallest id of its documents. Both passes read all of docs (doc_id, text). seed: of all hashes."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    leaves = rows.select("text").mapInArrow(_count_leaves(kept_share), "leaf long, docs long").groupBy("leaf").agg(F.sum("docs").alias("n")).filter(F.col("n") >= least_docs).select("leaf")
+    leaves = rows.select("text").mapInArrow(_count_leaves(kept_share, seed), "leaf long, docs long").groupBy("leaf").agg(F.sum("docs").alias("n")).filter(F.col("n") >= least_docs).select("leaf")
     leaves = C.checkpoint(leaves)
-    lines = rows.mapInArrow(_lines_in(C.filter_of(leaves, "leaf"), kept_share), "leaf long, line long, tokens array<long>, docs long, first long")
+    lines = rows.mapInArrow(_lines_in(C.filter_of(leaves, "leaf"), kept_share, seed), "leaf long, line long, tokens array<long>, docs long, first long")
     lines = lines.groupBy("leaf", "line").agg(F.any_value("tokens").alias("tokens"), F.sum("docs").alias("docs"), F.min("first").alias("first"))
     lines = C.checkpoint(lines.join(leaves, "leaf", "left_semi"))
     places = lines.select("leaf", "line", "docs", F.posexplode("tokens").alias("pos", "token"))
@@ -134,12 +135,12 @@ def recurring_lines(docs: DataFrame, least_docs: int = 5, kept_share: float = 0.
 PLACES = "leaf long, line long, at array<struct<key:binary,doc_id:long,place:int>>"
 
 
-def _spans_of(bloom, kept_share: float):
+def _spans_of(bloom, kept_share: float, seed: int):
     """Lines that pass, each once for the chunk: name, and its places: key of the row, id, place among the lines with tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, bounds in C.chunks(batches):
-            lines = Lines(data, bounds, kept_share)
+            lines = Lines(data, bounds, kept_share, seed)
             at = np.flatnonzero(bloom.value.test(lines.line))
             at = at[np.lexsort((lines.leaf[at], lines.line[at]))]
             leaf, line = lines.leaf[at], lines.line[at]
@@ -172,10 +173,10 @@ def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def drop_lines(docs: DataFrame, least_docs: int = 5, kept_share: float = 0.5) -> DataFrame:
     """keyed() rows of docs, text without the lines of recurring templates, and n_dropped."""
-    rows = C.keyed(docs)
-    lines = C.checkpoint(recurring_lines(rows, least_docs, kept_share))
+    rows, seed = C.keyed(docs), C.draw()
+    lines = C.checkpoint(recurring_lines(rows, least_docs, kept_share, seed))
     # a line that very many documents have is a row for each chunk until it has met its template
-    places = rows.select("key", "doc_id", "text").mapInArrow(_spans_of(C.filter_of(lines, "line"), kept_share), PLACES)
+    places = rows.select("key", "doc_id", "text").mapInArrow(_spans_of(C.filter_of(lines, "line"), kept_share, seed), PLACES)
     gone = places.join(lines, ["leaf", "line"]).select("first", F.explode("at").alias("at")).select("first", "at.*")
     gone = gone.filter(~F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("key").agg(F.collect_set("place").alias("places"))
     kind = rows.schema["row"].dataType.simpleString()

@@ -1,7 +1,7 @@
 """N-gram Jaccard self-join with a token-group matrix.
 
-A document's set is its distinct word shingles, as 64-bit hashes; documents of
-equal sets are one node, named by 128 bits of the set. The first documents of
+A document's set is its distinct word shingles, as 64-bit hashes with a seed of
+the run; documents of equal sets are one node, named by 128 bits of the set. The first documents of
 all nodes take part in what follows, so copies cost nothing more.
 
 Similar nodes are put in groups of bounded size: nodes that share the least
@@ -100,9 +100,9 @@ def filter_places(tokens: np.ndarray, mask) -> list[np.ndarray]:
 class Sets:
     """The token sets of a chunk: tokens of document i are tokens[first[i]:first[i + 1]], distinct and ascending."""
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray, words: int):
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, words: int, seed: int = 0):
         start, end, first = C.word_spans(data, bounds)
-        hashes, doc = C.shingles(C.word_hashes(data, start, end, fold=True), first, words)
+        hashes, doc = C.shingles(C.word_hashes(data, start, end, fold=True, seed=seed), first, words)
         order = np.lexsort((hashes, doc))
         hashes, doc = hashes[order], doc[order]
         new = np.ones(len(hashes), bool)
@@ -161,12 +161,12 @@ def first_tokens(tokens: np.ndarray, owner: np.ndarray, percent: int, order: Ord
     return tokens[at], owner[at], early
 
 
-def _members(words: int):
+def _members(words: int, seed: int):
     """The columns besides text, the node (null for an empty set), its size and its least tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, bounds in C.chunks(batches):
-            s = Sets(data, bounds, words)
+            s = Sets(data, bounds, words, seed)
             kept = [c for c in rows.schema.names if c != "text"]
             leads = s.leads().view(np.int64)
             yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in kept], names(s.node, s.n == 0), pa.array(s.n), *[pa.array(leads[:, k]) for k in range(ORDERS)]], [*kept, "node", "n", *LEADS])
@@ -190,12 +190,12 @@ def _blobs(n: int, deal: np.ndarray, token: np.ndarray, node: np.ndarray | None,
     return C.record(_BLOBS, out)
 
 
-def _counted_blobs(words: int, n: int):
+def _counted_blobs(words: int, seed: int, n: int):
     """Counted tokens by hash bucket, with the number of sets of the chunk that have them and 8 bits of one set's name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, bounds in C.chunks(batches):
-            s = Sets(data, bounds, words)
+            s = Sets(data, bounds, words, seed)
             at = C.ragged(s.first[s.once], s.n[s.once])
             token, first, size = np.unique(s.tokens[at], return_index=True, return_counts=True)
             node = s.node[s.doc[at[first]], 0] & _U(255)
@@ -205,12 +205,12 @@ def _counted_blobs(words: int, n: int):
     return run
 
 
-def _prefix_blobs(words: int, percent: int, n: int, order):
+def _prefix_blobs(words: int, seed: int, percent: int, n: int, order):
     """First tokens by hash bucket, frequent ones dealt over all buckets, with their sets and their sizes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, bounds in C.chunks(batches):
-            s = Sets(data, bounds, words)
+            s = Sets(data, bounds, words, seed)
             token, doc, early = s.prefixes(percent, order.value)
             deal = np.where(order.value.frequent(token), C.mix(token ^ s.node[doc, 0]), token)
             yield _blobs(n, deal, token, s.node[doc], 2 * s.n[doc] + early)
@@ -292,12 +292,12 @@ def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], ["key"])
 
 
-def _grouped_sets(words: int, rows, leads):
+def _grouped_sets(words: int, seed: int, rows, leads):
     """The sets of wanted rows, once for each of their shared leads; of many nodes that share it, by 2 ** level pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, bounds in C.chunks(batches):
-            s = Sets(data, bounds, words)
+            s = Sets(data, bounds, words, seed)
             wanted = rows.value.test(batch.column("row").to_numpy().view(_U)) & (s.n > 0)
             lead = s.leads()
             own, gid = [], []
@@ -317,12 +317,12 @@ def _grouped_sets(words: int, rows, leads):
     return run
 
 
-def _sets_of(words: int, rows):
+def _sets_of(words: int, seed: int, rows):
     """The sets of wanted rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, bounds in C.chunks(batches):
-            s = Sets(data, bounds, words)
+            s = Sets(data, bounds, words, seed)
             own = np.flatnonzero(rows.value.test(batch.column("row").to_numpy().view(_U)) & (s.n > 0))
             yield pa.RecordBatch.from_arrays([names(s.node[own]), s.blobs(own)], ["node", "tokens"])
 
@@ -421,7 +421,7 @@ def _renamed(rows: DataFrame, edges: DataFrame, column: str = "comp") -> DataFra
     return rows.join(found, column, "left").withColumn(column, F.coalesce("_to", column)).drop("_to")
 
 
-def node_components(texts: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
+def node_components(texts: DataFrame, members: DataFrame, words: int, percent: int, seed: int = 0) -> DataFrame:
     """(node, comp) of all nodes. texts: row, text; members: row, node, n and the leads of each text.
 
     row is a hash of the row; it tells which of a node's texts is read for its
@@ -444,15 +444,15 @@ def node_components(texts: DataFrame, members: DataFrame, words: int, percent: i
         by_lead = C.filter_of(leads.select("k", "lead", "level").mapInArrow(_levels, "key long"), "key")
         driver += [wanted, by_lead]
         n = C.buckets(spark, 8 * sent)
-        grouped = texts.mapInArrow(_grouped_sets(words, wanted, by_lead), "gid long, node binary, n long, tokens binary").withColumn("bucket", F.pmod("gid", F.lit(n)))
+        grouped = texts.mapInArrow(_grouped_sets(words, seed, wanted, by_lead), "gid long, node binary, n long, tokens binary").withColumn("bucket", F.pmod("gid", F.lit(n)))
         edges = grouped.groupBy("bucket").applyInArrow(_link_groups(percent), "u binary, v binary")
     nodes = C.checkpoint(_renamed(nodes.select("node", "row", "n", "lead0", F.col("node").alias("comp")), edges))
 
     # first tokens that nodes of several components have
-    counts = texts.select("text").mapInArrow(_counted_blobs(words, counted), BLOBS).groupBy("bucket").applyInArrow(_survey(counted), "bucket int, bits binary, tokens binary, sets binary")
+    counts = texts.select("text").mapInArrow(_counted_blobs(words, seed, counted), BLOBS).groupBy("bucket").applyInArrow(_survey(counted), "bucket int, bits binary, tokens binary, sets binary")
     order = spark.sparkContext.broadcast(Order(counted, counts.collect()))  # rows of bounded size together
     driver.append(order)
-    firsts = texts.select("text").mapInArrow(_prefix_blobs(words, percent, prefixes, order), BLOBS).groupBy("bucket").applyInArrow(_shared(percent, order), "token long, node binary, n long")
+    firsts = texts.select("text").mapInArrow(_prefix_blobs(words, seed, percent, prefixes, order), BLOBS).groupBy("bucket").applyInArrow(_shared(percent, order), "token long, node binary, n long")
     firsts = C.checkpoint(firsts.distinct().join(nodes.select("node", "comp"), "node"))
     several = firsts.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("token")
     open_ = C.checkpoint(firsts.join(several, "token", "left_semi"))
@@ -477,7 +477,7 @@ def node_components(texts: DataFrame, members: DataFrame, words: int, percent: i
         taking = queries.select("node").unionByName(held.select("node")).distinct()
         needed = C.filter_of(inside.join(taking, "node", "left_semi").select("row"), "row")
         driver.append(needed)
-        tokens = texts.mapInArrow(_sets_of(words, needed), "node binary, tokens binary").groupBy("node").agg(F.any_value("tokens").alias("tokens"))
+        tokens = texts.mapInArrow(_sets_of(words, seed, needed), "node binary, tokens binary").groupBy("node").agg(F.any_value("tokens").alias("tokens"))
         n = C.buckets(spark)
         rows = tokens.join(queries.unionByName(held), "node").withColumn("bucket", F.pmod(F.xxhash64("gid", "slot"), F.lit(n)))
         nodes = C.checkpoint(_renamed(nodes, rows.groupBy("bucket").applyInArrow(_open_groups(percent), "u binary, v binary")))
@@ -488,9 +488,9 @@ def node_components(texts: DataFrame, members: DataFrame, words: int, percent: i
 
 def _placed(rows: DataFrame, words: int, percent: int) -> DataFrame:
     """The columns of rows (row and others) without text, with n, node and comp, which are null for a text without words."""
-    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    members = C.checkpoint(rows.mapInArrow(_members(words), f"{kept}, node binary, n long, " + ", ".join(f"{c} long" for c in LEADS)))
-    found = node_components(rows.select("row", "text"), members, words, percent)
+    kept, seed = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text"), C.draw()
+    members = C.checkpoint(rows.mapInArrow(_members(words, seed), f"{kept}, node binary, n long, " + ", ".join(f"{c} long" for c in LEADS)))
+    found = node_components(rows.select("row", "text"), members, words, percent, seed)
     return members.drop(*LEADS).join(found, "node", "left")
 
 

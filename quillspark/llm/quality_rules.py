@@ -47,11 +47,20 @@ def _sums(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate([[0], np.cumsum(flags)])[bounds])
 
 
+def _repeated(keys: np.ndarray) -> np.ndarray:
+    """Which keys occur twice or more."""
+    order = np.argsort(keys)
+    equal = keys[order[1:]] == keys[order[:-1]]
+    out = np.zeros(len(keys), bool)
+    out[order[1:][equal]] = out[order[:-1][equal]] = True
+    return out
+
+
 def count_chunk(data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
     """The counts of each document of a chunk."""
     start, end, first = C.word_spans(data, bounds)
-    hashes, doc = C.word_hashes(data, start, end), C.owners(first)
-    seed = C.mix(np.arange(1, len(bounds) + 1, dtype=np.uint64))
+    doc = C.owners(first)
+    _, words = C.distinct_spans(data, start, end)
     out = {
         "n_words": np.diff(first),
         "word_chars": _sums(~C.SPACE[data] & ~_CONTINUED[data], bounds),
@@ -76,19 +85,16 @@ def count_chunk(data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
     out["n_lines"] = np.bincount(line_doc, minlength=len(bounds) - 1)
     out["n_dup_lines"] = out["n_lines"] - np.bincount(line_doc[kept], minlength=len(bounds) - 1)
     # words in windows that occur twice or more in the same text
-    covered = np.zeros(len(hashes), bool)
-    runs = C.run_hashes(hashes, WINDOW)
-    inside = np.flatnonzero(doc[: len(runs)] == doc[len(doc) - len(runs) :]) if len(runs) else np.zeros(0, np.int64)
-    keys = runs[inside] ^ seed[doc[inside]]
-    order = np.argsort(keys)
-    ranked = keys[order]
-    same = np.zeros(len(ranked), bool)
-    if len(ranked) > 1:
-        equal = ranked[1:] == ranked[:-1]
-        same[1:] |= equal
-        same[:-1] |= equal
+    covered = np.zeros(len(words), bool)
+    runs = C.run_hashes(C.mix(words.astype(np.uint64)), WINDOW)
+    inside = np.flatnonzero(doc[: len(runs)] == doc[len(doc) - len(runs) :])
+    inside = inside[_repeated(runs[inside] ^ C.mix(doc[inside].astype(np.uint64)))]
+    keys = doc[inside]
+    for j in range(WINDOW):  # what hashes leave, by the words' numbers: equal keys are equal windows of one text
+        keys = np.unique(keys * (len(words) + 1) + words[inside + j], return_inverse=True)[1]
+    inside = inside[_repeated(keys)]
     for j in range(WINDOW):
-        covered[inside[order[same]] + j] = True
+        covered[inside + j] = True
     out["n_repeat_words"] = np.bincount(doc[covered], minlength=len(bounds) - 1)
     return out
 

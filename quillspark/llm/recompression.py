@@ -134,10 +134,11 @@ def _sums(n: int, doc: np.ndarray, place: np.ndarray, mark: np.ndarray) -> np.nd
 
 
 class _Words:
-    def __init__(self, rows: pa.RecordBatch, data: np.ndarray, bounds: np.ndarray):
+    def __init__(self, rows: pa.RecordBatch, data: np.ndarray, bounds: np.ndarray, seeds: tuple[int, int]):
+        self.data, self.seeds = data, seeds
         self.start, self.end, self.first = C.word_spans(data, bounds)
         self.doc = C.owners(self.first)
-        self.hashes = C.word_hashes(data, self.start, self.end)
+        self.hashes = C.word_hashes(data, self.start, self.end, seed=seeds[0])
         ids = rows.column(rows.schema.get_field_index("doc_id"))
         self.known = ids.is_valid().to_numpy(zero_copy_only=False)
         self.ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
@@ -145,11 +146,12 @@ class _Words:
         self._windows = None
 
     def windows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """64-bit and 32-bit hashes of the words of the windows from these words on."""
+        """64-bit and 32-bit hashes, of seeds of their own, of the words of the windows from these words on."""
         if not len(at):
             return np.zeros(0, _U), np.zeros(0, np.uint32)
         if self._windows is None:
-            self._windows = C.run_hashes(self.hashes, WINDOW), (C.run_hashes(C.mix(self.hashes ^ _U(0x5DEECE66D)), WINDOW) >> _U(32)).astype(np.uint32)
+            other = C.word_hashes(self.data, self.start, self.end, seed=self.seeds[1])
+            self._windows = C.run_hashes(self.hashes, WINDOW), (C.run_hashes(other, WINDOW) >> _U(32)).astype(np.uint32)
         return self._windows[0][at], self._windows[1][at]
 
     def segments(self, at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -189,12 +191,12 @@ class _Words:
         return out
 
 
-def _post_symbols(n: int):
+def _post_symbols(n: int, seeds: tuple[int, int]):
     """The names of the first round."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, bounds in C.chunks(batches):
-            w = _Words(rows, data, bounds)
+            w = _Words(rows, data, bounds, seeds)
             name, at, size = high_symbols(w.hashes, w.doc)
             long = np.diff(w.first)[w.doc[at]] >= WINDOW if len(at) else np.zeros(0, bool)
             use = np.flatnonzero(long & w.known[w.doc[at]]) if len(at) else np.zeros(0, np.int64)
@@ -223,10 +225,10 @@ def _lengths(checks: np.ndarray) -> np.ndarray:
     return (checks & np.uint32(TOGETHER - 1)).astype(np.int64) + 1
 
 
-def _post_segments(n: int, edge: int):
+def _post_segments(n: int, edge: int, seeds: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, bounds in C.chunks(batches):
-            w = _Words(rows, data, bounds)
+            w = _Words(rows, data, bounds, seeds)
             levels, total = w.rounds(rows), len(w.hashes)
             symbol, at = levels[0][:2]
             # a window is out if a name inside it isn't shared
@@ -251,12 +253,12 @@ def _post_segments(n: int, edge: int):
     return run
 
 
-def _post_windows(n: int):
+def _post_windows(n: int, seeds: tuple[int, int]):
     """The windows of segments that no smaller document has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, bounds in C.chunks(batches):
-            w = _Words(rows, data, bounds)
+            w = _Words(rows, data, bounds, seeds)
             starts = [np.zeros(0, np.int64)]
             for i, (places, checks) in enumerate(zip(rows.column("segments").to_pylist(), rows.column("segment_checks").to_pylist(), strict=True)):
                 if places and w.known[i]:
@@ -273,52 +275,55 @@ def _post_windows(n: int):
     return run
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, data, bounds in C.chunks(batches):
-        w = _Words(rows, data, bounds)
-        places, checks = rows.column("places").to_pylist(), rows.column("checks").to_pylist()
-        gone = np.zeros(len(w.hashes) + 1, np.int64)
-        at, want = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
-        for i, blobs in enumerate(places):
-            if blobs:
-                place = w.first[i] + R.places_of(blobs).astype(np.int64)
-                fits = place + WINDOW <= w.first[i + 1]
-                at.append(place[fits])
-                want.append(R.places_of(checks[i])[fits])
-        at, want = np.concatenate(at), np.concatenate(want)
-        # two rows might share a number, so the checks are compared
-        if len(at):
-            at = at[w.windows(at)[1] == want]
-            np.add.at(gone, at, 1)
-            np.add.at(gone, at + WINDOW, -1)
-        for i, (blobs, marks) in enumerate(zip(rows.column("segments").to_pylist(), rows.column("segment_checks").to_pylist(), strict=True)):
-            if blobs:
-                want = R.places_of(marks)
-                place, want = w.first[i] + R.places_of(blobs)[want < R.MISS].astype(np.int64), want[want < R.MISS]
-                length = _lengths(want)
-                fits = place + length - 1 + WINDOW <= w.first[i + 1]
-                place, length, want = place[fits], length[fits], want[fits]
-                same = w.segments(place, length)[1] == want if len(place) else fits[:0]
-                np.add.at(gone, place[same], 1)
-                np.add.at(gone, (place + length - 1 + WINDOW)[same], -1)
-        gone = np.cumsum(gone)[:-1] > 0
-        raw, out, removed = data.tobytes(), [], []
-        for i in range(rows.num_rows):
-            a, b = int(w.first[i]), int(w.first[i + 1])
-            keep = np.flatnonzero(~gone[a:b]) + a
-            out.append(b" ".join([raw[s:e] for s, e in zip(w.start[keep].tolist(), w.end[keep].tolist(), strict=True)]).decode())
-            removed.append(b - a - len(keep))
-        rest = [rows.column(c) for c in ("key", "doc_id", "row")]
-        yield pa.RecordBatch.from_arrays([*rest, pa.array(np.diff(w.first)), pa.array(removed, pa.int64()), pa.array(out, pa.string())], ["key", "doc_id", "row", "n_words", "n_removed", "kept"])
+def _cut(seeds: tuple[int, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, bounds in C.chunks(batches):
+            w = _Words(rows, data, bounds, seeds)
+            places, checks = rows.column("places").to_pylist(), rows.column("checks").to_pylist()
+            gone = np.zeros(len(w.hashes) + 1, np.int64)
+            at, want = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+            for i, blobs in enumerate(places):
+                if blobs:
+                    place = w.first[i] + R.places_of(blobs).astype(np.int64)
+                    fits = place + WINDOW <= w.first[i + 1]
+                    at.append(place[fits])
+                    want.append(R.places_of(checks[i])[fits])
+            at, want = np.concatenate(at), np.concatenate(want)
+            # two rows might share a number, so the checks are compared
+            if len(at):
+                at = at[w.windows(at)[1] == want]
+                np.add.at(gone, at, 1)
+                np.add.at(gone, at + WINDOW, -1)
+            for i, (blobs, marks) in enumerate(zip(rows.column("segments").to_pylist(), rows.column("segment_checks").to_pylist(), strict=True)):
+                if blobs:
+                    want = R.places_of(marks)
+                    place, want = w.first[i] + R.places_of(blobs)[want < R.MISS].astype(np.int64), want[want < R.MISS]
+                    length = _lengths(want)
+                    fits = place + length - 1 + WINDOW <= w.first[i + 1]
+                    place, length, want = place[fits], length[fits], want[fits]
+                    same = w.segments(place, length)[1] == want if len(place) else fits[:0]
+                    np.add.at(gone, place[same], 1)
+                    np.add.at(gone, (place + length - 1 + WINDOW)[same], -1)
+            gone = np.cumsum(gone)[:-1] > 0
+            raw, out, removed = data.tobytes(), [], []
+            for i in range(rows.num_rows):
+                a, b = int(w.first[i]), int(w.first[i + 1])
+                keep = np.flatnonzero(~gone[a:b]) + a
+                out.append(b" ".join([raw[s:e] for s, e in zip(w.start[keep].tolist(), w.end[keep].tolist(), strict=True)]).decode())
+                removed.append(b - a - len(keep))
+            rest = [rows.column(c) for c in ("key", "doc_id", "row")]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(np.diff(w.first)), pa.array(removed, pa.int64()), pa.array(out, pa.string())], ["key", "doc_id", "row", "n_words", "n_removed", "kept"])
+
+    return run
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """keyed() rows of docs with n_words, n_removed and `kept`, the words that stay joined by spaces."""
-    rows, n = C.keyed(docs), C.buckets(docs.sparkSession)
+    rows, n, seeds = C.keyed(docs), C.buckets(docs.sparkSession), (C.draw(), C.draw())
     # answers go to rows by number; rows of equal id and text share one
     rows = rows.withColumn("number", F.xxhash64("key"))
     texts, columns = rows.select("number", "doc_id", "text"), ["number", "key", "doc_id", "row", "text"]
-    posts, found = texts.mapInArrow(_post_symbols(n), R.SCHEMA), None
+    posts, found = texts.mapInArrow(_post_symbols(n, seeds), R.SCHEMA), None
     for k in range(ROUNDS):
         # small beside the texts; each round starts from the answers of the one before
         answers = C.checkpoint(R.answers(posts, "documents"))
@@ -327,8 +332,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         posts = answers.mapInArrow(_post_pairs(n), R.SCHEMA)
     # all joins take the same columns of rows, so that one shuffle of the texts serves them
     candidates = rows.join(found, "number", "left").select(*columns, "marks", *[f"round{k}" for k in range(ROUNDS)])
-    segments = R.answers(candidates.mapInArrow(_post_segments(n, margin()), R.SCHEMA), "either").withColumnsRenamed({"doc_id": "number", "places": "segments", "checks": "segment_checks"})
+    segments = R.answers(candidates.mapInArrow(_post_segments(n, margin(), seeds), R.SCHEMA), "either").withColumnsRenamed({"doc_id": "number", "places": "segments", "checks": "segment_checks"})
     rest = rows.join(segments, "number", "left").select(*columns, "segments", "segment_checks")
-    found = R.answers(rest.mapInArrow(_post_windows(n), R.SCHEMA), "smaller").withColumnRenamed("doc_id", "number")
+    found = R.answers(rest.mapInArrow(_post_windows(n, seeds), R.SCHEMA), "smaller").withColumnRenamed("doc_id", "number")
     kind = rows.schema["row"].dataType.simpleString()
-    return rest.join(found, "number", "left").select(*columns, "segments", "segment_checks", "places", "checks").mapInArrow(_cut, f"key binary, doc_id long, row {kind}, n_words long, n_removed long, kept string")
+    return rest.join(found, "number", "left").select(*columns, "segments", "segment_checks", "places", "checks").mapInArrow(_cut(seeds), f"key binary, doc_id long, row {kind}, n_words long, n_removed long, kept string")
