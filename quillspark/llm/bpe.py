@@ -323,10 +323,11 @@ def tokenize(docs: DataFrame, vocabulary: str, block_bytes: int = 32 << 20) -> D
     classes = spark.sparkContext.broadcast(character_classes(tokenizer))
     shared = spark.sparkContext.broadcast(tokenizer.to_str())
     special = [x["content"] for x in json.loads(model)["added_tokens"]]
-    n = C.buckets(spark, 2)
+    total = C.text_bytes(docs)
+    n = C.buckets(spark, size=total)
     split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_split(classes, special, block_bytes, n), SCHEMA)
-    encoded = split.groupBy("bucket").applyInArrow(_encode(shared), SCHEMA)
-    return encoded.groupBy("block").applyInArrow(_place(pieces), RESULT)
+    encoded = C.grouped(split, n).applyInArrow(_encode(shared), SCHEMA)
+    return C.grouped(encoded, total // block_bytes, "block").applyInArrow(_place(pieces), RESULT)
 
 
 def decode(rows: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:

@@ -70,11 +70,21 @@ def release() -> None:
         pass
 
 
-def buckets(spark: SparkSession, size: float = 0, each: int = 4) -> int:
-    """Hash buckets of a blob shuffle: a multiple of the partitions that the session is set to, more if a bucket of so many bytes would pass 32 MB."""
+def buckets(spark: SparkSession, *, size: float = 0, each: int = 4) -> int:
+    """Hash buckets of a blob shuffle of so many bytes: a multiple of the partitions that the session is set to, more if a bucket would pass 32 MB."""
     return max(each * int(spark.conf.get("spark.sql.shuffle.partitions")), int(size) >> 25)
 
 
+def text_bytes(docs: DataFrame, column: str = "text") -> int:
+    return docs.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
+
+
+def grouped(rows: DataFrame, n: int, column: str = "bucket", each: int = 4):
+    """rows grouped by one of n buckets; if they are more than `each` for each partition that the session is set to, the tasks are more too."""
+    tasks = -(-n // each)
+    return (rows.repartition(tasks, column) if tasks > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows).groupBy(column)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective finaliser of 64-bit values."""
     x = x ^ (x >> _U(30))

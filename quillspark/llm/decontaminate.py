@@ -13,7 +13,8 @@ A window can reach the similarity only if shingles of items make up that share
 of its own weight, so fingerprints are computed for these windows alone.
 
 Items come to the driver in blocks of bounded size and each block is broadcast
-and held against all documents; no document moves.
+and held against all documents, one block at a time. With one block no document
+moves; with more, documents meet what was found in them by their key.
 
 Results by case: an item of fewer than five words is one shingle, its whole
 sequence, and a document has it only if it holds that whole; an item without
@@ -27,6 +28,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -268,11 +270,19 @@ def scan(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, block_bytes:
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = math.ceil(total / block_bytes)
     rows = C.keyed(docs).withColumn("leaks", F.array().cast(LEAKS))
-    kind = rows.schema["row"].dataType.simpleString()
+    kind, several = rows.schema["row"].dataType.simpleString(), []
     for b in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
         index = docs.sparkSession.sparkContext.broadcast(Index([(r.item_id, r.text) for r in part], least))
-        rows = rows.mapInArrow(_scanner(index), f"key binary, doc_id long, text string, row {kind}, leaks {LEAKS}")
+        found = rows.mapInArrow(_scanner(index), f"key binary, doc_id long, text string, row {kind}, leaks {LEAKS}")
+        if blocks == 1:
+            return found
+        # one block's index at a time is held: what it finds, a few bytes a leak, is kept before the next one is made
+        several.append(C.checkpoint(found.select("key", F.explode("leaks").alias("leak")).distinct()))
+        index.destroy()
+    if several:
+        leaks = reduce(DataFrame.unionByName, several).groupBy("key").agg(F.collect_list("leak").alias("leaks"))
+        rows = rows.drop("leaks").join(leaks, "key", "left").select("key", "doc_id", "text", "row", F.coalesce("leaks", F.array().cast(LEAKS)).alias("leaks"))
     return rows
 
 

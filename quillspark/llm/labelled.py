@@ -18,7 +18,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, fold: tuple[int, int]
     """(doc_id, text, label) of at most most[v] labelled rows for each label value v, by a hash of the id; held-out rows never.
 
     The choice is made on ids and labels alone; their number is bounded, so
-    broadcasting them to the texts is too.
+    broadcasting them to the texts is too. Of several texts of one id the least stands.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     known = known.filter(~held_out(fold) & F.col("label").isin(*most)).groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other"))
@@ -26,7 +26,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, fold: tuple[int, int]
     chosen = [r for value, n in most.items() for r in known.filter(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect()]
     few = F.broadcast(docs.sparkSession.createDataFrame(chosen, "doc_id long, label int"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(few, "doc_id").dropDuplicates(["doc_id"])
+    return texts.join(few, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
 
 
 def platt(values: np.ndarray, labels: np.ndarray) -> tuple[float, float]:

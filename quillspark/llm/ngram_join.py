@@ -431,7 +431,7 @@ def node_components(texts: DataFrame, members: DataFrame, words: int, percent: i
     nodes = members.filter("node IS NOT NULL").groupBy("node").agg(F.min("row").alias("row"), F.any_value("n").alias("n"), *[F.any_value(c).alias(c) for c in LEADS])
     nodes = C.checkpoint(nodes)
     total = nodes.agg(F.sum("n")).first()[0] or 0
-    counted, prefixes = C.buckets(spark, 3 * total), C.buckets(spark, 28 * total * (100 - percent) // 100)
+    counted, prefixes = C.buckets(spark, size=3 * total), C.buckets(spark, size=28 * total * (100 - percent) // 100)
 
     # groups of nodes with one least token
     pairs = nodes.select("row", "n", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("lead")) for k, c in enumerate(LEADS)])).alias("x")).select("row", "n", "x.*")
@@ -443,16 +443,16 @@ def node_components(texts: DataFrame, members: DataFrame, words: int, percent: i
         wanted = C.filter_of(pairs.join(leads, ["k", "lead"], "left_semi").select("row").distinct(), "row")
         by_lead = C.filter_of(leads.select("k", "lead", "level").mapInArrow(_levels, "key long"), "key")
         driver += [wanted, by_lead]
-        n = C.buckets(spark, 8 * sent)
+        n = C.buckets(spark, size=8 * sent)
         grouped = texts.mapInArrow(_grouped_sets(words, seed, wanted, by_lead), "gid long, node binary, n long, tokens binary").withColumn("bucket", F.pmod("gid", F.lit(n)))
-        edges = grouped.groupBy("bucket").applyInArrow(_link_groups(percent), "u binary, v binary")
+        edges = C.grouped(grouped, n).applyInArrow(_link_groups(percent), "u binary, v binary")
     nodes = C.checkpoint(_renamed(nodes.select("node", "row", "n", "lead0", F.col("node").alias("comp")), edges))
 
     # first tokens that nodes of several components have
-    counts = texts.select("text").mapInArrow(_counted_blobs(words, seed, counted), BLOBS).groupBy("bucket").applyInArrow(_survey(counted), "bucket int, bits binary, tokens binary, sets binary")
+    counts = C.grouped(texts.select("text").mapInArrow(_counted_blobs(words, seed, counted), BLOBS), counted).applyInArrow(_survey(counted), "bucket int, bits binary, tokens binary, sets binary")
     order = spark.sparkContext.broadcast(Order(counted, counts.collect()))  # rows of bounded size together
     driver.append(order)
-    firsts = texts.select("text").mapInArrow(_prefix_blobs(words, seed, percent, prefixes, order), BLOBS).groupBy("bucket").applyInArrow(_shared(percent, order), "token long, node binary, n long")
+    firsts = C.grouped(texts.select("text").mapInArrow(_prefix_blobs(words, seed, percent, prefixes, order), BLOBS), prefixes).applyInArrow(_shared(percent, order), "token long, node binary, n long")
     firsts = C.checkpoint(firsts.distinct().join(nodes.select("node", "comp"), "node"))
     several = firsts.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("token")
     open_ = C.checkpoint(firsts.join(several, "token", "left_semi"))
@@ -478,9 +478,10 @@ def node_components(texts: DataFrame, members: DataFrame, words: int, percent: i
         needed = C.filter_of(inside.join(taking, "node", "left_semi").select("row"), "row")
         driver.append(needed)
         tokens = texts.mapInArrow(_sets_of(words, seed, needed), "node binary, tokens binary").groupBy("node").agg(F.any_value("tokens").alias("tokens"))
-        n = C.buckets(spark)
+        sent = queries.unionByName(held).agg(F.sum("n")).first()[0] or 0
+        n = C.buckets(spark, size=8 * sent)
         rows = tokens.join(queries.unionByName(held), "node").withColumn("bucket", F.pmod(F.xxhash64("gid", "slot"), F.lit(n)))
-        nodes = C.checkpoint(_renamed(nodes, rows.groupBy("bucket").applyInArrow(_open_groups(percent), "u binary, v binary")))
+        nodes = C.checkpoint(_renamed(nodes, C.grouped(rows, n).applyInArrow(_open_groups(percent), "u binary, v binary")))
     for shared in driver:  # all that used them is checkpointed
         shared.destroy()
     return nodes.select("node", "comp")

@@ -319,21 +319,22 @@ def _cut(seeds: tuple[int, int]):
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """keyed() rows of docs with n_words, n_removed and `kept`, the words that stay joined by spaces."""
-    rows, n, seeds = C.keyed(docs), C.buckets(docs.sparkSession), (C.draw(), C.draw())
+    # a place takes up to 29 bytes, and there are fewer places than one for every 6 bytes of text
+    rows, n, seeds = C.keyed(docs), C.buckets(docs.sparkSession, size=5 * C.text_bytes(docs)), (C.draw(), C.draw())
     # answers go to rows by number; rows of equal id and text share one
     rows = rows.withColumn("number", F.xxhash64("key"))
     texts, columns = rows.select("number", "doc_id", "text"), ["number", "key", "doc_id", "row", "text"]
     posts, found = texts.mapInArrow(_post_symbols(n, seeds), R.SCHEMA), None
     for k in range(ROUNDS):
         # small beside the texts; each round starts from the answers of the one before
-        answers = C.checkpoint(R.answers(posts, "documents"))
+        answers = C.checkpoint(R.answers(posts, "documents", n))
         part = answers.select(F.col("doc_id").alias("number"), F.col("places").alias(f"round{k}"), *([F.col("checks").alias("marks")] if k == 0 else []))
         found = part if found is None else found.join(part, "number", "left")
         posts = answers.mapInArrow(_post_pairs(n), R.SCHEMA)
     # all joins take the same columns of rows, so that one shuffle of the texts serves them
     candidates = rows.join(found, "number", "left").select(*columns, "marks", *[f"round{k}" for k in range(ROUNDS)])
-    segments = R.answers(candidates.mapInArrow(_post_segments(n, margin(), seeds), R.SCHEMA), "either").withColumnsRenamed({"doc_id": "number", "places": "segments", "checks": "segment_checks"})
+    segments = R.answers(candidates.mapInArrow(_post_segments(n, margin(), seeds), R.SCHEMA), "either", n).withColumnsRenamed({"doc_id": "number", "places": "segments", "checks": "segment_checks"})
     rest = rows.join(segments, "number", "left").select(*columns, "segments", "segment_checks")
-    found = R.answers(rest.mapInArrow(_post_windows(n, seeds), R.SCHEMA), "smaller").withColumnRenamed("doc_id", "number")
+    found = R.answers(rest.mapInArrow(_post_windows(n, seeds), R.SCHEMA), "smaller", n).withColumnRenamed("doc_id", "number")
     kind = rows.schema["row"].dataType.simpleString()
     return rest.join(found, "number", "left").select(*columns, "segments", "segment_checks", "places", "checks").mapInArrow(_cut(seeds), f"key binary, doc_id long, row {kind}, n_words long, n_removed long, kept string")

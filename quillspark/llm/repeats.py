@@ -123,9 +123,9 @@ def _answer(several: str):
     return run
 
 
-def answers(posts: DataFrame, several: str) -> DataFrame:
-    """(doc_id, places, checks): arrays of blobs for each document that has an answered place."""
-    replies = posts.groupBy("bucket").applyInArrow(_answer(several), "doc_id long, places binary, checks binary")
+def answers(posts: DataFrame, several: str, n: int = 1) -> DataFrame:
+    """n: buckets of the posts. (doc_id, places, checks): arrays of blobs for each document that has an answered place."""
+    replies = C.grouped(posts, n).applyInArrow(_answer(several), "doc_id long, places binary, checks binary")
     return replies.groupBy("doc_id").agg(F.collect_list("places").alias("places"), F.collect_list("checks").alias("checks"))
 
 
