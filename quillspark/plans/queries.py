@@ -299,6 +299,24 @@ def _part_files(p: DataFrame) -> DataFrame:
 
 _PART_TEXT = "CASE WHEN p_size < 9 THEN '' ELSE trim(regexp_replace(p_name, ' +', ' ', 'g')) || ' (new)' || chr(10) || chr(10) || p_type END extracted_text, CASE WHEN p_size < 5 THEN 'failed: Invalid PDF structure.' WHEN p_size < 9 THEN 'no_text_found' ELSE 'completed' END extraction_status, CASE WHEN p_size >= 9 THEN 2 WHEN p_size >= 5 THEN 1 END page_count"
 on_table("extract_pdfs", f"SELECT '/in/part ' || p_partkey || '.pdf' path, {_PART_TEXT} FROM part", "part", lambda p: ingest.extracted(_part_files(p)))
+
+
+def _structured_files(p: DataFrame) -> DataFrame:
+    """Objects in an object stream, pages against the order of their numbers, nested parentheses and hex strings with a digit too few."""
+    heads = [(1, F.lit("<< /Type /Catalog /Pages 2 0 R >>")), (2, F.lit("<< /Type /Pages /Count 2 /Kids [12 0 R 10 0 R] >>")), (10, F.lit("<< /Type /Page /Contents 11 0 R >>")), (12, F.lit("<< /Type /Page /Contents [13 0 R 14 0 R] >>"))]
+    inner, places, at = F.concat(*[c for _, c in heads]), [], F.lit(0)
+    for number, c in heads:
+        places += [F.lit(str(number)), at.cast("string")]
+        at = at + F.length(c)
+    index = F.concat_ws(" ", *places, F.lit(""))
+    stream = lambda n, head, body: F.concat(F.lit(f"{n} 0 obj << "), F.lit(head), F.lit(" /Length "), F.length(body).cast("string"), F.lit(" >>\nstream\n"), body, F.lit("\nendstream endobj\n"))
+    packed = F.concat(F.lit("20 0 obj << /Type /ObjStm /N 4 /First "), F.length(index).cast("string"), F.lit(" /Length "), F.length(F.concat(index, inner)).cast("string"), F.lit(" >>\nstream\n"), index, inner, F.lit("\nendstream endobj\n"))
+    shown = [stream(11, "", F.concat(F.lit("("), "p_name", F.lit(" (nested ("), "p_brand", F.lit("))) Tj"))), stream(13, "", F.concat(F.lit("<"), F.hex(F.encode("p_type", "UTF-8")), F.lit("4> Tj"))), stream(14, "", F.concat(F.lit("[(a) -20 (b)] TJ % ("), "p_name", F.lit(")")))]
+    content = F.encode(F.concat(F.lit("%PDF-1.5\n"), *shown, packed, F.lit("trailer << /Root 1 0 R >>")), "UTF-8")
+    return p.select(F.concat(F.lit("/in/"), F.col("p_partkey").cast("string"), F.lit(".pdf")).alias("path"), content.alias("content"))
+
+
+on_table("extract_structured_pdfs", "SELECT '/in/' || p_partkey || '.pdf' path, p_type || '@ ab' || chr(10) || chr(10) || trim(regexp_replace(p_name, ' +', ' ', 'g')) || ' (nested (' || p_brand || '))' extracted_text, 'completed' extraction_status, 2 page_count FROM part", "part", lambda p: ingest.extracted(_structured_files(p)))
 _STAMP = "1700000000000-abc"
 
 

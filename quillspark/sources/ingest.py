@@ -1,17 +1,14 @@
 """PDF files: a gate on name and size, text by page, and what a document row takes from it.
 
 The only Python on this path reads the bytes of a file; Arrow carries them.
-`extract` may be any function from bytes to page texts; the one here reads text
-operators of plain and deflated streams with standard fonts, and fails on the rest.
+`extract` may be any function from bytes to page texts; sources/pdf.py has the usual one.
 """
 
 from __future__ import annotations
 
-import re
 import secrets
 import tarfile
 import time
-import zlib
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -21,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators.mutations import Invalid, Missing, now, patch
+from .pdf import pdf_pages
 from .workspace import Workspace, conform, save
 
 MAX_BYTES = 20 << 20
@@ -28,57 +26,6 @@ MAX_BYTES = 20 << 20
 #: What a rejected file is told.
 TOO_LARGE, NO_PDF = "PDF is too large. The limit is {} MB.", "Only PDF files are allowed."
 
-_OBJECT = re.compile(rb"(\d+)\s+(\d+)\s+obj\b(.*?)\bendobj", re.S)
-_STREAM = re.compile(rb"stream\r?\n(.*?)\r?\n?endstream", re.S)
-_SHOWN = re.compile(rb"\[((?:\\.|\((?:\\.|[^\\()])*\)|[^\]\\])*)\]\s*TJ|(\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>)\s*(?:Tj|'|\")", re.S)
-_STRING = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>", re.S)
-_ESCAPE = re.compile(rb"\\([0-7]{1,3}|\r?\n|.)", re.S)
-_NAMED = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
-
-
-def _unescape(m: re.Match) -> bytes:
-    c = m.group(1)
-    if c[:1].isdigit():
-        return bytes([int(c, 8) & 255])
-    return b"" if c.endswith(b"\n") else _NAMED.get(c, c)
-
-
-def _string(token: bytes) -> str:
-    raw = bytes.fromhex(re.sub(rb"\s", b"", token[1:-1]).decode().ljust(2, "0")) if token[:1] == b"<" else _ESCAPE.sub(_unescape, token[1:-1])
-    return raw[2:].decode("utf-16-be", "replace") if raw[:2] == b"\xfe\xff" else raw.decode("cp1252", "replace")
-
-
-def _content(body: bytes) -> bytes:
-    found = _STREAM.search(body)
-    if not found:
-        return b""
-    head = body[: found.start()]
-    if b"/FlateDecode" in head:
-        return zlib.decompressobj().decompress(found.group(1))
-    if b"/Filter" in head:
-        raise ValueError("unsupported stream filter")
-    return found.group(1)
-
-
-def pdf_pages(data: bytes) -> list[str]:
-    """Text of each page: what is shown, joined by spaces."""
-    if not data.startswith(b"%PDF-"):
-        raise ValueError("Invalid PDF structure.")
-    objects = {int(m.group(1)): m.group(3) for m in _OBJECT.finditer(data)}
-    pages = [b for b in objects.values() if re.search(rb"/Type\s*/Page\b", b)]
-    if not pages:
-        raise ValueError("No readable page.")
-    out = []
-    for page in pages:
-        at = re.search(rb"/Contents\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", page)
-        numbers = [int(n) for n in re.findall(rb"(\d+)\s+\d+\s+R", at.group(1))] if at else []
-        shown = []
-        for m in _SHOWN.finditer(b"\n".join(_content(objects.get(n, b"")) for n in numbers)):
-            parts = _STRING.findall(m.group(1)) if m.group(1) is not None else [m.group(2)]
-            shown.append("".join(map(_string, parts)))
-        out.append(" ".join(shown))
-    return out
-
 
 def _reader(extract: Callable[[bytes], list[str]]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
