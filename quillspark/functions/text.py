@@ -52,9 +52,12 @@ def collapse(c: Column) -> Column:
 def wildcard_pattern(query: str) -> str:
     """A pattern that finds the query without case of ASCII letters; % and _ of the query are wildcards.
 
-    It is matched against the text as it is, so no folded copy of a long text is made.
+    It is matched against the text as it is, so no folded copy of a long text is made. The parts between % are found one
+    after another, each at its first place behind the one before; as none of them varies in length, no other place could
+    do better, so what is found is never given back and a text is gone through once.
     """
-    return "(?is)" + "".join({"%": ".*", "_": "."}.get(c) or re.escape(c) for c in query)
+    parts = ["".join("." if c == "_" else re.escape(c) for c in part) for part in query.split("%") if part]
+    return "(?is)" + (parts[0] if len(parts) == 1 else r"\A" + "".join(f"(?>.*?{part})" for part in parts))
 
 
 def request(values: dict[str, object]) -> dict[str, str]:
@@ -222,10 +225,40 @@ def enum_value(c: Column, allowed: list[str], default: str, name: str) -> Column
     return F.when(v == "", default).when(v.isin(allowed), v).otherwise(unknown)
 
 
+#: How a text has to look to be a number, in decimals or to another base.
+DECIMAL, RADIX = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?", {16: "0[xX][0-9a-fA-F]+", 8: "0[oO][0-7]+", 2: "0[bB][01]+"}
+#: The largest id; no row has a larger one.
+LARGEST = (1 << 63) - 1
+
+
+def number(value: object) -> float:
+    """A value of a request as a number: '' is 0, what isn't a number NaN; floats, so large ones are rounded."""
+    if isinstance(value, (bool, int, float)):
+        try:
+            return float(value)
+        except OverflowError:
+            return float("inf") if value > 0 else float("-inf")
+    if not isinstance(value, str):
+        return float("nan")
+    text = query_text(value)
+    if any(re.fullmatch(p, text) for p in RADIX.values()):
+        return number(int(text, 0))
+    return float(text or 0) if not text or re.fullmatch(f"{DECIMAL}|[+-]?Infinity", text) else float("nan")
+
+
+def column_number(c: Column) -> Column:
+    """number() of a column; null for what isn't one, for infinities and for the other bases over 2 ** 64."""
+    text = normalize(c.cast("string"))
+    digits = F.regexp_replace(text, "^0.0*", "")
+    fits = lambda base: F.length(digits) <= {16: 16, 8: 21, 2: 64}[base]
+    radix = [(F.rlike(text, F.lit(rf"\A{p}\z")), F.when(fits(base), F.conv(digits, base, 10).try_cast("double"))) for base, p in RADIX.items()]
+    return first_of([(text == "", F.lit(0.0)), *radix, (F.rlike(text, F.lit(rf"\A(?:{DECIMAL})\z")), text.try_cast("double"))], F.lit(None).cast("double"))
+
+
 def positive_id(c: Column) -> Column:
-    """A whole number over 0, or null."""
-    number = c.cast("string").try_cast("double")
-    return F.when((number > 0) & (number == F.floor(number)), number.cast("long"))
+    """A whole number over 0 that an id can be, or null."""
+    found = column_number(c)
+    return F.when((found > 0) & (found == F.floor(found)) & (found < float(LARGEST)), found.cast("long"))
 
 
 def positive_ids(values: Column) -> Column:

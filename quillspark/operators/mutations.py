@@ -7,6 +7,7 @@ anti joins; only single rows are read to check a request.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Mapping
 from functools import reduce
 from typing import Any
@@ -62,10 +63,7 @@ def identifier(value: object) -> int | None:
     """A positive whole number; None for a blank."""
     if value is None or value == "":
         return None
-    try:
-        number = float(value)  # type: ignore[arg-type]
-    except (TypeError, ValueError, OverflowError):
-        number = 0.0
+    number = T.number(value)
     # infinities and NaN are no whole numbers
     if not number.is_integer() or number <= 0:
         raise Invalid("An id must be a positive number.")
@@ -73,14 +71,14 @@ def identifier(value: object) -> int | None:
 
 
 def identifiers(values: object) -> list[int]:
-    """Distinct positive whole numbers in their order; whatever else is dropped."""
+    """Distinct positive whole numbers in their order; whatever else is dropped, as is what is too large for an id."""
     found: dict[int, None] = {}
     for value in values if isinstance(values, (list, tuple)) else []:
         try:
             number = identifier(value)
         except Invalid:
             continue
-        if number is not None:
+        if number is not None and number <= T.LARGEST:
             found[number] = None
     return list(found)
 
@@ -94,11 +92,11 @@ FORMS = {
 
 
 def payload(kind: str, form: Mapping[str, Any]) -> dict[str, Any]:
-    """A form as a request: its own fields only; the id of a note's link is a number, or null where the form has ''."""
+    """A form as a request: its own fields only; the id of a note's link is a number, or null where the form has '' or no number."""
     out = {c: form.get(c) for c in FORMS[kind]}
     if kind == "note":
-        chosen = out["related_entity_id"]
-        out["related_entity_id"] = (float(chosen) if isinstance(chosen, str) else chosen) if chosen else None
+        chosen = T.number(out["related_entity_id"]) if out["related_entity_id"] else math.nan
+        out["related_entity_id"] = chosen if math.isfinite(chosen) else None
     return out
 
 

@@ -64,6 +64,8 @@ query("search_documents_title", _document_search("src1 document"), lambda ws: _d
 query("search_documents_filtered", _document_search("de", "\"system\" = 'en' AND document_type = 'src3'"), lambda ws: _documents(ws, query="de", system="en", document_type="src3"))
 query("search_documents_favorite", _document_search("a", "is_favorite"), lambda ws: _documents(ws, query="a", favorite="true"))
 query("search_documents_wildcard", _document_search("t_e %e"), lambda ws: _documents(ws, query="t_e %e"))
+query("search_documents_wildcards", _document_search("%t_e%%a _%s%"), lambda ws: _documents(ws, query="%t_e%%a _%s%"))
+query("search_documents_all", _document_search("%_%"), lambda ws: _documents(ws, query="%_%"))
 query("search_documents_accents", _document_search("é"), lambda ws: _documents(ws, query="É"))
 
 
@@ -426,6 +428,6 @@ query("linked_exists", "SELECT id, linked_id IS NOT NULL AND related_entity_type
 on_table("toggle_list", "SELECT event_id, CASE user_id % 4 WHEN 0 THEN '1,2,3,0' WHEN 1 THEN '2,3' WHEN 2 THEN '1,3' ELSE '1,2' END toggled FROM events", "events", lambda e: e.select("event_id", F.array_join(T.toggle(F.array(F.lit(1), F.lit(2), F.lit(3)).cast("array<long>"), F.col("user_id") % 4), ",").alias("toggled")))
 on_table("backup_names", "SELECT event_id, 'backup-' || strftime(CAST(ts AS TIMESTAMP), '%Y-%m-%dT%H-%M-%S-%gZ') || '.tar.gz' archive FROM events", "events", lambda e: e.select("event_id", ingest.backup_name(F.col("ts")).alias("archive")))
 on_table("stored_names", f"SELECT page_id, coalesce(nullif({_SAFE}, ''), 'document') || '-{_STAMP}' || lower({_EXT}) stored FROM pages", "pages", lambda p: p.select("page_id", T.stored_filename(F.col("url"), F.lit(f"-{_STAMP}")).alias("stored")))
-on_table("positive_ids", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 AND o_orderkey > 0 THEN o_orderkey || ',3' ELSE '3' END ids FROM orders", "orders",
-         lambda o: o.select("o_orderkey", F.array_join(T.positive_ids(F.array(F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey").cast("string")).otherwise("-1"), F.lit("3"), F.lit("Infinity"), F.lit("NaN"), F.lit("1.5"), F.lit("x"), F.lit("3.0"))), ",").alias("ids")))
+on_table("positive_ids", "SELECT o_orderkey, CASE WHEN o_orderkey = 16 THEN '16,3,5,7' WHEN o_orderkey % 2 = 0 AND o_orderkey > 0 THEN o_orderkey || ',3,16,5,7' ELSE '3,16,5,7' END ids FROM orders", "orders",
+         lambda o: o.select("o_orderkey", F.array_join(T.positive_ids(F.array(F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey").cast("string")).otherwise("-1"), *map(F.lit, ["3", "Infinity", "NaN", "1.5", "x", "3.0", "1e300", "1_0", "0x10", "3d", "9223372036854775808", " ", "", "abc", " 0b101 ", "+7.0", "0x", "1e-1"]))), ",").alias("ids")))
 query("first_content", "SELECT id, CASE WHEN \"trim\" <> '' THEN \"trim\" ELSE model END shown FROM ws_vehicles", lambda ws: ws.vehicles.select("id", T.blank_to(F.col("engine"), T.blank_to(F.col("trim"), F.col("model"))).alias("shown")))

@@ -97,8 +97,8 @@ def save(ws: Workspace, path: str) -> None:
 
 
 def point_lookup(df: DataFrame, id_: int) -> DataFrame:
-    """The row of an id, if any: the filter reaches the scan."""
-    return df.filter(F.col("id") == F.lit(id_)).limit(1)
+    """The row of an id, if any: the filter reaches the scan. What is no long is nobody's id."""
+    return df.filter(F.col("id") == F.lit(id_ if -(1 << 63) <= id_ < 1 << 63 else None)).limit(1)
 
 
 def insert_missing(table: DataFrame, rows: DataFrame, on: list[str]) -> DataFrame:

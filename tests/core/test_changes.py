@@ -191,7 +191,20 @@ def test_ids_that_are_no_numbers(ws):
     for bad in (float("inf"), float("-inf"), float("nan"), "Infinity", "NaN", "x", 1.5, -1, 10**400):
         with pytest.raises(M.Invalid):
             M.identifier(bad)
+    for bad in ("1_0", "3d", " ", "abc", "0x", "-1"):
+        with pytest.raises(M.Invalid):
+            M.identifier(bad)
+    assert M.identifier("0x10") == 16 and M.identifier(1e300) == int(1e300)
     assert M.identifiers([1, "Infinity", float("nan"), "2", 2, None, [3]]) == [1, 2]
+    assert M.identifiers([1e300, "1_0", "0x10", "3d", 2**63, " ", "abc", 2**63 - 1025, "3"]) == [16, 2**63 - 1024, 3]
+    changed = M.update_symptom(ws, 1, {"linked_document_ids": [1e300, 2**63, "0x2", "abc"]})
+    assert [tuple(r) for r in changed.symptom_documents.collect()] == [(1, 2)]
+    for id_ in (1e300, 2**63, 99):
+        with pytest.raises(M.Missing):
+            M.delete_symptom(ws, id_)
+    with pytest.raises(M.Invalid, match="does not exist"):
+        M.create_note(ws, {"title": "t", "content": "", "related_entity_type": "symptom", "related_entity_id": "1e300"})
+    assert [M.payload("note", {"related_entity_id": v})["related_entity_id"] for v in ("abc", "", None, "7", " 8 ", "0x10", "Infinity", 5, float("nan"))] == [None, None, None, 7, 8, 16, None, 5, None]
     assert M.identifier(" 7 ") == 7 and M.identifier("") is None
 
 

@@ -44,6 +44,29 @@ def test_scalars(spark, function, value, want):
     assert one(spark, function(F.lit(value).cast("string"))) == want
 
 
+def test_wildcards_go_through_a_text_once(spark):
+    import time
+
+    text = spark.createDataFrame([("a" * 1_000_000,)], "t string")
+    for query in ("%zq", "a%b", "%a%a%b%", "%zq%", "a_a%b"):
+        start = time.perf_counter()
+        assert text.filter(F.col("t").rlike(T.wildcard_pattern(query))).count() == 0
+        assert time.perf_counter() - start < 20  # going back to every place would take over an hour
+    like = lambda q, t: one(spark, F.lit(t).rlike(T.wildcard_pattern(q)))
+    for q, t, want in [("%", "", True), ("%%", "x", True), ("_", "", False), ("_", "\n", True), ("a%b%a", "xaYbZa", True), ("ab%ba", "aba", False), ("ab%ba", "ABxBA", True), ("a_%_c", "abc", False), ("a_%_c", "abbc", True), ("%.%", "ab", False), ("\\%\\", "a\\b\\", True), ("É", "é", False)]:
+        assert like(q, t) is want, (q, t)
+
+
+def test_numbers_are_read_in_one_way(spark):
+    cases = {"12": 12, " 7 ": 7, "3.0": 3, "+7.": 7, "1e2": 100, ".5e1": 5, "0x10": 16, "0b101": 5, "0o17": 15, "0X00000000000000000001": 1, "9007199254740993": 9007199254740992}
+    bad = ["", " ", "1_0", "3d", "4f", "abc", "1.5", "-3", "0", "0x", "-0x10", "1e", "٣", "Infinity", "NaN", "1e300", "9223372036854775808", "0xFFFFFFFFFFFFFFFFFF", "1 2", "0x1p3", "1e999"]
+    rows = spark.createDataFrame([(t,) for t in [*cases, *bad]], "t string").select("t", T.positive_id(F.col("t")).alias("id")).collect()
+    assert {r.t: r.id for r in rows} == cases | dict.fromkeys(bad)
+    for text, want in cases.items():
+        assert T.number(text) == want
+    assert T.number(None) != T.number(None) and T.number(True) == 1 and T.number(10**400) == float("inf") and T.number("") == 0
+
+
 def test_lists(spark):
     array = lambda *v: F.array(*map(F.lit, v))
     assert one(spark, T.distinct_values(array(" Engine", "ENGINE", "", "Body"))) == ["Engine", "Body"]
