@@ -308,7 +308,8 @@ def _grouped_sets(words: int, seed: int, rows, leads):
                 while len(now):
                     now = now[leads.value.test(_lead_keys(lead[at[now], k], k, level[now] + 1))]
                     level[now] += 1
-                piece = s.node[at, 0] & ((_U(1) << level.astype(_U)) - _U(1))
+                # other pieces in each order, so that the orders connect them
+                piece = C.mix(s.node[at, 0] ^ _U(k + 1)) & ((_U(1) << level.astype(_U)) - _U(1))
                 own.append(at)
                 gid.append(C.mix(_lead_keys(lead[at, k], k, 0) + piece))
             own, gid = np.concatenate(own), np.concatenate(gid).view(np.int64)
