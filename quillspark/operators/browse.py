@@ -5,10 +5,11 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.checkpoints import checkpoint
 from .dashboard import ACTIVE
 
 #: Columns of the plain search; descriptions and safety notes don't take part.
@@ -75,6 +76,20 @@ def selection(df: DataFrame, requested: int | None, current: int | None, *order:
     return df.orderBy(rank, *(order or (F.col("updated_at").desc_nulls_last(), F.desc("id")))).limit(1)
 
 
+def places(df: DataFrame, *order: Column, partitions: int | None = None) -> DataFrame:
+    """df with `place`, the number of each row in the order, from 1; the order has to be one without ties.
+
+    Rows are dealt by ranges of the order and sorted within them. That is kept, as the ranges are sampled anew in
+    each run; then a row's place is its place in its range and the sizes of the ranges before it.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows = checkpoint(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumns({"_range": F.spark_partition_id(), "_within": within}))
+    sizes = rows.groupBy("_range").agg(F.count("*").alias("_n"))  # a row for each range, n at most
+    before = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return rows.join(F.broadcast(before), "_range").withColumn("place", F.col("_before") + F.col("_within") + 1).drop("_range", "_within", "_before")
+
+
 def page(ordered_rows: DataFrame, size: int = 100) -> DataFrame:
     """The first rows of an order with their place in it, from 1. Each task keeps `size` rows, so nothing is sorted as a whole."""
     return ordered_rows.limit(size).withColumn("place", F.monotonically_increasing_id() + 1)

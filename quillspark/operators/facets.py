@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -28,9 +28,29 @@ def client_options(df: DataFrame, column: str) -> DataFrame:
     return values.orderBy(F.collate("value", "UNICODE"), "value")
 
 
-def several(df: DataFrame, columns: dict[str, str], of=options) -> DataFrame:
-    """(facet, value) for several option lists: facet name -> column."""
-    return reduce(DataFrame.unionByName, [of(df, c).select(F.lit(name).alias("facet"), "value") for name, c in columns.items()])
+#: How an option list takes a value, which values it leaves out, and its order.
+KINDS: dict[str, tuple[Callable[[Column], Column], Callable[[Column], Column], Callable[[Column], Column]]] = {
+    "stored": (lambda c: c, lambda v: F.trim(v) != "", lambda v: T.ascii_lower(v)),
+    "plain": (T.normalize, lambda v: v != "", lambda v: F.collate(v, "UNICODE_CI_AI")),
+}
+
+
+def counts(df: DataFrame, columns: dict[str, str], kind: str = "plain") -> DataFrame:
+    """(facet, value, n): the values of several option lists (facet name -> column) with the number of their rows, from one scan.
+
+    A row gives one (facet, value) for each list; they are counted before they are shuffled.
+    """
+    value, keep, _ = KINDS[kind]
+    pairs = F.array(*[F.struct(F.lit(name).alias("facet"), value(F.col(c)).alias("value")) for name, c in columns.items()])
+    rows = df.select(F.explode(pairs).alias("p")).select("p.*").filter(keep(F.col("value")))
+    return rows.groupBy("facet", "value").agg(F.count("*").alias("n"))
+
+
+def several(df: DataFrame, columns: dict[str, str], kind: str = "plain") -> DataFrame:
+    """(facet, value) for several option lists in the order of columns, each in its own order."""
+    _, _, order = KINDS[kind]
+    place = F.array_position(F.array(*map(F.lit, columns)), F.col("facet"))
+    return counts(df, columns, kind).orderBy(place, order(F.col("value")), "value").select("facet", "value")
 
 
 def suggestions(saved: list[str], df: DataFrame, column: str) -> DataFrame:

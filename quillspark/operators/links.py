@@ -45,8 +45,12 @@ def linked_documents(bridge: DataFrame, key: str, documents_: DataFrame) -> Data
     return found.withColumn("linked", F.transform("linked", lambda e: F.struct(e["id"].alias("id"), e["title"].alias("title"), T.blank_to(e["system"], "").alias("system"), T.blank_to(e["document_type"], "").alias("document_type"))))
 
 
-def with_links(rows: DataFrame, bridge: DataFrame, key: str, documents_: DataFrame) -> DataFrame:
-    """rows with linked_documents, linked_document_ids and linked_document_count; empty arrays without links."""
+def with_links(rows: DataFrame, bridge: DataFrame, key: str, documents_: DataFrame, few: bool = False) -> DataFrame:
+    """rows with linked_documents, linked_document_ids and linked_document_count; empty arrays without links.
+
+    few: rows are a part of their table that is small beside the bridge, which is reduced to their links first.
+    """
+    bridge = bridge.join(rows.select(F.col("id").alias(key)), key, "left_semi") if few else bridge
     links = linked_documents(bridge, key, documents_).withColumnRenamed(key, "id")
     none = F.array().cast(links.schema["linked"].dataType)
     out = rows.join(links, "id", "left").withColumn("linked_documents", F.coalesce("linked", none)).drop("linked")

@@ -266,7 +266,7 @@ def clear_note_links(notes: DataFrame, id_: int, at: Column) -> DataFrame:
 
 
 def delete_document(ws: Workspace, id_: int) -> tuple[Workspace, DataFrame]:
-    """The workspace without the document, and the report about it. The caller removes the file."""
+    """The workspace without the document, and the report about it. ingest.delete_document() removes the file too."""
     _row(ws.documents, id_, "document")
     report = delete_report(ws, id_)
     keep = F.col("document_id") != id_

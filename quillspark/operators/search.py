@@ -7,6 +7,7 @@ trimmed values and take the query literally.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from operator import add, or_
@@ -70,9 +71,10 @@ def _found(df: DataFrame, score: Column, fields: list[Field], hit, query: str) -
     return clean.select(*columns, "relevance_score", T.cut(F.col("_clean"), query).alias("snippet"), "snippet_field")
 
 
-def search(rows: DataFrame, spec: Search, query: object = "", sort: str = "relevance", **filters: object) -> DataFrame:
+def search(rows: DataFrame, spec: Search, query: object = "", sort: str = "relevance", attach: Callable[[DataFrame], DataFrame] | None = None, **filters: object) -> DataFrame:
     """Rows that match, with relevance_score, snippet and snippet_field, in order.
 
+    attach: adds columns to the rows that are found, before they are put in order.
     sort: 'title' without case and accents, 'newest', or else by relevance; without a query by newest.
     """
     q = T.query_text(query)
@@ -84,6 +86,7 @@ def search(rows: DataFrame, spec: Search, query: object = "", sort: str = "relev
     else:
         shown = spec.ordered(spec.previews), lambda f: T.normalize(F.col(f.column)) != ""
     out = _found(rows, relevance(spec.fields, lowered), *shown, q)
+    out = attach(out) if attach else out
     if sort == "title":
         return out.orderBy(F.collate(F.coalesce("title", F.lit("")), "UNICODE_CI_AI"), *newest())
     if sort == "newest" or not q:
@@ -111,6 +114,13 @@ def search_documents(documents: DataFrame, query: object = "", system: object =
     return out.orderBy(*newest("created_at"))
 
 
+def search_linked(ws: Workspace, kind: str, **request: object) -> DataFrame:
+    """search() of symptoms or procedures: what they link to is looked up for the rows that are found."""
+    rows, spec, bridge = {"symptom": (links.symptom_rows, SYMPTOMS, ws.symptom_documents), "procedure": (links.procedure_rows, PROCEDURES, ws.procedure_documents)}[kind]
+    few = any(T.query_text(v) for k, v in request.items() if k != "sort")
+    return search(rows(ws.scoped(f"{kind}s")), spec, attach=lambda found: links.with_links(found, bridge, f"{kind}_id", ws.documents, few), **request)
+
+
 @dataclass(frozen=True)
 class Response:
     """What a search answers: rows in order, their number (one row), and the options of its filters over all rows of the kind."""
@@ -135,8 +145,7 @@ def respond(ws: Workspace, kind: str, **request: object) -> Response:
     if kind == "documents":
         # T.query_text is applied inside: only strings count
         results = search_documents(links.documents(ws), **request)
-        return Response(results, results.agg(F.count("*").alias("total")), facets.several(ws.documents, options, facets.stored_options))
-    rows, spec = {"symptoms": (links.symptoms, SYMPTOMS), "procedures": (links.procedures, PROCEDURES), "notes": (links.notes, NOTES)}[kind]
+        return Response(results, results.agg(F.count("*").alias("total")), facets.several(ws.documents, options, "stored"))
     plain = {"symptoms": links.symptom_rows, "procedures": links.procedure_rows}
-    results = search(rows(ws), spec, **request)
-    return Response(results, results.agg(F.count("*").alias("total")), facets.several(plain[kind](ws.scoped(kind)) if kind in plain else rows(ws), options))
+    results = search_linked(ws, kind.removesuffix("s"), **request) if kind in plain else search(links.notes(ws), NOTES, **request)
+    return Response(results, results.agg(F.count("*").alias("total")), facets.several(plain[kind](ws.scoped(kind)) if kind in plain else links.notes(ws), options))

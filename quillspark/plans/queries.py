@@ -130,7 +130,7 @@ def _facets(table: str, columns: dict[str, str]) -> str:
 query(
     "facets_documents",
     _facets("ws_documents", {"systems": '"system"', "document_types": "document_type"}),
-    lambda ws: facets.several(ws.documents, {"systems": "system", "document_types": "document_type"}, facets.stored_options),
+    lambda ws: facets.several(ws.documents, {"systems": "system", "document_types": "document_type"}, "stored"),
 )
 query("facets_procedures", _facets("ws_procedures", {"systems": '"system"', "difficulties": "difficulty"}), lambda ws: facets.several(links.procedure_rows(ws.scoped("procedures")), {"systems": "system", "difficulties": "difficulty"}))
 query("facets_symptoms", _facets("ws_symptoms", {"systems": '"system"', "statuses": "status"}), lambda ws: facets.several(links.symptom_rows(ws.scoped("symptoms")), {"systems": "system", "statuses": "status"}))
