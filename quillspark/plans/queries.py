@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import browse, dashboard, facets, links, mutations, search
-from ..sources import config, ingest
+from ..operators import browse, dashboard, facets, history, links, mutations, search, trigrams
+from ..sources import checkpoints, config, ingest, snapshots
 from ..sources.workspace import Workspace, conform, insert_missing, point_lookup
 from . import specs
 from .bindings import WS, ascii_lower, collapse, normalize, preview, read, snippet, sql, workspace
@@ -112,7 +112,7 @@ query(
     "search_symptoms_linked",
     f", {_SYMPTOM_LINKS}, searched AS (SELECT * FROM ({_literal_search('ws_symptoms', _S, list(_S), '12', 'title, status', chr(34) + 'system' + chr(34) + chr(32) + '= ' + chr(39) + '1-URGENT' + chr(39))[2:].replace('hits AS', 'WITH hits AS', 1)}))"
     " SELECT s.*, coalesce(n, 0) linked_document_count, coalesce(ids, '') linked_ids FROM searched s LEFT JOIN found USING (id)",
-    lambda ws: search.search(links.symptoms(ws), specs.SYMPTOMS, "12", system="1-URGENT").select("id", "title", "status", "relevance_score", "snippet", "snippet_field", "linked_document_count", _joined_ids()),
+    lambda ws: search.search_linked(ws, "symptom", query="12", system="1-URGENT").select("id", "title", "status", "relevance_score", "snippet", "snippet_field", "linked_document_count", _joined_ids()),
 )
 query(
     "search_notes_polymorphic",
@@ -135,6 +135,10 @@ query(
 query("facets_procedures", _facets("ws_procedures", {"systems": '"system"', "difficulties": "difficulty"}), lambda ws: facets.several(links.procedure_rows(ws.scoped("procedures")), {"systems": "system", "difficulties": "difficulty"}))
 query("facets_symptoms", _facets("ws_symptoms", {"systems": '"system"', "statuses": "status"}), lambda ws: facets.several(links.symptom_rows(ws.scoped("symptoms")), {"systems": "system", "statuses": "status"}))
 query("facets_notes", _facets("ws_notes", {"note_types": "note_type", "related_entity_types": "related_entity_type"}), lambda ws: facets.several(links.notes(ws), {"note_types": "note_type", "related_entity_types": "related_entity_type"}))
+query("facet_counts", " UNION ALL ".join(f"SELECT '{f}' facet, {c} \"value\", count(*) n FROM ws_documents WHERE trim({c}) <> '' GROUP BY ALL" for f, c in {"systems": '"system"', "document_types": "document_type", "statuses": "extraction_status"}.items()),
+      lambda ws: facets.counts(ws.documents, {"systems": "system", "document_types": "document_type", "statuses": "extraction_status"}, "stored"))
+query("facet_counts_notes", " UNION ALL ".join(f"SELECT '{f}' facet, {c} \"value\", count(*) n FROM ws_notes WHERE {c} <> '' GROUP BY ALL" for f, c in {"note_types": "note_type", "related_entity_types": "related_entity_type"}.items()),
+      lambda ws: facets.counts(links.notes(ws), {"note_types": "note_type", "related_entity_types": "related_entity_type"}))
 query("client_options", 'SELECT DISTINCT "system" "value" FROM ws_procedures', lambda ws: facets.client_options(ws.procedures, "system"))
 query(
     "suggestions_merge",
@@ -431,3 +435,60 @@ on_table("stored_names", f"SELECT page_id, coalesce(nullif({_SAFE}, ''), 'docume
 on_table("positive_ids", "SELECT o_orderkey, CASE WHEN o_orderkey = 16 THEN '16,3,5,7' WHEN o_orderkey % 2 = 0 AND o_orderkey > 0 THEN o_orderkey || ',3,16,5,7' ELSE '3,16,5,7' END ids FROM orders", "orders",
          lambda o: o.select("o_orderkey", F.array_join(T.positive_ids(F.array(F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey").cast("string")).otherwise("-1"), *map(F.lit, ["3", "Infinity", "NaN", "1.5", "x", "3.0", "1e300", "1_0", "0x10", "3d", "9223372036854775808", " ", "", "abc", " 0b101 ", "+7.0", "0x", "1e-1"]))), ",").alias("ids")))
 query("first_content", "SELECT id, CASE WHEN \"trim\" <> '' THEN \"trim\" ELSE model END shown FROM ws_vehicles", lambda ws: ws.vehicles.select("id", T.blank_to(F.col("engine"), T.blank_to(F.col("trim"), F.col("model"))).alias("shown")))
+
+
+# --- whole orders, groups, times, an index, versions -----------------------------------------------
+
+on_table("order_all_orders", "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) place FROM orders", "orders",
+         lambda o: browse.places(o.select("o_orderkey", "o_totalprice"), F.desc("o_totalprice"), F.col("o_orderkey")).select("o_orderkey", "place"))
+query("newest_notes", "SELECT id, related_entity_type, related_entity_id, row_number() OVER (PARTITION BY related_entity_type, related_entity_id ORDER BY updated_at DESC NULLS LAST, id DESC) place FROM ws_links WHERE related_entity_id > 0 QUALIFY place <= 3",
+      lambda ws: history.newest_notes(ws.notes).select("id", "related_entity_type", "related_entity_id", "place"))
+query("open_over_time", """, days AS (SELECT CAST(updated_at AS DATE) "day", CAST(count(*) FILTER (status = 'open') AS BIGINT) n FROM ws_symptoms GROUP BY 1)
+    SELECT "day", n, CAST(sum(n) OVER (ORDER BY "day") AS BIGINT) total, CAST(sum(n) OVER (ORDER BY "day" RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW) AS BIGINT) recent FROM days""",
+      lambda ws: history.open_over_time(ws.symptoms))
+
+
+def _versions(lines: DataFrame) -> DataFrame:
+    """Each day on which a supplier ships gives its record a new title: the last line of that day."""
+    title = F.concat(F.lpad(F.col("l_orderkey").cast("string"), 12, "0"), F.lit("/"), F.col("l_linenumber").cast("string"))
+    return lines.groupBy("l_suppkey", F.col("l_shipdate").cast("timestamp").alias("since")).agg(F.max(title).alias("title"))
+
+
+on_table("title_at_receipt", """WITH versions AS (SELECT l_suppkey, CAST(l_shipdate AS TIMESTAMP) since, max(lpad(CAST(l_orderkey AS VARCHAR), 12, '0') || '/' || l_linenumber) title FROM lineitem GROUP BY ALL)
+    SELECT l_orderkey, l_linenumber, l.l_suppkey, title FROM (SELECT *, CAST(l_shipdate AS TIMESTAMP) - INTERVAL 100 DAYS seen FROM lineitem) l ASOF LEFT JOIN versions v ON v.l_suppkey = l.l_suppkey AND l.seen >= v.since""", "lineitem",
+         lambda li: history.as_of(li.select("l_orderkey", "l_linenumber", "l_suppkey", (F.col("l_shipdate").cast("timestamp") - F.expr("INTERVAL 100 DAYS")).alias("at")), _versions(li), ["l_suppkey"], "at", "since", ["title"]).select("l_orderkey", "l_linenumber", "l_suppkey", "title"))
+on_table("title_validity", """WITH versions AS (SELECT l_suppkey, CAST(l_shipdate AS TIMESTAMP) since, max(lpad(CAST(l_orderkey AS VARCHAR), 12, '0') || '/' || l_linenumber) title FROM lineitem GROUP BY ALL)
+    SELECT *, lead(since) OVER (PARTITION BY l_suppkey ORDER BY since) valid_to FROM versions""", "lineitem",
+         lambda li: history.validity(_versions(li), ["l_suppkey"], "since"))
+
+
+def _kept(ws: Workspace) -> str:
+    """A new folder among the session's kept rows."""
+    return f"{checkpoints.folder(ws.spark)}/{ws.spark._jvm.java.util.UUID.randomUUID()}"
+
+
+def _indexed(ws: Workspace, **request: str) -> DataFrame:
+    rows = links.documents(ws)
+    return ranked(trigrams.search_documents(rows, trigrams.write_index(rows, _kept(ws)), **request), "title", "system", "document_type", "is_favorite")
+
+
+query("search_documents_index", _document_search("the%ation"), lambda ws: _indexed(ws, query="the%ation"))
+query("search_documents_index_accents", _document_search("dré"), lambda ws: _indexed(ws, query=" Dré"))
+
+
+def _versioned(ws: Workspace) -> DataFrame:
+    """Symptoms after an update, a deletion and a new record, each a version of a store, as the store has them."""
+    store = snapshots.Store(ws.spark, _kept(ws))
+    small = ws.with_tables(documents=ws.documents.drop("extracted_text").withColumn("extracted_text", F.lit("")))
+    store.save(small.with_tables(symptoms=small.symptoms.repartitionByRange(8, "id")))
+    two = store.rewrite(1, lambda w: mutations.update_symptom(w, 3, {"title": "changed", "linked_document_ids": [1, 2, -1]}), snapshots.rows_of("symptom", 3))
+    three = store.rewrite(two, lambda w: mutations.delete_symptom(w, 5), snapshots.rows_of("symptom", 5))
+    changed, id_ = mutations.create_symptom(store.load(three), {"title": "new", "linked_document_ids": [4]})
+    now = store.load(store.append(three, changed, snapshots.new_rows("symptom", id_)))
+    counts = now.symptom_documents.distinct().groupBy(F.col("symptom_id").alias("id")).agg(F.count("*").alias("links"))
+    return now.symptoms.join(counts, "id", "left").select("id", "title", "status", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+query("versioned_changes", """, counts AS (SELECT symptom_id id, count(*) links FROM ws_symptom_documents GROUP BY 1)
+    SELECT id, CASE WHEN id = 3 THEN 'changed' ELSE title END title, status, CASE WHEN id = 3 THEN (SELECT count(*) FROM ws_documents d WHERE d.id IN (1, 2)) ELSE coalesce(links, 0) END links FROM ws_symptoms LEFT JOIN counts USING (id) WHERE id <> 5
+    UNION ALL SELECT (SELECT max(id) FROM ws_symptoms) + 1, 'new', 'open', (SELECT count(*) FROM ws_documents d WHERE d.id = 4)""", _versioned)
