@@ -21,11 +21,13 @@ FEW = 2000
 
 
 def _grams(c: Column) -> Column:
-    """Distinct runs of three characters; the text is cut into characters once."""
+    """Distinct runs of three characters. Characters are joined with the ones that follow array by array, as
+    an expression inside a lambda is worked out for each element anew."""
     chars = F.split(T.ascii_lower(F.coalesce(c, F.lit(""))), "")
-    n = F.size(chars) - SIZE + 1
-    runs = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(*[F.element_at(chars, i + k) for k in range(SIZE)]))
-    return F.when(n > 0, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+    runs = chars
+    for k in range(1, SIZE):
+        runs = F.zip_with(runs, F.slice(chars, k + 1, F.greatest(F.size(chars), F.lit(1))), lambda a, b: F.concat(a, b))
+    return F.array_compact(F.array_distinct(runs))
 
 
 def postings(documents: DataFrame) -> DataFrame:
