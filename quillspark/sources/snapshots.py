@@ -19,7 +19,7 @@ import json
 import os
 import uuid
 from collections.abc import Callable, Iterable, Mapping
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,11 +34,12 @@ class Conflict(RuntimeError):
 
 @dataclass(frozen=True)
 class Snapshot:
-    """One version: for each table its folders, and files in them that don't count any more."""
+    """One version: for each table its folders, and files in them that don't count any more; for each stream the last batch that it has."""
 
     version: int
     folders: Mapping[str, list[str]]
     dropped: Mapping[str, list[str]]
+    seen: Mapping[str, int] = field(default_factory=dict)
 
 
 class Store:
@@ -71,13 +72,13 @@ class Store:
         finally:
             stream.close()
         found = json.loads(body)
-        return Snapshot(found["version"], found["folders"], found["dropped"])
+        return Snapshot(**found)
 
     def _put(self, snapshot: Snapshot) -> None:
         """Puts the list of a version in place, if its number is free."""
         temp, system = self._at(f"versions/_{uuid.uuid4().hex}")
         out = system.create(temp, False)
-        out.write(json.dumps({"version": snapshot.version, "folders": snapshot.folders, "dropped": snapshot.dropped}).encode())
+        out.write(json.dumps(asdict(snapshot)).encode())
         out.close()
         to, _ = self._at(f"versions/{snapshot.version}.json")
         try:
@@ -115,8 +116,8 @@ class Store:
         conform(rows, name).write.parquet(f"{self.path}/{folder}")
         return folder
 
-    def commit(self, base: int, rows: Mapping[str, DataFrame], dropped: Mapping[str, Iterable[str]] | None = None, whole: bool = False) -> int:
-        """The version after base: its tables with these rows more and without these files. whole: the rows are all that these tables have.
+    def commit(self, base: int, rows: Mapping[str, DataFrame], dropped: Mapping[str, Iterable[str]] | None = None, whole: bool = False, seen: Mapping[str, int] | None = None) -> int:
+        """The version after base: its tables with these rows more and without these files. whole: the rows are all that these tables have; seen: batches of streams.
 
         If the number is taken, what was written is deleted and Conflict raised.
         """
@@ -129,7 +130,7 @@ class Store:
             gone = {n: [] if whole and n in new else sorted({*before.dropped.get(n, []), *(dropped or {}).get(n, [])}) for n in TABLES}
             at, system = self._at("versions")
             system.mkdirs(at)
-            self._put(Snapshot(base + 1, folders, gone))
+            self._put(Snapshot(base + 1, folders, gone, {**before.seen, **(seen or {})}))
         except BaseException:
             for folder in new.values():
                 delete(self.spark, f"{self.path}/{folder}")
@@ -167,6 +168,13 @@ class Store:
         """The version after base with the rows of ws where the condition of their table holds; the rest of ws is taken to be there already."""
         return self.commit(base, {n: getattr(ws, n).filter(at) for n, at in new.items()})
 
+    def upsert(self, base: int, name: str, rows: DataFrame, gone: DataFrame, seen: Mapping[str, int] | None = None) -> int:
+        """The version after base in which these rows (one for each id) replace those of their ids, and the ids in `gone` have none; other files stay as they are."""
+        table, ids = self.table(self.snapshot(base), name), rows.select("id").unionByName(gone.select("id"))
+        files = sorted(r[0] for r in table.select("id", F.col("_metadata.file_name").alias("_file")).join(ids, "id", "left_semi").select("_file").distinct().collect())
+        kept = conform(table.filter(F.col("_metadata.file_name").isin(files) if files else F.lit(False)), name).join(ids, "id", "left_anti")
+        return self.commit(base, {name: kept.unionByName(conform(rows, name))}, {name: files}, seen=seen)
+
     def compact(self, base: int, name: str) -> int:
         """The version after base with one folder for the table and no dropped files."""
         return self.commit(base, {name: self.table(self.snapshot(base), name)}, whole=True)
