@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.workspace import Workspace, conform, insert_missing, point_lookup
+from .dashboard import vehicle
 from .links import LINK_TYPES
 
 #: What the coded columns may hold.
@@ -298,6 +299,16 @@ def document_defaults(ws: Workspace, systems: list[str], types: list[str]) -> Da
     return ws.app_settings.filter("id = 1").select(T.parse_list(F.col("document_system_defaults"), systems).alias("systems"), T.parse_list(F.col("document_type_defaults"), types).alias("types"))
 
 
+def settings(ws: Workspace, runtime: DataFrame, systems: list[str], types: list[str]) -> DataFrame:
+    """The settings as a whole, one row of structs: vehicle, runtime (config.runtime_settings()), document_defaults and backup. The given lists stand in where none is stored."""
+    stored = document_defaults(ws, systems, types).select(F.struct("*").alias("stored"))
+    given = F.struct(F.array(*map(F.lit, systems)).alias("systems"), F.array(*map(F.lit, types)).alias("types"))
+    rows = ws.spark.range(1).join(F.broadcast(stored), F.lit(True), "left").select(F.coalesce("stored", given).alias("document_defaults"))
+    backup = F.struct(F.col("backup_supported").alias("supported")).alias("backup")
+    parts = vehicle(ws).select(F.struct("*").alias("vehicle")), runtime.select(F.struct(*[c for c in runtime.columns if c != "backup_supported"]).alias("runtime"), backup)
+    return reduce(DataFrame.crossJoin, parts, rows).select("vehicle", "runtime", "document_defaults", "backup")  # a row each
+
+
 def update_document_defaults(ws: Workspace, systems: object, types: object) -> Workspace:
     lists = []
     for values, name in ((systems, "systems"), (types, "types")):

@@ -492,3 +492,15 @@ def _versioned(ws: Workspace) -> DataFrame:
 query("versioned_changes", """, counts AS (SELECT symptom_id id, count(*) links FROM ws_symptom_documents GROUP BY 1)
     SELECT id, CASE WHEN id = 3 THEN 'changed' ELSE title END title, status, CASE WHEN id = 3 THEN (SELECT count(*) FROM ws_documents d WHERE d.id IN (1, 2)) ELSE coalesce(links, 0) END links FROM ws_symptoms LEFT JOIN counts USING (id) WHERE id <> 5
     UNION ALL SELECT (SELECT max(id) FROM ws_symptoms) + 1, 'new', 'open', (SELECT count(*) FROM ws_documents d WHERE d.id = 4)""", _versioned)
+
+
+def _settings(ws: Workspace) -> DataFrame:
+    """The settings as a whole; the stored lists are what the documents use."""
+    lists = ws.documents.agg(*[F.to_json(F.array_sort(F.collect_set(c))).alias(f"document_{name}_defaults") for c, name in (("system", "system"), ("document_type", "type"))])
+    stored = ws.with_tables(app_settings=conform(lists.withColumn("id", F.lit(1)), "app_settings"))
+    out = mutations.settings(stored, config.runtime_settings(ws.spark, config.Config("/w", "/u")), ["x"], ["y"])
+    text = lambda c: F.array_join(f"document_defaults.{c}", "|").alias(c)
+    return out.select("vehicle.id", "vehicle.make", "vehicle.trim", "runtime.uploads", text("systems"), text("types"), F.col("backup.supported").alias("backup"))
+
+
+query("settings_answer", """ SELECT v.id, make, coalesce("trim", '') "trim", '/u' uploads, (SELECT string_agg(DISTINCT "system", '|' ORDER BY "system") FROM ws_documents) systems, (SELECT string_agg(DISTINCT document_type, '|' ORDER BY document_type) FROM ws_documents) "types", true backup FROM ws_vehicles v ORDER BY v.id LIMIT 1""", _settings)

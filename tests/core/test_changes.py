@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators import browse, dashboard, links, mutations as M, search
-from quillspark.sources import ingest
+from quillspark.sources import config, ingest
 from quillspark.sources import workspace as W
 
 
@@ -112,6 +112,14 @@ def test_settings(ws):
             M.update_vehicle(ws, year, "a", "b")
 
 
+def test_settings_as_a_whole(ws):
+    runtime = config.runtime_settings(ws.spark, config.Config("/w", "/u", 7))
+    row = M.settings(ws, runtime, ["a"], ["b"]).first()
+    assert (row.vehicle.id, row.vehicle.make, row.runtime.uploads, row.runtime.max_upload_mb, row.document_defaults.systems, row.document_defaults.types, row.backup.supported) == (1, "Volvo", "/u", 7, ["Engine", "Cooling"], ["b"], True)
+    none = M.settings(ws.with_tables(app_settings=ws.app_settings.limit(0)), runtime, ["a"], ["b"]).first()
+    assert tuple(none.document_defaults) == (["a"], ["b"])
+
+
 def test_backfills(ws):
     new = {r.id: r for r in M.backfill_notes(ws.notes).collect()}
     assert new[2].content == "from body" and (new[3].related_entity_type, new[3].related_entity_id) == ("document", 1) and new[6].related_entity_type == "none"
