@@ -35,3 +35,34 @@ def test_stages_against_brute_force(spark):
     ids = [tokenizer.encode(t, add_special_tokens=False).ids for _, t in last]
     sha = lambda x: hashlib.sha256(x).hexdigest()
     assert out == [(i, len(x), sha(b"".join(k.to_bytes(4, "little") for k in x)), sha(t.encode())) for (i, t), x in zip(last, ids, strict=True)]
+
+
+def test_nulls_repeats_long_texts_and_other_columns(spark, tmp_path):
+    """The whole pipeline on rows of every kind: ids and texts that are null or repeated, a very long text, columns with names that the operators use."""
+    import random
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvwz") for _ in range(rng.randint(3, 8)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    good = [text(120) for _ in range(8)]
+    rows = [(i, t) for i, t in enumerate(good)]
+    rows += [(20, good[0]), (20, good[0]), (3, good[3]), (None, good[4]), (None, text(90)), (None, None), (30, None), (31, ""), (32, " \n "), (1, text(100))]
+    rows += [(40 + i, f"{text(80)}\nthis line is in all of them\n{text(70)}") for i in range(6)] + [(60, text(150_000))]
+    rows += [(70, f"{text(60)} {good[7]} {text(60)}")]
+    schema = "doc_id long, text string, lang string, row string, key int, n_chars long"
+    spark.createDataFrame([(i, t, "en", "r", 1, len(t or "")) for i, t in rows], schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, good[7]), (2, None), (None, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = P.run(spark, str(tmp_path)).collect()
+    ids = sorted((r.doc_id for r in got), key=str)
+    # 7 and 70 hold the item; 20, one row of 3 and the null copy of 4 are copies; texts without words fail the rules
+    assert ids == sorted([0, 1, 1, 2, 3, 4, 5, 6, None, *range(40, 46), 60], key=str)
+    lines = {r.doc_id: r for r in got}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    texts = dict(rows)
+    assert lines[60].decoded_sha256 == sha(texts[60]) and lines[40].decoded_sha256 == sha(texts[40]) and lines[41].decoded_sha256 == sha(texts[41].replace("this line is in all of them\n", ""))
+
+
+def test_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert P.run(spark, str(tmp_path)).collect() == []
