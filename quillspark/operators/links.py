@@ -13,6 +13,9 @@ from ..sources.workspace import Workspace
 #: The kinds that a note can link to.
 LINK_TYPES = ["document", "symptom", "procedure"]
 
+#: The texts about a link.
+NO_TYPE, NO_SYSTEM, LINKED, PLEASE, CHOOSE = "No type", "No system", "Linked ", "Please choose a linked ", "Choose a "
+
 #: What is shown where a kind has nothing to link to.
 EMPTY = {
     "document": "No documents available yet. Upload a PDF in Documents first.",
@@ -135,11 +138,11 @@ def link_title():
 
 def link_meta():
     parts = []
-    for k, field, default in (("document", "document_type", "No type"), ("symptom", "status", None), ("procedure", "difficulty", None)):
+    for k, field, default in (("document", "document_type", NO_TYPE), ("symptom", "status", None), ("procedure", "difficulty", None)):
         detail = F.col(f"linked_{k}.{field}")
         shown = T.blank_to(detail, default) if default else T.labelize(detail)
         here = (F.col("related_entity_type") == k) & F.col(f"linked_{k}").isNotNull()
-        parts.append((here, F.concat(T.blank_to(F.col(f"linked_{k}.system"), "No system"), F.lit(" - "), shown)))
+        parts.append((here, F.concat(T.blank_to(F.col(f"linked_{k}.system"), NO_SYSTEM), F.lit(" - "), shown)))
     return T.first_of(parts, F.lit(""))
 
 
@@ -152,11 +155,11 @@ def open_label(kind):
 
 
 def heading(kind):
-    return F.concat(F.lit("Linked "), open_label(kind))
+    return F.concat(F.lit(LINKED), open_label(kind))
 
 
 def missing_link_message(kind):
-    return F.when(kind.isin(LINK_TYPES), F.concat(F.lit("Please choose a linked "), kind, F.lit("."))).otherwise("")
+    return F.when(kind.isin(LINK_TYPES), F.concat(F.lit(PLEASE), kind, F.lit("."))).otherwise("")
 
 
 def picker(ws: Workspace) -> DataFrame:
@@ -167,7 +170,7 @@ def picker(ws: Workspace) -> DataFrame:
     rows = {"document": ws.documents, "symptom": ws.scoped("symptoms"), "procedure": ws.scoped("procedures")}
     kinds = ws.spark.createDataFrame([(k, EMPTY[k]) for k in LINK_TYPES], "kind string, empty string")
     entities = reduce(DataFrame.unionByName, [df.select(F.lit(k).alias("kind"), "id", "title") for k, df in rows.items()])
-    return F.broadcast(kinds).join(entities, "kind", "left").select("kind", heading(F.col("kind")).alias("label"), F.concat(F.lit("Choose a "), "kind").alias("placeholder"), F.when(F.col("id").isNull(), F.col("empty")).alias("empty"), "id", "title")
+    return F.broadcast(kinds).join(entities, "kind", "left").select("kind", heading(F.col("kind")).alias("label"), F.concat(F.lit(CHOOSE), "kind").alias("placeholder"), F.when(F.col("id").isNull(), F.col("empty")).alias("empty"), "id", "title")
 
 
 def existing(ids: DataFrame, table: DataFrame, column: str = "id") -> DataFrame:
