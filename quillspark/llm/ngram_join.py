@@ -475,13 +475,13 @@ def node_components(texts: DataFrame, members: DataFrame, words: int, percent: i
         slots = asked.groupBy("gid").agg(F.ceil(F.count("*") / ASKING).alias("slots"))
         queries = asked.join(slots, "gid").select("node", "comp", "n", "gid", F.pmod(F.xxhash64("node"), "slots").alias("slot"), F.lit(1).alias("kind"))
         held = place.join(nodes, "node").join(slots, "gid").select("node", "comp", "n", "gid", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), F.lit(0).alias("kind"))
-        taking = queries.select("node").unionByName(held.select("node")).distinct()
-        needed = C.filter_of(inside.join(taking, "node", "left_semi").select("row"), "row")
+        dealt = C.checkpoint(queries.unionByName(held))  # read several times from here on
+        needed = C.filter_of(inside.join(dealt.select("node").distinct(), "node", "left_semi").select("row"), "row")
         driver.append(needed)
         tokens = texts.mapInArrow(_sets_of(words, seed, needed), "node binary, tokens binary").groupBy("node").agg(F.any_value("tokens").alias("tokens"))
-        sent = queries.unionByName(held).agg(F.sum("n")).first()[0] or 0
+        sent = dealt.agg(F.sum("n")).first()[0] or 0
         n = C.buckets(spark, size=8 * sent)
-        rows = tokens.join(queries.unionByName(held), "node").withColumn("bucket", F.pmod(F.xxhash64("gid", "slot"), F.lit(n)))
+        rows = tokens.join(dealt, "node").withColumn("bucket", F.pmod(F.xxhash64("gid", "slot"), F.lit(n)))
         nodes = C.checkpoint(_renamed(nodes, C.grouped(rows, n).applyInArrow(_open_groups(percent), "u binary, v binary")))
     for shared in driver:  # all that used them is checkpointed
         shared.destroy()
