@@ -15,8 +15,10 @@ sets meet no other, and frequent tokens come last. Only tokens that nodes of
 different components have there are looked at. A row of the matrix is the union
 of the tokens of a group of such nodes; a query meets each group with which it
 shares a first token, its overlap with the union bounds its overlap with any
-member, and only groups that reach the bound are opened. Of a token's nodes
-those of its largest component don't ask.
+member, and only groups that reach the bound are opened. The first token that
+two similar sets share stands early enough in both for the rest to hold their
+overlap; a query meets a group only if that can be so for a member. Of a token's
+nodes those of its largest component don't ask.
 
 Links are the pairs with percent * |union| <= 100 * |intersection|. Only which
 nodes are connected is kept, so a group of copies is never expanded to pairs.
@@ -127,7 +129,7 @@ class Sets:
         return out
 
     def prefixes(self, percent: int, order: Order) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(token, document, early) of the first tokens of each distinct set: as many as two similar sets can't both miss."""
+        """(token, document, place) of the first tokens of each distinct set: as many as two similar sets can't both miss."""
         at = C.ragged(self.first[self.once], self.n[self.once])
         return first_tokens(self.tokens[at], np.repeat(self.once, self.n[self.once]), percent, order)
 
@@ -146,19 +148,23 @@ def numbers(names: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def first_tokens(tokens: np.ndarray, owner: np.ndarray, percent: int, order: Order) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(token, owner, early) of the first tokens.
-
-    A set's token is early if it can be the first that it shares with a similar set which isn't smaller.
-    """
+    """(token, owner, place in its set's order) of the first tokens."""
     by = np.lexsort((tokens, order.rank(tokens), owner))
     tokens, owner = tokens[by], owner[by]
     head = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
     n = np.diff(np.append(head, len(owner)))
     keep = n - (percent * n + 99) // 100 + 1
     at = C.ragged(head, keep)
-    early = n - (2 * percent * n + 99 + percent) // (100 + percent) + 1
-    early = C.ragged(np.zeros(len(keep), np.int64), keep) < np.repeat(early, keep)
-    return tokens[at], owner[at], early
+    return tokens[at], owner[at], at - np.repeat(head, keep)
+
+
+def reach(n: np.ndarray, place: np.ndarray, percent: int) -> np.ndarray:
+    """percent times the largest size of a similar set with which a set of n shares its token at `place` first.
+
+    Similar sets of n and m have at least percent * (n + m) / (100 + percent) tokens in common, and of them
+    a set of n has no more than n - place.
+    """
+    return 100 * n - (100 + percent) * place
 
 
 def _members(words: int, seed: int):
@@ -175,17 +181,18 @@ def _members(words: int, seed: int):
 
 
 LEADS = [f"lead{k}" for k in range(ORDERS)]
-_BLOBS = pa.schema([("bucket", pa.int32()), ("tokens", pa.binary()), ("nodes", pa.binary()), ("sizes", pa.binary())])
-BLOBS = "bucket int, tokens binary, nodes binary, sizes binary"
+_BLOBS = pa.schema([("bucket", pa.int32()), ("tokens", pa.binary()), ("nodes", pa.binary()), ("sizes", pa.binary()), ("places", pa.binary())])
+BLOBS = "bucket int, tokens binary, nodes binary, sizes binary, places binary"
 
 
-def _blobs(n: int, deal: np.ndarray, token: np.ndarray, node: np.ndarray | None, size: np.ndarray) -> pa.RecordBatch:
+def _blobs(n: int, deal: np.ndarray, token: np.ndarray, node: np.ndarray | None, size: np.ndarray, place: np.ndarray | None = None) -> pa.RecordBatch:
     order, cut = C.split_by(deal, n)
     out: dict[str, list] = {name: [] for name in _BLOBS.names}
     for b in range(n):
         own = order[cut[b] : cut[b + 1]]
         if len(own):
-            for name, x in zip(_BLOBS.names, (b, C.blob(token[own]), b"" if node is None else C.blob(node[own]), C.blob(size[own].astype(np.uint32))), strict=True):
+            values = (token, node, size.astype(np.uint32), None if place is None else place.astype(np.uint32))
+            for name, x in zip(_BLOBS.names, (b, *[b"" if x is None else C.blob(x[own]) for x in values]), strict=True):
                 out[name].append(x)
     return C.record(_BLOBS, out)
 
@@ -211,9 +218,9 @@ def _prefix_blobs(words: int, seed: int, percent: int, n: int, order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, bounds in C.chunks(batches):
             s = Sets(data, bounds, words, seed)
-            token, doc, early = s.prefixes(percent, order.value)
+            token, doc, place = s.prefixes(percent, order.value)
             deal = np.where(order.value.frequent(token), C.mix(token ^ s.node[doc, 0]), token)
-            yield _blobs(n, deal, token, s.node[doc], 2 * s.n[doc] + early)
+            yield _blobs(n, deal, token, s.node[doc], s.n[doc], place)
 
     return run
 
@@ -250,21 +257,23 @@ def _survey(n: int):
 
 
 def _shared(percent: int, order):
-    """(token, node, n) of the nodes that share a first token with another one whose size allows the similarity.
+    """(token, node, n, reach) of the nodes that share a first token with another one whose size allows the similarity.
 
     In order of size, the smaller of two similar nodes has their first common
-    token early; so a node counts if an early one before it, or it before the
+    token early: it reaches its own size; so a node counts if an early one before it, or it before the
     next one, is large enough. Frequent tokens aren't together here and all count.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        token, node, size = _joined(table, "tokens", _U), _joined(table, "nodes", _U).reshape(-1, 2), _joined(table, "sizes", np.uint32).astype(np.int64)
-        by = np.lexsort((node[:, 1], node[:, 0], size >> 1, token))
-        token, node, size = token[by], node[by], size[by]
+        token, node = _joined(table, "tokens", _U), _joined(table, "nodes", _U).reshape(-1, 2)
+        size, far = (_joined(table, c, np.uint32).astype(np.int64) for c in ("sizes", "places"))
+        far = reach(size, far, percent)
+        by = np.lexsort((node[:, 1], node[:, 0], size, token))
+        token, node, size, far = token[by], node[by], size[by], far[by]
         again = np.zeros(len(token), bool)
         again[1:] = (token[1:] == token[:-1]) & (node[1:] == node[:-1]).all(1)
-        token, node, size = token[~again], node[~again], size[~again]
-        early, size = size & 1 == 1, size >> 1
+        token, node, size, far = token[~again], node[~again], size[~again], far[~again]
+        early = far >= percent * size
         head = np.concatenate([[True], token[1:] != token[:-1]])[: len(token)]
         place = np.arange(len(token))
         last = np.maximum.accumulate(np.where(early, place, -1))[:-1]  # the largest early node so far
@@ -274,7 +283,7 @@ def _shared(percent: int, order):
         use[1:] |= near
         use[:-1] |= near
         C.release()
-        return pa.table({"token": pa.array(token[use].view(np.int64)), "node": names(node[use]), "n": pa.array(size[use])})
+        return pa.table({"token": pa.array(token[use].view(np.int64)), "node": names(node[use]), "n": pa.array(size[use]), "reach": pa.array(far[use])})
 
     return run
 
@@ -432,7 +441,7 @@ def node_components(texts: DataFrame, members: DataFrame, words: int, percent: i
     nodes = members.filter("node IS NOT NULL").groupBy("node").agg(F.min("row").alias("row"), F.any_value("n").alias("n"), *[F.any_value(c).alias(c) for c in LEADS])
     nodes = C.checkpoint(nodes)
     total = nodes.agg(F.sum("n")).first()[0] or 0
-    counted, prefixes = C.buckets(spark, size=3 * total), C.buckets(spark, size=28 * total * (100 - percent) // 100)
+    counted, prefixes = C.buckets(spark, size=3 * total), C.buckets(spark, size=32 * total * (100 - percent) // 100)
 
     # groups of nodes with one least token
     pairs = nodes.select("row", "n", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("lead")) for k, c in enumerate(LEADS)])).alias("x")).select("row", "n", "x.*")
@@ -453,7 +462,7 @@ def node_components(texts: DataFrame, members: DataFrame, words: int, percent: i
     counts = C.grouped(texts.select("text").mapInArrow(_counted_blobs(words, seed, counted), BLOBS), counted).applyInArrow(_survey(counted), "bucket int, bits binary, tokens binary, sets binary")
     order = spark.sparkContext.broadcast(Order(counted, counts.collect()))  # rows of bounded size together
     driver.append(order)
-    firsts = C.grouped(texts.select("text").mapInArrow(_prefix_blobs(words, seed, percent, prefixes, order), BLOBS), prefixes).applyInArrow(_shared(percent, order), "token long, node binary, n long")
+    firsts = C.grouped(texts.select("text").mapInArrow(_prefix_blobs(words, seed, percent, prefixes, order), BLOBS), prefixes).applyInArrow(_shared(percent, order), "token long, node binary, n long, reach long")
     firsts = C.checkpoint(firsts.distinct().join(nodes.select("node", "comp"), "node"))
     several = firsts.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("token")
     open_ = C.checkpoint(firsts.join(several, "token", "left_semi"))
@@ -467,10 +476,10 @@ def node_components(texts: DataFrame, members: DataFrame, words: int, percent: i
         open_ = C.checkpoint(open_.join(place, "node").coalesce(k))
         # a token's largest component is asked by the others
         largest = open_.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("top"))
-        groups = open_.groupBy("token", "gid").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("a"), F.max("comp").alias("b"))
+        groups = open_.groupBy("token", "gid").agg(F.min("n").alias("low"), F.max("reach").alias("far"), F.min("comp").alias("a"), F.max("comp").alias("b"))
         asking = open_.drop("gid").join(largest, "token").filter("comp <> top").drop("top")
-        size = (100 * F.col("high") >= percent * F.col("n")) & (percent * F.col("low") <= 100 * F.col("n"))
-        asked = asking.join(groups, "token").filter(size & ((F.col("a") != F.col("comp")) | (F.col("b") != F.col("comp")))).select("node", "comp", "n", "gid").distinct()
+        near = (F.col("far") >= percent * F.col("n")) & (F.col("reach") >= percent * F.col("low"))
+        asked = asking.join(groups, "token").filter(near & ((F.col("a") != F.col("comp")) | (F.col("b") != F.col("comp")))).select("node", "comp", "n", "gid").distinct()
         asked = C.checkpoint(asked)
         slots = asked.groupBy("gid").agg(F.ceil(F.count("*") / ASKING).alias("slots"))
         queries = asked.join(slots, "gid").select("node", "comp", "n", "gid", F.pmod(F.xxhash64("node"), "slots").alias("slot"), F.lit(1).alias("kind"))
