@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from quillspark.llm import ngram_join as N
 
 
@@ -103,3 +105,47 @@ def test_long_texts_and_hot_groups(spark, monkeypatch):
     d = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
     got = sorted((tuple(r) for r in N.join(d).collect()), key=str)
     assert got == brute(docs) and len({r[2] for r in got}) < len(docs)
+
+
+def test_linked_sets_reach_each_other():
+    """Of every linked pair the first shared token, in the common order, stands early enough in both, for sizes and edits around the similarity."""
+    rng, linked, cut = np.random.default_rng(7), 0, 0
+    order = N.Order(1, [])
+    for percent in (80, 85, 100):
+        for _ in range(300):
+            n = int(rng.integers(1, 160))
+            base = rng.integers(1, 2**63, n, dtype=np.uint64)
+            sets = []
+            for _ in range(4):
+                own = rng.integers(1, 2**63, int(rng.integers(0, n // 10 + 2)), dtype=np.uint64)
+                sets.append(np.unique(np.concatenate([base[rng.random(n) > rng.random() / 8], own])))
+            sets = [s for s in sets if len(s)]
+            token, owner, place = N.first_tokens(np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets]), percent, order)
+            at = {(int(o), int(t)): int(p) for t, o, p in zip(token, owner, place, strict=True)}
+            for i, one in enumerate(sets):
+                for j, two in enumerate(sets[:i]):
+                    both = len(np.intersect1d(one, two))
+                    meet = [t for o, t in at if o == i and (j, t) in at]
+                    reached = [t for t in meet if N.reach(len(one), at[i, t], percent) >= percent * len(two) and N.reach(len(two), at[j, t], percent) >= percent * len(one)]
+                    if 100 * both >= percent * (len(one) + len(two) - both):
+                        linked += 1
+                        assert reached
+                    else:
+                        cut += bool(meet) and not reached
+    assert linked > 500 and cut > 200  # the condition holds something back
+
+
+def test_near_copies_that_are_not_linked(spark, monkeypatch):
+    """A family around one text: few edits link, more don't, and nearly all share first tokens."""
+    rng, docs = random.Random(11), []
+    base = [f"b{i}" for i in range(120)]
+    for k in range(150):
+        copy = list(base)
+        for _ in range(rng.choice([1, 2, 2, 3, 4])):
+            copy[rng.randrange(len(copy))] = rng.choice(["e0", "e1", f"own{k}"])
+        docs.append((k, " ".join(copy)))
+    want = brute(docs)
+    assert 3 < len({c for _, _, c in want}) < 150
+    monkeypatch.setattr(N, "GROUP", 8)
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    assert sorted((tuple(r) for r in N.join(d).collect()), key=str) == want
