@@ -82,18 +82,21 @@ def notes(ws: Workspace) -> DataFrame:
     """Notes with at most one of linked_document, linked_symptom and linked_procedure, and its title.
 
     The link compares the stored type as it is; where the type is blank, the
-    old document_id links. Each note thus has one (kind, id) and every join is on
-    equal keys. The shown type is trimmed and lower-cased.
+    old document_id links. Each note thus has one (kind, id), so the records of all
+    kinds are joined at once on equal keys. Notes without a link have their own id
+    as key under no kind, so they don't come together in one task. The shown type is
+    trimmed and lower-cased.
     """
     rows = ws.scoped("notes")
     raw, blank = F.col("related_entity_type"), F.coalesce(F.trim("related_entity_type"), F.lit("")) == ""
     legacy = F.when(F.col("document_id") > 0, F.col("document_id"))
     kind = T.blank_to(T.search_form(raw), F.when(legacy.isNotNull(), "document").otherwise("none"))
     own = F.when(F.col("related_entity_id") > 0, F.col("related_entity_id"))
+    to = F.when(raw.isin(LINK_TYPES), F.col("related_entity_id")).when(blank, F.col("document_id"))
     rows = rows.select(
         "*",
-        F.when(raw == "document", F.col("related_entity_id")).when(blank, F.col("document_id")).alias("_document"),
-        *[F.when(raw == k, F.col("related_entity_id")).alias(f"_{k}") for k in LINK_TYPES[1:]],
+        F.when(to.isNull(), "").when(blank, "document").otherwise(raw).alias("_kind"),
+        F.coalesce(to, F.col("id")).alias("_key"),
         kind.alias("_type"),
         F.when(kind == "document", F.coalesce(own, legacy)).otherwise(own).alias("_id"),
     )
@@ -102,9 +105,8 @@ def notes(ws: Workspace) -> DataFrame:
         "symptom": [T.blank_to(F.col("system"), "").alias("system"), T.blank_to(F.col("status"), "open").alias("status")],
         "procedure": [T.blank_to(F.col("system"), "").alias("system"), T.blank_to(F.col("difficulty"), "intermediate").alias("difficulty")],
     }
-    for k in LINK_TYPES:
-        target = getattr(ws, f"{k}s").select(F.col("id").alias(f"_{k}"), "vehicle_id", F.struct("id", "title", *details[k]).alias(f"linked_{k}"))
-        rows = rows.join(target, ["vehicle_id", f"_{k}"], "left")
+    targets = [getattr(ws, f"{k}s").select("vehicle_id", F.lit(k).alias("_kind"), F.col("id").alias("_key"), F.struct("id", "title", *details[k]).alias(f"linked_{k}")) for k in LINK_TYPES]
+    rows = rows.join(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), targets), ["vehicle_id", "_kind", "_key"], "left")
     titles = [F.nullif(F.col(f"linked_{k}.title"), F.lit("")) for k in LINK_TYPES]
     return rows.select(
         "id",
