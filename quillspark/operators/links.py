@@ -167,12 +167,16 @@ def missing_link_message(kind):
 def picker(ws: Workspace) -> DataFrame:
     """(kind, label, placeholder, empty, id, title): what each kind of link offers to choose from; one row without an id where there is nothing.
 
-    A document of any vehicle can be chosen, symptoms and procedures of the anchor's.
+    A document of any vehicle can be chosen, symptoms and procedures of the anchor's. Rows stay where they are read;
+    only whether a kind has any is looked up.
     """
     rows = {"document": ws.documents, "symptom": ws.scoped("symptoms"), "procedure": ws.scoped("procedures")}
-    kinds = ws.spark.createDataFrame([(k, EMPTY[k]) for k in LINK_TYPES], "kind string, empty string")
+    kinds = ws.spark.createDataFrame([(k,) for k in LINK_TYPES], "kind string")
     entities = reduce(DataFrame.unionByName, [df.select(F.lit(k).alias("kind"), "id", "title") for k, df in rows.items()])
-    return F.broadcast(kinds).join(entities, "kind", "left").select("kind", heading(F.col("kind")).alias("label"), F.concat(F.lit(CHOOSE), "kind").alias("placeholder"), F.when(F.col("id").isNull(), F.col("empty")).alias("empty"), "id", "title")
+    there = reduce(DataFrame.unionByName, [df.select(F.lit(k).alias("kind")).limit(1) for k, df in rows.items()])
+    none = kinds.join(F.broadcast(there), "kind", "left_anti").select("kind", F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("title"))
+    empty = T.first_of([(F.col("kind") == k, F.lit(text)) for k, text in EMPTY.items()], F.lit(None))
+    return entities.unionByName(none).select("kind", heading(F.col("kind")).alias("label"), F.concat(F.lit(CHOOSE), "kind").alias("placeholder"), F.when(F.col("id").isNull(), empty).alias("empty"), "id", "title")
 
 
 def existing(ids: DataFrame, table: DataFrame, column: str = "id") -> DataFrame:

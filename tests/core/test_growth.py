@@ -35,3 +35,10 @@ def test_notes_without_a_record_are_spread(spark, ws, kind):
     with settings(spark):
         largest, n = most(links.notes(ws.with_tables(notes=notes)))
         assert n == 1000 and largest < 500
+
+
+def test_choices_of_a_link_stay_where_they_are_read(spark, ws):
+    symptoms = ws.symptoms.limit(0).unionByName(spark.range(1000).select("id", F.lit(1).cast("long").alias("vehicle_id"), F.lit("t").alias("title")), allowMissingColumns=True)
+    with settings(spark):
+        largest, n = most(links.picker(ws.with_tables(symptoms=symptoms, procedures=ws.procedures.limit(0))))
+        assert n == 1000 + ws.documents.count() + 1 and largest < 500
