@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import browse, dashboard, facets, history, links, mutations, search, trigrams
 from ..sources import checkpoints, config, ingest, snapshots
-from ..sources.workspace import Workspace, conform, insert_missing, point_lookup
+from ..sources.workspace import Workspace, conform, dealt, insert_missing, point_lookup
 from . import specs
 from .bindings import WS, ascii_lower, collapse, normalize, preview, read, snippet, sql, workspace
 
@@ -299,6 +299,7 @@ def _pdf(*pages: F.Column) -> F.Column:
 
 def _part_files(p: DataFrame) -> DataFrame:
     """Two pages each; small parts have files that aren't PDF, middle ones empty pages."""
+    p = dealt(p, "p_partkey")
     content = F.when(F.col("p_size") < 5, F.encode(F.lit("not a pdf"), "UTF-8")).when(F.col("p_size") < 9, _pdf(F.lit(" "))).otherwise(_pdf(F.concat(F.lit("  "), F.col("p_name"), F.lit("  (new)")), F.col("p_type")))
     return p.select(F.concat(F.lit("/in/part "), F.col("p_partkey").cast("string"), F.lit(".pdf")).alias("path"), content.alias("content"))
 
@@ -309,6 +310,7 @@ on_table("extract_pdfs", f"SELECT '/in/part ' || p_partkey || '.pdf' path, {_PAR
 
 def _structured_files(p: DataFrame) -> DataFrame:
     """Objects in an object stream, pages against the order of their numbers, nested parentheses and hex strings with a digit too few."""
+    p = dealt(p.select("p_partkey", "p_name", "p_brand", "p_type"), "p_partkey")
     heads = [(1, F.lit("<< /Type /Catalog /Pages 2 0 R >>")), (2, F.lit("<< /Type /Pages /Count 2 /Kids [12 0 R 10 0 R] >>")), (10, F.lit("<< /Type /Page /Contents 11 0 R >>")), (12, F.lit("<< /Type /Page /Contents [13 0 R 14 0 R] >>"))]
     inner, places, at = F.concat(*[c for _, c in heads]), [], F.lit(0)
     for number, c in heads:

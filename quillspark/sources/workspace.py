@@ -96,6 +96,12 @@ def save(ws: Workspace, path: str) -> None:
         getattr(ws, f.name).write.mode("errorifexists").parquet(f"{path}/{f.name}")
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt anew by unique keys, for work on each row that costs much more than moving it: a file of few row groups is read by as few tasks, however many there could be."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+
+
 def point_lookup(df: DataFrame, id_: int) -> DataFrame:
     """The row of an id, if any: the filter reaches the scan. What is no long is nobody's id."""
     return df.filter(F.col("id") == F.lit(id_ if -(1 << 63) <= id_ < 1 << 63 else None)).limit(1)

@@ -6,6 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators import links
+from quillspark.plans import registry
+
+SF = "/root/testdata/sf0.001"
 
 
 @contextmanager
@@ -42,3 +45,10 @@ def test_choices_of_a_link_stay_where_they_are_read(spark, ws):
     with settings(spark):
         largest, n = most(links.picker(ws.with_tables(symptoms=symptoms, procedures=ws.procedures.limit(0))))
         assert n == 1000 + ws.documents.count() + 1 and largest < 500
+
+
+@pytest.mark.parametrize("name", ["extract_pdfs", "extract_structured_pdfs"])
+def test_files_made_from_a_table_are_dealt_over_tasks(spark, name):
+    """The table is one row group, so one task reads it."""
+    largest, n = most(registry.QUERIES[name](spark, SF))
+    assert n == 200 and largest < 100
