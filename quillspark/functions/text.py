@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import string
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -158,6 +159,11 @@ def mime_type(path: Column) -> Column:
     return F.when(F.lower(extension(path)) == ".pdf", "application/pdf").otherwise("application/octet-stream")
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where the value is worked out once, however often it stands in it; plans with functions of arrays repeat it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def distinct_values(values: Column) -> Column:
     """Trimmed non-empty values; of those equal without case, the first stands, in its place.
 
@@ -166,7 +172,7 @@ def distinct_values(values: Column) -> Column:
     trimmed = F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), normalize), lambda v: v != "")
     sorted_ = F.array_sort(F.transform(trimmed, lambda v, i: F.struct(F.lower(v).alias("folded"), i.alias("at"), v.alias("value"))))
     # each beside the one before it
-    pairs = F.arrays_zip(sorted_.alias("x"), F.concat(F.array(F.lit(None).cast("string")), F.transform(sorted_, lambda e: e["folded"])).alias("before"))
+    pairs = once(sorted_, lambda s: F.arrays_zip(s.alias("x"), F.concat(F.array(F.lit(None).cast("string")), F.transform(s, lambda e: e["folded"])).alias("before")))
     first = F.filter(pairs, lambda p: p["x"].isNotNull() & ~p["x"]["folded"].eqNullSafe(p["before"]))
     return F.transform(F.array_sort(F.transform(first, lambda p: F.struct(p["x"]["at"].alias("at"), p["x"]["value"].alias("value")))), lambda e: e["value"])
 
@@ -179,8 +185,7 @@ def parse_list(json: Column, fallback: list[str]) -> Column:
         F.transform(items, lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))),
         lambda v: v.isNotNull(),
     )
-    values = distinct_values(texts)
-    return F.when(F.size(values) > 0, values).otherwise(F.array(*map(F.lit, fallback)))
+    return once(distinct_values(texts), lambda values: F.when(F.size(values) > 0, values).otherwise(F.array(*map(F.lit, fallback))))
 
 
 def format_list(values: Column) -> Column:
@@ -248,7 +253,10 @@ def number(value: object) -> float:
 
 def column_number(c: Column) -> Column:
     """number() of a column; null for what isn't one, for infinities and for the other bases over 2 ** 64."""
-    text = normalize(c.cast("string"))
+    return _number_of(normalize(c.cast("string")))
+
+
+def _number_of(text: Column) -> Column:
     digits = F.regexp_replace(text, "^0.0*", "")
     fits = lambda base: F.length(digits) <= {16: 16, 8: 21, 2: 64}[base]
     radix = [(F.rlike(text, F.lit(rf"\A{p}\z")), F.when(fits(base), F.conv(digits, base, 10).try_cast("double"))) for base, p in RADIX.items()]
@@ -257,13 +265,20 @@ def column_number(c: Column) -> Column:
 
 def positive_id(c: Column) -> Column:
     """A whole number over 0 that an id can be, or null."""
-    found = column_number(c)
-    return F.when((found > 0) & (found == F.floor(found)) & (found < float(LARGEST)), found.cast("long"))
+    return _id_of(column_number(c))
+
+
+def _id_of(number: Column) -> Column:
+    return F.when((number > 0) & (number == F.floor(number)) & (number < float(LARGEST)), number.cast("long"))
 
 
 def positive_ids(values: Column) -> Column:
-    """Distinct positive whole numbers of a list; others drop out."""
-    return F.array_distinct(F.filter(F.transform(values, positive_id), lambda v: v.isNotNull()))
+    """Distinct positive whole numbers of a list; others drop out.
+
+    One step after another over the array, as an expression inside a lambda is worked out again wherever it stands.
+    """
+    texts = F.transform(values, lambda v: normalize(v.cast("string")))
+    return F.array_distinct(F.filter(F.transform(F.transform(texts, _number_of), _id_of), lambda v: v.isNotNull()))
 
 
 def toggle(values: Column, value: Column) -> Column:

@@ -250,7 +250,7 @@ for _pattern, _value in ((r'[<>:"/\\|?*\x00-\x1f]', "-"), (f"{WS}+", "-"), ("-+"
     _SAFE = f"regexp_replace({_SAFE}, '{_pattern}', '{_value}', 'g')"
 on_table("safe_filenames", f"SELECT page_id, coalesce(nullif({_SAFE}, ''), 'document') || lower({_EXT}) safe FROM pages", "pages", lambda p: p.select("page_id", T.safe_filename(F.col("url")).alias("safe")))
 on_table("json_list", "SELECT event_id, '[\"' || event_type || '\",\"' || user_id || '\"]' \"list\", 2 size FROM events", "events",
-         lambda e: e.select("event_id", T.format_list(T.parse_list(F.to_json(F.array("event_type", F.col("user_id").cast("string"), F.concat(F.lit(" "), F.upper("event_type")))), ["none"])).alias("list"), F.size(T.parse_list(F.concat(F.lit('["a", 1, "b"]'), F.lit("")), ["none"])).alias("size")))
+         lambda e: dealt(e.select("event_id", "event_type", "user_id"), "event_id").select("event_id", T.format_list(T.parse_list(F.to_json(F.array("event_type", F.col("user_id").cast("string"), F.concat(F.lit(" "), F.upper("event_type")))), ["none"])).alias("list"), F.size(T.parse_list(F.concat(F.lit('["a", 1, "b"]'), F.lit("")), ["none"])).alias("size")))
 on_table("line_list", f"""SELECT doc_id, coalesce(string_agg(v, chr(10) ORDER BY i), '') "lines", count(v) n FROM (
       SELECT doc_id, arg_min(v, i) v, min(i) i FROM (SELECT doc_id, {normalize('unnest(p)')} v, unnest(range(len(p))) i FROM (SELECT doc_id, regexp_split_to_array(text, '\\r?\\n') p FROM documents)) WHERE v <> '' GROUP BY doc_id, lower(v)
       UNION ALL SELECT doc_id, NULL, 0 FROM documents) GROUP BY doc_id""", "documents",
@@ -435,7 +435,7 @@ on_table("toggle_list", "SELECT event_id, CASE user_id % 4 WHEN 0 THEN '1,2,3,0'
 on_table("backup_names", "SELECT event_id, 'backup-' || strftime(CAST(ts AS TIMESTAMP), '%Y-%m-%dT%H-%M-%S-%gZ') || '.tar.gz' archive FROM events", "events", lambda e: e.select("event_id", ingest.backup_name(F.col("ts")).alias("archive")))
 on_table("stored_names", f"SELECT page_id, coalesce(nullif({_SAFE}, ''), 'document') || '-{_STAMP}' || lower({_EXT}) stored FROM pages", "pages", lambda p: p.select("page_id", T.stored_filename(F.col("url"), F.lit(f"-{_STAMP}")).alias("stored")))
 on_table("positive_ids", "SELECT o_orderkey, CASE WHEN o_orderkey = 16 THEN '16,3,5,7' WHEN o_orderkey % 2 = 0 AND o_orderkey > 0 THEN o_orderkey || ',3,16,5,7' ELSE '3,16,5,7' END ids FROM orders", "orders",
-         lambda o: o.select("o_orderkey", F.array_join(T.positive_ids(F.array(F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey").cast("string")).otherwise("-1"), *map(F.lit, ["3", "Infinity", "NaN", "1.5", "x", "3.0", "1e300", "1_0", "0x10", "3d", "9223372036854775808", " ", "", "abc", " 0b101 ", "+7.0", "0x", "1e-1"]))), ",").alias("ids")))
+         lambda o: dealt(o.select("o_orderkey"), "o_orderkey").select("o_orderkey", F.array_join(T.positive_ids(F.array(F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey").cast("string")).otherwise("-1"), *map(F.lit, ["3", "Infinity", "NaN", "1.5", "x", "3.0", "1e300", "1_0", "0x10", "3d", "9223372036854775808", " ", "", "abc", " 0b101 ", "+7.0", "0x", "1e-1"]))), ",").alias("ids")))
 query("first_content", "SELECT id, CASE WHEN \"trim\" <> '' THEN \"trim\" ELSE model END shown FROM ws_vehicles", lambda ws: ws.vehicles.select("id", T.blank_to(F.col("engine"), T.blank_to(F.col("trim"), F.col("model"))).alias("shown")))
 
 
