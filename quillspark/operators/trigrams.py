@@ -1,8 +1,8 @@
 """An extension: an index of three letters for searches in documents.
 
 The index has a row for each three letters in a row that a document has in one
-of the searched fields, without case of ASCII letters, in order of the letters, so that a query reads few
-row groups. Documents that have all of a query's letters are candidates; the
+of the searched fields, without case of ASCII letters, each file in order of the letters, so that a query reads few
+pages. Documents that have all of a query's letters are candidates; the
 search itself decides, on their texts only.
 """
 
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..plans.specs import DOCUMENTS
+from ..sources.workspace import dealt
 from . import search
 
 SIZE = 3
@@ -21,13 +22,8 @@ FEW = 2000
 
 
 def _grams(c: Column) -> Column:
-    """Distinct runs of three characters. Characters are joined with the ones that follow array by array, as
-    an expression inside a lambda is worked out for each element anew."""
-    chars = F.split(T.ascii_lower(F.coalesce(c, F.lit(""))), "")
-    runs = chars
-    for k in range(1, SIZE):
-        runs = F.zip_with(runs, F.slice(chars, k + 1, F.greatest(F.size(chars), F.lit(1))), lambda a, b: F.concat(a, b))
-    return F.array_compact(F.array_distinct(runs))
+    """Distinct runs of three characters, found by one pattern that goes on by a character."""
+    return F.array_distinct(F.regexp_extract_all(T.ascii_lower(F.coalesce(c, F.lit(""))), F.lit(f"(?s)(?=(.{{{SIZE}}}))."), 1))
 
 
 def postings(documents: DataFrame) -> DataFrame:
@@ -37,8 +33,9 @@ def postings(documents: DataFrame) -> DataFrame:
 
 
 def write_index(documents: DataFrame, path: str) -> DataFrame:
-    """Writes the index in order of letters, then ids, and reads it back."""
-    postings(documents).repartitionByRange("gram", "id").sortWithinPartitions("gram", "id").write.parquet(path)
+    """Writes the index and reads it back. Each file has some documents, in order of letters, then ids, so their
+    letters are worked out once and never moved."""
+    postings(dealt(documents, "id")).sortWithinPartitions("gram", "id").write.parquet(path)
     return documents.sparkSession.read.parquet(path)
 
 

@@ -5,7 +5,7 @@ from contextlib import contextmanager
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import links
+from quillspark.operators import links, trigrams
 from quillspark.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -52,3 +52,13 @@ def test_rows_with_costly_work_are_dealt_over_tasks(spark, name, rows):
     """The table is one row group, so one task reads it."""
     largest, n = most(registry.QUERIES[name](spark, SF))
     assert n == rows and largest < rows / 2
+
+
+def test_letters_are_worked_out_once_and_stay(spark, ws, tmp_path, monkeypatch):
+    """No sample of the letters is taken and no letters are moved; characters of two UTF-16 units are one."""
+    calls = []
+    monkeypatch.setattr(type(ws.documents), "repartitionByRange", lambda *a, **k: calls.append(a))
+    documents = links.documents(ws).withColumn("extracted_text", F.lit("A\U0001f600b\nc"))
+    index = trigrams.write_index(documents, str(tmp_path / "i"))
+    assert not calls
+    assert {r.gram for r in index.collect()} >= {"a\U0001f600b", "\U0001f600b\n", "b\nc"}
