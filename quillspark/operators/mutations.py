@@ -341,23 +341,47 @@ def backfill_notes(notes: DataFrame) -> DataFrame:
     return patch(notes, blank("note_type"), {"note_type": "general"})
 
 
+#: So many rows, about, come to a task that looks for broken rules. Tasks cut by bytes would get the more ids, the better those are packed.
+ROWS = 1 << 19
+
+
 def violations(ws: Workspace) -> DataFrame:
-    """(rule, table, id) of rows that break a reference, a key or the rule that settings have one row."""
+    """(rule, table, id) of rows that break a reference, a key or the rule that settings have one row.
+
+    The tables are counted in one job at once, and tasks are as many as that asks for. A task
+    holds the keys of its share of rows, or the ids of its share of a table, which go to all tasks if they are
+    no more than one share. Rows that refer to ids pass by: an id that very many refer to needs no memory.
+    """
     parts = []
+    tables = ("documents", "symptoms", "procedures", "notes", "symptom_documents", "procedure_documents")
+    counts = [getattr(ws, t).agg(F.count("*").alias("n")).select(F.lit(t).alias("table"), "n") for t in tables]
+    n_rows = {r["table"]: r["n"] for r in reduce(DataFrame.unionByName, counts).collect()}
+
+    def tasks(*names: str) -> int:
+        return max(ws.spark.sparkContext.defaultParallelism, -(-max(n_rows[t] for t in names) // ROWS))
 
     def report(rows: DataFrame, rule: str, table: str, id_: str) -> None:
         parts.append(rows.select(F.lit(rule).alias("rule"), F.lit(table).alias("table"), F.col(id_).cast("long").alias("id")))
 
-    vehicles, documents = ws.vehicles.select(F.col("id").alias("vehicle_id")), ws.documents.select(F.col("id").alias("document_id"))
+    def repeated(table: str, *key: str) -> None:
+        rows = getattr(ws, table).select(*key).repartition(tasks(table), *key)
+        report(rows.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1"), "unique", table, key[0])
+
+    def missing(rows: DataFrame, kind: str, table: str, id_: str) -> None:
+        key, there = f"{kind}_id", f"{kind}s"
+        ids = getattr(ws, there).select(F.col("id").alias(key))
+        ids = F.broadcast(ids) if n_rows[there] <= ROWS else ids.repartition(tasks(there, table), key).hint("shuffle_hash")
+        report(rows.join(ids, key, "left_anti"), kind, table, id_)
+
+    vehicles = ws.vehicles.select(F.col("id").alias("vehicle_id"))
     for table in ("documents", "symptoms", "procedures", "notes"):
-        rows = getattr(ws, table)
-        report(rows.join(vehicles, "vehicle_id", "left_anti"), "vehicle", table, "id")
-        report(rows.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1"), "unique", table, "id")
+        report(getattr(ws, table).join(vehicles, "vehicle_id", "left_anti"), "vehicle", table, "id")
+        repeated(table, "id")
     for kind in ("symptom", "procedure"):
-        bridge = getattr(ws, f"{kind}_documents")
-        report(bridge.join(documents, "document_id", "left_anti"), "document", f"{kind}_documents", "document_id")
-        report(bridge.join(getattr(ws, f"{kind}s").select(F.col("id").alias(f"{kind}_id")), f"{kind}_id", "left_anti"), kind, f"{kind}_documents", f"{kind}_id")
-        report(bridge.groupBy(f"{kind}_id", "document_id").agg(F.count("*").alias("n")).filter("n > 1"), "unique", f"{kind}_documents", f"{kind}_id")
-    report(ws.notes.filter("document_id IS NOT NULL").join(documents, "document_id", "left_anti"), "document", "notes", "id")
+        table = f"{kind}_documents"
+        missing(getattr(ws, table), "document", table, "document_id")
+        missing(getattr(ws, table), kind, table, f"{kind}_id")
+        repeated(table, f"{kind}_id", "document_id")
+    missing(ws.notes.filter("document_id IS NOT NULL"), "document", "notes", "id")
     report(ws.app_settings.filter("id <> 1"), "single", "app_settings", "id")
     return reduce(DataFrame.unionByName, parts)

@@ -5,7 +5,7 @@ from contextlib import contextmanager
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import links, trigrams
+from quillspark.operators import links, mutations, trigrams
 from quillspark.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -62,3 +62,17 @@ def test_letters_are_worked_out_once_and_stay(spark, ws, tmp_path, monkeypatch):
     index = trigrams.write_index(documents, str(tmp_path / "i"))
     assert not calls
     assert {r.gram for r in index.collect()} >= {"a\U0001f600b", "\U0001f600b\n", "b\nc"}
+
+
+@pytest.mark.parametrize("n_ids", [0, 20, 3000])
+def test_broken_rules_are_looked_for_by_shares(spark, ws, monkeypatch, n_ids):
+    """A task gets about ROWS of the pairs, whatever their bytes; rows without an id and repeated ids are told as before."""
+    monkeypatch.setattr(mutations, "ROWS", 500, raising=False)
+    ids = ws.documents.limit(0).unionByName(spark.range(n_ids).select("id", F.lit(1).cast("long").alias("vehicle_id")), allowMissingColumns=True)
+    pairs = spark.range(8000).select((F.col("id") % 4000).alias("symptom_id"), F.when(F.col("id") % 4000 > 0, F.col("id") % 4000).alias("document_id"))
+    found = mutations.violations(ws.with_tables(documents=ids.unionByName(ids.filter("id = 1")), symptom_documents=pairs, notes=ws.notes.limit(0), procedure_documents=ws.procedure_documents.limit(0)))
+    largest, _ = most(found.filter("rule = 'unique' AND table = 'symptom_documents'"))
+    assert largest < 500
+    got = {(r["rule"], r["table"]): r["n"] for r in found.groupBy("rule", "table").agg(F.count("*").alias("n")).collect()}
+    told = {("unique", "symptom_documents"): 4000, ("document", "symptom_documents"): 8000 - 2 * max(n_ids - 1, 0), ("symptom", "symptom_documents"): 8000 - 2 * 4}
+    assert got == told | ({("unique", "documents"): 1} if n_ids else {})
